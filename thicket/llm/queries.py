@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thicket.llm.common import table
+from thicket.llm.common import remainder, table
 
 
 
@@ -14,6 +15,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.overlap import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +35,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2048)
 
 
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.languages import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 4)
+    found = predict(docs, fit(docs, fold != 2))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
