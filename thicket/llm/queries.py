@@ -21,6 +21,15 @@ def op1_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.toxicity import SCORE_AT, fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 3)
+    found = scored(docs, fit(docs, table(spark, sf_dir, "labels"), fold != 1))
+    return found.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= SCORE_AT).cast("int").alias("predicted"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
