@@ -10,8 +10,9 @@ sum over groups of the smaller count, which rules most pairs out.
    blocks: with frequent shingles last and the rest by hash, two sets of the
    asked similarity must share one of their first n - ceil(t n) + 1 shingles.
    Which are called frequent only moves work, never the result.
-3. In every block the documents meet its leader first. Bounds are tried, then
-   sets are compared; the links give components.
+3. In every block the documents meet its leader first, the one most of whose
+   shingles others share: a text that others were made from. Bounds are tried,
+   then sets are compared; the links give components.
 4. Blocks in which several components are left get an R-tree each: documents of
    different components whose points don't rule it out are compared too. So no
    link between components is missed, and nobody lists all pairs of a block.
@@ -175,32 +176,29 @@ def _deal(docs: DataFrame, frequent) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and lo those whose key other sets have too, each with its key's first as leader.
+    """Of rows sorted by key and lo the first of each such pair, if other sets have the key too.
 
     Only the last row of what came is held back, so any length of run will do.
     """
-    names = ["key", "doc", "n", "leader", "leader_n"]
+    names = ["key", "doc", "n"]
     state = None
     for batch in batches:
         key, lo, doc, n = (batch[c].to_numpy() for c in ("key", "lo", "doc", "n"))
         if not len(key):
             continue
-        leader, leader_n, before = doc.copy(), n.copy(), np.zeros(len(key), bool)
+        before = np.zeros(len(key), bool)
         if state:
-            key, lo, doc, n, leader, leader_n, before = (np.r_[np.array([s], x.dtype), x] for s, x in zip(state, (key, lo, doc, n, leader, leader_n, before), strict=True))
+            key, lo, doc, n, before = (np.r_[np.array([s], x.dtype), x] for s, x in zip(state, (key, lo, doc, n, before), strict=True))
         new = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1])]
-        key, lo, doc, n, leader, leader_n, before = (x[new] for x in (key, lo, doc, n, leader, leader_n, before))
-        first = np.r_[True, key[1:] != key[:-1]]
-        start = np.flatnonzero(first)[np.cumsum(first) - 1]
-        leader, leader_n = leader[start], leader_n[start]
-        before = np.where(first, before, True)
-        after = np.r_[key[1:] == key[:-1], False]
-        out = np.flatnonzero((before | after)[:-1])
+        key, lo, doc, n, before = (x[new] for x in (key, lo, doc, n, before))
+        same = key[1:] == key[:-1]
+        before |= np.r_[False, same]
+        out = np.flatnonzero((before | np.r_[same, False])[:-1])
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, doc, n, leader, leader_n)], names)
-        state = tuple(x[-1] for x in (key, lo, doc, n, leader, leader_n, before))
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, doc, n)], names)
+        state = tuple(x[-1] for x in (key, lo, doc, n, before))
     if state and state[-1]:
-        yield pa.RecordBatch.from_arrays([pa.array([int(state[i])], pa.int64()) for i in (0, 2, 3, 4, 5)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([int(state[i])], pa.int64()) for i in (0, 2, 3)], names)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,9 +308,12 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     told = totals.orderBy(F.desc("n"), "key").limit(TOLD).select("key").toPandas()["key"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(told)
     points = described.filter("kind = 0 and n > 0 and doc is not null").select("doc", "n", "vec")
-    rows = cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "lo", "doc").mapInArrow(_shared, "key long, doc long, n long, leader long, leader_n long"))
+    rows = cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "lo", "doc").mapInArrow(_shared, "key long, doc long, n long"))
+    known = rows.groupBy("doc").agg((F.count("*") / F.max("n")).alias("known"))
+    leaders = rows.join(known, "doc").groupBy("key").agg(F.max(F.struct("known", (-F.col("doc")).alias("back"), "n")).alias("best")).select("key", (-F.col("best.back")).alias("leader"), F.col("best.n").alias("leader_n"))
+    led = rows.join(leaders, "key")
     fits = (F.least("n", "leader_n") * DEN >= F.greatest("n", "leader_n") * NUM) & (F.col("doc") != F.col("leader"))
-    star = cut(rows.filter(fits).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct())
+    star = cut(led.filter(fits).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct())
     first = cut(_verify(star, docs, points))
     labels = components(first)
     labelled = rows.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
