@@ -30,6 +30,19 @@ def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= SCORE_AT).cast("int").alias("predicted"))
 
 
+def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.quality import apply_policy, ledger
+
+    rows = apply_policy(ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +51,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.warc import derive, responses
+
+    return derive(responses(table(spark, sf_dir, "pages")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.packing import pack_documents
 
@@ -58,4 +77,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from thicket.llm import chat, warc
+
+    return {"op3_chat_collapse": chat.ORACLE, "op6_warc_derivatives": warc.ORACLE}
