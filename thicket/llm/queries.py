@@ -63,6 +63,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2048)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.simhash import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.languages import fit, predict
 
