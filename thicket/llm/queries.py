@@ -69,6 +69,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.pii import find, report
+
+    return report(find(table(spark, sf_dir, "documents")))
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.languages import fit, predict
 
