@@ -44,6 +44,8 @@ FREQUENT = 16
 TOLD = 1_000_000
 #: A block's part for one task of step 4.
 PART = 2_048
+#: So many of a document's smallest keys go with it, so that pairs meet once or little more.
+FIRSTS = 8
 #: Ids of so many documents are sent to all tasks at most, else joined (8 bytes each).
 SENT = 1_000_000
 
@@ -57,21 +59,33 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def _kind(n: int) -> str:
+    """The type of the counts of a set of n elements: no group can overflow it in practice below, none at all above."""
+    return "<u1" if n < 1 << 16 else "<u4"
+
+
 def point(shingles: np.ndarray) -> bytes:
     """How many shingles fall into each group; larger sets have more groups, always a power of two."""
     n = len(shingles)
-    groups = 1 << min(12, max(4, (n // 4).bit_length()))
-    return np.bincount((shingles & U(groups - 1)).astype(np.int64), minlength=groups).astype("<u2" if n < 1 << 16 else "<u4").tobytes()
+    groups = 1 << min(13, max(4, n.bit_length()))
+    c = np.bincount((shingles & U(groups - 1)).astype(np.int64), minlength=groups)
+    if n < 1 << 16 and c.max(initial=0) > 255:
+        c = np.full(groups, 255)  # rules nothing out
+    return c.astype(_kind(n)).tobytes()
 
 
 def counts(raw: bytes, n: int, groups: int | None = None) -> np.ndarray:
     """A point's counts, folded to so many groups."""
-    v = np.frombuffer(raw, "<u2" if n < 1 << 16 else "<u4").astype(np.int32)
+    v = np.frombuffer(raw, _kind(n)).astype(np.int32)
     while groups and len(v) > groups:
         v = v[: len(v) // 2] + v[len(v) // 2 :]
     return v
 
 
+def n_groups(raw: bytes, n: int) -> int:
+    return len(raw) // np.dtype(_kind(n)).itemsize
+
+
 class CountTree:
     """An R-tree over points: each node has its points' largest counts and their sizes' range."""
 
@@ -99,27 +113,48 @@ class CountTree:
         return self.order[nodes]
 
 
-def block_pairs(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes], sides: np.ndarray) -> set[tuple[int, int]]:
+def _near(sizes: np.ndarray, v: np.ndarray, few: int = 24) -> Iterator[tuple[int, np.ndarray]]:
+    """For each point those that its bound doesn't rule out: all at once for a few points, by a tree for many."""
+    if len(sizes) > few:
+        tree = CountTree(sizes, v)
+        for i in range(len(sizes)):
+            yield i, tree.search(int(sizes[i]), v[i])
+        return
+    small = v.astype(np.int16)
+    bound = np.stack([np.minimum(small, p).sum(1, dtype=np.int32) for p in small])
+    fits = (bound >= needed(sizes[:, None], sizes[None, :])) & (DEN * sizes[:, None] >= NUM * sizes[None, :]) & (DEN * sizes[None, :] >= NUM * sizes[:, None])
+    for i in range(len(sizes)):
+        yield i, np.flatnonzero(fits[i])
+
+
+def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes], sides: np.ndarray, firsts: np.ndarray) -> set[tuple[int, int]]:
     """Pairs of a block, with other labels, whose points allow the overlap; between both sides, or in one where there's only one.
 
     Sizes that may match differ by less than two to one, so their numbers of
-    groups do by two to one at most: a tree for each number holds the points
-    of that many and twice as many groups.
+    groups do by two to one at most: a turn for each number takes the points of
+    that many and twice as many groups. ``firsts`` has each document's smallest
+    keys: a pair with one of them in common, under this one, meets there.
     """
     found: set[tuple[int, int]] = set()
+    if firsts[0, 0] < key and (firsts[:, 0] == firsts[0, 0]).all():
+        return found
     one = (sides == sides[0]).all()
-    groups = np.array([len(p) // (2 if n < 1 << 16 else 4) for p, n in zip(points, sizes.tolist(), strict=True)])
+    groups = np.array([n_groups(p, n) for p, n in zip(points, sizes.tolist(), strict=True)])
     for g in np.unique(groups).tolist():
         near = np.flatnonzero((groups == g) | (groups == 2 * g))
         if len(near) < 2 or (labels[near] == labels[near[0]]).all():
             continue
         v = np.stack([counts(points[i], int(sizes[i]), g) for i in near])
-        tree = CountTree(sizes[near], v)
-        for k in np.flatnonzero(groups[near] == g).tolist():
+        for k, others in _near(sizes[near], v):
             i = near[k]
-            for j in near[tree.search(int(sizes[i]), v[k])].tolist():
-                if labels[i] != labels[j] and ids[i] != ids[j] and (one or sides[i] != sides[j]):
-                    found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if groups[i] != g or not len(others):
+                continue
+            js = near[others]
+            js = js[(labels[js] != labels[i]) & (ids[js] != ids[i]) & (one | (sides[js] != sides[i]))]
+            if len(js):
+                own = firsts[i][firsts[i] < key]
+                js = js[~(firsts[js][:, :, None] == own).any((1, 2))]
+            found.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist())
     return found
 
 
@@ -210,10 +245,13 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(tables)
         ids, sizes, labels, side, key, part = (t[c].to_numpy() for c in ("doc", "n", "label", "side", "key", "part"))
         points = t["vec"].to_pylist()
+        firsts = np.full((len(ids), FIRSTS), np.iinfo(np.int64).max)
+        for i, f in enumerate(t["firsts"].to_pylist()):
+            firsts[i, : len(f)] = f
         edges = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]), len(key)]
         fresh: set[tuple[int, int]] = set()
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            fresh |= block_pairs(ids[a:b], sizes[a:b], labels[a:b], points[a:b], side[a:b])
+            fresh |= block_pairs(int(key[a]), ids[a:b], sizes[a:b], labels[a:b], points[a:b], side[a:b], firsts[a:b])
         fresh -= told
         if len(told) < 1_000_000:
             told.update(fresh)
@@ -243,7 +281,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = zip(*(batch[c].to_pylist() for c in ("n_a", "n_b", "vec_a", "vec_b")), strict=True)
         keep = []
         for n, m, p, q in rows:
-            groups = min(len(p) // (2 if n < 1 << 16 else 4), len(q) // (2 if m < 1 << 16 else 4))
+            groups = min(n_groups(p, n), n_groups(q, m))
             keep.append(int(np.minimum(counts(p, n, groups), counts(q, m, groups)).sum()) >= needed(n, m))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -319,13 +357,15 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     labelled = rows.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
     labelled = cut(labelled)
     blocks = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).filter("m > 2 and least < most").select("key", "m")
-    open_rows = labelled.join(blocks, "key").join(points.select("doc", "vec"), "doc")
+    in_open = labelled.join(blocks, "key")
+    firsts = in_open.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
+    open_rows = in_open.join(points.select("doc", "vec").join(firsts, "doc"), "doc")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int")
     own = F.pmod(F.xxhash64("doc"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = open_rows.withColumns({"parts": parts, "side": own}).select("*", other.alias("other"))
     dealt = dealt.withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))
-    met = dealt.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "doc", "n", "label", "vec").mapInArrow(_trees, "a long, b long").distinct()
+    met = dealt.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "doc", "n", "label", "vec", "firsts").mapInArrow(_trees, "a long, b long").distinct()
     second = _verify(cut(met.join(star, ["a", "b"], "left_anti")), docs, points)
     return first.union(second)
 
@@ -343,3 +383,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(found.union(ends)).withColumnRenamed("node", "rep")
     placed = rows.join(classes.join(labels, "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")), ["hi", "lo"], "left")
     return placed.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).cast(kind).alias("component_id"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id, and all that have none; of rows with one id one stays."""
+    found = near_duplicates(docs, id_col, text_col)
+    dropped = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    kept = docs.join(F.broadcast(dropped) if dropped.count() <= SENT else dropped, id_col, "left_anti").select(*docs.columns)
+    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").take(1):
+        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    return kept
