@@ -160,9 +160,17 @@ def score(text: str | None, model: Model, pair) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """A model from labelled texts whose rows of ``docs`` meet ``learn_from``."""
-    known = docs.filter(learn_from).select(id_col, F.col(text_col).alias("text")).join(labels.select(id_col, F.col(label_col).alias("label")), id_col)
-    return learn(*([r["text"] for r in known.filter((F.col("label") == y) & (F.length("text") > 0)).orderBy(F.xxhash64(id_col), id_col, "text").limit(LEARN).select("text").collect()] for y in (1, 0)))
+    """A model from labelled texts whose rows of ``docs`` meet ``learn_from``.
+
+    Ids are chosen first; only the texts of those chosen are fetched.
+    """
+    known = docs.filter(learn_from & (F.length(text_col) > 0)).select(id_col).join(labels.select(id_col, F.col(label_col).alias("label")), id_col)
+    texts = []
+    for y in (1, 0):
+        ids = known.filter(F.col("label") == y).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(LEARN)
+        own = docs.filter(learn_from & (F.length(text_col) > 0)).select(F.xxhash64(id_col).alias("h"), id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col)
+        texts.append([r["text"] for r in sorted(own.select("h", "text").collect())[:LEARN]])
+    return learn(*texts)
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,3 +186,17 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.float64())], [id_col, "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose score is under SCORE_AT, with all their columns."""
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = told.value
+        pair = own.compressors() if own else None
+        for batch in batches:
+            keep = [not own or score(t, own, pair) < SCORE_AT for t in batch[text_col].to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
