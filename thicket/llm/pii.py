@@ -30,6 +30,8 @@ CHANCE = 0.8
 BITS = 5.0
 #: Terms of at most so many rows go to every task whole; else they are joined by shuffle.
 SENT = 500_000
+#: Spans of at most so many texts go to every task whole.
+MARKED = 100_000
 
 #: Stands for a separator inside a number or a name; what it was before becomes another unused character.
 _MARK, _OTHER = "\ue000", "\ue001"
@@ -192,5 +194,6 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         return F.struct(F.when(fits, -s["rest"]).otherwise(a["at"]).alias("at"), F.when(fits, grown).otherwise(a["out"]).alias("out"))
 
     clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == marks["_version"]), "left")
+    marks = cut(marks)
+    joined = docs.join(F.broadcast(marks) if marks.count() <= MARKED else marks, docs[id_col].eqNullSafe(marks["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == marks["_version"]), "left")
     return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*docs.columns)

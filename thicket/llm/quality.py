@@ -72,11 +72,11 @@ def _hash_at(i: Column) -> Column:
     return F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and what the rules go by."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The id (with ``carry`` the whole row, as a struct of the id's name) and what the rules go by."""
     n = F.size("words")
     places = F.sequence(F.lit(0), n - 3)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select((F.struct(*docs.columns) if carry else F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = texts.select("id", "text", F.array_remove(F.split(F.translate("text", SPACES, " " * len(SPACES)), " "), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(F.rtrim(F.translate(x, SPACES, " " * len(SPACES)))) > 0).alias("lines"))
     windows = F.when(n.between(3, 1 << PLACE), F.sort_array(F.transform(places, lambda i: F.shiftleft(_hash_at(i), PLACE).bitwiseOR(i.cast("long")))))
     long_windows = F.when(n > 1 << PLACE, F.sort_array(F.transform(places, lambda i: F.struct(_hash_at(i).alias("h"), i.cast("long").alias("i")))))
@@ -94,13 +94,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Measurements, and ``failed``: bit i is set if rule i fails."""
     bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return measure(docs, id_col, text_col).withColumn("failed", failed.cast("int"))
+    return measure(docs, id_col, text_col, carry).withColumn("failed", failed.cast("int"))
 
 
 def apply_policy(rows: DataFrame, version: int = CURRENT) -> DataFrame:
@@ -116,3 +116,10 @@ def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     each = own.select("bits", "n", rules.alias("r"))
     has, alone = F.col("bits").bitwiseAND(F.col("r.bit")) != 0, F.col("bits") == F.col("r.bit")
     return each.groupBy("r.rule").agg(F.sum(F.when(has, F.col("n")).otherwise(0)).alias("rejected"), F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("only"))
+
+
+def only_kept(docs: DataFrame, version: int = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that the policy keeps, with all their columns."""
+    rows = apply_policy(ledger(docs, id_col, text_col, carry=True), version)
+    # as an explode, not a filter: a filter would be evaluated below the measurements, with all of them written out again
+    return rows.select(F.explode(F.when(F.col("kept"), F.array(id_col)).otherwise(F.array().cast(f"array<{docs.schema.simpleString()}>"))).alias("row")).select("row.*")
