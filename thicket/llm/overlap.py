@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm.common import cut
@@ -45,7 +45,7 @@ TOLD = 1_000_000
 #: A block's part for one task of step 4.
 PART = 2_048
 #: So many of a document's smallest keys go with it, so that pairs meet once or little more.
-FIRSTS = 8
+FIRSTS = 4
 #: Ids of so many documents are sent to all tasks at most, else joined (8 bytes each).
 SENT = 1_000_000
 
@@ -56,36 +56,45 @@ def needed(a, b):
 
 
 def prefix_length(n: int) -> int:
+    """Of the larger set of a pair, so many first shingles hold a common one; any other is too far back."""
     return n - -(-NUM * n // DEN) + 1
 
 
-def _kind(n: int) -> str:
-    """The type of the counts of a set of n elements: no group can overflow it in practice below, none at all above."""
-    return "<u1" if n < 1 << 16 else "<u4"
+def index_length(n: int) -> int:
+    """The same for the smaller set, which must share more of its own."""
+    return n - -(-2 * NUM * n // (NUM + DEN)) + 1
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each group; larger sets have more groups, always a power of two."""
+    """How many shingles fall into each group, two groups to a byte; larger sets have more groups, always a power of two.
+
+    If some group has over fifteen, all have fifteen, and more only by folding:
+    the number of groups then says so, and nothing is ruled out.
+    """
     n = len(shingles)
-    groups = 1 << min(13, max(4, n.bit_length()))
+    groups = 1 << min(16, max(4, n.bit_length()))
     c = np.bincount((shingles & U(groups - 1)).astype(np.int64), minlength=groups)
-    if n < 1 << 16 and c.max(initial=0) > 255:
-        c = np.full(groups, 255)  # rules nothing out
-    return c.astype(_kind(n)).tobytes()
+    if c.max(initial=0) > 15:
+        return groups.bit_length().to_bytes(1, "little")
+    c = c.astype(np.uint8)
+    return (c[::2] | c[1::2] << 4).tobytes()
+
+
+def n_groups(raw: bytes) -> int:
+    return 1 << (raw[0] - 1) if len(raw) == 1 else 2 * len(raw)
 
 
 def counts(raw: bytes, n: int, groups: int | None = None) -> np.ndarray:
     """A point's counts, folded to so many groups."""
-    v = np.frombuffer(raw, _kind(n)).astype(np.int32)
+    if len(raw) == 1:
+        return np.full(groups or n_groups(raw), n, np.int32)
+    b = np.frombuffer(raw, np.uint8)
+    v = np.stack([b & 15, b >> 4], 1).ravel().astype(np.int32)
     while groups and len(v) > groups:
         v = v[: len(v) // 2] + v[len(v) // 2 :]
     return v
 
 
-def n_groups(raw: bytes, n: int) -> int:
-    return len(raw) // np.dtype(_kind(n)).itemsize
-
-
 class CountTree:
     """An R-tree over points: each node has its points' largest counts and their sizes' range."""
 
@@ -120,8 +129,8 @@ def _near(sizes: np.ndarray, v: np.ndarray, few: int = 24) -> Iterator[tuple[int
         for i in range(len(sizes)):
             yield i, tree.search(int(sizes[i]), v[i])
         return
-    small = v.astype(np.int16)
-    bound = np.stack([np.minimum(small, p).sum(1, dtype=np.int32) for p in small])
+    small = v.astype(np.int16) if v.max(initial=0) < 1 << 15 else v
+    bound = np.stack([np.minimum(small, p).sum(1, dtype=np.int64) for p in small])
     fits = (bound >= needed(sizes[:, None], sizes[None, :])) & (DEN * sizes[:, None] >= NUM * sizes[None, :]) & (DEN * sizes[None, :] >= NUM * sizes[:, None])
     for i in range(len(sizes)):
         yield i, np.flatnonzero(fits[i])
@@ -139,7 +148,7 @@ def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray
     if firsts[0, 0] < key and (firsts[:, 0] == firsts[0, 0]).all():
         return found
     one = (sides == sides[0]).all()
-    groups = np.array([n_groups(p, n) for p, n in zip(points, sizes.tolist(), strict=True)])
+    groups = np.array([n_groups(p) for p in points])
     for g in np.unique(groups).tolist():
         near = np.flatnonzero((groups == g) | (groups == 2 * g))
         if len(near) < 2 or (labels[near] == labels[near[0]]).all():
@@ -187,7 +196,7 @@ def _describe(docs: DataFrame) -> DataFrame:
 
 
 def _deal(docs: DataFrame, frequent) -> DataFrame:
-    """(key, lo, doc, n): a row for each prefix shingle of each set that is new to its task."""
+    """(key, probe, lo, doc, n): a row for each prefix shingle of each set that is new to its task; probe is 1 beyond the index prefix."""
 
     def run(batches):
         last = np.sort(frequent.value).view(U)
@@ -205,35 +214,38 @@ def _deal(docs: DataFrame, frequent) -> DataFrame:
                 rows.append((key[1], i, n, len(keys[-1])))
             if rows:
                 lo, doc, n, many = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(c, many)) for c in (lo, doc, n))], ["key", "lo", "doc", "n"])
+                probe = np.concatenate([np.arange(k) >= index_length(m) for k, m in zip(many.tolist(), n.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(probe.astype(np.int8)), *(pa.array(np.repeat(c, many)) for c in (lo, doc)), pa.array(np.repeat(n, many).astype(np.int32))], ["key", "probe", "lo", "doc", "n"])
 
-    return docs.mapInArrow(run, "key long, lo long, doc long, n long")
+    return docs.mapInArrow(run, "key long, probe byte, lo long, doc long, n int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and lo the first of each such pair, if other sets have the key too.
+    """Of rows sorted by key, probe and lo the first of each set, if other sets have the key too and one of them in its index prefix.
 
-    Only the last row of what came is held back, so any length of run will do.
+    A key's index rows come first, so its first row tells. Only the last row of
+    what came is held back, so any length of run will do.
     """
     names = ["key", "doc", "n"]
     state = None
     for batch in batches:
-        key, lo, doc, n = (batch[c].to_numpy() for c in ("key", "lo", "doc", "n"))
+        key, probe, lo, doc, n = (batch[c].to_numpy() for c in ("key", "probe", "lo", "doc", "n"))
         if not len(key):
             continue
-        before = np.zeros(len(key), bool)
+        before, useful = np.zeros(len(key), bool), probe == 0
         if state:
-            key, lo, doc, n, before = (np.r_[np.array([s], x.dtype), x] for s, x in zip(state, (key, lo, doc, n, before), strict=True))
+            key, lo, doc, n, before, useful = (np.r_[np.array([s], x.dtype), x] for s, x in zip(state, (key, lo, doc, n, before, useful), strict=True))
         new = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1])]
-        key, lo, doc, n, before = (x[new] for x in (key, lo, doc, n, before))
-        same = key[1:] == key[:-1]
-        before |= np.r_[False, same]
-        out = np.flatnonzero((before | np.r_[same, False])[:-1])
+        key, lo, doc, n, before, useful = (x[new] for x in (key, lo, doc, n, before, useful))
+        first = np.r_[True, key[1:] != key[:-1]]
+        useful = useful[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        before = np.where(first, before, True)
+        out = np.flatnonzero(((before | np.r_[~first[1:], False]) & useful)[:-1])
         if len(out):
             yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, doc, n)], names)
-        state = tuple(x[-1] for x in (key, lo, doc, n, before))
-    if state and state[-1]:
-        yield pa.RecordBatch.from_arrays([pa.array([int(state[i])], pa.int64()) for i in (0, 2, 3)], names)
+        state = tuple(x[-1] for x in (key, lo, doc, n, before, useful))
+    if state and state[4] and state[5]:
+        yield pa.RecordBatch.from_arrays([pa.array([int(state[0])], pa.int64()), pa.array([int(state[2])], pa.int64()), pa.array([int(state[3])], pa.int32())], names)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +293,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = zip(*(batch[c].to_pylist() for c in ("n_a", "n_b", "vec_a", "vec_b")), strict=True)
         keep = []
         for n, m, p, q in rows:
-            groups = min(n_groups(p, n), n_groups(q, m))
+            groups = min(n_groups(p), n_groups(q))
             keep.append(int(np.minimum(counts(p, n, groups), counts(q, m, groups)).sum()) >= needed(n, m))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -346,18 +358,18 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     told = totals.orderBy(F.desc("n"), "key").limit(TOLD).select("key").toPandas()["key"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(told)
     points = described.filter("kind = 0 and n > 0 and doc is not null").select("doc", "n", "vec")
-    rows = cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "lo", "doc").mapInArrow(_shared, "key long, doc long, n long"))
-    known = rows.groupBy("doc").agg((F.count("*") / F.max("n")).alias("known"))
-    leaders = rows.join(known, "doc").groupBy("key").agg(F.max(F.struct("known", (-F.col("doc")).alias("back"), "n")).alias("best")).select("key", (-F.col("best.back")).alias("leader"), F.col("best.n").alias("leader_n"))
-    led = rows.join(leaders, "key")
+    rows = cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "probe", "lo", "doc").mapInArrow(_shared, "key long, doc long, n int"))
+    by_key = Window.partitionBy("key")
+    known = rows.groupBy("doc").agg((F.count("*") / F.max("n")).cast("float").alias("known"))
+    best = F.max(F.struct("known", (-F.col("doc")).alias("back"), "n")).over(by_key)
+    led = rows.join(known, "doc").select("doc", "n", best.alias("best")).select("doc", "n", (-F.col("best.back")).alias("leader"), F.col("best.n").alias("leader_n"))
     fits = (F.least("n", "leader_n") * DEN >= F.greatest("n", "leader_n") * NUM) & (F.col("doc") != F.col("leader"))
     star = cut(led.filter(fits).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct())
     first = cut(_verify(star, docs, points))
-    labels = components(first)
-    labelled = rows.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
-    labelled = cut(labelled)
-    blocks = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).filter("m > 2 and least < most").select("key", "m")
-    in_open = labelled.join(blocks, "key")
+    labels = cut(components(first).withColumnRenamed("node", "doc"))
+    few = F.broadcast(labels) if labels.count() <= SENT // 2 else labels
+    labelled = rows.join(few, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
+    in_open = cut(labelled.select("*", F.count("*").over(by_key).alias("m"), F.min("label").over(by_key).alias("least"), F.max("label").over(by_key).alias("most")).filter("m > 2 and least < most").select("key", "doc", "n", "label", F.col("m").cast("int").alias("m")))
     firsts = in_open.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
     open_rows = in_open.join(points.select("doc", "vec").join(firsts, "doc"), "doc")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int")
