@@ -126,7 +126,7 @@ _add(
 _add(
     "event_violations",
     "ev",
-    f"SELECT event_id, concat_ws(',', CASE WHEN wall_ms > {LATE_MS} + 86400000 THEN 'future' END, CASE WHEN wall_ms < {LATE_MS} - 30 * 86400000 THEN 'stale' END) AS faults FROM ev WHERE wall_ms > {LATE_MS} + 86400000 OR wall_ms < {LATE_MS} - 30 * 86400000",
+    f"SELECT event_id, concat_ws(',', CASE WHEN wall_ms > {LATE_MS} + 86400000 THEN 'future' END, CASE WHEN wall_ms < {LATE_MS} - 2592000000 THEN 'stale' END) AS faults FROM ev WHERE wall_ms > {LATE_MS} + 86400000 OR wall_ms < {LATE_MS} - 2592000000",
 )(lambda e: events.violations(e, LATE_MS))
 _LWW = "SELECT *, row_number() OVER (PARTITION BY node_id, field_name ORDER BY lamport DESC, wall_ms DESC, machine, arrival) AS rk FROM ev WHERE op_type = 'update_field'"
 _add("lww_winners", "ev", f"SELECT node_id, field_name, event_id, value FROM ({_LWW}) x WHERE rk = 1")(events.lww_winners)
