@@ -27,7 +27,7 @@ SEEN = 5
 #: The chance of the entity, given the term, from which the term discloses it.
 CHANCE = 0.8
 #: The least information of a disclosing term on its entity, in bits.
-BITS = 5.0
+BITS = 4.0
 #: Terms of at most so many rows go to every task whole; else they are joined by shuffle.
 SENT = 500_000
 #: Spans of at most so many texts go to every task whole.
