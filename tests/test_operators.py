@@ -159,3 +159,35 @@ def test_inbox_and_stream(spark, tmp_path):
 def test_status_counts_have_all_seven(spark):
     found = dict(got(aggregates.status_counts(nodes(spark, ("P-1", "open", 0.0, 1.0))), "status", "n"))
     assert found == {**{s: 0 for s in ids.STATUSES}, "open": 1}
+
+
+def test_smaller_operators(spark):
+    from thicket.operators import more
+
+    d = spark.createDataFrame([('{"a": [1, {"b": "]]}"}]}',), ("1",), ('"[[["',), ("[[],[[]]]",)], "j string")
+    assert [r[0] for r in d.select(more.json_depth(F.col("j"))).collect()] == [3, 0, 0, 3]
+    n = nodes(spark, ("P-1", "open", 0.0, 1.0), ("P-1.1", "done", 1.0, 1.0), ("P-1.2", "invalidated", 0.0, 1.0))
+    assert got(more.node_progress(n), "id", "children", "invalidated") == [("P-1", 2, 1)]
+    assert [r.line for r in more.printed_tree(n).collect()][1].startswith("  P-1.1 [done]")
+    c = spark.createDataFrame([("e1", "M-1", 1, "a", 0), ("e2", "M-1", 2, "b", 0), ("e3", "M-1", 3, "b", 1), ("e4", "M-1", 4, "a", 1)], "event_id string, node_id string, arrival int, uid string, epoch int")
+    assert [o for _, o in got(more.registry_with_epochs(c), "event_id", "outcome")] == ["free", "renumber", "collision", "noop"]
+    u = spark.createDataFrame([("P-1.1", "x"), ("P-1.9", "y"), ("P-1.2", None)], "id string, title string")
+    assert dict(got(more.bulk_outcomes(u, n), "id", "outcome")) == {"P-1.1": "updated", "P-1.9": "not_found", "P-1.2": "nothing_given"}
+    e = more.emitted(spark.createDataFrame([("A B", "2", "P-1", "claim"), ("a-b", "1", "P-2", "claim"), ("Ünder", "1", "P-1", "claim")], "author string, at string, node_id string, op_type string"), 10)
+    assert got(e, "author", "node_id", "lamport") == [("a-b", "P-1", 12), ("a-b", "P-2", 11), ("cli", "P-1", 11)]
+
+
+def test_engine(spark):
+    from thicket.engine import Engine
+
+    n = nodes(spark, ("P-1", "open", 0.0, 1.0), ("P-1.1", "done", 1.0, 1.0), ("P-1.2", "open", 0.0, 1.0)).withColumns({"labels": F.array(F.lit("x")), "created_at": F.lit("2026-01-01").cast("timestamp"), "updated_at": F.lit("2026-01-01").cast("timestamp"), "defer_until": F.lit(None).cast("timestamp")})
+    e = spark.createDataFrame([("P-1.1", "P-1.2", "blocks")], "from_id string, to_id string, dep_type string")
+    own = Engine(n, e, n)
+    assert got(own.ancestors("P-1.1"), "ancestor_id") == [("P-1",), ("P-1.1",)]
+    assert got(own.siblings("P-1.1"), "sibling_id") == [("P-1.2",)]
+    assert got(own.search("title"), "id") == [("P-1",), ("P-1.1",), ("P-1.2",)]
+    assert own.context("P-1.2").first().prompt == "P-1 title P-1\nP-1.2 title P-1.2"
+    assert own.list(fields=["id"], labels=["x"], status=["done"]).collect()[0].id == "P-1.1"
+    assert own.blockers("P-1.2").count() == 0 and own.dependents("P-1.1").count() == 1
+    with pytest.raises(LookupError):
+        own.get("P-9")
