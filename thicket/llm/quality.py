@@ -123,3 +123,23 @@ def only_kept(docs: DataFrame, version: int = CURRENT, id_col: str = "doc_id", t
     rows = apply_policy(ledger(docs, id_col, text_col, carry=True), version)
     # as an explode, not a filter: a filter would be evaluated below the measurements, with all of them written out again
     return rows.select(F.explode(F.when(F.col("kept"), F.array(id_col)).otherwise(F.array().cast(f"array<{docs.schema.simpleString()}>"))).alias("row")).select("row.*")
+
+
+_WHITE = r"[\x20\x09-\x0D]"
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w) x),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) x WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) x GROUP BY r),
+m AS (
+  SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '{_WHITE}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
+    len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_distinct,
+    coalesce(c.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaims, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_capitals
+  FROM d JOIN w USING (r) LEFT JOIN covered c USING (r)),
+b AS (SELECT *, n_lines - n_distinct AS n_dup_lines FROM m),
+f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES)} AS failed FROM b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & {BASE} <> 0 AS base_failed, failed & {BASE | POLICIES[CURRENT]} = 0 AS kept, CAST(failed AS INT) AS failed FROM f
+"""

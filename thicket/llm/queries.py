@@ -89,6 +89,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from thicket.llm import chat, warc
+    from thicket.llm import chat, overlap, quality, warc
 
-    return {"op3_chat_collapse": chat.ORACLE, "op6_warc_derivatives": warc.ORACLE}
+    return {"op1_count_vector_join": overlap.ORACLE, "op3_chat_collapse": chat.ORACLE, "op4_quality_ledger": quality.ORACLE, "op6_warc_derivatives": warc.ORACLE}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 BITS = 64
 #: Rows of one range of ids, about.
 RANGE = 2_000
-RANGES = 4_096
+RANGES = 32_768
 
 
 def _lanes() -> list[Column]:
