@@ -196,7 +196,7 @@ def _describe(docs: DataFrame) -> DataFrame:
 
 
 def _deal(docs: DataFrame, frequent) -> DataFrame:
-    """(key, probe, lo, doc, n): a row for each prefix shingle of each set that is new to its task; probe is 1 beyond the index prefix."""
+    """(key, probe, lo, doc): a row for each prefix shingle of each set that is new to its task; probe is 1 beyond the index prefix."""
 
     def run(batches):
         last = np.sort(frequent.value).view(U)
@@ -215,9 +215,9 @@ def _deal(docs: DataFrame, frequent) -> DataFrame:
             if rows:
                 lo, doc, n, many = (np.array(c, np.int64) for c in zip(*rows, strict=True))
                 probe = np.concatenate([np.arange(k) >= index_length(m) for k, m in zip(many.tolist(), n.tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(probe.astype(np.int8)), *(pa.array(np.repeat(c, many)) for c in (lo, doc)), pa.array(np.repeat(n, many).astype(np.int32))], ["key", "probe", "lo", "doc", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(probe.astype(np.int8)), *(pa.array(np.repeat(c, many)) for c in (lo, doc))], ["key", "probe", "lo", "doc"])
 
-    return docs.mapInArrow(run, "key long, probe byte, lo long, doc long, n int")
+    return docs.mapInArrow(run, "key long, probe byte, lo long, doc long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,26 +226,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A key's index rows come first, so its first row tells. Only the last row of
     what came is held back, so any length of run will do.
     """
-    names = ["key", "doc", "n"]
+    names = ["key", "doc"]
     state = None
     for batch in batches:
-        key, probe, lo, doc, n = (batch[c].to_numpy() for c in ("key", "probe", "lo", "doc", "n"))
+        key, probe, lo, doc = (batch[c].to_numpy() for c in ("key", "probe", "lo", "doc"))
         if not len(key):
             continue
         before, useful = np.zeros(len(key), bool), probe == 0
         if state:
-            key, lo, doc, n, before, useful = (np.r_[np.array([s], x.dtype), x] for s, x in zip(state, (key, lo, doc, n, before, useful), strict=True))
+            key, lo, doc, before, useful = (np.r_[np.array([s], x.dtype), x] for s, x in zip(state, (key, lo, doc, before, useful), strict=True))
         new = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1])]
-        key, lo, doc, n, before, useful = (x[new] for x in (key, lo, doc, n, before, useful))
+        key, lo, doc, before, useful = (x[new] for x in (key, lo, doc, before, useful))
         first = np.r_[True, key[1:] != key[:-1]]
         useful = useful[np.flatnonzero(first)[np.cumsum(first) - 1]]
         before = np.where(first, before, True)
         out = np.flatnonzero(((before | np.r_[~first[1:], False]) & useful)[:-1])
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, doc, n)], names)
-        state = tuple(x[-1] for x in (key, lo, doc, n, before, useful))
-    if state and state[4] and state[5]:
-        yield pa.RecordBatch.from_arrays([pa.array([int(state[0])], pa.int64()), pa.array([int(state[2])], pa.int64()), pa.array([int(state[3])], pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, doc)], names)
+        state = tuple(x[-1] for x in (key, lo, doc, before, useful))
+    if state and state[3] and state[4]:
+        yield pa.RecordBatch.from_arrays([pa.array([int(state[i])], pa.int64()) for i in (0, 2)], names)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,20 +358,19 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     told = totals.orderBy(F.desc("n"), "key").limit(TOLD).select("key").toPandas()["key"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(told)
     points = described.filter("kind = 0 and n > 0 and doc is not null").select("doc", "n", "vec")
-    rows = cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "probe", "lo", "doc").mapInArrow(_shared, "key long, doc long, n int"))
+    rows = cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "probe", "lo", "doc").mapInArrow(_shared, "key long, doc long"))
     by_key = Window.partitionBy("key")
-    known = rows.groupBy("doc").agg((F.count("*") / F.max("n")).cast("float").alias("known"))
-    best = F.max(F.struct("known", (-F.col("doc")).alias("back"), "n")).over(by_key)
-    led = rows.join(known, "doc").select("doc", "n", best.alias("best")).select("doc", "n", (-F.col("best.back")).alias("leader"), F.col("best.n").alias("leader_n"))
-    fits = (F.least("n", "leader_n") * DEN >= F.greatest("n", "leader_n") * NUM) & (F.col("doc") != F.col("leader"))
-    star = cut(led.filter(fits).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct())
-    first = cut(_verify(star, docs, points))
-    labels = cut(components(first).withColumnRenamed("node", "doc"))
+    sizes = points.select("doc", "n")
+    known = cut(rows.groupBy("doc").agg(F.count("*").alias("shared")).join(sizes, "doc").select("doc", (F.col("shared") / F.col("n")).cast("float").alias("known")))
+    best = F.max(F.struct("known", (-F.col("doc")).alias("back"))).over(by_key)
+    led = rows.join(F.broadcast(known) if known.count() <= SENT // 2 else known, "doc").select("doc", (-best["back"]).alias("leader")).filter("doc <> leader")
+    star = cut(led.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct())
+    labels = cut(components(_verify(star, docs, points)).withColumnRenamed("node", "doc"))
     few = F.broadcast(labels) if labels.count() <= SENT // 2 else labels
-    labelled = rows.join(few, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
-    in_open = cut(labelled.select("*", F.count("*").over(by_key).alias("m"), F.min("label").over(by_key).alias("least"), F.max("label").over(by_key).alias("most")).filter("m > 2 and least < most").select("key", "doc", "n", "label", F.col("m").cast("int").alias("m")))
+    labelled = rows.join(few, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
+    in_open = cut(labelled.select("*", F.count("*").over(by_key).alias("m"), F.min("label").over(by_key).alias("least"), F.max("label").over(by_key).alias("most")).filter("m > 2 and least < most").select("key", "doc", "label", F.col("m").cast("int").alias("m")))
     firsts = in_open.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
-    open_rows = in_open.join(points.select("doc", "vec").join(firsts, "doc"), "doc")
+    open_rows = in_open.join(points.select("doc", "n", "vec").join(firsts, "doc"), "doc")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int")
     own = F.pmod(F.xxhash64("doc"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -379,7 +378,11 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))
     met = dealt.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "doc", "n", "label", "vec", "firsts").mapInArrow(_trees, "a long, b long").distinct()
     second = _verify(cut(met.join(star, ["a", "b"], "left_anti")), docs, points)
-    return first.union(second)
+    # a component and what links to it are one edge, however many of its documents do
+    between = second
+    for side in ("a", "b"):
+        between = between.join(few.select(F.col("doc").alias(side), F.col("component").alias(f"label_{side}")), side, "left").withColumn(side, F.coalesce(f"label_{side}", side)).select("a", "b")
+    return labels.select(F.col("component").alias("a"), F.col("doc").alias("b")).union(between.distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
