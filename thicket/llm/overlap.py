@@ -10,11 +10,14 @@ sum over groups of the smaller count, which rules most pairs out.
    blocks: with frequent shingles last and the rest by hash, two sets of the
    asked similarity must share one of their first n - ceil(t n) + 1 shingles.
    Which are called frequent only moves work, never the result.
-3. In every block the documents meet its leader first, the one most of whose
-   shingles others share: a text that others were made from. Bounds are tried,
-   then sets are compared; the links give components.
-4. Blocks in which several components are left get an R-tree each: documents of
-   different components whose points don't rule it out are compared too. So no
+3. In every block the documents meet a leader of about their size first, the one
+   most of whose shingles others share: a text that others were made from.
+   Bounds are tried, then sets are compared; the links give components.
+4. Blocks in which several components are left get an R-tree each of those
+   documents that another component has a similar size to: documents of
+   different components whose points don't rule it out are compared too. Each
+   tries its most promising partners first; a block with others left comes
+   again, with the components that these made, until none has any. So no
    link between components is missed, and nobody lists all pairs of a block.
    A block too large for one task is dealt to many as pairs of its parts.
 
@@ -25,6 +28,7 @@ are left out, so their names can't clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,12 @@ NUM, DEN = 75, 100
 FREQUENT = 16
 #: At most so many frequent shingles are told to all tasks (8 bytes each).
 TOLD = 1_000_000
+#: A point counts so many shingles in a group at most.
+MOST = 3
+#: Documents meet leaders of their own class of sizes and the next smaller one; classes are wider than similar sizes can differ.
+CLASS = 1.35
+#: So many partners, those of the highest bounds, a document tries first in a block; later rounds try MORE times as many, until all are tried.
+FEW, MORE = 4, 8
 #: A block's part for one task of step 4.
 PART = 2_048
 #: So many of a document's smallest keys go with it, so that pairs meet once or little more.
@@ -66,39 +76,41 @@ def index_length(n: int) -> int:
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each group, two groups to a byte; larger sets have more groups, always a power of two.
-
-    If some group has over fifteen, all have fifteen, and more only by folding:
-    the number of groups then says so, and nothing is ruled out.
-    """
-    n = len(shingles)
-    groups = 1 << min(16, max(4, n.bit_length()))
-    c = np.bincount((shingles & U(groups - 1)).astype(np.int64), minlength=groups)
-    if c.max(initial=0) > 15:
-        return groups.bit_length().to_bytes(1, "little")
-    c = c.astype(np.uint8)
-    return (c[::2] | c[1::2] << 4).tobytes()
+    """How many shingles fall into each group, up to MOST, four groups to a byte; larger sets have more groups, always a power of two."""
+    groups = 1 << min(15, max(4, len(shingles).bit_length() + 1))
+    c = np.bincount((shingles & U(groups - 1)).astype(np.int64), minlength=groups).clip(max=MOST).astype(np.uint8)
+    return (c[::4] | c[1::4] << 2 | c[2::4] << 4 | c[3::4] << 6).tobytes()
 
 
 def n_groups(raw: bytes) -> int:
-    return 1 << (raw[0] - 1) if len(raw) == 1 else 2 * len(raw)
+    return 4 * len(raw)
 
 
 def counts(raw: bytes, n: int, groups: int | None = None) -> np.ndarray:
-    """A point's counts, folded to so many groups."""
-    if len(raw) == 1:
-        return np.full(groups or n_groups(raw), n, np.int32)
+    """A point's counts, folded to so many groups, and how many of the set's ``n`` shingles they leave out.
+
+    Of two points in the same groups, the sum of the smaller counts, with what
+    both leave out as one more, bounds the overlap.
+    """
     b = np.frombuffer(raw, np.uint8)
-    v = np.stack([b & 15, b >> 4], 1).ravel().astype(np.int32)
+    v = np.stack([b >> s & 3 for s in (0, 2, 4, 6)], 1).ravel().astype(np.int32)
     while groups and len(v) > groups:
         v = v[: len(v) // 2] + v[len(v) // 2 :]
-    return v
+    v = v.clip(max=MOST)
+    return np.r_[v, np.int32(n - v.sum())]
+
+
+def _steps(points: np.ndarray) -> np.ndarray:
+    """Whether each count is at least 1, 2, ...: products of two such rows sum the smaller counts."""
+    return np.concatenate([points[:, :-1] >= k for k in range(1, MOST + 1)], 1).astype(np.float32)
 
 
 class CountTree:
     """An R-tree over points: each node has its points' largest counts and their sizes' range."""
 
     FAN = 16
+    #: About so many numbers of points are unfolded at a time.
+    CELLS = 1 << 22
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray):
         half = points.shape[1] // 2
@@ -111,60 +123,83 @@ class CountTree:
 
     def search(self, size: int, p: np.ndarray) -> np.ndarray:
         """Which points may overlap enough with ``p``, a set of ``size`` elements."""
+        return next(self.search_many(np.array([size]), p[None]))[0]
+
+    def search_many(self, sizes: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each asking point in turn which points may overlap enough with it, and the bounds; best if neighbours have similar sizes."""
+        rows = max(1, self.CELLS // (MOST * points.shape[1]))
+        for i in range(0, len(sizes), min(rows, 256)):
+            yield from self._descend(sizes[i : i + min(rows, 256), None], points[i : i + min(rows, 256)], rows)
+
+    def _descend(self, sizes: np.ndarray, points: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        asked = _steps(points)
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             low, high, top = (x[nodes] for x in self.levels[depth])
-            bound = np.minimum(top, p).sum(1)
-            nodes = nodes[(DEN * high >= NUM * size) & (NUM * low <= DEN * size) & (bound >= needed(size, np.maximum(low, -(-NUM * size // DEN))))]
+            bound = np.minimum(top[:, -1], points[:, -1:]).astype(np.float32)
+            for k in range(0, len(nodes), rows):
+                bound[:, k : k + rows] += asked @ _steps(top[k : k + rows]).T
+            fits = (DEN * high >= NUM * sizes) & (NUM * low <= DEN * sizes) & (bound >= needed(sizes, np.maximum(low, -(-NUM * sizes // DEN))))
             if depth:
+                nodes = nodes[fits.any(0)]
                 nodes = (nodes[:, None] * self.FAN + np.arange(self.FAN)).ravel()
                 nodes = nodes[nodes < len(self.levels[depth - 1][0])]
-        return self.order[nodes]
+        for i in range(len(sizes)):
+            yield self.order[nodes[fits[i]]], bound[i, fits[i]]
 
 
-def _near(sizes: np.ndarray, v: np.ndarray, few: int = 24) -> Iterator[tuple[int, np.ndarray]]:
-    """For each point those that its bound doesn't rule out: all at once for a few points, by a tree for many."""
+def _near(sizes: np.ndarray, v: np.ndarray, asks: np.ndarray, few: int = 24) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each point that asks those that its bound doesn't rule out, and their bounds: all at once for a few points, by a tree for many."""
     if len(sizes) > few:
-        tree = CountTree(sizes, v)
-        for i in range(len(sizes)):
-            yield i, tree.search(int(sizes[i]), v[i])
+        asks = asks[np.argsort(sizes[asks], kind="stable")]
+        for i, (others, bounds) in zip(asks.tolist(), CountTree(sizes, v).search_many(sizes[asks], v[asks]), strict=True):
+            yield i, others, bounds
         return
-    small = v.astype(np.int16) if v.max(initial=0) < 1 << 15 else v
-    bound = np.stack([np.minimum(small, p).sum(1, dtype=np.int64) for p in small])
-    fits = (bound >= needed(sizes[:, None], sizes[None, :])) & (DEN * sizes[:, None] >= NUM * sizes[None, :]) & (DEN * sizes[None, :] >= NUM * sizes[:, None])
-    for i in range(len(sizes)):
-        yield i, np.flatnonzero(fits[i])
+    for i in asks.tolist():
+        bound = np.minimum(v, v[i]).sum(1, dtype=np.int64)
+        fits = np.flatnonzero((bound >= needed(sizes, sizes[i])) & _sizes_fit(sizes, sizes[i]))
+        yield i, fits, bound[fits]
 
 
-def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes], sides: np.ndarray, firsts: np.ndarray) -> set[tuple[int, int]]:
+def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes], sides: np.ndarray, firsts: np.ndarray, few: int | None = None) -> tuple[set[tuple[int, int]], bool]:
     """Pairs of a block, with other labels, whose points allow the overlap; between both sides, or in one where there's only one.
 
+    With ``few`` a document gives its partners of the highest bounds, so many;
+    the second value says whether some are left. Every pair has an end outside
+    the block's largest label, so only such documents search.
+
     Sizes that may match differ by less than two to one, so their numbers of
     groups do by two to one at most: a turn for each number takes the points of
     that many and twice as many groups. ``firsts`` has each document's smallest
     keys: a pair with one of them in common, under this one, meets there.
     """
     found: set[tuple[int, int]] = set()
+    left = False
     if firsts[0, 0] < key and (firsts[:, 0] == firsts[0, 0]).all():
-        return found
+        return found, left
     one = (sides == sides[0]).all()
     groups = np.array([n_groups(p) for p in points])
+    names, many = np.unique(labels, return_counts=True)
+    asks = labels != names[many.argmax()]
     for g in np.unique(groups).tolist():
         near = np.flatnonzero((groups == g) | (groups == 2 * g))
         if len(near) < 2 or (labels[near] == labels[near[0]]).all():
             continue
         v = np.stack([counts(points[i], int(sizes[i]), g) for i in near])
-        for k, others in _near(sizes[near], v):
-            i = near[k]
-            if groups[i] != g or not len(others):
+        for k, others, bounds in _near(sizes[near], v, np.flatnonzero(asks[near])):
+            i, js = near[k], near[others]
+            fit = (labels[js] != labels[i]) & (ids[js] != ids[i]) & (one | (sides[js] != sides[i])) & ((groups[i] == g) | (groups[js] == g))
+            js, bounds = js[fit], bounds[fit]
+            if not len(js):
                 continue
-            js = near[others]
-            js = js[(labels[js] != labels[i]) & (ids[js] != ids[i]) & (one | (sides[js] != sides[i]))]
-            if len(js):
-                own = firsts[i][firsts[i] < key]
-                js = js[~(firsts[js][:, :, None] == own).any((1, 2))]
+            own = firsts[i][firsts[i] < key]
+            fit = ~(firsts[js][:, :, None] == own).any((1, 2))
+            js, bounds = js[fit], bounds[fit]
+            if few and len(js) > few:
+                js = js[np.argsort(-bounds, kind="stable")[:few]]
+                left = True
             found.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist())
-    return found
+    return found, left
 
 
 def _describe(docs: DataFrame) -> DataFrame:
@@ -248,8 +283,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(state[i])], pa.int64()) for i in (0, 2)], names)
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks, of rows sorted by key and part; a part of a block has a bounded number of rows."""
+def _trees(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks, of rows sorted by key and part; a part of a block has a bounded number of rows.
+
+    A key without a second value stands for a block with pairs left.
+    """
     held: list[pa.RecordBatch] = []
     told: set[tuple[int, int]] = set()
 
@@ -262,12 +300,17 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts[i, : len(f)] = f
         edges = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]), len(key)]
         fresh: set[tuple[int, int]] = set()
+        unfinished = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            fresh |= block_pairs(int(key[a]), ids[a:b], sizes[a:b], labels[a:b], points[a:b], side[a:b], firsts[a:b])
+            pairs, left = block_pairs(int(key[a]), ids[a:b], sizes[a:b], labels[a:b], points[a:b], side[a:b], firsts[a:b], few)
+            fresh |= pairs
+            if left:
+                unfinished.append((int(key[a]), None))
         fresh -= told
         if len(told) < 1_000_000:
             told.update(fresh)
-        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in fresh], pa.int64()) for i in (0, 1)], ["a", "b"])
+        rows = [*((int(i), int(j)) for i, j in fresh), *unfinished]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -351,6 +394,41 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(own.select("a", "a"))
 
 
+def _led(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each block's documents with a leader of their class of sizes, or of the class below.
+
+    A class's leader is its document most of whose prefix others share. Similar
+    sizes are of one class or of neighbours, so a block of two is done here.
+    """
+    level = F.floor(F.log(F.col("n")) / F.lit(math.log(CLASS))).cast("int")
+    roles = F.explode(F.array(F.struct(level.alias("level"), F.lit(True).alias("own")), F.struct((level - 1).alias("level"), F.lit(False).alias("own"))))
+    each = rows.select("key", "doc", "n", "known", roles.alias("r")).select("key", "doc", "n", "known", "r.*")
+    best = F.max(F.when(F.col("own"), F.struct("known", (-F.col("doc")).alias("back"), "n"))).over(Window.partitionBy("key", "level"))
+    met = each.select("doc", "n", best.alias("best")).filter((-F.col("best.back") != F.col("doc")) & _sizes_fit(F.col("n"), F.col("best.n")))
+    return met.select(F.least("doc", -F.col("best.back")).alias("a"), F.greatest("doc", -F.col("best.back")).alias("b")).distinct()
+
+
+def _sizes_fit(n, m):
+    return (NUM * n <= DEN * m) & (NUM * m <= DEN * n)
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """key, doc, label and m (the block's rows) of those with a document of another label and of similar size in the block.
+
+    In the order of sizes the nearest of another label stands just before, or
+    just after, a run of rows with one label.
+    """
+    block = Window.partitionBy("key")
+    up, down = block.orderBy("n", "doc"), block.orderBy(F.desc("n"), F.desc("doc"))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    sides = rows.select("*", F.count("*").over(block).alias("m"), F.min("label").over(block).alias("least"), F.max("label").over(block).alias("most"), F.lag(F.struct("label", "n")).over(up).alias("before"), F.lead(F.struct("label", "n")).over(up).alias("after"))
+    sides = sides.filter("m > 2 and least < most")
+    below = F.last(F.when(F.col("before.label") != F.col("label"), F.col("before.n")), True).over(up.rowsBetween(*so_far))
+    above = F.last(F.when(F.col("after.label") != F.col("label"), F.col("after.n")), True).over(down.rowsBetween(*so_far))
+    near = sides.select("key", "doc", "n", "label", F.col("m").cast("int").alias("m"), below.alias("below"), above.alias("above"))
+    return near.filter(f"{NUM} * n <= {DEN} * below or {NUM} * above <= {DEN} * n").select("key", "doc", "label", "m")
+
+
 def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar documents of different sets; docs has (doc, text)."""
     spark = docs.sparkSession
@@ -359,30 +437,41 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast(told)
     points = described.filter("kind = 0 and n > 0 and doc is not null").select("doc", "n", "vec")
     rows = cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "probe", "lo", "doc").mapInArrow(_shared, "key long, doc long"))
-    by_key = Window.partitionBy("key")
-    sizes = points.select("doc", "n")
-    known = cut(rows.groupBy("doc").agg(F.count("*").alias("shared")).join(sizes, "doc").select("doc", (F.col("shared") / F.col("n")).cast("float").alias("known")))
-    best = F.max(F.struct("known", (-F.col("doc")).alias("back"))).over(by_key)
-    led = rows.join(F.broadcast(known) if known.count() <= SENT // 2 else known, "doc").select("doc", (-best["back"]).alias("leader")).filter("doc <> leader")
-    star = cut(led.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct())
-    labels = cut(components(_verify(star, docs, points)).withColumnRenamed("node", "doc"))
-    few = F.broadcast(labels) if labels.count() <= SENT // 2 else labels
-    labelled = rows.join(few, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
-    in_open = cut(labelled.select("*", F.count("*").over(by_key).alias("m"), F.min("label").over(by_key).alias("least"), F.max("label").over(by_key).alias("most")).filter("m > 2 and least < most").select("key", "doc", "label", F.col("m").cast("int").alias("m")))
+    prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    known = cut(rows.groupBy("doc").agg(F.count("*").alias("shared")).join(points.select("doc", "n"), "doc").select("doc", F.col("n").cast("int").alias("n"), (F.col("shared") / prefix).cast("float").alias("known")))
+    few = known.count() <= SENT // 2
+    star = cut(_led(rows.join(F.broadcast(known) if few else known, "doc")))
+    tested, tries, linked = star, FEW, _verify(star, docs, points)
+    while True:
+        labels = cut(components(linked).withColumnRenamed("node", "doc"))
+        linked = labels.select(F.col("component").alias("a"), F.col("doc").alias("b"))
+        labelled = known.join(labels, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("label"))
+        in_open = cut(_open(rows.join(F.broadcast(labelled) if few else labelled, "doc")))
+        met = cut(_met(in_open, points, tries))
+        pairs = cut(met.filter("b is not null").distinct().join(tested, ["a", "b"], "left_anti"))
+        between = _verify(pairs, docs, points)
+        # a component and what links to it are one edge, however many of its documents do
+        for side in ("a", "b"):
+            between = between.join(labels.select(F.col("doc").alias(side), F.col("component").alias(f"label_{side}")), side, "left").withColumn(side, F.coalesce(f"label_{side}", side)).select("a", "b")
+        linked = cut(linked.union(between.distinct()))
+        left = cut(met.filter("b is null").select(F.col("a").alias("key")).distinct())
+        if not left.take(1):
+            return linked
+        tested, tries = cut(tested.union(pairs)), tries * MORE
+        rows = rows.join(F.broadcast(left) if left.count() <= SENT else left, "key", "left_semi")
+
+
+def _met(in_open: DataFrame, points: DataFrame, few: int) -> DataFrame:
+    """Pairs (a, b) of the open blocks' trees, and (key, null) for blocks with pairs left."""
     firsts = in_open.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
-    open_rows = in_open.join(points.select("doc", "n", "vec").join(firsts, "doc"), "doc")
+    open_rows = in_open.join(points.join(firsts, "doc"), "doc")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int")
     own = F.pmod(F.xxhash64("doc"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = open_rows.withColumns({"parts": parts, "side": own}).select("*", other.alias("other"))
     dealt = dealt.withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))
-    met = dealt.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "doc", "n", "label", "vec", "firsts").mapInArrow(_trees, "a long, b long").distinct()
-    second = _verify(cut(met.join(star, ["a", "b"], "left_anti")), docs, points)
-    # a component and what links to it are one edge, however many of its documents do
-    between = second
-    for side in ("a", "b"):
-        between = between.join(few.select(F.col("doc").alias(side), F.col("component").alias(f"label_{side}")), side, "left").withColumn(side, F.coalesce(f"label_{side}", side)).select("a", "b")
-    return labels.select(F.col("component").alias("a"), F.col("doc").alias("b")).union(between.distinct())
+    placed = dealt.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "doc", "n", "label", "vec", "firsts")
+    return placed.mapInArrow(lambda batches: _trees(batches, few), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
