@@ -334,6 +334,18 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.scored(table, None).collect()} == {0.0}
 
 
+def test_set_phrases_tell_and_copies_count_once():
+    import random
+
+    rnd = random.Random(3)
+    text = lambda *more: " ".join([*("".join(rnd.choice("bcdfgklm") for _ in range(5)) for _ in range(40)), *more])
+    copied = text("once").split()
+    copies = [" ".join([*copied[:k], f"e{k}", *copied[k + 1 :]]) for k in range(20)]
+    found = toxicity.tell_tale([text("go", "to", "hell") for _ in range(30)] + copies, [text("go", "to") for _ in range(60)])
+    assert "hell" in found and "once" not in found and "to" not in found
+    assert len(set(toxicity.text_classes(copies))) == 1
+
+
 def test_chat(spark):
     log = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes?"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes?"), (2, 2, "user", None), (3, 0, "user", "hi"), (4, 0, "user", "other"), (5, 0, "user", "other"), (5, 0, "user", "other"), (6, None, None, "x"), (None, 0, "user", "lost"), (7, 5, "user", "hi"), (7, 9, "assistant", "no")]
     frame = spark.createDataFrame([(*r, 1) for r in log], "conv_id bigint, turn bigint, role string, text string, place int")

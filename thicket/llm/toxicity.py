@@ -1,16 +1,16 @@
 """Toxicity by compression distance: which of two zstandard dictionaries suits a text's windows better.
 
-One dictionary is trained on ordinary text, one on toxic text. Each window of a
+One dictionary is trained on the commonest words of ordinary text; the other is
+the same one and, after it, the words that tell toxic texts. Each window of a
 few words is compressed with both; where the toxic dictionary saves bytes, the
 window holds what toxic texts have and ordinary ones don't. The savings of a
 text's windows give its score by a curve that is calibrated on labelled texts
 the dictionaries never saw, so that SCORE_AT is where precision and recall
-balance best.
+balance best. The README has the figures of two dictionaries trained apart.
 
-What a toxic text says a hundred times also stands in ordinary ones. So both
-trainings get the same ordinary words, and the toxic one besides the words
-whose beginnings occur in toxic texts, after many different words, much more
-than in ordinary ones (copies of one text count once that way).
+A word tells if its beginning occurs in many toxic texts, and much more often
+than in ordinary ones, whatever stands before it. Near copies of one text
+count once: those that share half of a sketch of their word runs.
 
 The fit takes at most LEARN labelled texts of each kind, chosen by a hash of
 their id. Every text is scored from its whole length. Null and empty texts, and
@@ -21,6 +21,7 @@ repeated rows give repeated rows, columns other than those named are left out.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ LEARN = 3_000
 WINDOW = 8
 #: A beginning must occur in so many toxic texts at least, and in one of so many.
 LEAST, ONE_OF = 6, 120
+#: Hashes by which near copies are told.
+SKETCH = 32
 DICTIONARY = 32_768
 SCORE_AT = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,23 +52,36 @@ def _beginnings(word: str) -> list[str]:
     return [word[:k] for k in (4, 5, 6) if len(word) > k] + [word + "$"]
 
 
+def text_classes(texts: list[str]) -> list[int]:
+    """For each text the first one that it is a near copy of, itself if there is none: half of the SKETCH least hashes of runs of four words are the same."""
+    holders: defaultdict[int, list[int]] = defaultdict(list)
+    found = []
+    for i, t in enumerate(texts):
+        words = _WORD.findall(t.lower())
+        own = sorted({zlib.crc32(" ".join(words[k : k + 4]).encode()) for k in range(max(1, len(words) - 3))})[:SKETCH]
+        shared = Counter(j for h in own for j in holders[h])
+        first = min((j for j, n in shared.items() if 2 * n >= len(own)), default=i)
+        if first == i:
+            for h in own:
+                holders[h].append(i)
+        found.append(first)
+    return found
+
+
 def tell_tale(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words of toxic texts whose beginning follows many different words there, and few in ordinary texts."""
-    seen = []
+    """Words of toxic texts whose beginning occurs in many classes of near copies there, and in few of ordinary texts."""
+    seen, sizes = [], []
     for texts in (toxic, ordinary):
-        before: defaultdict[str, set[str]] = defaultdict(set)
-        inside: Counter[str] = Counter()
-        for t in texts:
-            words = _WORD.findall(t.lower())
-            own = set()
-            for last, w in zip(["", *words], words, strict=False):
+        inside: defaultdict[str, set[int]] = defaultdict(set)
+        classes = text_classes(texts)
+        for t, c in zip(texts, classes, strict=True):
+            for w in set(_WORD.findall(t.lower())):
                 for key in _beginnings(w):
-                    before[key].add(last)
-                    own.add(key)
-            inside.update(own)
-        seen.append({k: min(n, len(before[k])) for k, n in inside.items()})
-    least = max(LEAST, len(toxic) // ONE_OF)
-    share = len(toxic) / max(1, len(ordinary))
+                    inside[key].add(c)
+        seen.append({k: len(v) for k, v in inside.items()})
+        sizes.append(len(set(classes)))
+    least = max(LEAST, sizes[0] // ONE_OF)
+    share = sizes[0] / max(1, sizes[1])
     keys = {k for k, n in seen[0].items() if n >= least and n >= 12 * share * (seen[1].get(k, 0) + 0.5)}
     found: Counter[str] = Counter()
     for t in toxic:
