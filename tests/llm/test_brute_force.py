@@ -287,6 +287,35 @@ def test_pii_telling_terms(spark):
     assert "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and "boss@" not in clean[0] and clean[200] == dict(rows)[200]
 
 
+def _signed(signature, lone):
+    import random
+
+    rnd = random.Random(12)
+    text = lambda: " ".join("".join(rnd.choice("bcdfgklm") for _ in range(5)) for _ in range(20))
+    return [(i, f"{text()} {signature}") for i in range(20)] + [(100, f"{text()} {lone} {text()}")] + [(200 + i, text()) for i in range(400)]
+
+
+@pytest.mark.parametrize("name", ["Smithson"])
+def test_pii_terms_of_a_constant_signature(spark, name):
+    """The same words around the address in otherwise different texts; short names, CJK and digits too."""
+    rows = _signed(f"Contact {name} Senior Manager at jsmith@x.org", name)
+    found = {r.doc_id: r.spans for r in pii.report(pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    at = dict(rows)[100].index(name)
+    assert found[100] == f"term:{at}:{at + len(name)}"
+    at = dict(rows)[0].index(name)
+    assert f"term:{at}:{at + len(name)}" in found[0].split(",") and not any(found[200 + i] for i in range(400))
+    at = dict(rows)[0].index("jsmith@")
+    assert f"term:{at}:{at + 6}" not in found[0].split(",")
+
+
+def test_pii_terms_count_copies_once(spark):
+    rows = _signed("", "")[20:]
+    copy = rows[1][1] + " Smithson at jsmith@x.org"
+    rows += [(900 + i, copy) for i in range(20)]
+    found = pii.report(pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+    assert not any("term:" in r.spans for r in found)
+
+
 def test_language_mixtures(spark):
     import random
 

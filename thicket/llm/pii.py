@@ -2,12 +2,12 @@
 
 ``base_spans`` finds e-mail addresses, IP addresses, card and phone numbers.
 ``telling_terms`` then looks over the whole corpus: an entity seen in enough
-different surroundings has terms that occur with it; the information that a
-term carries on the entity is log2(p(entity | term) / p(entity)). A term that
-names the entity with a chance of at least CHANCE, over enough surroundings,
-and is no common word, discloses it and gets spans of kind ``term``; redaction
-replaces each span by its kind. Surroundings, not texts, are counted, so copies
-and near copies of one text count once.
+documents has terms that occur with it; the information that a term carries on
+the entity is log2(p(entity | term) / p(entity)). A term that names the entity
+with a chance of at least CHANCE, over enough documents, and is no common word,
+discloses it and gets spans of kind ``term``; redaction replaces each span by
+its kind. A term is a run of four letters or more outside the base spans.
+Different texts are counted: exact copies count once, near copies each.
 
 Null texts count as empty ones. Null ids pass through; repeated rows give
 repeated rows; columns other than id and text are left out. Spans are counted
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from thicket.llm.common import cut
 
 KINDS = ["email", "ip", "card", "phone"]
-#: An entity, and a term with it, must be seen in so many different surroundings.
+#: An entity, and a term with it, must be seen in so many different documents.
 SEEN = 5
 #: The chance of the entity, given the term, from which the term discloses it.
 CHANCE = 0.8
@@ -35,7 +35,8 @@ MARKED = 100_000
 
 #: Stands for a separator inside a number or a name; what it was before becomes another unused character.
 _MARK, _OTHER = "\ue000", "\ue001"
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string,around:bigint>>"
+_WORD = r"\p{L}{4,}"
+_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def _marked(text: Column, before: str, separator: str, after: str) -> Column:
@@ -99,8 +100,8 @@ def _matches(marked: Column, pattern: str, kind: str) -> Column:
     )
 
 
-def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, version (a hash of the text) and spans, each with its value and a hash of what is before it."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, and an array of spans with their values for each kind."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.select("id", "text", *[F.when(has(F.col("text")), mark(F.col("text"))).alias(f"{kind}_text") for kind, (has, mark, _) in _PATTERNS.items()])
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
@@ -108,53 +109,76 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def told(s: Column) -> Column:
         value = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-        before = F.xxhash64(F.substring(F.col("text"), F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16))))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value.alias("value"), before.alias("around"))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value.alias("value"))
 
     kept = [F.filter(F.transform(F.col(kind), told), _held(kind)) for kind in KINDS]
-    return spans.select("id", F.xxhash64("text").alias("version"), *[F.when(F.size(kind) > 0, k).otherwise(F.array().cast(_SPAN)).alias(kind) for kind, k in zip(KINDS, kept, strict=True)])
+    return spans.select("id", "text", *[F.when(F.size(kind) > 0, k).otherwise(F.array().cast(_SPAN)).alias(kind) for kind, k in zip(KINDS, kept, strict=True)])
+
+
+def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, version (a hash of the text) and spans, each with its value."""
+    return _prepared(docs, id_col, text_col).select("id", F.xxhash64("text").alias("version"), *KINDS)
+
 
+def _blanked(prepared: DataFrame) -> DataFrame:
+    """With the column ``plain``: the text with blanks for base spans, all else in its place."""
+    text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    spans = F.sort_array(F.concat(*[F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for kind in KINDS]))
 
-def _terms(text: Column) -> Column:
-    """Words of four letters and more."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}"), 0)
+    def step(a: Column, s: Column) -> Column:
+        first, past = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
+        return F.struct(past.alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, first - a["at"]), F.repeat(F.lit(" "), past - first))).alias("out"))
 
+    blanked = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return prepared.withColumn("plain", F.when(F.greatest(*[F.size(kind) for kind in KINDS]) > 0, blanked).otherwise(text))
 
-def _in_surroundings(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term and a hash of the terms before and after it."""
-    listed = rows.select(*keys, _terms(F.col("text")).alias("w"))
-    each = F.explode(F.transform("w", lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.when(i > 0, F.get("w", i - 1)), F.get("w", i + 1)).alias("around"))))
-    return listed.select(*keys, each.alias("t")).select(*keys, "t.*")
+
+def _terms(plain: Column) -> Column:
+    """The different runs of letters or digits, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(_WORD), 0), F.lower))
+
+
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["kind"], F.regexp_replace(F.lower(s["value"]), r"[\s().-]", ""))))
 
 
 def telling_terms(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """term, entity, chance and bits of the terms that disclose an entity; None if no entity is seen often enough."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    every = spans.select("id", F.explode(F.concat(*KINDS)).alias("s")).select("id", F.xxhash64("s.kind", F.regexp_replace(F.lower("s.value"), r"[\s().-]", "")).alias("entity"), "s.around")
-    often = cut(every.groupBy("entity").agg(F.countDistinct("around").alias("seen")).filter(F.col("seen") >= SEEN))
-    if not often.take(1):
+    """term, entity, chance and bits of the terms that disclose an entity; None if no entity is seen often enough.
+
+    What can't reach CHANCE or BITS is left out before the whole corpus is
+    counted: entities in too many documents, and terms with too many documents
+    among those that have an entity.
+    """
+    total = spans.select(F.countDistinct("version").alias("n")).first()["n"]
+    every = spans.select("version", F.explode(_entities(F.concat(*KINDS))).alias("entity"))
+    often = cut(every.groupBy("entity").agg(F.countDistinct("version").alias("seen")).filter((F.col("seen") >= SEEN) & (F.col("seen") * 2**BITS <= total)))
+    n_often = often.count()
+    if not n_often:
         return None
-    holders = every.join(often, "entity").select("id", "entity").distinct()
-    with_entity = _in_surroundings(texts.join(holders, "id"), ["entity"])
-    both = with_entity.groupBy("entity", "term").agg(F.countDistinct("around").alias("together")).filter(F.col("together") >= SEEN)
-    both = cut(both)
-    asked = both.select("term").distinct()
-    few = asked.count() <= SENT
-    whole = _in_surroundings(texts, []).join(F.broadcast(asked) if few else asked, "term").groupBy("term").agg(F.countDistinct("around").alias("n"))
-    total = spans.select(F.countDistinct("id", "version").alias("n")).first()["n"]
-    likely = both.join(whole, "term").join(often, "entity").withColumn("chance", F.col("together") / F.col("n"))
+    known = F.broadcast(often) if n_often <= SENT else often
+    texts = _blanked(_prepared(docs, id_col, text_col)).select(F.xxhash64("text").alias("version"), _entities(F.concat(*KINDS)).alias("entities"), _terms(F.col("plain")).alias("terms"))
+    held = texts.filter(F.size("entities") > 0)
+    pairs = held.select("version", "terms", F.explode("entities").alias("entity")).join(known, "entity").select("entity", "version", F.explode("terms").alias("term"))
+    both = cut(pairs.groupBy("entity", "term").agg(F.countDistinct("version").alias("together")).filter(F.col("together") >= SEEN))
+
+    def counted(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        asked = asked.select("term").distinct()
+        return rows.select("version", F.explode("terms").alias("term")).join(F.broadcast(asked) if asked.count() <= SENT else asked, "term").groupBy("term").agg(F.countDistinct("version").alias("n"))
+
+    both = cut(both.join(counted(held, both), "term").filter(F.col("together") >= CHANCE * F.col("n")).drop("n"))
+    likely = both.join(counted(texts, both), "term").join(often, "entity").withColumn("chance", F.col("together") / F.col("n"))
     return likely.withColumn("bits", F.log2(F.col("chance") * total / F.col("seen"))).filter((F.col("chance") >= CHANCE) & (F.col("bits") >= BITS)).select("term", "entity", "chance", "bits")
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, version and the spans of disclosing terms, of texts that have any."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = cut(terms.select("term").distinct())
     asked = F.broadcast(names) if names.count() <= SENT else names
-    having = texts.select("id", F.xxhash64("text").alias("version"), "text", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(asked, "term")
-    own = having.groupBy("id", "version").agg(F.first("text").alias("text"), F.collect_set("term").alias("terms"))
-    words = own.select("id", "version", "terms", F.lower("text").alias("lowered"), _matches(F.lower("text"), r"\p{L}{4,}", "term").alias("all"))
-    kept = F.filter("all", lambda s: F.array_contains("terms", F.substring(F.col("lowered"), s["start"] + 1, s["end"] - s["start"])))
+    texts = _blanked(_prepared(docs, id_col, text_col)).select("id", F.xxhash64("text").alias("version"), "plain")
+    having = texts.select("id", "version", "plain", F.explode(_terms(F.col("plain"))).alias("term")).join(asked, "term")
+    own = having.groupBy("id", "version").agg(F.first("plain").alias("plain"), F.collect_set("term").alias("terms"))
+    words = own.select("id", "version", "terms", "plain", _matches(F.col("plain"), _WORD, "term").alias("all"))
+    kept = F.filter("all", lambda s: F.array_contains("terms", F.lower(F.substring(F.col("plain"), s["start"] + 1, s["end"] - s["start"]))))
     return words.select("id", "version", kept.alias("term"))
 
 
