@@ -295,7 +295,7 @@ def _signed(signature, lone):
     return [(i, f"{text()} {signature}") for i in range(20)] + [(100, f"{text()} {lone} {text()}")] + [(200 + i, text()) for i in range(400)]
 
 
-@pytest.mark.parametrize("name", ["Smithson"])
+@pytest.mark.parametrize("name", ["Smithson", "Kim", "金正", "jk77", "40817"])
 def test_pii_terms_of_a_constant_signature(spark, name):
     """The same words around the address in otherwise different texts; short names, CJK and digits too."""
     rows = _signed(f"Contact {name} Senior Manager at jsmith@x.org", name)

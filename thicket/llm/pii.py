@@ -6,7 +6,7 @@ documents has terms that occur with it; the information that a term carries on
 the entity is log2(p(entity | term) / p(entity)). A term that names the entity
 with a chance of at least CHANCE, over enough documents, and is no common word,
 discloses it and gets spans of kind ``term``; redaction replaces each span by
-its kind. A term is a run of four letters or more outside the base spans.
+its kind. A term is any run of letters or digits outside the base spans.
 Different texts are counted: exact copies count once, near copies each.
 
 Null texts count as empty ones. Null ids pass through; repeated rows give
@@ -35,7 +35,7 @@ MARKED = 100_000
 
 #: Stands for a separator inside a number or a name; what it was before becomes another unused character.
 _MARK, _OTHER = "\ue000", "\ue001"
-_WORD = r"\p{L}{4,}"
+_WORD = r"[\p{L}\p{N}]+"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
