@@ -120,8 +120,11 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _prepared(docs, id_col, text_col).select("id", F.xxhash64("text").alias("version"), *KINDS)
 
 
-def _blanked(prepared: DataFrame) -> DataFrame:
-    """With the column ``plain``: the text with blanks for base spans, all else in its place."""
+def _blanked(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, version, spans (null if there are none) and ``plain``: the text with blanks for base spans, all else in its place."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+    own = cut(spans.filter(F.greatest(*[F.size(kind) for kind in KINDS]) > 0).select("version", *KINDS).dropDuplicates(["version"]))
+    prepared = texts.join(F.broadcast(own) if own.count() <= MARKED else own, "version", "left")
     text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     spans = F.sort_array(F.concat(*[F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for kind in KINDS]))
 
@@ -130,7 +133,7 @@ def _blanked(prepared: DataFrame) -> DataFrame:
         return F.struct(past.alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, first - a["at"]), F.repeat(F.lit(" "), past - first))).alias("out"))
 
     blanked = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return prepared.withColumn("plain", F.when(F.greatest(*[F.size(kind) for kind in KINDS]) > 0, blanked).otherwise(text))
+    return prepared.withColumn("plain", F.when(F.col("email").isNotNull(), blanked).otherwise(text))
 
 
 def _terms(plain: Column) -> Column:
@@ -156,8 +159,8 @@ def telling_terms(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
     if not n_often:
         return None
     known = F.broadcast(often) if n_often <= SENT else often
-    texts = _blanked(_prepared(docs, id_col, text_col)).select(F.xxhash64("text").alias("version"), _entities(F.concat(*KINDS)).alias("entities"), _terms(F.col("plain")).alias("terms"))
-    held = texts.filter(F.size("entities") > 0)
+    texts = _blanked(docs, spans, id_col, text_col).select("version", _entities(F.concat(*KINDS)).alias("entities"), _terms(F.col("plain")).alias("terms"))
+    held = texts.filter(F.col("entities").isNotNull())
     pairs = held.select("version", "terms", F.explode("entities").alias("entity")).join(known, "entity").select("entity", "version", F.explode("terms").alias("term"))
     both = cut(pairs.groupBy("entity", "term").agg(F.countDistinct("version").alias("together")).filter(F.col("together") >= SEEN))
 
@@ -170,11 +173,11 @@ def telling_terms(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
     return likely.withColumn("bits", F.log2(F.col("chance") * total / F.col("seen"))).filter((F.col("chance") >= CHANCE) & (F.col("bits") >= BITS)).select("term", "entity", "chance", "bits")
 
 
-def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def term_spans(docs: DataFrame, spans: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, version and the spans of disclosing terms, of texts that have any."""
     names = cut(terms.select("term").distinct())
     asked = F.broadcast(names) if names.count() <= SENT else names
-    texts = _blanked(_prepared(docs, id_col, text_col)).select("id", F.xxhash64("text").alias("version"), "plain")
+    texts = _blanked(docs, spans, id_col, text_col).select("id", "version", "plain")
     having = texts.select("id", "version", "plain", F.explode(_terms(F.col("plain"))).alias("term")).join(asked, "term")
     own = having.groupBy("id", "version").agg(F.first("plain").alias("plain"), F.collect_set("term").alias("terms"))
     words = own.select("id", "version", "terms", "plain", _matches(F.col("plain"), _WORD, "term").alias("all"))
@@ -193,7 +196,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     if terms is None:
         return spans.withColumn("term", none)
-    added = term_spans(docs, terms, id_col, text_col).withColumnsRenamed({"id": "i", "version": "v", "term": "found"})
+    added = term_spans(docs, spans, terms, id_col, text_col).withColumnsRenamed({"id": "i", "version": "v", "term": "found"})
     joined = spans.join(added, spans["id"].eqNullSafe(added["i"]) & (spans["version"] == added["v"]), "left")
     return joined.select(*spans.columns, F.coalesce("found", none).alias("term"))
 
