@@ -1,21 +1,22 @@
 """Toxicity by compression distance: which of two zstandard dictionaries suits a text's windows better.
 
-One dictionary is trained on the commonest words of ordinary text; the other is
-the same one and, after it, the words that tell toxic texts. Each window of a
-few words is compressed with both; where the toxic dictionary saves bytes, the
-window holds what toxic texts have and ordinary ones don't. The savings of a
-text's windows give its score by a curve that is calibrated on labelled texts
-the dictionaries never saw, so that SCORE_AT is where precision and recall
-balance best. The README has the figures of two dictionaries trained apart.
-
-A word tells if its beginning occurs in many toxic texts, and much more often
-than in ordinary ones, whatever stands before it. Near copies of one text
-count once: those that share half of a sketch of their word runs.
-
-The fit takes at most LEARN labelled texts of each kind, chosen by a hash of
-their id. Every text is scored from its whole length. Null and empty texts, and
-all texts if one kind has no labelled text, get score 0. Null ids pass through,
-repeated rows give repeated rows, columns other than those named are left out.
+Two dictionaries are trained apart by zstandard's own trainer: one on the
+windows of ordinary texts, the other on toxic texts. A toxic text is mostly
+ordinary, so the toxic dictionary's samples are those of its words that tell:
+whose beginning occurs in many toxic texts, and much more often than in
+ordinary ones, whatever stands before it. Near copies of one text count once:
+those that share half of a sketch of their word runs.
+
+Each window of two words is compressed with both dictionaries; the toxic one's
+saving in bytes is the window's distance. The distances of a text's windows
+give its score by a curve that is calibrated on labelled texts the dictionaries
+never saw, so that SCORE_AT is where precision and recall balance best.
+
+The fit takes at most LEARN labelled ids of each kind, one text of at most
+LONGEST characters of each, chosen by a hash of the id. Every text is scored
+from its whole length. Null and empty texts, and all texts if one kind has no
+labelled text, get score 0. Null ids pass through, repeated rows give repeated
+rows, columns other than those named are left out.
 """
 
 from __future__ import annotations
@@ -23,28 +24,33 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEARN = 3_000
-WINDOW = 8
+LONGEST = 20_000
+#: Words of a sample of ordinary text.
+SAMPLE = 8
 #: A beginning must occur in so many toxic texts at least, and in one of so many.
 LEAST, ONE_OF = 6, 120
 #: Hashes by which near copies are told.
 SKETCH = 32
-DICTIONARY = 32_768
+#: Bytes of the dictionaries at most, and of the trainer's segments: an ordinary one is a run of words, a toxic one holds several words that tell.
+ORDINARY, TOXIC = (131_072, 32), (32_768, 96)
 SCORE_AT = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def windows(text: str) -> list[bytes]:
     words = _WORD.findall(text.lower())
-    return [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)]
+    return [f" {a} {b} ".encode() for a, b in zip_longest(words[::2], words[1::2], fillvalue="")]
 
 
 def _beginnings(word: str) -> list[str]:
@@ -68,39 +74,39 @@ def text_classes(texts: list[str]) -> list[int]:
     return found
 
 
-def tell_tale(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words of toxic texts whose beginning occurs in many classes of near copies there, and in few of ordinary texts."""
-    seen, sizes = [], []
-    for texts in (toxic, ordinary):
-        inside: defaultdict[str, set[int]] = defaultdict(set)
-        classes = text_classes(texts)
-        for t, c in zip(texts, classes, strict=True):
-            for w in set(_WORD.findall(t.lower())):
-                for key in _beginnings(w):
+def _classes_with(texts: list[str], classes: list[int], keys) -> Counter[str]:
+    """In how many classes of texts each word beginning occurs, of those in ``keys`` (all if that's None)."""
+    inside: defaultdict[str, set[int]] = defaultdict(set)
+    for t, c in zip(texts, classes, strict=True):
+        for w in set(_WORD.findall(t.lower())):
+            for key in _beginnings(w):
+                if keys is None or key in keys:
                     inside[key].add(c)
-        seen.append({k: len(v) for k, v in inside.items()})
-        sizes.append(len(set(classes)))
-    least = max(LEAST, sizes[0] // ONE_OF)
-    share = sizes[0] / max(1, sizes[1])
-    keys = {k for k, n in seen[0].items() if n >= least and n >= 12 * share * (seen[1].get(k, 0) + 0.5)}
-    found: Counter[str] = Counter()
-    for t in toxic:
-        for w in _WORD.findall(t.lower()):
-            if not keys.isdisjoint(_beginnings(w)):
-                found[w] += 1
-    return [w for w, _ in sorted(found.items(), key=lambda x: (x[1], x[0]))]
+    return Counter({k: len(v) for k, v in inside.items()})
+
+
+def tell_tale(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Words of toxic texts whose beginning occurs in many classes of near copies there, and in few of ordinary texts."""
+    bad, good = text_classes(toxic), text_classes(ordinary)
+    least = max(LEAST, len(set(bad)) // ONE_OF)
+    often = {k: n for k, n in _classes_with(toxic, bad, None).items() if n >= least}
+    usual = _classes_with(ordinary, good, often)
+    share = len(set(bad)) / max(1, len(set(good)))
+    keys = {k for k, n in often.items() if n >= 12 * share * (usual[k] + 0.5)}
+    return {w for t in toxic for w in _WORD.findall(t.lower()) if not keys.isdisjoint(_beginnings(w))}
 
 
-def _samples(words: list[str]) -> list[bytes]:
-    return [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)]
+def _samples(text: str, n: int) -> list[bytes]:
+    words = _WORD.findall(text.lower())
+    return [f" {' '.join(words[i : i + n])} ".encode() for i in range(0, len(words), n)]
 
 
-def _train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
+def _train(samples: list[bytes], size: int, segment: int) -> bytes:
     """A dictionary trained on the samples; the samples themselves where they are too few."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, d=6, k=segment).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 @dataclass
@@ -150,12 +156,10 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
-    common: Counter[str] = Counter()
-    for t in ordinary:
-        common.update(_WORD.findall(t.lower()))
-    base = [w for w, n in sorted(common.items(), key=lambda x: (x[1], x[0]))][-DICTIONARY // 8 :]
-    usual = _train(_samples(base))
-    return Model(usual, usual + b"".join(_samples(tell_tale(toxic, ordinary)))[-DICTIONARY:], np.zeros(6))
+    telling = tell_tale(toxic, ordinary)
+    told = [w for t in toxic for w in _samples(t, 1) if w[1:-1].decode() in telling]
+    usual = [w for t in ordinary for w in _samples(t, SAMPLE)]
+    return Model(_train(usual, *ORDINARY), _train(told, *TOXIC), np.zeros(6))
 
 
 def learn(toxic: list[str], ordinary: list[str]) -> Model | None:
@@ -176,43 +180,39 @@ def score(text: str | None, model: Model, pair) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """A model from labelled texts whose rows of ``docs`` meet ``learn_from``.
+    """A model from labelled texts whose rows of ``docs`` meet ``learn_from``; of rows with one id one text counts.
 
-    Ids are chosen first; only the texts of those chosen are fetched.
+    Ids are chosen first; only the texts of those chosen are fetched, each once.
     """
-    known = docs.filter(learn_from & (F.length(text_col) > 0)).select(id_col).join(labels.select(id_col, F.col(label_col).alias("label")), id_col)
+    usable = docs.filter(learn_from & F.length(text_col).between(1, LONGEST)).select(id_col, F.col(text_col).alias("text"))
+    known = usable.select(id_col).join(labels.select(id_col, F.col(label_col).alias("label")), id_col)
     texts = []
     for y in (1, 0):
         ids = known.filter(F.col("label") == y).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(LEARN)
-        own = docs.filter(learn_from & (F.length(text_col) > 0)).select(F.xxhash64(id_col).alias("h"), id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col)
-        texts.append([r["text"] for r in sorted(own.select("h", "text").collect())[:LEARN]])
+        own = usable.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("text").alias("text"))
+        texts.append([r["text"] for r in own.orderBy(F.xxhash64(id_col), id_col).collect()])
     return learn(*texts)
 
 
-def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and score of every row."""
+def _scores(docs: DataFrame, model: Model | None, text_col: str) -> Column:
+    """The score as a column; only the texts go to Python."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = told.value
         pair = own.compressors() if own else None
-        for batch in batches:
-            found = [score(t, own, pair) if own else 0.0 for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.float64())], [id_col, "score"])
+        for texts in batches:
+            yield pd.Series([score(t, own, pair) if own else 0.0 for t in texts], dtype="float64")
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, score double")
+    return run(text_col)
 
 
-def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows whose score is under SCORE_AT, with all their columns."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and score of every row."""
+    return docs.select(F.col(id_col), _scores(docs, model, text_col).alias("score"))
 
-    def run(batches):
-        own = told.value
-        pair = own.compressors() if own else None
-        for batch in batches:
-            keep = [not own or score(t, own, pair) < SCORE_AT for t in batch[text_col].to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose score is under SCORE_AT, with all their columns."""
+    return docs.filter(_scores(docs, model, text_col) < SCORE_AT)
