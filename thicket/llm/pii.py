@@ -1,17 +1,20 @@
 """Personal data: exact patterns, and terms that give an entity away by how they occur with it.
 
 ``base_spans`` finds e-mail addresses, IP addresses, card and phone numbers.
-``telling_terms`` then looks over the whole corpus: an entity seen in enough
-documents has terms that occur with it; the information that a term carries on
-the entity is log2(p(entity | term) / p(entity)). A term that names the entity
-with a chance of at least CHANCE, over enough documents, and is no common word,
-discloses it and gets spans of kind ``term``; redaction replaces each span by
-its kind. A term is any run of letters or digits outside the base spans.
-Different texts are counted: exact copies count once, near copies each.
+``telling_terms`` then looks over the whole corpus. Protected are single
+entities and what several of them share: the domain of addresses, the network
+of IP addresses, the issuer of cards, the area of phone numbers. The
+information that a term carries on one of them is log2(p(entity | term) /
+p(entity)). A term that names it with a chance of at least CHANCE, over enough
+documents, and is no common word, discloses it and gets spans of kind ``term``;
+redaction replaces each span by its kind. A term is any run of letters or
+digits outside the base spans, in lower case; its spans count in the text as it
+is. Different texts are counted: exact copies count once, near copies each.
 
 Null texts count as empty ones. Null ids pass through; repeated rows give
-repeated rows; columns other than id and text are left out. Spans are counted
-in code points, their end is exclusive.
+repeated rows; columns other than id and text are left out by ``find`` and
+kept by ``redact``, whatever their names. Spans are counted in code points,
+their end is exclusive.
 """
 
 from __future__ import annotations
@@ -36,7 +39,10 @@ MARKED = 100_000
 #: Stands for a separator inside a number or a name; what it was before becomes another unused character.
 _MARK, _OTHER = "\ue000", "\ue001"
 _WORD = r"[\p{L}\p{N}]+"
+_PLACES = "array<struct<kind:string,start:int,end:int>>"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: Matches of one text whose places are listed at a time.
+BLOCK = 256
 
 
 def _marked(text: Column, before: str, separator: str, after: str) -> Column:
@@ -82,29 +88,39 @@ def _held(kind: str):
     return lambda s: _holds(kind, s["value"])
 
 
+def _runs(steps: Column, at: Column, kind: str) -> Column:
+    """Where the matches of some steps, from ``at`` on, start and end; and where the last one ends."""
+    start = F.struct(at.alias("at"), F.array().cast(_PLACES).alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        first, past = a["at"] + s["g"], a["at"] + s["g"] + s["h"]
+        return F.struct(past.alias("at"), F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), first.alias("start"), past.alias("end")))).alias("out"))
+
+    return F.aggregate(steps, start, step)
+
+
 def _matches(marked: Column, pattern: str, kind: str) -> Column:
-    """kind, start, end of all matches: the lengths of what is between them and of themselves, run on."""
+    """kind, start, end of all matches: the lengths of what is between them and of themselves, run on.
+
+    Lists grow by blocks of matches, so a text with very many isn't copied once for each.
+    """
     hits = F.regexp_extract_all(marked, F.lit(pattern), 0)
     gaps = F.split(marked, pattern, -1)
     steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    span = "array<struct<kind:string,start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-    return F.aggregate(
-        steps,
-        start,
-        lambda a, s: F.struct(
-            (a["at"] + s["g"] + s["h"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), (a["at"] + s["g"]).alias("start"), (a["at"] + s["g"] + s["h"]).alias("end")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    blocks = F.transform(F.array(steps), lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACES}>").alias("out"))
+
+    def step(a: Column, block: Column) -> Column:
+        return F.get(F.transform(F.array(_runs(block, a["at"], kind)), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out"))), F.lit(0))
+
+    return F.aggregate(F.get(blocks, F.lit(0)), start, step, lambda a: F.flatten(a["out"]))
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, and an array of spans with their values for each kind."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.select("id", "text", *[F.when(has(F.col("text")), mark(F.col("text"))).alias(f"{kind}_text") for kind, (has, mark, _) in _PATTERNS.items()])
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    none = F.array().cast(_PLACES)
     spans = found.select("id", "text", *[F.when(F.col(f"{kind}_text").rlike(pattern), _matches(F.col(f"{kind}_text"), pattern, kind)).otherwise(none).alias(kind) for kind, (_, _, pattern) in _PATTERNS.items()])
 
     def told(s: Column) -> Column:
@@ -142,34 +158,45 @@ def _terms(plain: Column) -> Column:
 
 
 def _entities(spans: Column) -> Column:
-    return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["kind"], F.regexp_replace(F.lower(s["value"]), r"[\s().-]", ""))))
+    """Hashes of what a text's spans name: each entity, and the group it belongs to."""
+
+    def named(s: Column) -> Column:
+        value = F.regexp_replace(F.lower(s["value"]), r"[\s().-]", "")
+        digits = _digits(s["value"])
+        group = F.when(s["kind"] == "email", F.substring_index(F.lower(s["value"]), "@", -1)).when(s["kind"] == "ip", F.substring_index(s["value"], ".", 2)).otherwise(F.substring(digits, 1, 6))
+        return F.array(F.xxhash64(s["kind"], value), F.xxhash64(s["kind"], F.lit("group"), group))
+
+    return F.array_distinct(F.flatten(F.transform(spans, named)))
 
 
 def telling_terms(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """term, entity, chance and bits of the terms that disclose an entity; None if no entity is seen often enough.
+    """term, entity (that it discloses best), chance and bits; None if no entity is seen often enough.
 
     What can't reach CHANCE or BITS is left out before the whole corpus is
-    counted: entities in too many documents, and terms with too many documents
-    among those that have an entity.
+    counted: entities in too many documents (no chance over CHANCE then carries
+    BITS), and terms with too many documents among those that have an entity.
+    A document's own row stands beside those of its entities, so one count by
+    term and entity, and one by term over it, need no join.
     """
     total = spans.select(F.countDistinct("version").alias("n")).first()["n"]
     every = spans.select("version", F.explode(_entities(F.concat(*KINDS))).alias("entity"))
-    often = cut(every.groupBy("entity").agg(F.countDistinct("version").alias("seen")).filter((F.col("seen") >= SEEN) & (F.col("seen") * 2**BITS <= total)))
+    often = cut(every.groupBy("entity").agg(F.countDistinct("version").alias("seen")).filter((F.col("seen") >= SEEN) & (F.col("seen") * 2**BITS <= CHANCE * total)))
     n_often = often.count()
     if not n_often:
         return None
     known = F.broadcast(often) if n_often <= SENT else often
-    texts = _blanked(docs, spans, id_col, text_col).select("version", _entities(F.concat(*KINDS)).alias("entities"), _terms(F.col("plain")).alias("terms"))
-    held = texts.filter(F.col("entities").isNotNull())
-    pairs = held.select("version", "terms", F.explode("entities").alias("entity")).join(known, "entity").select("entity", "version", F.explode("terms").alias("term"))
-    both = cut(pairs.groupBy("entity", "term").agg(F.countDistinct("version").alias("together")).filter(F.col("together") >= SEEN))
-
-    def counted(rows: DataFrame, asked: DataFrame) -> DataFrame:
-        asked = asked.select("term").distinct()
-        return rows.select("version", F.explode("terms").alias("term")).join(F.broadcast(asked) if asked.count() <= SENT else asked, "term").groupBy("term").agg(F.countDistinct("version").alias("n"))
-
-    both = cut(both.join(counted(held, both), "term").filter(F.col("together") >= CHANCE * F.col("n")).drop("n"))
-    likely = both.join(counted(texts, both), "term").join(often, "entity").withColumn("chance", F.col("together") / F.col("n"))
+    texts = _blanked(docs, spans, id_col, text_col)
+    held = texts.filter(F.col("email").isNotNull()).dropDuplicates(["version"]).select(_entities(F.concat(*KINDS)).alias("entities"), _terms(F.col("plain")).alias("terms"))
+    told = held.withColumn("doc", F.monotonically_increasing_id()).select("doc", "terms", F.explode("entities").alias("entity")).join(known, "entity").select("terms", "entity")
+    rows = held.select("terms", F.lit(None).cast("long").alias("entity")).unionByName(told)
+    pairs = rows.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("n"))
+    alone = F.sum(F.when(F.col("entity").isNull(), F.col("n")))
+    best = F.max(F.when(F.col("entity").isNotNull(), F.struct(F.col("n").alias("together"), "entity")))
+    likely = pairs.groupBy("term").agg(alone.alias("held"), best.alias("best")).select("term", "held", "best.*")
+    both = cut(likely.filter((F.col("together") >= SEEN) & (F.col("together") >= CHANCE * F.col("held"))))
+    few = F.broadcast(both) if both.count() <= SENT else both
+    counted = texts.select("version", F.explode(_terms(F.col("plain"))).alias("term")).join(few.select("term"), "term").groupBy("term").agg(F.countDistinct("version").alias("n"))
+    likely = counted.join(few, "term").join(known, "entity").withColumn("chance", F.col("together") / F.col("n"))
     return likely.withColumn("bits", F.log2(F.col("chance") * total / F.col("seen"))).filter((F.col("chance") >= CHANCE) & (F.col("bits") >= BITS)).select("term", "entity", "chance", "bits")
 
 
@@ -193,7 +220,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """id, version, and an array of spans for each kind and for ``term``."""
     spans = cut(base_spans(docs, id_col, text_col))
     terms = telling_terms(docs, spans, id_col, text_col)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    none = F.array().cast(_PLACES)
     if terms is None:
         return spans.withColumn("term", none)
     added = term_spans(docs, spans, terms, id_col, text_col).withColumnsRenamed({"id": "i", "version": "v", "term": "found"})
@@ -202,25 +229,28 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of each kind, a digest of the base spans, and all spans as text."""
+    """Counts of each kind, a digest of the base spans, all spans as text, and how many terms and spans there are."""
     base = F.concat_ws(",", *[F.when(F.size(kind) > 0, _listed(F.col(kind))) for kind in KINDS])
-    return found.select(F.col("id").alias(id_col), *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS], F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.when(base != "", base), F.when(F.size("term") > 0, _listed(F.col("term")))).alias("spans"))
+    spans = F.concat_ws(",", F.when(base != "", base), F.when(F.size("term") > 0, _listed(F.col("term"))))
+    every = sum((F.size(kind) for kind in KINDS), F.size("term"))
+    return found.select(F.col("id").alias(id_col), *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.size("term").cast("long").alias("n_term"), every.cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with spans replaced by their kind in brackets; where spans overlap, the first and longest counts."""
     plain = "array<struct<start:int,rest:int,kind:string>>"
     ordered = F.sort_array(F.concat(*[F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("rest"), s["kind"].alias("kind"))).cast(plain) for kind in [*KINDS, "term"]]))
-    marks = found.select(F.col("id").alias("_id"), F.col("version").alias("_version"), ordered.alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_id", "_version"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(text_col)
+    marks = cut(found.select("id", "version", ordered.alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["id", "version"]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc")[text_col]
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         fits = s["start"] >= a["at"]
-        grown = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        grown = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
         return F.struct(F.when(fits, -s["rest"]).otherwise(a["at"]).alias("at"), F.when(fits, grown).otherwise(a["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    marks = cut(marks)
-    joined = docs.join(F.broadcast(marks) if marks.count() <= MARKED else marks, docs[id_col].eqNullSafe(marks["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == marks["_version"]), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    same = F.col("doc")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("version"))
+    joined = rows.join(F.broadcast(marks) if marks.count() <= MARKED else marks, same, "left")
+    return joined.select(*[F.when(F.col("spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
