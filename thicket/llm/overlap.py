@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.common import cut
@@ -56,6 +56,10 @@ FEW, MORE = 4, 8
 PART = 2_048
 #: So many of a document's smallest keys go with it, so that pairs meet once or little more.
 FIRSTS = 4
+#: Numbers that a block's points take in memory at most; larger blocks fold theirs to fewer groups, whose bound is weaker but holds.
+POINTS = 1 << 26
+#: Shingles, digests and pairs that a task keeps to spare later work; beyond that it forgets them, which changes no result.
+KEPT, DIGESTS, PAIRS = 1 << 22, 1 << 19, 1 << 17
 #: Ids of so many documents are sent to all tasks at most, else joined (8 bytes each).
 SENT = 1_000_000
 
@@ -93,11 +97,10 @@ def counts(raw: bytes, n: int, groups: int | None = None) -> np.ndarray:
     both leave out as one more, bounds the overlap.
     """
     b = np.frombuffer(raw, np.uint8)
-    v = np.stack([b >> s & 3 for s in (0, 2, 4, 6)], 1).ravel().astype(np.int32)
-    while groups and len(v) > groups:
-        v = v[: len(v) // 2] + v[len(v) // 2 :]
-    v = v.clip(max=MOST)
-    return np.r_[v, np.int32(n - v.sum())]
+    v = np.stack([b >> s & 3 for s in (0, 2, 4, 6)], 1).ravel()
+    if groups and len(v) > groups:
+        v = v.reshape(-1, groups).sum(0, dtype=np.int64).clip(max=MOST)
+    return np.r_[v.astype(np.int32), np.int32(n - v.sum(dtype=np.int64))]
 
 
 def _steps(points: np.ndarray) -> np.ndarray:
@@ -185,7 +188,10 @@ def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray
         near = np.flatnonzero((groups == g) | (groups == 2 * g))
         if len(near) < 2 or (labels[near] == labels[near[0]]).all():
             continue
-        v = np.stack([counts(points[i], int(sizes[i]), g) for i in near])
+        fewer = g
+        while fewer > 16 and len(near) * fewer > POINTS // 4:
+            fewer //= 2
+        v = np.stack([counts(points[i], int(sizes[i]), fewer) for i in near])
         for k, others, bounds in _near(sizes[near], v, np.flatnonzero(asks[near])):
             i, js = near[k], near[others]
             fit = (labels[js] != labels[i]) & (ids[js] != ids[i]) & (one | (sides[js] != sides[i])) & ((groups[i] == g) | (groups[js] == g))
@@ -209,6 +215,7 @@ def _describe(docs: DataFrame) -> DataFrame:
     def run(batches):
         seen: set[tuple[int, int]] = set()
         kept: list[np.ndarray] = []
+        held = 0
         for ids, texts in batches_of(batches, "doc", "text"):
             rows = []
             for i, s in zip(ids, shingle_sets(texts), strict=True):
@@ -216,15 +223,23 @@ def _describe(docs: DataFrame) -> DataFrame:
                 rows.append((0, i, len(s), *key, point(s), None))
                 if key not in seen:
                     seen.add(key)
-                    kept.append(s[: np.searchsorted(s, most)])
+                    kept.append(s[: np.searchsorted(s, most)].copy())
+                    held += len(kept[-1])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-        if kept:
-            keys, n = np.unique(np.concatenate(kept), return_counts=True)
-            keys, n = keys[n > 1].view(np.int64), n[n > 1]
-            for i in range(0, len(keys), 100_000):
-                k, m = keys[i : i + 100_000], n[i : i + 100_000]
-                none = [pa.nulls(len(k), t) for t in (pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), none[0], pa.array(m.astype(np.int64)), pa.array(k), none[0], none[1], none[0]], names)
+            if held > KEPT:
+                yield from several(kept)
+                kept, held = [], 0
+            if len(seen) > DIGESTS:
+                seen.clear()
+        yield from several(kept)
+
+    def several(kept):
+        keys, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, U), np.zeros(0, np.int64))
+        keys, n = keys[n > 1].view(np.int64), n[n > 1]
+        for i in range(0, len(keys), 100_000):
+            k, m = keys[i : i + 100_000], n[i : i + 100_000]
+            none = [pa.nulls(len(k), t) for t in (pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), none[0], pa.array(m.astype(np.int64)), pa.array(k), none[0], none[1], none[0]], names)
 
     names, types = ["kind", "doc", "n", "hi", "lo", "vec", "pad"], [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64()]
     return docs.mapInArrow(run, "kind int, doc long, n long, hi long, lo long, vec binary, pad long").drop("pad")
@@ -249,6 +264,8 @@ def _deal(docs: DataFrame, frequent) -> DataFrame:
                 rows.append((key[1], i, n, len(keys[-1])))
             if rows:
                 lo, doc, n, many = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+                if len(seen) > DIGESTS:
+                    seen.clear()
                 probe = np.concatenate([np.arange(k) >= index_length(m) for k, m in zip(many.tolist(), n.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(probe.astype(np.int8)), *(pa.array(np.repeat(c, many)) for c in (lo, doc))], ["key", "probe", "lo", "doc"])
 
@@ -307,7 +324,7 @@ def _trees(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordBat
             if left:
                 unfinished.append((int(key[a]), None))
         fresh -= told
-        if len(told) < 1_000_000:
+        if len(told) < PAIRS:
             told.update(fresh)
         rows = [*((int(i), int(j)) for i, j in fresh), *unfinished]
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -344,8 +361,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets overlap enough."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
             keep = []
             for p, q in zip(part["set_a"].to_pylist(), part["set_b"].to_pylist(), strict=True):
                 p, q = np.frombuffer(p, U), np.frombuffer(q, U)
@@ -394,18 +411,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(own.select("a", "a"))
 
 
+def _level(n) -> Column:
+    """A set's class of sizes; similar sizes are of one class or of neighbours."""
+    return F.floor(F.log(n) / F.lit(math.log(CLASS))).cast("int")
+
+
 def _led(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of each block's documents with a leader of their class of sizes, or of the class below.
 
-    A class's leader is its document most of whose prefix others share. Similar
-    sizes are of one class or of neighbours, so a block of two is done here.
+    A class's leader is its document most of whose prefix others share, so a
+    block of two is done here. Leaders are found by partial maxima: a key that
+    a third of all documents share meets in no single task.
     """
-    level = F.floor(F.log(F.col("n")) / F.lit(math.log(CLASS))).cast("int")
-    roles = F.explode(F.array(F.struct(level.alias("level"), F.lit(True).alias("own")), F.struct((level - 1).alias("level"), F.lit(False).alias("own"))))
-    each = rows.select("key", "doc", "n", "known", roles.alias("r")).select("key", "doc", "n", "known", "r.*")
-    best = F.max(F.when(F.col("own"), F.struct("known", (-F.col("doc")).alias("back"), "n"))).over(Window.partitionBy("key", "level"))
-    met = each.select("doc", "n", best.alias("best")).filter((-F.col("best.back") != F.col("doc")) & _sizes_fit(F.col("n"), F.col("best.n")))
-    return met.select(F.least("doc", -F.col("best.back")).alias("a"), F.greatest("doc", -F.col("best.back")).alias("b")).distinct()
+    own = rows.withColumn("level", _level(F.col("n")))
+    best = own.groupBy("key", "level").agg(F.max(F.struct("known", (-F.col("doc")).alias("back"), "n")).alias("best"))
+    leaders = best.select("key", "level", (-F.col("best.back")).alias("leader"), F.col("best.n").alias("size"))
+    asks = own.select("key", "doc", "n", F.explode(F.array(F.col("level"), F.col("level") - 1)).alias("level"))
+    met = asks.join(leaders, ["key", "level"]).filter((F.col("leader") != F.col("doc")) & _sizes_fit(F.col("n"), F.col("size")))
+    return met.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
 
 
 def _sizes_fit(n, m):
@@ -413,20 +436,17 @@ def _sizes_fit(n, m):
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """key, doc, label and m (the block's rows) of those with a document of another label and of similar size in the block.
+    """key, doc, label and m (the block's rows) of those with a document of another label in their or a neighbouring class of sizes.
 
-    In the order of sizes the nearest of another label stands just before, or
-    just after, a run of rows with one label.
+    Counted by partial aggregates of each block's classes, whose number has a
+    bound, so a block of any size is dealt to many tasks.
     """
-    block = Window.partitionBy("key")
-    up, down = block.orderBy("n", "doc"), block.orderBy(F.desc("n"), F.desc("doc"))
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    sides = rows.select("*", F.count("*").over(block).alias("m"), F.min("label").over(block).alias("least"), F.max("label").over(block).alias("most"), F.lag(F.struct("label", "n")).over(up).alias("before"), F.lead(F.struct("label", "n")).over(up).alias("after"))
-    sides = sides.filter("m > 2 and least < most")
-    below = F.last(F.when(F.col("before.label") != F.col("label"), F.col("before.n")), True).over(up.rowsBetween(*so_far))
-    above = F.last(F.when(F.col("after.label") != F.col("label"), F.col("after.n")), True).over(down.rowsBetween(*so_far))
-    near = sides.select("key", "doc", "n", "label", F.col("m").cast("int").alias("m"), below.alias("below"), above.alias("above"))
-    return near.filter(f"{NUM} * n <= {DEN} * below or {NUM} * above <= {DEN} * n").select("key", "doc", "label", "m")
+    own = rows.withColumn("level", _level(F.col("n")))
+    classes = own.groupBy("key", "level").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("many"))
+    block = classes.groupBy("key").agg(F.sum("many").cast("int").alias("m"), F.min("least").alias("first"), F.max("most").alias("last"), F.collect_list(F.struct("level", "least", "most", "low", "high")).alias("classes")).filter("m > 2 and first < last").select("key", "m", "classes")
+    met = own.join(block, "key").select("key", "doc", "n", "label", "level", "m", "classes")
+    other = F.exists("classes", lambda c: (F.abs(c["level"] - F.col("level")) <= 1) & ((c["least"] != F.col("label")) | (c["most"] != F.col("label"))) & (NUM * c["low"] <= DEN * F.col("n")) & (NUM * F.col("n") <= DEN * c["high"]))
+    return met.filter(other).select("key", "doc", "label", "m")
 
 
 def links(docs: DataFrame, described: DataFrame) -> DataFrame:
