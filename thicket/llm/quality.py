@@ -38,8 +38,6 @@ POLICIES = {
     2: BASE | BIT["symbols"] | BIT["exclamations"] | BIT["shouting"] | BIT["repeated_lines"] | BIT["word_length"],
 }
 CURRENT = 2
-#: Bits of a packed window that hold its place; longer texts keep them apart.
-PLACE = 21
 
 
 def _without(text: str, characters: str) -> Column:
@@ -49,23 +47,23 @@ def _without(text: str, characters: str) -> Column:
 def _repeat_words(words: str) -> Column:
     """Words inside 3-word windows that the text has twice or more.
 
-    The windows' hashes are sorted with their places; equal neighbours repeat.
-    Their places in order then say how many words they cover. A hash and a
-    place share one number, of 43 and 21 bits, if the text is short enough.
+    The windows' 64-bit hashes are sorted with their places; neighbours of one
+    hash and the same three words repeat. (Two windows that repeat could be
+    missed only if a third, different one had the same 64 bits.) Their places
+    in order then say how many words they cover.
     """
-    n = F.size(words)
 
-    def covered(windows: Column, key, place) -> Column:
-        def again(x, i):
-            return (key(x) == key(F.get(windows, i + 1))) | ((i > 0) & (key(x) == key(F.get(windows, i - 1))))
+    def same(a: Column, b: Column) -> Column:
+        alike = [F.get(words, a["i"] + k) == F.get(words, b["i"] + k) for k in range(3)]
+        return (a["h"] == b["h"]) & alike[0] & alike[1] & alike[2]
 
-        places = F.sort_array(F.transform(F.filter(windows, lambda x, i: F.coalesce(again(x, i), F.lit(False))), place))
-        start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-        return F.aggregate(places, start, lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n")), lambda a: a["n"])
+    def again(x, i):
+        return same(x, F.get("windows", i + 1)) | ((i > 0) & same(x, F.get("windows", F.greatest(i - 1, F.lit(0)))))
 
-    packed = covered(F.col("windows"), lambda x: F.shiftrightunsigned(x, PLACE), lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)))
-    apart = covered(F.col("long_windows"), lambda x: x["h"], lambda x: x["i"])
-    return F.when(n < 3, F.lit(0).cast("long")).when(n <= 1 << PLACE, packed).otherwise(apart)
+    places = F.sort_array(F.transform(F.filter("windows", lambda x, i: F.coalesce(again(x, i), F.lit(False))), lambda x: x["i"]))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate(places, start, lambda a, p: F.struct((p.cast("long") + 3).alias("end"), (a["n"] + p + 3 - F.greatest(a["end"], p.cast("long"))).alias("n")), lambda a: a["n"])
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(covered)
 
 
 def _hash_at(i: Column) -> Column:
@@ -78,9 +76,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     places = F.sequence(F.lit(0), n - 3)
     texts = docs.select((F.struct(*docs.columns) if carry else F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = texts.select("id", "text", F.array_remove(F.split(F.translate("text", SPACES, " " * len(SPACES)), " "), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(F.rtrim(F.translate(x, SPACES, " " * len(SPACES)))) > 0).alias("lines"))
-    windows = F.when(n.between(3, 1 << PLACE), F.sort_array(F.transform(places, lambda i: F.shiftleft(_hash_at(i), PLACE).bitwiseOR(i.cast("long")))))
-    long_windows = F.when(n > 1 << PLACE, F.sort_array(F.transform(places, lambda i: F.struct(_hash_at(i).alias("h"), i.cast("long").alias("i")))))
-    found = parts.select("*", windows.alias("windows"), long_windows.alias("long_windows"))
+    windows = F.when(n >= 3, F.sort_array(F.transform(places, lambda i: F.struct(_hash_at(i).alias("h"), i.alias("i")))))
+    found = parts.select("*", windows.alias("windows"))
     return found.select(
         F.col("id").alias(id_col),
         n.cast("long").alias("n_words"),
