@@ -5,9 +5,9 @@ likelihoods. For a text, expectation-maximisation estimates the proportions of
 the languages; a language stays in the set only if the likelihood it adds
 outweighs a penalty that grows with the logarithm of the text's length.
 
-Fitted on at most PER_LANGUAGE labelled texts of each language (all, where
-there are fewer), chosen by a hash of their id; every text is predicted from
-its whole length. A text that is null, empty or without a letter is ``und``
+Fitted on a share of each language's labelled texts, chosen by a hash of their
+id, that makes PER_LANGUAGE of them on average (all, where there are fewer);
+every text is predicted from its whole length. A text that is null, empty or without a letter (of Unicode's categories L*) is ``und``
 with score 0, as is any text if nothing could be learned. Ties go to the
 language first by name. Null ids pass through; repeated rows give repeated
 rows; columns other than those named are left out.
@@ -15,8 +15,6 @@ rows; columns other than those named are left out.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,13 +26,17 @@ TURNS = 12
 #: What a language must add to the logarithm of the likelihood, times half the
 #: logarithm of the n-grams' number; overlapping n-grams say most things thrice.
 PENALTY = 6.0
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.arange(256, dtype=np.uint32)
 _KEEP[:65] = 32
 _KEEP[91:97] = 32
 _KEEP[123:128] = 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's letter categories; superscripts, fractions and Roman numerals are not."""
+    return any(map(str.isalpha, text))
+
+
 def gram_counts(text: str) -> np.ndarray:
     """How often each bucket's trigrams occur; ASCII that is no letter counts as space."""
     b = _KEEP[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
@@ -113,7 +115,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         for batch in batches:
             names, scores, shares = [], [], []
             for text in batch["text"].to_pylist():
-                if not langs or not text or not _LETTER.search(text):
+                if not langs or not text or not has_letter(text):
                     names.append("und")
                     scores.append(0.0)
                     shares.append([])
