@@ -69,6 +69,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints within three bits of those of every fiftieth id, by the block tables."""
+    from thicket.llm.simhash import search
+
+    return search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.quality import ablation, ledger
+
+    return ablation(ledger(table(spark, sf_dir, "documents")))
+
+
 def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.pii import find, report
 
@@ -85,10 +98,10 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "simhash_", "quality_")) and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     from thicket.llm import chat, overlap, quality, warc
 
-    return {"op1_count_vector_join": overlap.ORACLE, "op3_chat_collapse": chat.ORACLE, "op4_quality_ledger": quality.ORACLE, "op6_warc_derivatives": warc.ORACLE}
+    return {"op1_count_vector_join": overlap.ORACLE, "op3_chat_collapse": chat.ORACLE, "op4_quality_ledger": quality.ORACLE, "op6_warc_derivatives": warc.ORACLE, "quality_ablation": quality.ABLATION}

@@ -5,7 +5,7 @@ length up to eight characters, on the 64 bits of its hash; a bit is set if more
 than half of the weight says so. Votes are summed two bits to a long, so Spark
 sums 32 numbers for each text while words stream by.
 
-``near_pairs`` finds all pairs of fingerprints within a Hamming radius: the 64
+``near`` finds all fingerprints within a Hamming radius of those asked: the 64
 bits are cut into blocks, twice as many as bits may differ, and for every choice
 of blocks that must then be equal there is a table keyed by them.
 
@@ -21,6 +21,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.llm.common import cut
+
 BITS = 64
 #: Rows of one range of ids, about.
 RANGE = 2_000
@@ -72,13 +74,15 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = rows.count()
     parts = 1 << min(max(1, -(-n // RANGE)), RANGES).bit_length()
-    bounds = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    above = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
+    # a bounded sample chooses the bounds; any bounds give the same result
+    chosen = rows.filter("id is not null").select("id").filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // (32 * parts)))) == 0).groupBy("id").count()
+    cuts = chosen.select("id", F.ntile(parts).over(Window.orderBy("id")).alias("t")).groupBy("t").agg(F.max("id").alias("id")).orderBy("id")
+    bounds = [r["id"] for r in cuts.select("id").distinct().orderBy("id").collect()][:-1]
     steps = F.lit(0)
     if bounds:
         # how many bounds are at most the id, by halving; null ids below all
-        size = len(set(bounds))
-        told = above
+        size = len(bounds)
+        told = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{rows.schema['id'].dataType.simpleString()}>")
         jumps = F.array(*[F.lit(1 << k) for k in range(size.bit_length() - 1, -1, -1)])
         steps = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when((at + jump <= size) & (F.get(told, at + jump - 1) <= F.col("id")), at + jump).otherwise(at))
     dealt = rows.withColumn("range", steps)
@@ -110,22 +114,44 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return after.select(F.col("id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), written("own").alias("fingerprint"), written("edited").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"), likeness("own", "next").alias("near_next"))
 
 
-def near_pairs(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """Pairs (a, b, distance) of different fingerprints, a < b, at most ``radius`` bits apart; ``prints`` has a column ``bits``.
-
-    Equal fingerprints count once. Of ``blocks`` blocks at most ``radius`` hold
-    a difference, so some choice of the others is equal: a table for each.
-    """
-    blocks = blocks or 2 * radius
+def _tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """bits, t, key: each fingerprint in each of the permuted tables, keyed by the blocks that must be equal."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    own = prints.select("bits").filter("bits is not null").distinct()
 
     def signed(m: int) -> int:
         return m - (1 << 64) if m >> 63 else m
 
     tables = [F.struct(F.lit(k).alias("t"), F.col("bits").bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen)))).alias("key")) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    keyed = own.select("bits", F.explode(F.array(*tables)).alias("k")).select("bits", "k.t", "k.key")
-    other = keyed.withColumnRenamed("bits", "b")
-    met = keyed.withColumnRenamed("bits", "a").join(other, ["t", "key"]).filter("a < b")
-    return met.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    own = prints.select("bits").filter("bits is not null").distinct()
+    return own.select("bits", F.explode(F.array(*tables)).alias("k")).select("bits", "k.t", "k.key")
+
+
+def near(asked: DataFrame, prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """(a, b, distance): for each fingerprint asked all different ones at most ``radius`` bits apart; both tables have a column ``bits``.
+
+    Equal fingerprints count once. Of ``blocks`` blocks at most ``radius`` hold
+    a difference, so some choice of the others is equal: a table for each. A
+    pair counts in the first table where it meets.
+    """
+    blocks = blocks or max(1, 2 * radius)
+    one, other = (_tables(rows, radius, blocks).withColumnRenamed("bits", name) for rows, name in ((asked, "a"), (prints, "b")))
+    met = one.join(other, ["t", "key"]).filter("a <> b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    return met.filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+
+
+def near_pairs(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """Pairs (a, b, distance) of different fingerprints, a < b, at most ``radius`` bits apart."""
+    return near(prints, prints, radius, blocks).filter("a < b")
+
+
+def search(docs: DataFrame, asked, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row that ``asked`` holds for, every fingerprint of the table within the radius, its own too: id, fingerprint, near, distance, n_docs."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+    texts = rows.groupBy("version").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    prints = cut(fingerprints(texts, ["version", "n"]))
+    queries = docs.filter(asked).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version")).join(prints, "version").select("id", "bits")
+    counts = prints.groupBy("bits").agg(F.sum("n").alias("n_docs"))
+    own = queries.select(F.col("bits").alias("a"), F.col("bits").alias("b"), F.lit(0).alias("distance")).distinct()
+    found = near(queries, prints, radius).unionByName(own).join(counts, F.col("b") == F.col("bits")).drop("bits")
+    return queries.join(found, F.col("bits") == F.col("a")).select(F.col("id").alias(id_col), written("a").alias("fingerprint"), written("b").alias("near"), F.col("distance").cast("int").alias("distance"), "n_docs")
