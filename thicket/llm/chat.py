@@ -5,7 +5,7 @@ stands for all of it. A conversation is dropped if its last hash is an earlier
 turn's hash of a longer one: it's a snapshot of it. Of equal conversations the
 one with the smallest id stays. What stays is rendered as one text.
 
-Turns are ordered by number (nulls first), then by a digest of role and text;
+Turns are ordered by number (nulls first), then by a digest of role (with its length) and text;
 repeated rows count once. Null roles and texts count as empty. Rows without a
 conversation id belong to none and are left out, as are other columns.
 """
@@ -20,7 +20,7 @@ _HASH = ["h0", "h1", "h2", "h3"]
 
 def turns(log: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     rows = log.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.filter("conv_id is not null").withColumn("digest", F.md5(F.concat_ws("\n", "role", "text")))
+    return rows.filter("conv_id is not null").withColumn("digest", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def format_chats(log: DataFrame, **columns: str) -> DataFrame:
 ORACLE = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS d
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
   SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
