@@ -27,7 +27,8 @@ LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: A word and the space before it, if an ASCII character that is no letter (or
 #: nothing) follows; else everything up to the next white space; white space.
 CHUNK = re.compile(f"[ \\n]?[{LETTERS}]+(?=[\\x00-@\\[-`{{-\\x7f]|\\Z)|[ \\n]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-CACHED = 400_000
+#: A worker's cache holds so many chunks, and so many characters of them, at most.
+CACHED, CHARACTERS = 400_000, 8_000_000
 
 
 def byte_to_char() -> list[str]:
@@ -71,6 +72,7 @@ class Codec:
         for token, i in tokenizer.get_vocab().items():
             self.table[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.cache: dict[str, object] = {}
+        self.held = 0
 
     def ids_of(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -79,9 +81,11 @@ class Codec:
         """For each text its chunks' cached values; value(ids) makes one."""
         cut = [CHUNK.findall(t) for t in texts]
         cache = self.cache
-        if len(cache) > CACHED:
+        if len(cache) > CACHED or self.held > CHARACTERS:
             cache.clear()
+            self.held = 0
         new = list({c for chunks in cut for c in chunks if c not in cache})
+        self.held += sum(map(len, new))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             cache.update(zip(part, map(value, self.ids_of(part)), strict=True))

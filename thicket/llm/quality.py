@@ -140,3 +140,6 @@ f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & {BASE} <> 0 AS base_failed, failed & {BASE | POLICIES[CURRENT]} = 0 AS kept, CAST(failed AS INT) AS failed FROM f
 """
+
+_MASK = POLICIES[CURRENT]
+ABLATION = f"SELECT rule, CAST(sum(CASE WHEN b & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS rejected, CAST(sum(CASE WHEN b = bit THEN 1 ELSE 0 END) AS BIGINT) AS only FROM (SELECT failed & {_MASK} AS b FROM ({ORACLE}) o) x, (VALUES {', '.join(f"('{name}', {bit})" for name, bit in BIT.items() if bit & _MASK)}) r(rule, bit) GROUP BY rule"
