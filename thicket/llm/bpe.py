@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from thicket.llm.common import small_batches
+
 #: What the tokenizers' pattern holds for white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -146,6 +148,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     Null ids pass through; repeated rows give repeated rows; other columns are
     left out, so their names can't clash.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", ids array<int>, offsets array<struct<first:int,past:int>>, decoded string" if keep_ids else ""
 

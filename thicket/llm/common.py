@@ -27,6 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of an Arrow batch at most: what a task holds of its texts outside the JVM's heap, and again in Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of this session small; operators with Python in them call it, and leave it so, as their plans run later."""
+    for name, most in BATCH.items():
+        spark.conf.set(name, most)
+
+
 def remainder(column, n: int):
     """crc32 of the id's decimal text, modulo ``n``: what the folds go by."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)

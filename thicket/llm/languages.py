@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.common import small_batches
+
 BUCKETS = 1 << 15
 PER_LANGUAGE = 5_000
 TURNS = 12
@@ -46,6 +48,7 @@ def gram_counts(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by language and bucket) from the rows that ``learn`` is true for."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(learn).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     share = {r["lang"]: PER_LANGUAGE / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
@@ -107,6 +110,7 @@ def proportions(text: str, logs: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, lang_pred (largest share), score (that share), and all shares over one hundredth as mixture."""
+    small_batches(docs.sparkSession)
     langs, logs = model
     told = docs.sparkSession.sparkContext.broadcast(logs)
     kind = docs.schema[id_col].dataType.simpleString()

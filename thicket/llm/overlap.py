@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import cut
+from thicket.llm.common import cut, small_batches
 from thicket.llm.shingles import batches_of, digest, shingle_sets
 
 U = np.uint64
@@ -496,6 +496,7 @@ def _met(in_open: DataFrame, points: DataFrame, few: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest id that links reach (itself included)."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     described = cut(_describe(texts))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.bpe import codec, slices
-from thicket.llm.common import cut
+from thicket.llm.common import cut, small_batches
 
 #: A bin that lacks at most so many tokens is done.
 NEARLY = 8
@@ -43,6 +43,7 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and with ``keep_ids`` token_ids) of every document's pieces."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 

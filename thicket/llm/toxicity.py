@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.common import small_batches
+
 LEARN = 3_000
 LONGEST = 20_000
 #: Words of a sample of ordinary text.
@@ -196,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
 
 def _scores(docs: DataFrame, model: Model | None, text_col: str) -> Column:
     """The score as a column; only the texts go to Python."""
+    small_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
