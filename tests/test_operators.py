@@ -167,7 +167,9 @@ def test_smaller_operators(spark):
     d = spark.createDataFrame([('{"a": [1, {"b": "]]}"}]}',), ("1",), ('"[[["',), ("[[],[[]]]",)], "j string")
     assert [r[0] for r in d.select(more.json_depth(F.col("j"))).collect()] == [3, 0, 0, 3]
     n = nodes(spark, ("P-1", "open", 0.0, 1.0), ("P-1.1", "done", 1.0, 1.0), ("P-1.2", "invalidated", 0.0, 1.0))
-    assert got(more.node_progress(n), "id", "children", "invalidated") == [("P-1", 2, 1)]
+    marked = n.withColumn("invalidated_at", F.when(F.col("id") == "P-1.1", F.lit("2026-01-01").cast("timestamp")))  # a done node, restored since
+    assert got(more.node_progress(marked), "id", "children", "invalidated") == [("P-1", 2, 1), ("P-1.1", 0, 0), ("P-1.2", 0, 0)]
+    assert got(more.node_progress(n.withColumn("invalidated_at", F.lit(None).cast("timestamp"))), "id", "invalidated")[0] == ("P-1", 0)
     assert [r.line for r in more.printed_tree(n).collect()][1].startswith("  P-1.1 [done]")
     c = spark.createDataFrame([("e1", "M-1", 1, "a", 0), ("e2", "M-1", 2, "b", 0), ("e3", "M-1", 3, "b", 1), ("e4", "M-1", 4, "a", 1)], "event_id string, node_id string, arrival int, uid string, epoch int")
     assert [o for _, o in got(more.registry_with_epochs(c), "event_id", "outcome")] == ["free", "renumber", "collision", "noop"]
@@ -183,8 +185,10 @@ def test_engine(spark):
     n = nodes(spark, ("P-1", "open", 0.0, 1.0), ("P-1.1", "done", 1.0, 1.0), ("P-1.2", "open", 0.0, 1.0)).withColumns({"labels": F.array(F.lit("x")), "created_at": F.lit("2026-01-01").cast("timestamp"), "updated_at": F.lit("2026-01-01").cast("timestamp"), "defer_until": F.lit(None).cast("timestamp")})
     e = spark.createDataFrame([("P-1.1", "P-1.2", "blocks")], "from_id string, to_id string, dep_type string")
     own = Engine(n, e, n)
-    assert got(own.ancestors("P-1.1"), "ancestor_id") == [("P-1",), ("P-1.1",)]
-    assert got(own.siblings("P-1.1"), "sibling_id") == [("P-1.2",)]
+    assert got(own.ancestors("P-1.1"), "id") == [("P-1",), ("P-1.1",)]
+    assert got(own.siblings("P-1.1"), "id") == [("P-1.2",)]
+    assert own.list(limit=0).count() == 0 and tuple(own.total(limit=2).first()) == (3, 2, True)
+    assert [c["id"] for c in own.nested("P-1")["children"]] == ["P-1.1", "P-1.2"]
     assert got(own.search("title"), "id") == [("P-1",), ("P-1.1",), ("P-1.2",)]
     assert own.context("P-1.2").first().prompt == "P-1 title P-1\nP-1.2 title P-1.2"
     assert own.list(fields=["id"], labels=["x"], status=["done"]).collect()[0].id == "P-1.1"

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions.ids import under
-from thicket.operators import aggregates, events, graph, hierarchy, integrity, listing, text
+from thicket.operators import aggregates, graph, hierarchy, integrity, listing, replay, text
 from thicket.sources import views
 
 
 class Engine:
-    """``nodes``, ``edges`` and ``log`` are tables of the shapes that thicket.sources.views makes."""
+    """``nodes`` and ``edges`` are tables of the shapes that thicket.sources.views makes; ``log`` holds events with a JSON payload."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, log: DataFrame):
         self.nodes, self.edges, self.log = nodes, edges, log
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str) -> Engine:
-        return cls(*(views.view(spark, sf_dir, v) for v in ("nodes", "edges", "ev")))
+        from thicket.plans.applied import log_of
+
+        return cls(views.view(spark, sf_dir, "nodes"), views.view(spark, sf_dir, "edges"), log_of(views.view(spark, sf_dir, "log")))
 
     def get(self, id_: str) -> DataFrame:
         return listing.get_node(self.nodes, id_)
@@ -27,6 +29,12 @@ class Engine:
         page = listing.page(listing.list_nodes(self.nodes, **filters), limit, offset)
         return listing.project_fields(page, fields) if fields else page
 
+    def total(self, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
+        return listing.page_info(listing.list_nodes(self.nodes, **filters), limit, offset)
+
+    def nested(self, root: str, levels: int = 10) -> dict:
+        return hierarchy.nested(self.nodes, root, levels)
+
     def ready(self, now: str, strict: bool = False) -> DataFrame:
         return listing.ready_strict(self.nodes, self.edges, now) if strict else listing.ready(self.nodes, now)
 
@@ -40,10 +48,10 @@ class Engine:
         return listing.live(self.nodes).filter(F.col("parent_id") == id_).orderBy("seq")
 
     def ancestors(self, id_: str) -> DataFrame:
-        return hierarchy.with_ancestors(self.nodes.filter(F.col("id").isin([".".join(id_.split(".")[:k]) for k in range(1, id_.count(".") + 2)]))).filter(F.col("id") == id_)
+        return hierarchy.chain(self.nodes, id_)
 
     def siblings(self, id_: str) -> DataFrame:
-        return hierarchy.siblings(self.nodes.filter(F.col("parent_id") == id_.rpartition(".")[0])).filter(F.col("id") == id_)
+        return hierarchy.siblings_of(self.nodes, id_)
 
     def progress(self) -> DataFrame:
         return hierarchy.rollup(self.nodes)
@@ -64,10 +72,11 @@ class Engine:
         return text.search(listing.live(self.nodes), query, "id", column)
 
     def context(self, id_: str) -> DataFrame:
-        return text.context(self.nodes, self.ancestors(id_))
+        named = self.ancestors(id_).select(F.lit(id_).alias("id"), F.col("id").alias("ancestor_id"), F.col("depth").cast("long").alias("level"))
+        return text.context(self.nodes, named)
 
     def replay(self) -> DataFrame:
-        return events.replay(self.log)
+        return replay.replay(self.log)
 
     def verify(self) -> DataFrame:
         return integrity.verify(self.nodes, self.edges)

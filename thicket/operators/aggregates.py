@@ -24,11 +24,14 @@ def weighted_progress(nodes: DataFrame) -> DataFrame:
 
 
 def status_counts(nodes: DataFrame) -> DataFrame:
-    """All seven statuses, those without nodes too, and the share that is done."""
+    """All seven statuses, those without nodes too, and each one's share of the live nodes."""
     spark = nodes.sparkSession
     domain = spark.createDataFrame([(s,) for s in STATUSES], "status string")
     n = live(nodes).groupBy("status").agg(F.count("*").alias("n"))
-    return F.broadcast(domain).join(n, "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    total = live(nodes).agg(F.count("*").alias("total"))
+    rows = F.broadcast(domain).join(n, "status", "left").join(F.broadcast(total))
+    share = F.coalesce(F.col("n") / F.nullif("total", F.lit(0)), F.lit(0.0))
+    return rows.select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(share, 6).alias("share"))
 
 
 def projects(nodes: DataFrame) -> DataFrame:
@@ -39,6 +42,12 @@ def child_counts(nodes: DataFrame) -> DataFrame:
     return live(nodes).filter("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n"))
 
 
+def session_summary(nodes: DataFrame, sessions: DataFrame, agent: str) -> DataFrame:
+    """One row: an agent's latest session with how many nodes it made, finished and deferred; deleted nodes count."""
+    last = sessions.filter(F.col("agent_id") == agent).orderBy(F.desc("started_at"), F.desc("id")).limit(1)
+    return last.select(F.col("id").alias("session_id"), "status", "started_at").join(session_counts(nodes), "session_id", "left").na.fill(0, ["created", "done", "deferred"])
+
+
 def session_counts(nodes: DataFrame) -> DataFrame:
     """Per session; deleted nodes count here."""
     return nodes.filter("session_id is not null").groupBy("session_id").agg(F.count("*").alias("created"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "deferred").alias("deferred"))
@@ -57,10 +66,16 @@ def progress_mismatch(nodes: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return live(nodes).select("id", "progress").join(means, "id").filter(F.abs(F.col("progress") - F.col("expected")) > tolerance).select("id", "progress", F.round("expected", 6).alias("expected"))
 
 
-def firing_rate(events: DataFrame, now: str, cap: int = 20) -> DataFrame:
-    """Events of a node in the last hour, and whether they are over the cap."""
-    end = F.lit(now).cast("timestamp")
-    return events.filter((F.col("ts") > end - F.expr("INTERVAL 1 HOUR")) & (F.col("ts") <= end)).groupBy("node_id").agg(F.count("*").alias("n"), (F.count("*") >= cap).alias("limited"))
+def firing_rate(firings: DataFrame, now: str, cap: int = 20) -> DataFrame:
+    """Delivered firings of each hook on each node since an hour before, and whether the cap is reached; ``firings`` has (hook, node_id, outcome, fired_at)."""
+    since = F.lit(now).cast("timestamp") - F.expr("INTERVAL 1 HOUR")
+    own = firings.filter((F.col("outcome") == "delivered") & (F.col("fired_at") >= since))
+    return own.groupBy("hook", "node_id").agg(F.count("*").alias("n"), (F.count("*") >= cap).alias("limited"))
+
+
+def newest_firings(firings: DataFrame, limit: int = 50) -> DataFrame:
+    """The log of firings, newest first."""
+    return firings.orderBy(F.desc("fired_at"), F.desc("event_id"), "hook").limit(limit)
 
 
 def event_counts(events: DataFrame) -> DataFrame:

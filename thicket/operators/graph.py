@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.ids import TERMINAL
 from thicket.operators.listing import live
+from thicket.sources.store import shared_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts a loop's lineage in the session's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="thicket-"))
+    if context.getCheckpointDir() is None:
+        folder = shared_folder(df.sparkSession)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -26,28 +28,36 @@ def blockers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def settle_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, status, new_status) after blocking and unblocking everywhere at once.
+    """(id, status, new_status, previous_status) after blocking and unblocking everywhere at once.
 
-    Open and running nodes with a blocker become blocked; blocked ones without
-    become open.
+    Open and running nodes with a blocker become blocked and keep the status
+    they had; blocked ones without go back to it, or to open if none is kept.
+    ``nodes`` may lack ``previous_status``.
     """
     held = blockers(nodes, edges).groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("n"))
     has = F.coalesce("n", F.lit(0)) > 0
-    new = F.when(has & F.col("status").isin("open", "in_progress"), "blocked").when(~has & (F.col("status") == "blocked"), "open").otherwise(F.col("status"))
-    return live(nodes).select("id", "status").join(held, "id", "left").select("id", "status", new.alias("new_status"))
+    was = F.nullif(F.col("previous_status"), F.lit("")) if "previous_status" in nodes.columns else F.lit(None).cast("string")
+    block, free = has & F.col("status").isin("open", "in_progress"), ~has & (F.col("status") == "blocked")
+    new = F.when(block, "blocked").when(free, F.coalesce("was", F.lit("open"))).otherwise(F.col("status"))
+    kept = F.when(block, F.col("status")).when(~free, F.col("was"))
+    return live(nodes).select("id", "status", was.alias("was")).join(held, "id", "left").select("id", "status", new.alias("new_status"), kept.alias("previous_status"))
+
 
+def reachable(edges: DataFrame, start: str) -> DataFrame:
+    """(id, steps): what blocks edges lead to from a node, by frontiers until none is new; the visited are left out, so cycles end.
 
-def reachable(edges: DataFrame, start: str, most: int = 10_000) -> DataFrame:
-    """(id, steps): what blocks edges lead to from a node, by frontiers; the visited are left out, so cycles end."""
-    step = edges.filter("dep_type = 'blocks'").select("from_id", "to_id")
+    Each round looks two edges ahead, so a chain takes half as many rounds.
+    """
+    step = checkpointed(edges.filter("dep_type = 'blocks'").select("from_id", "to_id").distinct())
     seen = checkpointed(step.sparkSession.createDataFrame([(start, 0)], "id string, steps int"))
-    edge = seen
-    for k in range(1, most + 1):
-        edge = checkpointed(edge.select(F.col("id").alias("from_id")).join(step, "from_id").select(F.col("to_id").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("steps", F.lit(k)))
-        if not edge.take(1):
-            return seen.filter("steps > 0")
-        seen = checkpointed(seen.union(edge))
-    raise RuntimeError(f"no end after {most} steps")
+    edge, k = seen, 0
+    while edge.take(1):
+        near = edge.select(F.col("id").alias("from_id")).join(step, "from_id").select(F.col("to_id").alias("id")).distinct()
+        far = near.select(F.col("id").alias("from_id")).join(step, "from_id").select(F.col("to_id").alias("id")).distinct()
+        found = near.withColumn("steps", F.lit(k + 1)).union(far.withColumn("steps", F.lit(k + 2))).groupBy("id").agg(F.min("steps").alias("steps"))
+        both = checkpointed(found.join(seen, "id", "left_anti"))
+        seen, edge, k = checkpointed(seen.union(both)), both.filter(F.col("steps") == k + 2), k + 2
+    return seen.filter("steps > 0")
 
 
 def would_cycle(edges: DataFrame, from_id: str, to_id: str) -> bool:
@@ -66,4 +76,6 @@ def add_edge(edges: DataFrame, from_id: str, to_id: str, dep_type: str = "blocks
 
 
 def remove_edge(edges: DataFrame, from_id: str, to_id: str, dep_type: str = "blocks") -> DataFrame:
+    if not edges.filter((F.col("from_id") == from_id) & (F.col("to_id") == to_id) & (F.col("dep_type") == dep_type)).take(1):
+        raise LookupError("the dependency doesn't exist")
     return edges.filter(~((F.col("from_id") == from_id) & (F.col("to_id") == to_id) & (F.col("dep_type") == dep_type)))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from thicket.functions.ids import TERMINAL, ancestors, depth, under
 from thicket.operators.listing import live
 
+#: So many missing parents at most go to every task.
+FEW = 100_000
+
 
 def tree(nodes: DataFrame, root: str, levels: int) -> DataFrame:
     """The root and what is at most so many levels below it."""
@@ -15,16 +18,88 @@ def tree(nodes: DataFrame, root: str, levels: int) -> DataFrame:
     return live(nodes).filter(under(F.col("id"), root) & (F.col("depth") <= top + levels))
 
 
+def missing_parents(nodes: DataFrame) -> DataFrame:
+    """Ids that live nodes have for a parent, but no live node has."""
+    own = live(nodes)
+    return own.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().join(own.select("id"), "id", "left_anti")
+
+
+def broken_chains(nodes: DataFrame) -> DataFrame:
+    """(id, missing): live nodes with an ancestor that is deleted or was never there; asking for their chain is an error."""
+    lost = missing_parents(nodes)
+    few = lost.limit(FEW + 1).count() <= FEW
+    chain = live(nodes).select("id", F.explode(ancestors(F.col("id"))).alias("missing"))
+    return chain.join(F.broadcast(lost.withColumnRenamed("id", "missing")) if few else lost.withColumnRenamed("id", "missing"), "missing", "left_semi").select("id", "missing")
+
+
 def with_ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor_id, level) for each node and each node above it, itself included, if those live."""
-    chain = live(nodes).select("id", F.posexplode(ancestors(F.col("id"))).alias("level", "ancestor_id"))
-    return chain.join(live(nodes).select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi").select("id", "ancestor_id", F.col("level").cast("long").alias("level"))
+    """(id, ancestor_id, level) for each node and each node above it, itself included; nodes with a broken chain have no rows.
+
+    A path holds its ancestors, so only the parents that are missing are looked
+    up, and joined by broadcast while they are few.
+    """
+    own = live(nodes).select("id")
+    lost = broken_chains(nodes).select("id").distinct()
+    if missing_parents(nodes).limit(1).count():
+        own = own.join(lost, "id", "left_anti")
+    return own.select("id", F.posexplode(ancestors(F.col("id"))).alias("level", "ancestor_id")).select("id", "ancestor_id", F.col("level").cast("long").alias("level"))
+
+
+def chain(nodes: DataFrame, id_: str) -> DataFrame:
+    """The live nodes from the root down to ``id_``; an error names what is missing."""
+    names = [".".join(id_.split(".")[: k + 1]) for k in range(id_.count(".") + 1)]
+    found = live(nodes).filter(F.col("id").isin(names))
+    missing = sorted(set(names) - {r.id for r in found.select("id").collect()})
+    if missing:
+        raise LookupError(f"not found: {', '.join(missing)}")
+    return found.orderBy("depth")
+
+
+def nested(nodes: DataFrame, root: str, levels: int = 10) -> dict:
+    """The tree below a node as nested dicts (id, title, status, progress, depth from the root, children by number), for one asked node.
+
+    The subtree's rows come to the driver: it is what one reply holds.
+    """
+    rows = tree(nodes, root, levels).select("id", "parent_id", "title", "status", "progress", "depth", "seq").orderBy("depth", "seq").collect()
+    if not rows or rows[0].id != root:
+        raise LookupError(f"node {root} not found")
+    top = rows[0].depth
+    made = {r.id: {"id": r.id, "title": r.title, "status": r.status, "progress": r.progress, "depth": r.depth - top} | ({"children": []} if r.depth - top < levels else {}) for r in rows}
+    for r in rows[1:]:
+        if r.parent_id in made:
+            made[r.parent_id]["children"].append(made[r.id])
+    return made[root]
+
+
+def renamed_everywhere(tables: dict[str, tuple[DataFrame, list[str]]], old: str, new: str) -> dict[str, DataFrame]:
+    """Tables (name to frame and its id columns) after a subtree moved: nodes, edges, events and conflicts alike."""
+    return {name: rows.withColumns({c: moved(F.col(c), old, new) for c in ids}) for name, (rows, ids) in tables.items()}
+
+
+def rebased(rows: DataFrame, moves: DataFrame, column: str = "id") -> DataFrame:
+    """``rows`` with ``new_`` + column: the path after the longest of the moves (old, new) that is the path or above it; unmoved paths stay.
+
+    Each path's prefixes are looked up, so moves are joined by equality, however many there are.
+    """
+    named = moves.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    asked = rows.select(column).distinct()
+    each = asked.select(column, F.explode(ancestors(F.col(column))).alias("_old")).join(named, "_old")
+    best = each.groupBy(column).agg(F.max_by(F.struct("_old", "_new"), F.length("_old")).alias("_best"))
+    tail = F.expr(f"substring(`{column}`, length(_best._old) + 1)")
+    return rows.join(best, column, "left").withColumn(f"new_{column}", F.when(F.col("_best").isNull(), F.col(column)).otherwise(F.concat("_best._new", tail))).drop("_best")
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
-    """(id, sibling_id): children of one parent, roots have none."""
+    """(parent_id, id, n_siblings): who shares a parent, without listing pairs; roots and only children have none."""
     kids = live(nodes).filter("parent_id is not null").select("parent_id", "id")
-    return kids.join(kids.select("parent_id", F.col("id").alias("sibling_id")), "parent_id").filter("id <> sibling_id").select("id", "sibling_id")
+    many = kids.groupBy("parent_id").agg((F.count("*") - 1).alias("n_siblings")).filter("n_siblings > 0")
+    return kids.join(many, "parent_id").select("parent_id", "id", "n_siblings")
+
+
+def siblings_of(nodes: DataFrame, id_: str) -> DataFrame:
+    """The live siblings of one node, by number; a root has none."""
+    parent = id_.rpartition(".")[0]
+    return live(nodes).filter((F.col("parent_id") == parent) & (F.col("id") != id_)).orderBy("seq")
 
 
 def rollup(nodes: DataFrame) -> DataFrame:

@@ -34,6 +34,42 @@ def merge_actions(base: DataFrame, incoming: DataFrame, key: str = "id", digest:
     return incoming.join(there, key, "left").select(key, action.alias("action"))
 
 
+def merged(base: DataFrame, incoming: DataFrame, key: str = "id", digest: str = "content_hash") -> DataFrame:
+    """The table after a merge import: new rows come in, rows of the same digest stay, others are replaced but keep their uid where the import has none."""
+    columns = base.columns
+    theirs = incoming.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in columns if c in incoming.columns]).alias("_new"))
+    both = base.join(theirs, base[key] == theirs["_key"], "full")
+    takes = F.col("_new").isNotNull() & (base[key].isNull() | ~F.col(f"_new.{digest}").eqNullSafe(base[digest]))
+
+    def column(c: str):
+        new = F.col(f"_new.{c}") if c in incoming.columns else base[c]
+        return F.when(takes, F.coalesce(F.nullif(new, F.lit("")), base[c]) if c == "uid" else new).otherwise(base[c]).alias(c)
+
+    return both.select(*[column(c) for c in columns])
+
+
+def replaced(base: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables after a replace import: what the import has, with the shape of what was there; tables that it lacks are emptied."""
+    return {name: (incoming[name].select(*[F.col(c) if c in incoming[name].columns else F.lit(None).alias(c) for c in rows.columns]) if name in incoming else rows.limit(0)) for name, rows in base.items()}
+
+
+def wrong_hashes(nodes: DataFrame) -> DataFrame:
+    """Nodes whose stored content hash isn't that of their content, or is missing."""
+    from thicket.functions.ids import content_hash
+
+    own = content_hash(*[F.coalesce(c, F.lit("")) for c in ("title", "description", "prompt", "acceptance")], F.coalesce("labels", F.array().cast("array<string>")))
+    return nodes.filter(~F.col("content_hash").eqNullSafe(own)).select("id")
+
+
+def doctor(log: DataFrame, pending: DataFrame, now_ms: int, hours: int = 1) -> DataFrame:
+    """(check, faults, ok): the push queue drains, and every applied event has its node. ``pending`` has wall_ms of events that wait."""
+    from thicket.operators.replay import orphans
+
+    old = pending.filter(F.col("wall_ms") < now_ms - hours * 3_600_000).agg(F.lit("queue").alias("check"), F.count("*").alias("faults"))
+    lost = orphans(log).agg(F.lit("orphans").alias("check"), F.count("*").alias("faults"))
+    return old.union(lost).withColumn("ok", F.col("faults") == 0)
+
+
 def recovered(primary: DataFrame, mirror: DataFrame) -> DataFrame:
     """(id, origin): what the primary has, what only the mirror has, and placeholders for ancestors that neither has."""
     own = primary.select("id").distinct()

@@ -26,14 +26,18 @@ def constraint(status: Column, to: Column) -> Column:
 
 
 def transition(nodes: DataFrame, to: Column, now: str) -> DataFrame:
-    """Applies a local transition to each row: progress 1 and closed_at when done, closed_at when cancelled or cleared; outcome says if it was allowed."""
+    """Applies a local transition to each row: progress 1 and closed_at when done, closed_at when cancelled or cleared; outcome says if it was allowed.
+
+    Staying in a status and a refused transition change nothing. ``nodes`` may lack closed_at.
+    """
     allowed = constraint(F.col("status"), to).isNotNull()
-    closes = to.isin("done", "cancelled")
+    moves = allowed & (F.col("status") != to)
+    was = F.col("closed_at") if "closed_at" in nodes.columns else F.lit(None).cast("timestamp")
     return nodes.withColumns(
         {
             "outcome": F.when(allowed, "ok").otherwise("invalid_transition"),
-            "progress": F.when(allowed & (to == "done"), 1.0).otherwise(F.col("progress")),
-            "closed_at": F.when(allowed & closes, F.lit(now).cast("timestamp")),
+            "progress": F.when(moves & (to == "done"), 1.0).otherwise(F.col("progress")),
+            "closed_at": F.when(moves & to.isin("done", "cancelled"), F.lit(now).cast("timestamp")).when(~moves | ~allowed, was),
             "status": F.when(allowed, to).otherwise(F.col("status")),
         }
     )
@@ -45,6 +49,28 @@ def claim_outcome(now: str) -> Column:
     return F.when(s == "open", "claimed").when((s == "deferred") & due, "claimed").when(s == "deferred", "still_deferred").when(s == "in_progress", "already_claimed").when(s == "blocked", "blocked").otherwise("invalid_transition")
 
 
+def unclaim(nodes: DataFrame, reason: str) -> DataFrame:
+    """Running nodes that someone holds go back to open without an assignee; outcome says what happened. A reason is a must."""
+    if not reason.strip():
+        raise ValueError("a reason is required")
+    held = (F.col("status") == "in_progress") & F.col("assignee").isNotNull()
+    return nodes.withColumns({"outcome": F.when(held, "ok").otherwise("invalid_transition"), "status": F.when(held, "open").otherwise(F.col("status")), "assignee": F.when(~held, F.col("assignee"))})
+
+
+def progress_set(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """``nodes`` with the progress that ``values`` (id, value) sets directly; it must lie between 0 and 1."""
+    if values.filter(~F.coalesce(F.col("value").between(0, 1), F.lit(False))).take(1):
+        raise ValueError("progress lies between 0 and 1")
+    return nodes.join(values.select("id", "value"), "id", "left").withColumn("progress", F.coalesce("value", "progress")).drop("value")
+
+
+def dry_numbers(new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What a decomposition would make: numbers after the count of live children, so they can differ from those that ``numbered`` gives."""
+    many = nodes.filter("deleted_at is null").groupBy("parent_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("parent_id").orderBy("title"))
+    return new.join(many, "parent_id", "left").withColumn("seq", F.coalesce("n", F.lit(0)) + rank).withColumn("id", F.concat_ws(".", "parent_id", "seq")).drop("n")
+
+
 def reclaimable(nodes: DataFrame, agents: DataFrame, now: str, hours: int = 24) -> DataFrame:
     """Running nodes whose agent is gone or hasn't been heard of for so long."""
     heard = agents.select(F.col("agent_id").alias("assignee"), "last_heartbeat")

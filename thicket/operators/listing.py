@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,52 @@ def clamp(limit: int) -> int:
     return 50 if limit <= 0 else min(limit, 500)
 
 
+#: Units of a duration, in nanoseconds, and the forms of a time.
+UNITS = {"ns": 1, "us": 10**3, "µs": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
+FORMS = ["%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d"]
+
+
+def changed_since(text: str, now: datetime) -> datetime | None:
+    """A point in time from a duration before ``now`` (1h30m), or a date or time; None if nothing is given, an error if it can't be read or isn't before."""
+    text = text.strip()
+    if not text:
+        return None
+    parts = re.findall(r"([0-9]+\.?[0-9]*|\.[0-9]+)(ns|us|µs|ms|s|m|h)", text)
+    if parts and "".join(a + b for a, b in parts) == text.lstrip("+-"):
+        nanos = sum(float(a) * UNITS[b] for a, b in parts)
+        if nanos <= 0 or text.startswith("-"):
+            raise ValueError(f"the duration must be positive: {text}")
+        return now - timedelta(microseconds=nanos / 1000)
+    for form in FORMS:
+        try:
+            found = datetime.strptime(text, form)
+        except ValueError:
+            continue
+        return found.astimezone(timezone.utc).replace(tzinfo=None) if found.tzinfo else found
+    raise ValueError(f"neither a time nor a duration: {text}")
+
+
+def project_scope(project: str, all_projects: bool, primary: str = "") -> str:
+    """The project to read: all (empty), the one named, or the primary one; both at once is an error."""
+    if project and all_projects:
+        raise ValueError("a project and all projects exclude each other")
+    return "" if all_projects else project or primary
+
+
+def by_uid(nodes: DataFrame, uid: str) -> DataFrame:
+    """The live node of a uid: its path."""
+    found = live(nodes).filter(F.col("uid") == uid).select("id", "uid").limit(1)
+    if not found.take(1):
+        raise LookupError(f"uid {uid} not found")
+    return found
+
+
+def with_uids(rows: DataFrame, nodes: DataFrame, column: str = "id") -> DataFrame:
+    """``rows`` with the uid of the live node on each path, null where there is none."""
+    known = live(nodes).select(F.col("id").alias(column), "uid")
+    return rows.join(known, column, "left")
+
+
 def split_csv(text: str) -> list[str]:
     return [p.strip() for p in text.split(",") if p.strip()]
 
@@ -51,8 +99,17 @@ def get_node(nodes: DataFrame, id_: str) -> DataFrame:
 
 
 def page(nodes: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """By priority, then age; the id breaks ties, so pages don't overlap."""
-    return live(nodes).orderBy("priority", "created_at", "id").offset(offset).limit(clamp(limit))
+    """By priority, then age; the id breaks ties, so pages don't overlap. Limit 0 asks for no rows, only for the total."""
+    if limit < 0 or offset < 0:
+        raise ValueError("limit and offset can't be negative")
+    return live(nodes).orderBy("priority", "created_at", "id").offset(offset).limit(min(limit, 500))
+
+
+def page_info(nodes: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One row: total of the listing, how many rows the page holds, and whether more follow."""
+    total = F.count("*")
+    length = F.least(F.greatest(total - offset, F.lit(0)), F.lit(min(limit, 500)))
+    return live(nodes).agg(total.alias("total"), length.alias("rows"), (length + offset < total).alias("has_more"))
 
 
 def ready(nodes: DataFrame, now: str) -> DataFrame:

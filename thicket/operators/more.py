@@ -31,9 +31,10 @@ def unsettled(nodes: DataFrame) -> DataFrame:
 
 
 def node_progress(nodes: DataFrame) -> DataFrame:
-    """Each parent's progress, its children and how many of them are invalidated."""
-    kids = live(nodes).filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"), F.count_if(F.col("status") == "invalidated").alias("invalidated"))
-    return live(nodes).select("id", "progress").join(kids, "id")
+    """Each node's progress, its live children and how many of them carry ``invalidated_at``, whatever their status."""
+    kids = live(nodes).filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"), F.count("invalidated_at").alias("invalidated"))
+    none = F.lit(0).cast("long")
+    return live(nodes).select("id", "progress", "status").join(kids, "id", "left").withColumns({c: F.coalesce(c, none) for c in ("children", "invalidated")})
 
 
 def printed_tree(nodes: DataFrame) -> DataFrame:

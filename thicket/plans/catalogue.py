@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions import clocks, ids
 from thicket.operators import aggregates, events, graph, hierarchy, integrity, lifecycle, listing, text
+from thicket.plans import applied, deeper
 from thicket.sources.views import NOW, oracle, oracle_recursive, view
 from thicket.streaming import journal
 
@@ -51,7 +52,7 @@ _filtered("list_changed_since", "updated_at > TIMESTAMP '2001-01-01 00:00:00'",
 _filtered("list_assignee", "assignee IN ('agent-1', 'agent-2')", columns="id, assignee", assignee=["agent-1", "agent-2"])
 
 _add("get_node", "nodes", f"SELECT id, title, depth FROM nodes WHERE {LIVE} AND id = 'R0-1'")(lambda n: listing.get_node(n, ROOT).select("id", "title", "depth"))
-_add("list_page", "nodes", f"SELECT id, priority FROM nodes WHERE {LIVE} ORDER BY priority, created_at, id LIMIT 50 OFFSET 100")(lambda n: listing.page(n, 0, 100).select("id", "priority"))
+_add("list_page", "nodes", f"SELECT id, priority FROM nodes WHERE {LIVE} ORDER BY priority, created_at, id LIMIT 50 OFFSET 100")(lambda n: listing.page(n, listing.clamp(0), 100).select("id", "priority"))
 _add("ready", "nodes", f"SELECT id, status, priority FROM nodes WHERE {LIVE} AND assignee IS NULL AND (status = 'open' OR status = 'deferred' AND (defer_until IS NULL OR defer_until <= TIMESTAMP '{NOW}'))")(
     lambda n: listing.ready(n, NOW).select("id", "status", "priority").orderBy("priority", "id")
 )
@@ -60,20 +61,18 @@ _add("ready_strict", "nodes edges", f"SELECT id FROM nodes n WHERE {LIVE} AND as
 )
 _add("blocked", "nodes edges", f"SELECT DISTINCT e.to_id AS id FROM edges e JOIN nodes b ON b.id = e.from_id WHERE b.{LIVE} AND b.status NOT IN {TERMINAL}")(lambda n, e: graph.blockers(n, e).select(F.col("to_id").alias("id")).distinct())
 _add("roots", "nodes", f"SELECT id, title FROM nodes WHERE {LIVE} AND parent_id IS NULL")(lambda n: listing.roots(n).select("id", "title"))
-_add("project_fields", "nodes", f"SELECT id, title, status FROM nodes WHERE {LIVE} AND depth < 2")(lambda n: listing.project_fields(listing.live(n).filter("depth < 2"), ["id", "title", "status", "id"]))
 _add("stale_agents", "agents", f"SELECT agent_id, state FROM agents WHERE last_heartbeat < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR")(lambda a: listing.stale_agents(a, NOW).select("agent_id", "state"))
 _add("stuck_agents", "agents", f"SELECT agent_id FROM agents WHERE state = 'stuck' AND last_heartbeat < TIMESTAMP '{NOW}' - INTERVAL 1 HOUR")(lambda a: listing.stuck_agents(a, NOW, 1).select("agent_id"))
 _add("expired_tombstones", "nodes", f"SELECT id FROM nodes WHERE deleted_at < TIMESTAMP '{NOW}' - INTERVAL 30 DAY")(lambda n: listing.expired_tombstones(n, NOW).select("id"))
 _add("wake_deferred", "nodes", f"SELECT id FROM nodes WHERE {LIVE} AND status = 'deferred' AND defer_until < TIMESTAMP '{NOW}'")(lambda n: listing.to_wake(n, NOW).select("id"))
 _add("session_timeouts", "sessions", f"SELECT id, agent_id FROM sessions WHERE status = 'active' AND started_at < TIMESTAMP '{NOW}' - INTERVAL 4 HOUR")(lambda s: listing.timed_out_sessions(s, NOW).select("id", "agent_id"))
-_add("natural_neighbours", "nodes", "SELECT CAST(sum(CASE WHEN d < 3 THEN 1 ELSE 0 END) AS BIGINT) AS before_lines, count(*) AS n FROM (SELECT depth AS d FROM nodes) x")(lambda n: n.select(ids.natural(F.col("id")).alias("k"), "depth").agg(F.count_if(F.size("k.numbers") < 4).alias("before_lines"), F.count("*").alias("n")))
 
 # aggregates
 for _key in ("status", "priority", "depth"):
     _add(f"stats_by_{_key}", "nodes", f"SELECT CAST({_key} AS VARCHAR) AS key, count(*) AS n FROM nodes WHERE {LIVE} GROUP BY 1")(lambda n, k=_key: aggregates.stats_by(n, k))
 _add("stats_weighted_progress", "nodes", f"SELECT count(*) AS total, round(sum(progress * weight) / sum(weight), 6) AS progress FROM nodes WHERE {LIVE}")(aggregates.weighted_progress)
 _add("stats_subtree", "nodes", f"SELECT count(*) AS total, round(sum(progress * weight) / sum(weight), 6) AS progress FROM nodes WHERE {LIVE} AND (id = 'R0-1' OR starts_with(id, 'R0-1.'))")(lambda n: aggregates.weighted_progress(n.filter(ids.under(F.col("id"), ROOT))))
-_add("status_domain_counts", "nodes", f"SELECT s AS status, count(n.id) AS n FROM (VALUES ('open'), ('in_progress'), ('blocked'), ('done'), ('deferred'), ('cancelled'), ('invalidated')) d(s) LEFT JOIN (SELECT * FROM nodes WHERE {LIVE}) n ON n.status = s GROUP BY 1")(aggregates.status_counts)
+_add("status_domain_counts", "nodes", f"SELECT s AS status, count(n.id) AS n, round(count(n.id) / (SELECT count(*) FROM nodes WHERE deleted_at IS NULL), 6) AS share FROM (VALUES ('open'), ('in_progress'), ('blocked'), ('done'), ('deferred'), ('cancelled'), ('invalidated')) d(s) LEFT JOIN (SELECT * FROM nodes WHERE {LIVE}) n ON n.status = s GROUP BY 1")(aggregates.status_counts)
 _add("projects", "nodes", f"SELECT project, count(*) AS n FROM nodes WHERE {LIVE} GROUP BY 1")(aggregates.projects)
 _add("child_counts", "nodes", f"SELECT parent_id, count(*) AS n FROM nodes WHERE {LIVE} AND parent_id IS NOT NULL GROUP BY 1")(aggregates.child_counts)
 _add("session_counts", "nodes", "SELECT session_id, count(*) AS created, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'deferred') AS deferred FROM nodes WHERE session_id IS NOT NULL GROUP BY 1")(aggregates.session_counts)
@@ -81,7 +80,6 @@ _add("max_seq", "nodes", f"SELECT project, coalesce(parent_id, '') AS parent, ma
 _add("progress_mismatch", "nodes", f"SELECT n.id, n.progress, round(m.e, 6) AS expected FROM nodes n JOIN (SELECT parent_id, sum(progress * weight) / sum(weight) AS e FROM nodes WHERE {LIVE} AND status NOT IN ('cancelled', 'invalidated') AND parent_id IS NOT NULL GROUP BY 1) m ON m.parent_id = n.id WHERE n.{LIVE} AND abs(n.progress - m.e) > 0.01")(
     aggregates.progress_mismatch
 )
-_add("firing_rate", "ev", f"SELECT node_id, count(*) AS n, count(*) >= 2 AS limited FROM ev WHERE ts > TIMESTAMP '{LATE}' - INTERVAL 1 HOUR AND ts <= TIMESTAMP '{LATE}' GROUP BY 1")(lambda e: aggregates.firing_rate(e, LATE, 2))
 _add("event_counts", "ev", "SELECT op_type, count(*) AS n, min(lamport) AS first, max(lamport) AS last FROM ev GROUP BY 1")(aggregates.event_counts)
 
 # hierarchy
@@ -91,7 +89,6 @@ _add(
     "nodes",
     f"SELECT n.id, a.id AS ancestor_id, CAST(a.depth AS BIGINT) AS level FROM (SELECT id, unnest([array_to_string(string_split(id, '.')[1:k], '.') FOR k IN range(1, len(string_split(id, '.')) + 1)]) AS p FROM nodes WHERE {LIVE}) n JOIN nodes a ON a.id = n.p WHERE a.{LIVE}",
 )(hierarchy.with_ancestors)
-_add("siblings", "nodes", f"SELECT a.id, b.id AS sibling_id FROM nodes a JOIN nodes b ON a.parent_id = b.parent_id AND a.id <> b.id WHERE a.{LIVE} AND b.{LIVE} AND a.depth = 3 AND b.depth = 3")(lambda n: hierarchy.siblings(n.filter("depth = 3")))
 _MEAN = "coalesce(sum(CASE WHEN status NOT IN ('cancelled', 'invalidated') THEN progress * weight END) / nullif(sum(CASE WHEN status NOT IN ('cancelled', 'invalidated') THEN weight END), 0), 0.0)"
 _add(
     "progress_rollup",
@@ -114,7 +111,7 @@ _add(
     "auto_block",
     "nodes edges",
     f"SELECT n.id, n.status, CASE WHEN c.to_id IS NOT NULL AND n.status IN ('open', 'in_progress') THEN 'blocked' WHEN c.to_id IS NULL AND n.status = 'blocked' THEN 'open' ELSE n.status END AS new_status FROM nodes n LEFT JOIN (SELECT DISTINCT to_id FROM edges e JOIN nodes b ON b.id = e.from_id WHERE b.{LIVE} AND b.status NOT IN {TERMINAL}) c ON c.to_id = n.id WHERE n.{LIVE}",
-)(graph.settle_blocks)
+)(lambda n, e: graph.settle_blocks(n, e).drop("previous_status"))
 _add(
     "reachability",
     "nodes edges",
@@ -158,8 +155,6 @@ _add("version_gate", "ev", f"SELECT op_type AS project, count(*) FILTER (ts >= T
 )
 _add("first_event", "ev", "SELECT node_id, event_id, sha256(concat_ws('|', node_id, lamport, event_id, op_type, author)) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY lamport, event_id) AS k FROM ev) x WHERE k = 1")(events.first_event)
 _add("backfill_counts", "nodes edges", f"SELECT kind, count(*) AS n FROM (SELECT 'create_node' AS kind FROM nodes WHERE {LIVE} UNION ALL SELECT 'transition_status' FROM nodes WHERE {LIVE} AND status <> 'open' UNION ALL SELECT 'claim' FROM nodes WHERE {LIVE} AND assignee IS NOT NULL UNION ALL SELECT 'link_dep' FROM edges) x GROUP BY 1")(events.backfill_counts)
-_add("duplicate_uids", "nodes", "SELECT title AS uid, count(*) AS n, min(id) AS first_id FROM nodes WHERE depth = 3 GROUP BY 1 HAVING count(*) > 1")(lambda n: events.duplicate_uids(n.filter("depth = 3").withColumn("uid", F.col("title"))))
-_add("uid_conflicts", "nodes", "SELECT replace(id, 'R0-', 'R1-') AS id, 'moved' AS kind FROM nodes WHERE depth = 1 AND project = 'R0'")(lambda n: events.uid_conflicts(n.filter("depth = 1 and project = 'R0'").select(F.replace("id", F.lit("R0-"), F.lit("R1-")).alias("id"), F.col("id").alias("uid")), n.filter("depth = 1").select("id", F.col("id").alias("uid"))))
 _add(
     "free_numbers",
     "nodes",
@@ -170,7 +165,6 @@ _add(
 _add("claim_outcomes", "nodes", f"SELECT id, CASE WHEN status = 'open' OR status = 'deferred' AND (defer_until IS NULL OR defer_until <= TIMESTAMP '{NOW}') THEN 'claimed' WHEN status = 'deferred' THEN 'still_deferred' WHEN status = 'in_progress' THEN 'already_claimed' WHEN status = 'blocked' THEN 'blocked' ELSE 'invalid_transition' END AS outcome FROM nodes WHERE {LIVE}")(lambda n: listing.live(n).select("id", lifecycle.claim_outcome(NOW).alias("outcome")))
 _add("transition_done", "nodes", "SELECT id, CASE WHEN status IN ('in_progress', 'done') THEN 'ok' ELSE 'invalid_transition' END AS outcome, CASE WHEN status = 'in_progress' OR status = 'done' THEN 1.0 ELSE progress END AS progress FROM nodes")(lambda n: lifecycle.transition(n, F.lit("done"), NOW).select("id", "outcome", "progress"))
 _add("reclaimable", "nodes agents", f"SELECT id, assignee FROM nodes n LEFT JOIN agents a ON a.agent_id = n.assignee WHERE n.{LIVE} AND n.status = 'in_progress' AND assignee IS NOT NULL AND (last_heartbeat IS NULL OR last_heartbeat < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR)")(lambda n, a: lifecycle.reclaimable(n, a, NOW))
-_add("new_numbers", "nodes", f"SELECT concat_ws('.', id, 1 + coalesce((SELECT max(seq) FROM nodes c WHERE c.parent_id = p.id), 0)) AS id FROM nodes p WHERE {LIVE} AND depth = 2 AND status NOT IN {TERMINAL}")(lambda n: lifecycle.numbered(n.filter("depth = 2").select(F.col("id").alias("parent_id"), F.lit("new").alias("title")), n).select("id"))
 _add("session_ends", "sessions", "SELECT id, agent_id, lead(started_at) OVER (PARTITION BY agent_id ORDER BY started_at, id) AS ended_at FROM sessions")(lambda s: lifecycle.session_ends(s).select("id", "agent_id", "ended_at"))
 
 # journal
@@ -247,6 +241,10 @@ _QUERIES["mentions"] = _mentions
 _SQL["mentions"] = "SELECT conv_id, turn, role AS agent FROM conversations"
 
 
+applied.register(_add)
+deeper.register(_add)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

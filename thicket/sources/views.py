@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thicket.sources.store import stored
+
 NOW = "2000-01-01 00:00:00"
 
 NODES = """
@@ -35,13 +37,30 @@ ev AS (SELECT event_id, concat('E-', user_id + 1, '.', CAST(regexp_extract(props
   CASE WHEN event_type = 'click' THEN CASE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'description' WHEN 2 THEN 'prompt' ELSE 'priority' END ELSE '' END AS field_name,
   CAST(value AS DOUBLE) AS value, {ms} AS wall_ms, CAST(event_id AS BIGINT) AS arrival, CAST(event_id - event_id % 7 AS BIGINT) AS lamport, CAST(ts AS TIMESTAMP) AS ts, CAST(user_id AS BIGINT) AS user_id FROM {events})"""
 
+LOG = """
+log AS (SELECT event_id, arrival, lamport, wall_ms, machine, author,
+  CASE WHEN event_id % 13 = 0 AND event_id % 5 <> 0 AND op_type <> 'create_node' THEN concat('E-900.', event_id) ELSE node_id END AS node_id,
+  CASE WHEN event_id % 5 = 0 AND (op_type <> 'create_node' OR event_id % 10 = 0) THEN CAST(NULL AS STRING) ELSE concat('n-', node_id) END AS uid, op, field_name, new_value, to_status, until, target
+  FROM (SELECT *,
+    CASE op WHEN 'update_field' THEN CASE event_id % 9 WHEN 0 THEN 'title' WHEN 1 THEN 'description' WHEN 2 THEN 'prompt' WHEN 3 THEN 'priority' WHEN 4 THEN 'acceptance' WHEN 5 THEN 'status' WHEN 6 THEN 'assignee' WHEN 7 THEN 'agent_state' ELSE 'title' END WHEN 'set_prompt' THEN 'prompt' WHEN 'set_acceptance' THEN 'acceptance' ELSE '' END AS field_name,
+    CASE WHEN op = 'update_field' AND event_id % 9 = 3 THEN CAST(1 + event_id % 4 AS STRING) WHEN op = 'update_field' AND event_id % 9 = 5 THEN CASE event_id % 2 WHEN 0 THEN 'blocked' ELSE 'done' END ELSE concat('v', event_id) END AS new_value,
+    CASE event_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'open' WHEN 3 THEN 'in_progress' ELSE 'invalidated' END AS to_status,
+    CASE WHEN event_id % 3 = 0 THEN CAST(NULL AS STRING) ELSE concat('2030-01-0', 1 + event_id % 9, 'T00:00:00Z') END AS until, concat('E-', 1 + event_id % 50, '.1') AS target
+    FROM (SELECT event_id, arrival, lamport, wall_ms, machine, author, node_id, op_type, CASE op_type WHEN 'claim' THEN CASE event_id % 4 WHEN 0 THEN 'unclaim' WHEN 1 THEN 'defer' ELSE 'claim' END
+      WHEN 'comment' THEN CASE event_id % 16 WHEN 0 THEN 'delete' WHEN 1 THEN 'set_prompt' WHEN 2 THEN 'set_acceptance' WHEN 3 THEN 'link_dep' WHEN 4 THEN 'unlink_dep' WHEN 5 THEN 'link_dep' ELSE 'comment' END ELSE op_type END AS op FROM ev) x) y)"""
+
+FIRINGS = """
+firings AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'claims' ELSE 'near' END AS hook, concat('E-', user_id % 7) AS node_id, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'delivered' END AS outcome, ts AS fired_at FROM ev)"""
+
 AGENTS = """
 agents AS (SELECT concat('agent-', l_suppkey) AS agent_id, max(CAST(l_shipdate AS TIMESTAMP)) AS last_heartbeat, CASE WHEN l_suppkey % 3 = 0 THEN 'stuck' ELSE 'working' END AS state FROM {lineitem} WHERE l_shipdate < TIMESTAMP '2000-01-01 00:00:00' GROUP BY l_suppkey)"""
 
 SESSIONS = """
 sessions AS (SELECT concat('s', o_orderkey % 50) AS id, concat('agent-', o_orderkey % 10) AS agent_id, min(CAST(o_orderdate AS TIMESTAMP)) AS started_at, CASE WHEN min(o_orderkey) % 2 = 0 THEN 'active' ELSE 'ended' END AS status FROM {orders} GROUP BY 1, 2)"""
 
-_PARTS = {"nodes": (NODES,), "edges": (NODES, EDGES), "ev": (EVENTS,), "agents": (AGENTS,), "sessions": (SESSIONS,)}
+_PARTS = {"nodes": (NODES,), "edges": (NODES, EDGES), "ev": (EVENTS,), "log": (EVENTS, LOG), "firings": (EVENTS, FIRINGS), "agents": (AGENTS,), "sessions": (SESSIONS,)}
+#: What the store keeps, and the column it sorts by.
+_STORED = {"nodes": "id", "edges": "to_id"}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"]
 
 
@@ -51,6 +70,14 @@ def _with(names) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view by name; nodes and edges come from the store."""
+    made = _made(spark, sf_dir, name)
+    return stored(spark, sf_dir, name, made, _STORED[name]) if name in _STORED else made
+
+
+def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "edges":
+        return spark.sql(f"WITH {EDGES} SELECT * FROM edges".replace("FROM nodes", "FROM {nodes}"), nodes=view(spark, sf_dir, "nodes"))
     text = _with([name])
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
     return spark.sql(f"{text.replace('{ms}', 'unix_millis(CAST(ts AS TIMESTAMP))')} SELECT * FROM {name}", **used)
@@ -58,7 +85,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(query: str, *names: str) -> str:
     """The query for the checking engine, with the views it names before it."""
-    text = _with(names).replace("{ms}", "epoch_ms(ts)")
+    text = _with(names).replace("{ms}", "CAST(epoch_us(ts) // 1000 AS BIGINT)")
     for t in TABLES:
         text = text.replace(f"{{{t}}}", t)
     query = query.strip()
