@@ -95,13 +95,23 @@ def test_duplicate_numbers(spark):
     assert got(events.duplicate_losers(c), "event_id", "winner") == [("a2", "a1"), ("a3", "a1")]
 
 
-def test_search_grammar(spark):
-    d = spark.createDataFrame([(1, "Stripe authentication and login"), (2, "login only"), (3, "the exact phrase here"), (4, None), (5, "exact other phrase")], "doc_id int, text string")
-    hits = {q: [r[0] for r in got(text.search(d, q), "doc_id")] for q in ("authentication AND login", '"exact phrase"', "auth*", "login NOT stripe", "stripe OR phrase", "text:login")}
-    assert hits == {"authentication AND login": [1], '"exact phrase"': [3], "auth*": [1], "login NOT stripe": [2], "stripe OR phrase": [1, 3, 5], "text:login": [1, 2]}
-    for bad in ("", "   ", "* ( )", "NOT a"):
+def test_search(spark):
+    T = text.Term
+    d = spark.createDataFrame([(1, "Stripe authentication and login", "phrase"), (2, "login only", None), (3, "the exact phrase here", ""), (4, None, None), (5, "exact other phrase", "login"), (6, "exact", "phrase exact")], "doc_id int, text string, more string")
+    index, sizes = text.postings(d, ["text", "more"]), text.lengths(d, ["text", "more"])
+    hits = lambda *asked: [r[0] for r in got(text.search(index, sizes, list(asked)), "id")]
+    assert hits([T("authentication"), T("LOGIN")]) == [1]
+    assert hits([T("exact phrase")]) == [3]  # not over two columns
+    assert hits([T("auth", prefix=True)]) == [1] and hits([T("auth", prefix=True, column="more")]) == []
+    assert hits([T("login"), T("stripe", without=True)]) == [2, 5]
+    assert hits([T("stripe")], [T("phrase")]) == [1, 3, 5, 6]
+    assert hits([T("login", column="text")]) == [1, 2]
+    assert hits([T("login"), T("exact other", without=True)]) == [1, 2] and hits([T("absent")]) == []
+    for bad in ([], [[]], [[T("")]], [[T("* ( )")]], [[T("a", without=True)]], [[T("a b", prefix=True)]]):
         with pytest.raises(ValueError):
-            text.search(d, bad)
+            text.search(index, sizes, bad)
+    ranked = [r.id for r in text.best(text.search(index, sizes, [[T("login")]]), 2).collect()]
+    assert ranked == [2, 5] and text.best(text.search(index, sizes, [[T("login")]]), 5, 2).first().id == 1
 
 
 def test_text_functions(spark):
@@ -189,7 +199,7 @@ def test_engine(spark):
     assert got(own.siblings("P-1.1"), "id") == [("P-1.2",)]
     assert own.list(limit=0).count() == 0 and tuple(own.total(limit=2).first()) == (3, 2, True)
     assert [c["id"] for c in own.nested("P-1")["children"]] == ["P-1.1", "P-1.2"]
-    assert got(own.search("title"), "id") == [("P-1",), ("P-1.1",), ("P-1.2",)]
+    assert got(own.search([text.Term("title")]), "id") == [("P-1",), ("P-1.1",), ("P-1.2",)]
     assert own.context("P-1.2").first().prompt == "P-1 title P-1\nP-1.2 title P-1.2"
     assert own.list(fields=["id"], labels=["x"], status=["done"]).collect()[0].id == "P-1.1"
     assert own.blockers("P-1.2").count() == 0 and own.dependents("P-1.1").count() == 1

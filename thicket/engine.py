@@ -68,8 +68,11 @@ class Engine:
     def dependents(self, id_: str) -> DataFrame:
         return self.edges.filter(F.col("from_id") == id_)
 
-    def search(self, query: str, column: str = "title") -> DataFrame:
-        return text.search(listing.live(self.nodes), query, "id", column)
+    def search(self, *asked: list[text.Term], limit: int = 20, offset: int = 0) -> DataFrame:
+        """A page of the live nodes that meet one of the alternatives in their texts."""
+        columns = [c for c in ("title", "description", "prompt") if c in self.nodes.columns]
+        rows = listing.live(self.nodes)
+        return text.best(text.search(text.postings(rows, columns, "id"), text.lengths(rows, columns, "id"), list(asked)), limit, offset)
 
     def context(self, id_: str) -> DataFrame:
         named = self.ancestors(id_).select(F.lit(id_).alias("id"), F.col("id").alias("ancestor_id"), F.col("depth").cast("long").alias("level"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from thicket.functions.ids import tokens
 from thicket.operators.listing import live
 
+#: Places between the columns of a row.
+GAP = 1 << 24
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -17,77 +21,79 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0)
 
 
-def parse(query: str) -> list[list[tuple[str, str, str]]]:
-    """A query's alternatives: each a list of (kind, column, words) that must all hold.
+@dataclass(frozen=True)
+class Term:
+    """One condition of a search: a word, a phrase of several, or a word's beginning; in one column or any; there or not there."""
 
-    Kinds are ``all`` (a word), ``prefix`` (word*), ``phrase`` ("...") and ``not``.
-    Words stand together by AND; OR parts alternatives; ``column:`` narrows the next.
+    words: str
+    prefix: bool = False
+    without: bool = False
+    column: str = ""
+
+    def tokens(self) -> list[str]:
+        return re.findall(r"[^\W_]+", self.words.lower())
+
+
+def postings(rows: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+    """(term, id, column, places): where each word stands in each text. Stored sorted by term, a search reads only its words.
+
+    Columns follow each other at a distance that no phrase crosses.
+    """
+    each = [rows.select(F.col(id_col).alias("id"), F.lit(c).alias("column"), F.posexplode(terms(F.coalesce(F.col(c), F.lit("")))).alias("place", "term")).withColumn("place", F.col("place") + k * GAP) for k, c in enumerate(columns)]
+    return reduce(DataFrame.unionByName, each).groupBy("term", "id", "column").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def lengths(rows: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+    """(id, n): how many words each row's columns have."""
+    return rows.select(F.col(id_col).alias("id"), sum((F.size(terms(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).alias("n"))
+
+
+def search(index: DataFrame, sizes: DataFrame, asked: list[list[Term]], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """id and BM25 score of the rows that meet all terms of one of the alternatives; equal scores go by id when paged.
+
+    Only the postings of the words asked for are read; they meet by row, so a
+    common word's postings spread over all tasks.
     """
-    if not query.strip():
-        raise ValueError("empty query")
-    found: list[list[tuple[str, str, str]]] = [[]]
-    negate = False
-    for column, phrase, word, star in re.findall(r'(?:(\w+):)?(?:"([^"]*)"|([^\s"*()]+)(\*?))', query):
-        if word == "OR":
-            found.append([])
-        elif word == "NOT":
-            negate = True
-        elif word != "AND":
-            words = " ".join(re.findall(r"\w+", (phrase or word).lower()))
-            if words:
-                found[-1].append(("not" if negate else "phrase" if phrase or " " in words else "prefix" if star else "all", column, words))
-            negate = False
-    if any(all(k == "not" for k, _, _ in part) for part in found):
+    if not asked or any(not t.tokens() for part in asked for t in part):
+        raise ValueError("a search needs words")
+    if any(all(t.without for t in part) for part in asked):
         raise ValueError("each alternative needs a word that must be there")
-    return found
-
-
-def matches(query: str, columns: dict[str, Column]) -> Column:
-    """The query as a predicate over columns of terms."""
-
-    def test(kind: str, column: str, words: str) -> Column:
-        if column and column not in columns:
-            raise ValueError(f"unknown column {column}")
-        own = [columns[column]] if column else list(columns.values())
-        hits = []
-        for t in own:
-            if kind == "prefix":
-                hits.append(F.exists(t, lambda x: x.startswith(words)))
-            elif " " in words:
-                hits.append(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")).contains(f" {words} "))
-            else:
-                hits.append(F.array_contains(t, words))
-        any_hit = hits[0]
-        for h in hits[1:]:
-            any_hit = any_hit | h
-        return ~any_hit if kind == "not" else any_hit
-
-    whole = None
-    for part in parse(query):
-        both = None
-        for p in part:
-            both = test(*p) if both is None else both & test(*p)
-        whole = both if whole is None else whole | both
-    return whole
-
-
-def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id and BM25 score of the texts that match; the corpus counts come from one pass over all texts."""
-    listed = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    words = sorted({w for part in parse(query) for k, _, ws in part if k != "not" for w in ws.split()})
-    n = F.size("t")
-    tf = [F.size(F.filter("t", _same(w))).alias(f"tf{i}") for i, w in enumerate(words)]
-    rows = listed.select("id", n.alias("n"), matches(query, {text_col: F.col("t")}).alias("hit"), *tf)
-    corpus = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    if any(t.prefix and len(t.tokens()) > 1 for part in asked for t in part):
+        raise ValueError("a beginning is of one word")
+    every = list(dict.fromkeys(t for part in asked for t in part))
+    exact = sorted({w for t in every if not t.prefix or not t.without for w in t.tokens()})
+    scoring = sorted({w for t in every if not t.without for w in t.tokens()})
+    wanted = F.col("term").isin(exact)
+    for t in every:
+        wanted = wanted | F.col("term").startswith(t.tokens()[0]) if t.prefix else wanted
+    rows = index.filter(wanted)
+    of = lambda t: F.lit(True) if not t.column else F.col("column") == t.column
+    parts = {f"p{i}_{k}": F.flatten(F.collect_list(F.when((F.col("term") == w) & of(t), F.col("places")))) for i, t in enumerate(every) if not t.prefix for k, w in enumerate(t.tokens())}
+    begins = {f"q{i}": F.coalesce(F.bool_or(F.col("term").startswith(t.tokens()[0]) & of(t)), F.lit(False)) for i, t in enumerate(every) if t.prefix}
+    counts = {f"tf{i}": F.coalesce(F.sum(F.when(F.col("term") == w, F.size("places"))), F.lit(0)) for i, w in enumerate(scoring)}
+    found = rows.groupBy("id").agg(*[c.alias(n) for n, c in (parts | begins | counts).items()])
+
+    def holds(i: int, t: Term):
+        if t.prefix:
+            hit = F.col(f"q{i}")
+        else:
+            later = [(k, F.col(f"p{i}_{k}")) for k in range(1, len(t.tokens()))]
+            hit = F.exists(f"p{i}_0", lambda at: reduce(lambda a, x: a & F.array_contains(x[1], at + x[0]), later, F.lit(True)))
+        return ~hit if t.without else hit
+
+    test = {t: holds(i, t) for i, t in enumerate(every)}
+    met = reduce(lambda a, x: a | x, [reduce(lambda a, x: a & x, [test[t] for t in part]) for part in asked])
+    corpus = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).join(found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(scoring))]))
     score = F.lit(0.0)
-    for i in range(len(words)):
+    for i in range(len(scoring)):
         idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.greatest("mean", F.lit(1.0))))
-    return rows.filter("hit").join(F.broadcast(corpus)).select(F.col("id").alias(id_col), F.round(score, 6).alias("score"))
+    return found.filter(met).join(sizes, "id").join(F.broadcast(corpus)).select("id", F.round(score, 6).alias("score"))
 
 
-def _same(word: str):
-    return lambda x: x == word
+def best(found: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of a search, the best first."""
+    return found.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
 
 
 def context(nodes: DataFrame, chains: DataFrame) -> DataFrame:

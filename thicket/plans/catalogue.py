@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thicket.functions import clocks, ids
 from thicket.operators import aggregates, events, graph, hierarchy, integrity, lifecycle, listing, text
 from thicket.plans import applied, deeper
+from thicket.sources.store import stored
 from thicket.sources.views import NOW, oracle, oracle_recursive, view
 from thicket.streaming import journal
 
@@ -206,23 +207,29 @@ _add("recover_merge", "nodes", "SELECT id, CASE WHEN depth = 1 THEN 'placeholder
 _add("placeholder_ancestors", "nodes", "SELECT DISTINCT p.id, p.depth FROM nodes p JOIN nodes c ON c.parent_id = p.id WHERE p.depth = 1")(lambda n: hierarchy.placeholders(n.filter("depth <> 1")).filter("depth = 1"))
 
 
-def _search(name: str, query: str, condition: str) -> None:
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of the documents, from the store."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return stored(spark, sf_dir, "postings", text.postings(docs, ["text"]), "term"), stored(spark, sf_dir, "lengths", text.lengths(docs, ["text"]), "id")
+
+
+def _search(name: str, asked: list[list[text.Term]], condition: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return text.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), query).select("doc_id")
+        return text.search(*_index(spark, sf_dir), asked).select(F.col("id").alias("doc_id"))
 
     _QUERIES[name] = run
     words = "(SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS w FROM documents) x"
     _SQL[name] = f"SELECT doc_id FROM {words} WHERE {condition}"
 
 
-_search("search_and", "the AND license", "contains(w, ' the ') AND contains(w, ' license ')")
-_search("search_phrase", '"apache license"', "contains(w, ' apache license ')")
-_search("search_prefix", "licen* NOT apache", "contains(w, ' licen') AND NOT contains(w, ' apache ')")
-_search("search_or", "apache OR trash", "contains(w, ' apache ') OR contains(w, ' trash ')")
+_search("search_and", [[text.Term("the"), text.Term("license")]], "contains(w, ' the ') AND contains(w, ' license ')")
+_search("search_phrase", [[text.Term("apache license")]], "contains(w, ' apache license ')")
+_search("search_prefix", [[text.Term("licen", prefix=True), text.Term("apache", without=True)]], "contains(w, ' licen') AND NOT contains(w, ' apache ')")
+_search("search_or", [[text.Term("apache")], [text.Term("trash")]], "contains(w, ' apache ') OR contains(w, ' trash ')")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "apache license")
+    return text.search(*_index(spark, sf_dir), [[text.Term("apache"), text.Term("license")]]).withColumnRenamed("id", "doc_id")
 
 
 _QUERIES["search_scores"] = _scored
@@ -234,11 +241,13 @@ SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return log.select("conv_id", "turn", ids.mention(F.concat(F.lit("@"), "role", F.lit(" "), "text")).alias("agent"))
+    # names at the start, inside, after a blank and with other signs, by the turn's number
+    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("@"), "role", F.lit(" "), "text")).when(F.col("turn") % 4 == 1, F.concat("text", F.lit(" @"), "role")).when(F.col("turn") % 4 == 2, F.concat(F.lit(" @"), "role", F.lit(" x"))).otherwise(F.col("text"))
+    return log.select("conv_id", "turn", ids.mention(said).alias("agent"))
 
 
 _QUERIES["mentions"] = _mentions
-_SQL["mentions"] = "SELECT conv_id, turn, role AS agent FROM conversations"
+_SQL["mentions"] = r"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN role WHEN 1 THEN regexp_extract(text || ' @' || role, '(?:^|[^\w@])@([a-z0-9_-]{1,64})', 1) WHEN 2 THEN role ELSE regexp_extract(text, '(?:^|[^\w@])@([a-z0-9_-]{1,64})', 1) END AS agent FROM conversations"
 
 
 applied.register(_add)
