@@ -194,3 +194,36 @@ def test_imports(spark):
     assert got(integrity.merged(base, new), "id", "title", "uid") == [("P-1", "a", "u1"), ("P-2", "c", "u2"), ("P-3", "d", "u3")]
     after = integrity.replaced({"nodes": base, "sessions": base}, {"nodes": new.drop("uid")})
     assert after["nodes"].columns == base.columns and after["nodes"].count() == 3 and after["sessions"].count() == 0
+
+
+def test_hook_configuration():
+    from thicket.streaming import hooks
+
+    ok = {"name": "a", "match": {"events": ["node.created"]}, "deliver": ["inbox"]}
+    bad = [dict(ok), {}, {**ok, "name": "b", "match": {}}, {**ok, "name": "c", "deliver": []}, {**ok, "name": "d", "match": {"events": ["nope"]}}, {**ok, "name": "e", "deliver": ["pigeon"]}, {**ok, "name": "f", "deliver": ["exec"]}, {**ok, "name": "g", "deliver": ["webhook"], "webhook": {"url": ""}}]
+    good, warnings = hooks.checked([ok, *bad, {**ok, "name": "h", "deliver": ["exec"], "exec": {"command": ["x"]}}])
+    assert [g["name"] for g in good] == ["a", "h"] and len(warnings) == len(bad)
+
+
+def test_hook_ledger(spark):
+    from thicket.streaming import hooks
+
+    ledger = spark.createDataFrame([("a", 5, datetime(2026, 1, 1), "claimed"), ("a", 6, datetime(2026, 1, 1, 0, 0, 59), "claimed"), ("a", 3, datetime(2026, 1, 1), "delivered")], hooks.LEDGER)
+    asked = spark.createDataFrame([("a", n) for n in (2, 3, 5, 6, 7, 7)], "hook string, seq long")
+    now = "2026-01-01 00:01:01"
+    assert got(hooks.claimed(asked, ledger, 2, now), "hook", "seq") == [("a", 5), ("a", 7)]
+    assert got(hooks.stale(ledger, now), "seq") == [(5,)]
+    assert hooks.floor_after(ledger, 1, 9).first().floor == 4 and hooks.floor_after(ledger, 8, 9).first().floor == 8
+    after = hooks.recorded(ledger, spark.createDataFrame([("a", 5, "delivered"), ("a", 6, "failed")], "hook string, seq long, outcome string"), now)
+    assert hooks.floor_after(after, 1, 9).first().floor == 9 and got(hooks.pruned(after, 5), "seq") == [(6,)]
+
+
+def test_provisional_ids_stay_inside(spark):
+    from thicket.operators import collisions
+
+    collisions.refuse_provisional(spark.createDataFrame([("P-1.2",), (None,)], "id string"))
+    with pytest.raises(ValueError, match="P-1.u0123456789ab"):
+        collisions.refuse_provisional(spark.createDataFrame([("P-1.2",), ("P-1.u0123456789ab",)], "id string"))
+    rows = spark.createDataFrame([(2, "open", "P", "2026-01-02"), (1, "open", "P", "2026-01-01"), (3, "resolved", "P", "2026-01-01"), (4, "open", "Q", "2026-01-01")], "collision_id int, status string, project string, detected_at string")
+    assert [r.collision_id for r in collisions.open_collisions(rows, "P").collect()] == [1, 2]
+    assert collisions.restored_epoch(spark.createDataFrame([(4,)], "restore_epoch long")).first()[0] == 5

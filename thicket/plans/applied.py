@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.operators import replay
+from thicket.operators import collisions, replay
+from thicket.streaming import hooks
 
 
 def log_of(rows: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def log_of(rows: DataFrame) -> DataFrame:
         .when(op == "transition_status", j(to=c("to_status")))
         .when(op == "claim", j(agent_id=c("author")))
         .when(op == "defer", j(until=c("until")))
-        .when(op == "comment", j(author_id=c("author"), body=c("new_value")))
+        .when(op == "comment", j(author_id=c("author"), body=c("new_value"), to=F.when(c("event_id") % 3 == 0, F.concat(F.lit("u"), c("event_id") % 7))))
         .when(op == "link_dep", j(depends_on_node_id=c("target"), dep_type=F.lit("blocks")))
         .when(op == "unlink_dep", j(depends_on_node_id=c("target")))
         .when(op == "set_prompt", j(prompt_text=c("new_value")))
@@ -54,7 +55,47 @@ x AS (SELECT coalesce(a.id, l.node_id) AS from_id, l.target AS to_id, 'blocks' A
 SELECT from_id, to_id, dep_type FROM x GROUP BY 1, 2, 3 HAVING arg_max(op, arrival) = 'link_dep'"""
 
 
+HOOKS = [
+    {"name": "made", "match": {"events": ["node.created"], "under": "E-3"}, "deliver": ["inbox"]},
+    {"name": "ended", "match": {"events": ["status.changed"], "status_to": ["done", "cancelled"], "from_agent_not": "u5"}, "deliver": ["inbox"]},
+    {"name": "asked", "match": {"events": ["comment.addressed", "status.changed"], "to_agent": "u3"}, "deliver": ["inbox"]},
+]
+_VIA = "CASE event_id % 10 WHEN 0 THEN 'ended' WHEN 1 THEN 'asked' END"
+_NAMED = "h AS (SELECT event_id, author, node_id, CASE op WHEN 'comment' THEN 'comment.addressed' WHEN 'transition_status' THEN 'status.changed' ELSE 'node.created' END AS name, CASE WHEN op = 'comment' THEN concat('u', event_id % 7) END AS to_agent, CASE WHEN op = 'transition_status' THEN to_status END AS status_to, coalesce(" + _VIA + ", '') AS via FROM log WHERE op IN ('create_node', 'transition_status') OR op = 'comment' AND event_id % 3 = 0)"
+_MATCHED = f"""{_NAMED}, m AS (SELECT 'made' AS hook, event_id FROM h WHERE name = 'node.created' AND (node_id = 'E-3' OR starts_with(node_id, 'E-3.'))
+UNION ALL SELECT 'ended', event_id FROM h WHERE name = 'status.changed' AND status_to IN ('done', 'cancelled') AND author <> 'u5' AND via <> 'ended'
+UNION ALL SELECT 'asked', event_id FROM h WHERE (name = 'comment.addressed' AND to_agent = 'u3' OR name = 'status.changed') AND via <> 'asked')"""
+_LEDGER = "CASE event_id % 5 WHEN 0 THEN 'claimed' WHEN 1 THEN 'delivered' END"
+_FIRED = "CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:50' END"
+PASS = "2024-01-01 00:01:05"
+
+
+def _events(e: DataFrame) -> DataFrame:
+    return hooks.normalised(log_of(e).withColumn("via_hook", F.expr(_VIA)))
+
+
+def _matches(e: DataFrame) -> DataFrame:
+    good, _ = hooks.checked(HOOKS)
+    return hooks.matched(_events(e), hooks.table_of(e.sparkSession, good))
+
+
+def _pass(e: DataFrame) -> DataFrame:
+    """What a pass over all matches wins, beside a ledger that holds some of them."""
+    asked = _matches(e)
+    ledger = asked.select("hook", F.col("event_id").alias("seq"), F.expr(_FIRED).alias("fired_at"), F.expr(_LEDGER).alias("outcome")).filter("outcome is not null")
+    return hooks.claimed(asked.withColumnRenamed("event_id", "seq"), ledger, 1000, PASS)
+
+
+def _collided(e: DataFrame) -> DataFrame:
+    rows = e.filter("op = 'create_node'").select(F.col("event_id").alias("collision_id"), F.expr("CASE WHEN event_id % 4 = 0 THEN 'resolved' ELSE 'open' END").alias("status"), *[F.lit(None).cast("string").alias(c) for c in ("winner_event_id", "loser_new_path", "resolved_by")], F.lit(None).cast("timestamp").alias("resolved_at"))
+    told = e.filter("op = 'create_node' and event_id % 3 = 0").select(F.col("event_id").alias("collision_id"), F.col("event_id").cast("string").alias("winner_event_id"), F.concat("node_id", F.lit("9")).alias("loser_new_path"), F.lit("op").alias("resolved_by"))
+    return collisions.resolve(rows, told, "2024-02-01").select("collision_id", "status", "winner_event_id", "loser_new_path", "changed")
+
+
 def register(add) -> None:
+    add("hook_rules", "log", f"WITH {_MATCHED} SELECT hook, event_id FROM m")(_matches)
+    add("hook_claims", "log", f"WITH {_MATCHED} SELECT hook, event_id AS seq FROM m WHERE {_LEDGER} IS NULL AND event_id > 1000 OR {_LEDGER} = 'claimed' AND {_FIRED} < TIMESTAMP '{PASS}' - INTERVAL 60 SECOND")(_pass)
+    add("resolved_collisions", "log", "SELECT event_id AS collision_id, CASE WHEN event_id % 4 = 0 OR event_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN event_id % 4 <> 0 AND event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END AS winner_event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 3 = 0 THEN concat(node_id, '9') END AS loser_new_path, event_id % 4 <> 0 AND event_id % 3 = 0 AS changed FROM log WHERE op = 'create_node'")(_collided)
     add("apply_nodes", "log", REPLAY)(lambda e: replay.replay(log_of(e)).drop("labels"))
     add("apply_edges", "log", EDGES)(lambda e: replay.replay_edges(log_of(e)))
     add("apply_comments", "log", f"WITH {_FOUND} SELECT id, event_id, author, new_value AS text, wall_ms AS at_ms FROM a WHERE op = 'comment'")(lambda e: replay.annotations(log_of(e)))
