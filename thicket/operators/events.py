@@ -61,7 +61,10 @@ def once(events: DataFrame, applied: DataFrame | None = None) -> DataFrame:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """State of each created node: fields by last writer, status and assignee by last arrival, comments counted, deletions by the first."""
+    """A summary of logs without payloads: fields by last writer, claims and completions by last arrival, comments counted.
+
+    It knows no other kinds of events; ``thicket.operators.replay`` applies all of them from their payloads.
+    """
     log = once(events)
     first = log.filter("op_type = 'create_node'").groupBy("node_id").agg(F.min("arrival").alias("created"))
     later = log.join(first, "node_id").filter("arrival >= created")

@@ -194,11 +194,17 @@ _add("content_hash", "nodes", """SELECT id, sha256('{"acceptance":"","descriptio
 _add("context_prompt", "nodes", f"WITH c AS (SELECT n.id, a.depth, a.id || ' ' || a.title AS line FROM (SELECT id, unnest([array_to_string(string_split(id, '.')[1:k], '.') FOR k IN range(1, len(string_split(id, '.')) + 1)]) AS p FROM nodes WHERE {LIVE}) n JOIN nodes a ON a.id = n.p AND a.{LIVE}) SELECT id, string_agg(line, chr(10) ORDER BY depth) AS prompt FROM c GROUP BY 1")(
     lambda n: text.context(n, hierarchy.with_ancestors(n))
 )
-_add("briefing", "nodes", None)(lambda n: text.briefing(listing.live(n), ["title", "status", "assignee", "label"]))
+_add("briefing", "nodes", f"SELECT id, concat_ws(chr(10), repeat('=', 80), {', '.join(f"CASE WHEN {f} <> '' THEN '{f}: ' || {f} END" for f in ('title', 'status', 'assignee', 'label'))}) AS briefing FROM nodes WHERE {LIVE}")(lambda n: text.briefing(listing.live(n), ["title", "status", "assignee", "label"]))
 
 # integrity
 _add("verify_fk", "nodes", f"SELECT id, parent_id FROM nodes n WHERE {LIVE} AND parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.id = n.parent_id AND p.{LIVE})")(integrity.dangling_parents)
-_add("verify_all", "nodes edges", None)(integrity.verify)
+_CHECKS = {
+    "parents": f"SELECT n.id FROM nodes n LEFT JOIN (SELECT id FROM nodes WHERE {LIVE}) p ON p.id = n.parent_id WHERE n.{LIVE} AND n.parent_id IS NOT NULL AND p.id IS NULL",
+    "edges": "SELECT DISTINCT from_id, to_id FROM edges WHERE from_id NOT IN (SELECT id FROM nodes) OR to_id NOT IN (SELECT id FROM nodes)",
+    "unique_ids": "SELECT id FROM nodes GROUP BY 1 HAVING count(*) > 1",
+    "progress": f"SELECT n.id FROM nodes n JOIN (SELECT parent_id, sum(progress * weight) / sum(weight) AS e FROM nodes WHERE {LIVE} AND status NOT IN ('cancelled', 'invalidated') AND parent_id IS NOT NULL GROUP BY 1) m ON m.parent_id = n.id WHERE n.{LIVE} AND abs(n.progress - m.e) > 0.01",
+}
+_add("verify_all", "nodes edges", " UNION ALL ".join(f"SELECT '{name}' AS \"check\", count(*) AS faults, count(*) = 0 AS ok FROM ({rows}) {name}_rows" for name, rows in _CHECKS.items()))(integrity.verify)
 _add("set_diff", "nodes", "SELECT id, CASE WHEN status = 'done' THEN 'left' ELSE 'right' END AS side FROM nodes WHERE (status = 'done') <> (priority = 1)")(lambda n: integrity.set_diff(n.filter("status = 'done'"), n.filter("priority = 1")))
 _add("merge_actions", "nodes", "SELECT id, CASE WHEN depth < 2 THEN 'created' WHEN priority = 2 THEN 'updated' ELSE 'skipped' END AS action FROM nodes")(lambda n: integrity.merge_actions(n.filter("depth >= 2").select("id", F.col("title").alias("content_hash")), n.select("id", F.when(F.col("priority") == 2, "other").otherwise(F.col("title")).alias("content_hash"))))
 _add("recover_merge", "nodes", "SELECT id, CASE WHEN depth = 1 THEN 'placeholder' WHEN depth = 3 AND status = 'done' OR depth = 0 THEN 'primary' ELSE 'mirror' END AS origin FROM nodes n WHERE depth IN (0, 2, 3) OR depth = 1 AND EXISTS (SELECT 1 FROM nodes c WHERE c.parent_id = n.id)")(
