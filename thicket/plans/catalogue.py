@@ -216,7 +216,7 @@ _add("placeholder_ancestors", "nodes", "SELECT DISTINCT p.id, p.depth FROM nodes
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of the documents, from the store."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return stored(spark, sf_dir, "postings", text.postings(docs, ["text"]), "term"), stored(spark, sf_dir, "lengths", text.lengths(docs, ["text"]), "id")
+    return stored(spark, sf_dir, "postings", lambda: text.postings(docs, ["text"]), "term"), stored(spark, sf_dir, "lengths", lambda: text.lengths(docs, ["text"]), "id")
 
 
 def _search(name: str, asked: list[list[text.Term]], condition: str) -> None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,11 +31,11 @@ def shared_folder(spark: SparkSession) -> str | None:
     return given
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, made: DataFrame, order: str) -> DataFrame:
-    """``made``, as a table that is written at its first use in this application and sorted by ``order``."""
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], order: str) -> DataFrame:
+    """What ``make`` gives, as a table that is written at its first use in this application and sorted by ``order``."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        folder = shared_folder(spark)
+        folder, made = shared_folder(spark), make()
         if folder is None:
             return made
         path = f"{folder}/thicket-{name}-{uuid.uuid4().hex}"

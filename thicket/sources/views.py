@@ -71,8 +71,7 @@ def _with(names) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view by name; nodes and edges come from the store."""
-    made = _made(spark, sf_dir, name)
-    return stored(spark, sf_dir, name, made, _STORED[name]) if name in _STORED else made
+    return stored(spark, sf_dir, name, lambda: _made(spark, sf_dir, name), _STORED[name]) if name in _STORED else _made(spark, sf_dir, name)
 
 
 def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
