@@ -97,6 +97,15 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op11_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.ftrl import SCORE_AT, fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 5)
+    found = scored(docs, fit(docs, table(spark, sf_dir, "labels"), fold != 0))
+    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= SCORE_AT).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith(("op", "simhash_", "quality_")) and callable(f)}
 
