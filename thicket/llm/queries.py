@@ -106,6 +106,32 @@ def op11_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= SCORE_AT).cast("int").alias("predicted"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents repeat some of their words to the end, as the operator's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    n, g = F.size("words"), F.col("g")
+    a = F.when(n > 0, g % n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    periodic = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.element_at("words", (at(i) + 1).cast("int"))), " ")
+    return rows.select("doc_id", F.when(n > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op13_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.periods import find_runs
+
+    found = find_runs(_made_periodic(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # runs come by start, then period, so the first of equal ones stays
+    best = F.aggregate("runs", none, lambda most, r: F.when(most.isNull() | (r["length"] * most["period"] > most["length"] * r["period"]), r).otherwise(most))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    own = [F.col(f"b.{c}").alias(c) for c in ("start", "length", "period")]
+    return rows.select("doc_id", "n_runs", *own, F.floor(1000 * F.col("b.length") / F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith(("op", "simhash_", "quality_")) and callable(f)}
 
