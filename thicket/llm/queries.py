@@ -106,6 +106,14 @@ def op11_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= SCORE_AT).cast("int").alias("predicted"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.alignment import align
+
+    found = align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """(doc_id, text): a tenth of the documents repeat some of their words to the end, as the operator's contract says."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
