@@ -172,13 +172,14 @@ def _examples(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: st
             pairs = list(vectors(batch["text"].to_pylist()))
             yield pa.RecordBatch.from_arrays([batch["shard"], batch["place"], batch["label"], pa.array([a.tobytes() for a, _ in pairs], pa.binary()), pa.array([v.tobytes() for _, v in pairs], pa.binary())], ["shard", "place", "label", "at", "value"])
 
-    made = cut(rows.mapInArrow(run, "shard int, place long, label int, at binary, value binary"))
+    # dealt and sorted once: what is read back keeps its partitions and their order, so no round shuffles
+    made = cut(rows.mapInArrow(run, "shard int, place long, label int, at binary, value binary").repartition(shards, "shard").sortWithinPartitions("shard", "place", "at", "value", "label"))
     total = made.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     return made, total["n"], total["ones"] or 0
 
 
 def _round(examples: DataFrame, shards: int, state: State) -> State:
-    """The mean of what the shards reach from ``state``."""
+    """The mean of what the shards reach from ``state``; each shard's examples lie in a row in one partition."""
     spark = examples.sparkSession
     told = spark.sparkContext.broadcast(state)
 
@@ -198,8 +199,7 @@ def _round(examples: DataFrame, shards: int, state: State) -> State:
         if own is not None:
             yield moved(own, told.value)
 
-    dealt = examples.repartition(shards, "shard").sortWithinPartitions("shard", "place", "at", "value", "label")
-    sums = dealt.mapInArrow(run, "bucket int, z double, n double").groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
+    sums = examples.mapInArrow(run, "bucket int, z double, n double").groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
     new = State(state.z.copy(), state.n.copy())
     at = sums["bucket"].to_numpy()
     new.z[at] += sums["z"].to_numpy() / shards
