@@ -371,7 +371,7 @@ def test_set_phrases_tell_and_copies_count_once():
     text = lambda *more: " ".join([*("".join(rnd.choice("bcdfgklm") for _ in range(5)) for _ in range(40)), *more])
     copied = text("once").split()
     copies = [" ".join([*copied[:k], f"e{k}", *copied[k + 1 :]]) for k in range(20)]
-    found = toxicity.tell_tale([text("go", "to", "hell") for _ in range(30)] + copies, [text("go", "to") for _ in range(60)])
+    found = toxicity.Tells([text("go", "to", "hell") for _ in range(30)] + copies, [text("go", "to") for _ in range(60)]).telling(6)
     assert "hell" in found and "once" not in found and "to" not in found
     assert len(set(toxicity.text_classes(copies))) == 1
 

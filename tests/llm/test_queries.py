@@ -88,8 +88,8 @@ def test_pipeline_is_its_stages_in_plain_python(spark, documents):
 
     docs, labels = (common.table(spark, SF, t) for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels, F.lit(True))
-    pair = model.compressors() if model else None
-    left = [d for d in documents if not model or toxicity.score(d["text"], model, pair) < toxicity.SCORE_AT]
+    distances = toxicity.Distances(model) if model else None
+    left = [d for d in documents if not model or toxicity.score(d["text"], model, distances) < toxicity.SCORE_AT]
     left = [d for d in left if plain_quality(d["text"])]
     groups = components([(d["doc_id"], d["text"]) for d in left])
     left = [d for d in left if groups[d["doc_id"]][1] == d["doc_id"]]
@@ -114,8 +114,14 @@ def test_pipeline_stages_take_awkward_rows(spark, docs, none):
     assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
 
 
+def test_pipeline_stages_take_columns_of_any_name(spark, docs):
+    odd = docs.withColumns({"x.y": F.lit(1), "a`b": F.lit("c"), "q r": F.lit(None).cast("int")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, SF).columns == odd.columns, name
+
+
 def test_toxicity_scores_are_those_of_two_dictionaries(spark):
-    """By hand: both compressors made anew, every window of two words, the curve."""
+    """By hand: both compressors made anew, every window, the curve."""
     import zstandard
     from test_brute_force import toxic_rows
 
@@ -125,14 +131,14 @@ def test_toxicity_scores_are_those_of_two_dictionaries(spark):
     assert not model.toxic.startswith(model.ordinary) and not model.ordinary.startswith(model.toxic)
     size = {}
     for name, raw in (("o", model.ordinary), ("t", model.toxic)):
-        how = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        how = zstandard.ZstdCompressionParameters.from_level(12, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         size[name] = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
     found = {r.doc_id: r.score for r in toxicity.scored(table, model).collect()}
     for i, t, _ in rows[:60]:
         words = re.findall(r"[^\W\d_]+", t.lower())
-        saved = sorted((len(size["o"](w)) - len(size["t"](w)) for w in (f" {' '.join((words + [''])[k : k + 2])} ".encode() for k in range(0, len(words), 2))), reverse=True)
-        top = [max(0, s) for s in saved[:3]]
-        f = [1, top[0], sum(top), np.log1p(sum(s >= 2 for s in saved)), np.log1p(sum(s >= 4 for s in saved)), sum(s >= 4 for s in saved) / len(saved)]
+        spelled = [f"  {''.join(c * 3 for c in w)}  ".encode() for w in words]
+        saved = sorted((max(0, 1 - len(size["t"](w)) / len(size["o"](w))) for w in spelled), reverse=True)
+        f = [1, saved[0], sum(saved[:3]), np.log1p(sum(s >= 0.3 for s in saved)), np.log1p(sum(s >= 0.4 for s in saved)), sum(s >= 0.4 for s in saved) / len(saved)]
         assert found[i] == pytest.approx(1 / (1 + np.exp(-np.clip(np.dot(f, model.weights), -30, 30))))
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import cut, small_batches
+from thicket.llm.common import cut, every, small_batches
 from thicket.llm.shingles import batches_of, digest, shingle_sets
 
 U = np.uint64
@@ -514,7 +514,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One document of each component, the one with the smallest id, and all that have none; of rows with one id one stays."""
     found = near_duplicates(docs, id_col, text_col)
     dropped = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    kept = docs.join(F.broadcast(dropped) if dropped.count() <= SENT else dropped, id_col, "left_anti").select(*docs.columns)
+    kept = docs.join(F.broadcast(dropped) if dropped.count() <= SENT else dropped, id_col, "left_anti").select(*every(docs))
     if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").take(1):
         kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
     return kept

@@ -14,6 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from thicket.llm.common import every
 
 #: White space between words, and the characters that count as symbols.
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,7 +77,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """The id (with ``carry`` the whole row, as a struct of the id's name) and what the rules go by."""
     n = F.size("words")
     places = F.sequence(F.lit(0), n - 3)
-    texts = docs.select((F.struct(*docs.columns) if carry else F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select((F.struct(*every(docs)) if carry else F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = texts.select("id", "text", F.array_remove(F.split(F.translate("text", SPACES, " " * len(SPACES)), " "), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(F.rtrim(F.translate(x, SPACES, " " * len(SPACES)))) > 0).alias("lines"))
     windows = F.when(n >= 3, F.sort_array(F.transform(places, lambda i: F.struct(_hash_at(i).alias("h"), i.alias("i")))))
     found = parts.select("*", windows.alias("windows"))
@@ -119,7 +122,7 @@ def only_kept(docs: DataFrame, version: int = CURRENT, id_col: str = "doc_id", t
     """The rows that the policy keeps, with all their columns."""
     rows = apply_policy(ledger(docs, id_col, text_col, carry=True), version)
     # as an explode, not a filter: a filter would be evaluated below the measurements, with all of them written out again
-    return rows.select(F.explode(F.when(F.col("kept"), F.array(id_col)).otherwise(F.array().cast(f"array<{docs.schema.simpleString()}>"))).alias("row")).select("row.*")
+    return rows.select(F.explode(F.when(F.col("kept"), F.array(id_col)).otherwise(F.array().cast(ArrayType(docs.schema)))).alias("row")).select("row.*")
 
 
 _WHITE = r"[\x20\x09-\x0D]"

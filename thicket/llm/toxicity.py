@@ -7,16 +7,25 @@ whose beginning occurs in many toxic texts, and much more often than in
 ordinary ones, whatever stands before it. Near copies of one text count once:
 those that share half of a sketch of their word runs.
 
-Each window of two words is compressed with both dictionaries; the toxic one's
-saving in bytes is the window's distance. The distances of a text's windows
-give its score by a curve that is calibrated on labelled texts the dictionaries
-never saw, so that SCORE_AT is where precision and recall balance best.
+Each window (a word, its characters written TIMES times over, as a match must
+weigh more than zstandard's fixed bytes) is compressed with both dictionaries;
+the share of bytes that the toxic one saves is the window's distance, zero if
+it saves none. A worker compresses a window once. The distances of a text's windows
+give its score by a curve with weights of zero or more, so a saving never
+speaks for a text. The curve is calibrated by cross-fitting: the labelled texts
+are dealt into FOLDS parts, near copies together, and each part is measured
+with dictionaries of the others. Of a few bounds on how many toxic texts a
+telling word needs, the one with the best cross-fitted F1 is taken. The cut,
+SCORE_AT, is where that F1 is best among cuts that at most CLEAN of the
+ordinary texts reach. If no cut beats calling everything toxic, every text gets
+the toxic share of the sample (at most half) as its score.
 
 The fit takes at most LEARN labelled ids of each kind, one text of at most
-LONGEST characters of each, chosen by a hash of the id. Every text is scored
-from its whole length. Null and empty texts, and all texts if one kind has no
-labelled text, get score 0. Null ids pass through, repeated rows give repeated
-rows, columns other than those named are left out.
+LONGEST characters of each, chosen by a hash of the id; what it finds depends
+on the set of texts, not on their order. Ids labelled both ways teach nothing.
+Every text is scored from its whole length. Null and empty texts, and all texts
+if one kind has under FOLDS labelled texts, get score 0. Null ids pass through,
+repeated rows give repeated rows, columns other than those named are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +35,6 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -40,19 +48,40 @@ LEARN = 3_000
 LONGEST = 20_000
 #: Words of a sample of ordinary text.
 SAMPLE = 8
-#: A beginning must occur in so many toxic texts at least, and in one of so many.
-LEAST, ONE_OF = 6, 120
+#: A beginning must occur in one of so many toxic texts, and in one of these numbers of them at least, and so much more often than in ordinary ones.
+ONE_OF, LEASTS, RATIO = 120, (6, 3, 2), 12
+#: Parts of the labelled texts for cross-fitting; the share of ordinary ones that may reach the cut.
+FOLDS, CLEAN = 3, 0.02
 #: Hashes by which near copies are told.
 SKETCH = 32
 #: Bytes of the dictionaries at most, and of the trainer's segments: an ordinary one is a run of words, a toxic one holds several words that tell.
 ORDINARY, TOXIC = (131_072, 32), (32_768, 96)
 SCORE_AT = 0.7
+TIMES = 3
+#: zstandard's level; deep enough to find what a dictionary holds.
+LEVEL = 12
+#: Distances from which a window counts.
+SOME, MANY = 0.3, 0.4
+#: Windows whose distance a worker keeps.
+KEPT = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def windows(text: str) -> list[bytes]:
-    words = _WORD.findall(text.lower())
-    return [f" {a} {b} ".encode() for a, b in zip_longest(words[::2], words[1::2], fillvalue="")]
+def windows(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+class _Spelling(dict):
+    """Words with each character written TIMES times; a bounded cache."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = "".join([c * TIMES for c in word]).encode()
+        return found
+
+
+_SPELL = _Spelling()
 
 
 def _beginnings(word: str) -> list[str]:
@@ -76,31 +105,51 @@ def text_classes(texts: list[str]) -> list[int]:
     return found
 
 
-def _classes_with(texts: list[str], classes: list[int], keys) -> Counter[str]:
-    """In how many classes of texts each word beginning occurs, of those in ``keys`` (all if that's None)."""
+def _anywhere(word: str) -> set[str]:
+    """All that a beginning could match inside the word, and the whole of it with a mark."""
+    return {word[i : i + k] for k in (4, 5, 6) for i in range(len(word) - k + 1)} | {word + "$"}
+
+
+def _folds_with(texts: list[str], classes: list[int], keys) -> dict[str, np.ndarray]:
+    """In how many classes of texts each word beginning occurs, by fold; those in ``keys`` count inside words too, as a compressor finds them there."""
     inside: defaultdict[str, set[int]] = defaultdict(set)
     for t, c in zip(texts, classes, strict=True):
         for w in set(_WORD.findall(t.lower())):
-            for key in _beginnings(w):
+            for key in _beginnings(w) if keys is None else _anywhere(w):
                 if keys is None or key in keys:
                     inside[key].add(c)
-    return Counter({k: len(v) for k, v in inside.items()})
+    return {k: np.bincount([fold(texts[c]) for c in v], minlength=FOLDS) for k, v in inside.items() if keys is not None or len(v) >= min(LEASTS)}
+
+
+def fold(text: str) -> int:
+    return zlib.crc32(text.encode()) % FOLDS
+
 
+class Tells:
+    """Counts of word beginnings in classes of near copies, from which the telling words of any folds follow."""
 
-def tell_tale(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Words of toxic texts whose beginning occurs in many classes of near copies there, and in few of ordinary texts."""
-    bad, good = text_classes(toxic), text_classes(ordinary)
-    least = max(LEAST, len(set(bad)) // ONE_OF)
-    often = {k: n for k, n in _classes_with(toxic, bad, None).items() if n >= least}
-    usual = _classes_with(ordinary, good, often)
-    share = len(set(bad)) / max(1, len(set(good)))
-    keys = {k for k, n in often.items() if n >= 12 * share * (usual[k] + 0.5)}
-    return {w for t in toxic for w in _WORD.findall(t.lower()) if not keys.isdisjoint(_beginnings(w))}
+    def __init__(self, toxic: list[str], ordinary: list[str]):
+        bad, good = text_classes(toxic), text_classes(ordinary)
+        #: Near copies share the fold of their first.
+        self.fold_bad, self.fold_good = [fold(toxic[c]) for c in bad], [fold(ordinary[c]) for c in good]
+        self.bad = _folds_with(toxic, bad, None)
+        self.good = _folds_with(ordinary, good, self.bad)
+        self.n_bad, self.n_good = (np.bincount([fold(texts[c]) for c in set(own)], minlength=FOLDS) for texts, own in ((toxic, bad), (ordinary, good)))
+        self.words = {w for t in toxic for w in _WORD.findall(t.lower())}
+
+    def telling(self, least: int, without: int = -1) -> set[str]:
+        """Words of toxic texts whose beginning occurs in many classes of them, and in few of ordinary texts, in all folds but one."""
+        here = np.arange(FOLDS) != without
+        need = max(least, int(self.n_bad[here].sum()) // ONE_OF)
+        share = self.n_bad[here].sum() / max(1, self.n_good[here].sum())
+        none = np.zeros(FOLDS, int)
+        keys = {k for k, n in self.bad.items() if (own := n[here].sum()) >= need and own >= RATIO * share * (self.good.get(k, none)[here].sum() + 0.5)}
+        return {w for w in self.words if not keys.isdisjoint(_beginnings(w))}
 
 
 def _samples(text: str, n: int) -> list[bytes]:
     words = _WORD.findall(text.lower())
-    return [f" {' '.join(words[i : i + n])} ".encode() for i in range(0, len(words), n)]
+    return [b"  %b  " % b"  ".join([_SPELL[w] for w in words[i : i + n]]) for i in range(0, len(words), n)]
 
 
 def _train(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -120,64 +169,128 @@ class Model:
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         own = []
         for raw in (self.ordinary, self.toxic):
-            how = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)  # no entropy tables: a found word saves more
             d.precompute_compress(compression_params=how)
             own.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
         return own[0], own[1]
 
 
-def features(text: str, pair) -> np.ndarray:
-    """Savings of the windows: the largest, the sum of the three largest, how many save 2 and 4 bytes, and the latter's share."""
+class Distances(dict):
+    """A window's share of saved bytes, by window; holds a bounded number."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.ordinary, self.toxic = (c.compress for c in model.compressors()) if model.toxic else (len, len)
+
+    def __missing__(self, word: str) -> float:
+        if self.toxic is len:
+            return 0.0
+        if len(self) > KEPT:
+            self.clear()
+        window = b"  %b  " % _SPELL[word]
+        plain = len(self.ordinary(window))
+        found = self[word] = max(0.0, (plain - len(self.toxic(window))) / plain)
+        return found
+
+
+def features(text: str, distances: Distances) -> np.ndarray:
+    """One, then of the windows' distances: the largest, the sum of the three largest, how many reach SOME and MANY, and the latter's share."""
     parts = windows(text)
     if not parts:
         return np.zeros(6)
-    a, b = pair[0].compress, pair[1].compress
-    saved = np.array([len(a(w)) - len(b(w)) for w in parts])
-    top = np.sort(saved)[::-1][:3].clip(0)
-    some, many = int((saved >= 2).sum()), int((saved >= 4).sum())
+    saved = np.array([distances[w] for w in parts])
+    top = np.sort(saved)[::-1][:3]
+    some, many = int((saved >= SOME).sum()), int((saved >= MANY).sum())
     return np.array([1.0, top[0], top.sum(), np.log1p(some), np.log1p(many), many / len(parts)])
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton's steps with a small ridge; moved so that the best cut scores SCORE_AT."""
+def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of zero or more, but for the first, the constant: Newton's steps coordinate by coordinate, with a small ridge."""
     w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+    w[0] = np.log(y.mean() / (1 - y.mean()))
     z = x @ w
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][z[order][:-1] == z[order][1:]] = 0  # equal scores can't be parted
-    k = int(f1.argmax())
-    cut_at = (z[order][k] + z[order][min(k + 1, len(y) - 1)]) / 2
-    w[0] += np.log(SCORE_AT / (1 - SCORE_AT)) - cut_at
+    for _ in range(200):
+        before = w.copy()
+        for j in range(x.shape[1]):
+            p = 1 / (1 + np.exp(-z.clip(-30, 30)))
+            ridge = 0.1 if j else 0.0
+            step = ((y - p) @ x[:, j] - ridge * w[j]) / ((p * (1 - p)) @ (x[:, j] ** 2) + ridge + 1e-9)
+            new = w[j] + float(np.clip(step, -2, 2))
+            new = new if j == 0 else max(0.0, new)
+            z += (new - w[j]) * x[:, j]
+            w[j] = new
+        if np.abs(w - before).max() < 1e-4:
+            break
     return w
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
-    telling = tell_tale(toxic, ordinary)
-    told = [w for t in toxic for w in _samples(t, 1) if w[1:-1].decode() in telling]
-    usual = [w for t in ordinary for w in _samples(t, SAMPLE)]
-    return Model(_train(usual, *ORDINARY), _train(told, *TOXIC), np.zeros(6))
+def _best_cut(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(F1, cut) of the best cut between two different values that few ordinary texts reach; (0, 0) if there is none."""
+    order = np.argsort(-z, kind="stable")
+    v, hits = z[order], np.cumsum(y[order])
+    n = np.arange(1, len(y) + 1)
+    f1 = 2 * hits / (n + y.sum())
+    usable = np.r_[v[:-1] > v[1:] + 1e-9, False] & (n - hits <= CLEAN * (len(y) - y.sum()))
+    if not usable.any():
+        return 0.0, 0.0
+    k = int(np.where(usable, f1, 0).argmax())
+    return float(f1[k]), float((v[k] + v[k + 1]) / 2)
+
+
+def _trained(toxic: list[str], ordinary: list[str], telling: set[str], usual: bytes | None = None) -> Model:
+    told = [s for t in toxic for w in _WORD.findall(t.lower()) if w in telling for s in _samples(w, 1)]
+    return Model(usual or _usual(ordinary), _train(told, *TOXIC), np.zeros(6))
+
+
+def _usual(ordinary: list[str]) -> bytes:
+    return _train([w for t in ordinary for w in _samples(t, SAMPLE)], *ORDINARY)
 
 
 def learn(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """The curve from a third of the texts, with dictionaries of the others; the dictionaries in use are of all."""
-    toxic, ordinary = (list(dict.fromkeys(t for t in texts if t)) for texts in (toxic, ordinary))
-    if len(toxic) < 3 or len(ordinary) < 3:
+    """Dictionaries of all texts, with the curve that cross-fitting gives."""
+    toxic, ordinary = (sorted({t for t in texts if t}, key=lambda t: (zlib.crc32(t.encode()[::-1]), t)) for texts in (toxic, ordinary))
+    if len(toxic) < FOLDS or len(ordinary) < FOLDS:
         return None
-    pair = _dictionaries([t for i, t in enumerate(toxic) if i % 3], [t for i, t in enumerate(ordinary) if i % 3]).compressors()
-    rest = [(t, 1.0) for t in toxic[::3]] + [(t, 0.0) for t in ordinary[::3]]
-    model = _dictionaries(toxic, ordinary)
-    model.weights = _calibrate(np.stack([features(t, pair) for t, _ in rest]), np.array([y for _, y in rest]))
+    tells = Tells(toxic, ordinary)
+    parts = []
+    for f in range(FOLDS):
+        inside = [[t for t, own in zip(texts, folds, strict=True) if own != f] for texts, folds in ((toxic, tells.fold_bad), (ordinary, tells.fold_good))]
+        outside = [[t for t, own in zip(texts, folds, strict=True) if own == f] for texts, folds in ((toxic, tells.fold_bad), (ordinary, tells.fold_good))]
+        parts.append((inside, outside, _usual(inside[1])))
+    y = np.array([float(kind == 0) for _, outside, _ in parts for kind in (0, 1) for _ in outside[kind]])
+    share = y.mean()
+    best = (2 * share / (1 + share), None)
+    tried: set[tuple] = set()
+    for least in LEASTS:
+        chosen = [tells.telling(least, f) for f in range(FOLDS)]
+        key = tuple(map(frozenset, chosen))
+        if key in tried or not all(chosen):
+            continue
+        tried.add(key)
+        x = []
+        for f, (inside, outside, usual) in enumerate(parts):
+            distances = Distances(_trained(inside[0], inside[1], chosen[f], usual))
+            x += [features(t, distances) for kind in (0, 1) for t in outside[kind]]
+        x = np.stack(x)
+        w = _curve(x, y)
+        f1, at = _best_cut(x @ w, y)
+        if f1 > best[0] + 0.05 * (best[1] is not None):
+            w[0] += np.log(SCORE_AT / (1 - SCORE_AT)) - at
+            best = f1, (least, w)
+    if best[1] is None:
+        model = Model(b"", b"", np.zeros(6))
+        share = min(share, 0.5)
+        model.weights[0] = np.log(share / (1 - share))
+        return model
+    least, weights = best[1]
+    model = _trained(toxic, ordinary, tells.telling(least))
+    model.weights = weights
     return model
 
 
-def score(text: str | None, model: Model, pair) -> float:
-    f = features(text or "", pair)
+def score(text: str | None, model: Model, distances: Distances) -> float:
+    f = features(text or "", distances)
     return float(1 / (1 + np.exp(-np.clip(f @ model.weights, -30, 30)))) if f[0] else 0.0
 
 
@@ -187,7 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     Ids are chosen first; only the texts of those chosen are fetched, each once.
     """
     usable = docs.filter(learn_from & F.length(text_col).between(1, LONGEST)).select(id_col, F.col(text_col).alias("text"))
-    known = usable.select(id_col).join(labels.select(id_col, F.col(label_col).alias("label")), id_col)
+    told = labels.select(id_col, F.col(label_col).alias("label")).filter("label in (0, 1)").groupBy(id_col).agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
+    known = usable.select(id_col).join(told.drop("other"), id_col)
     texts = []
     for y in (1, 0):
         ids = known.filter(F.col("label") == y).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(LEARN)
@@ -204,9 +318,9 @@ def _scores(docs: DataFrame, model: Model | None, text_col: str) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = told.value
-        pair = own.compressors() if own else None
+        distances = Distances(own) if own else None
         for texts in batches:
-            yield pd.Series([score(t, own, pair) if own else 0.0 for t in texts], dtype="float64")
+            yield pd.Series([score(t, own, distances) if own else 0.0 for t in texts], dtype="float64")
 
     return run(text_col)
 
