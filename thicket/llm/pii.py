@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import cut
+from thicket.llm.common import cut, every
 
 KINDS = ["email", "ip", "card", "phone"]
 #: An entity, and a term with it, must be seen in so many different documents.
@@ -232,8 +232,8 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of each kind, a digest of the base spans, all spans as text, and how many terms and spans there are."""
     base = F.concat_ws(",", *[F.when(F.size(kind) > 0, _listed(F.col(kind))) for kind in KINDS])
     spans = F.concat_ws(",", F.when(base != "", base), F.when(F.size("term") > 0, _listed(F.col("term"))))
-    every = sum((F.size(kind) for kind in KINDS), F.size("term"))
-    return found.select(F.col("id").alias(id_col), *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.size("term").cast("long").alias("n_term"), every.cast("long").alias("n_spans"))
+    total = sum((F.size(kind) for kind in KINDS), F.size("term"))
+    return found.select(F.col("id").alias(id_col), *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.size("term").cast("long").alias("n_term"), total.cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +241,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     plain = "array<struct<start:int,rest:int,kind:string>>"
     ordered = F.sort_array(F.concat(*[F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("rest"), s["kind"].alias("kind"))).cast(plain) for kind in [*KINDS, "term"]]))
     marks = cut(found.select("id", "version", ordered.alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["id", "version"]))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = docs.select(F.struct(*every(docs)).alias("doc"))
     text = F.col("doc")[text_col]
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
