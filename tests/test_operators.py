@@ -117,13 +117,25 @@ def test_search(spark):
 def test_text_functions(spark):
     row = spark.createDataFrame([("hi @opus-1 and x@y", "a\x00b\tc\x85", "postgres://u:secret@h/db")], "t string, c string, d string").select(ids.mention(F.col("t")).alias("m"), ids.sanitise(F.col("c")).alias("s"), ids.redact_dsn(F.col("d")).alias("r")).first()
     assert tuple(row) == ("opus-1", "a�b\tc�", "postgres://u:***@h/db")
-    v = spark.createDataFrame([("v1.2.3",), ("1.2.3-rc1",), ("1.10.0",), ("x",)], "v string").select("v", ids.semver(F.col("v")).alias("k")).collect()
-    assert v[1].k < v[0].k < v[2].k and v[3].k is None
+    order = ["0.9.0", "1.2.3-alpha", "1.2.3-beta", "1.2.3-rc1+b5", "v1.2.3", "1.10.0"]
+    v = spark.createDataFrame([(x,) for x in reversed(order)], "v string").orderBy(ids.semver(F.col("v"))).collect()
+    assert [r.v for r in v] == order
+    bad = spark.createDataFrame([(x,) for x in ("x", "dev", "", "1.2", "1.2.3-", "1.-2.3", "1.2.3.4")], "v string")
+    assert bad.filter(ids.semver(F.col("v")).isNotNull()).count() == 0
+    assert spark.range(1).select(ids.semver(F.lit("1.2.3+a")) == ids.semver(F.lit("v1.2.3+b"))).first()[0]
 
 
 def test_truncation_keeps_the_end(spark):
-    s = spark.createDataFrame([([("a" * 40, "aaaa"), ("b" * 40, "bbbb"), ("c" * 40, "cccc"), ("d" * 8, "dddd")],)], "s array<struct<full:string,title:string>>")
-    assert s.select(text.truncated(F.col("s"), 13).alias("x")).first().x == ["aaaa", "c" * 40, "d" * 8]
+    rows = [("a" * 40, "aaaa"), ("b" * 40, "bbbb"), ("c" * 40, "cccc"), ("d" * 8, "dddd")]
+    s = spark.createDataFrame([(rows,)], "s array<struct<full:string,title:string>>")
+    cut = lambda n: s.select(text.truncated(F.col("s"), n).alias("x")).first().x
+    rule = "\n\n---\n\n"
+    note = "\n\n[TRUNCATED: {} ancestor prompts omitted due to token budget]"
+    assert cut(13) == rule.join(["aaaa", "c" * 40, "d" * 8]) + note.format(1)
+    assert cut(1) == rule.join(["c" * 40, "d" * 8]) + note.format(2)
+    assert cut(100) == rule.join(["a" * 40, "b" * 40, "c" * 40, "d" * 8])
+    one = spark.createDataFrame([(rows[:1],)], "s array<struct<full:string,title:string>>")
+    assert one.select(text.truncated(F.col("s"), 1).alias("x")).first().x == "a" * 40
 
 
 def test_lifecycle(spark):
@@ -153,17 +165,20 @@ def test_recovery(spark):
     assert got(integrity.recovered(a, b), "id", "origin") == [("P-1", "primary"), ("P-2", "placeholder"), ("P-2.1", "mirror")]
 
 
-def test_inbox_and_stream(spark, tmp_path):
+def test_inbox(spark):
     c = spark.createDataFrame([("opus", 1), ("opus", 2), ("opus", 3)], "agent string, seq bigint")
     none = c.filter("false")
     assert got(journal.inbox(c, none, none.selectExpr("agent", "seq as cursor"), c.filter("seq = 3")), "seq") == [(1,), (2,)]
-    hooks = spark.createDataFrame([("all", [], ""), ("sub", [], "P-1")], "name string, events array<string>, under string")
-    schema = "event_id bigint, op_type string, node_id string"
-    fired = []
-    for k, rows in enumerate(([(1, "claim", "P-1.2"), (2, "claim", "P-12")], [(2, "claim", "P-12"), (3, "comment", "P-1")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-        journal.dispatch(spark.readStream.schema(schema).json(f"{tmp_path}/in"), hooks, f"{tmp_path}/ledger", lambda df: fired.extend(map(tuple, df.collect())), f"{tmp_path}/ck").awaitTermination(60)
-    assert sorted(fired) == [("all", 1), ("all", 2), ("all", 3), ("sub", 1), ("sub", 3)]
+
+
+def test_acknowledging(spark):
+    cursors = spark.createDataFrame([("a", 2), ("b", 0)], "agent string, cursor bigint")
+    acked = spark.createDataFrame([("a", 3), ("a", 5), ("a", 9), ("c", 1), ("c", 2)], "agent string, seq bigint")
+    moved, left = journal.acked_through(acked, cursors, spark.createDataFrame([("a", 5), ("b", -4), ("d", 7)], "agent string, seq bigint"))
+    assert got(moved, "agent", "cursor") == [("a", 5), ("b", 0), ("d", 7)]
+    assert got(left, "agent", "seq") == [("a", 9), ("c", 1), ("c", 2)]
+    told = spark.createDataFrame([("a", 1), ("a", 3), ("a", 4), ("a", 5), ("c", 1), ("c", 2), ("c", 9), ("b", 3)], "agent string, seq bigint")
+    assert got(journal.closed_gaps(told, acked, cursors), "agent", "cursor") == [("a", 3), ("b", 0), ("c", 2)]
 
 
 def test_status_counts_have_all_seven(spark):
@@ -175,7 +190,7 @@ def test_smaller_operators(spark):
     from thicket.operators import more
 
     d = spark.createDataFrame([('{"a": [1, {"b": "]]}"}]}',), ("1",), ('"[[["',), ("[[],[[]]]",)], "j string")
-    assert [r[0] for r in d.select(more.json_depth(F.col("j"))).collect()] == [3, 0, 0, 3]
+    assert [r[0] for r in d.select(events.json_depth(F.col("j"))).collect()] == [3, 0, 0, 3]
     n = nodes(spark, ("P-1", "open", 0.0, 1.0), ("P-1.1", "done", 1.0, 1.0), ("P-1.2", "invalidated", 0.0, 1.0))
     marked = n.withColumn("invalidated_at", F.when(F.col("id") == "P-1.1", F.lit("2026-01-01").cast("timestamp")))  # a done node, restored since
     assert got(more.node_progress(marked), "id", "children", "invalidated") == [("P-1", 2, 1), ("P-1.1", 0, 0), ("P-1.2", 0, 0)]
@@ -185,8 +200,11 @@ def test_smaller_operators(spark):
     assert [o for _, o in got(more.registry_with_epochs(c), "event_id", "outcome")] == ["free", "renumber", "collision", "noop"]
     u = spark.createDataFrame([("P-1.1", "x"), ("P-1.9", "y"), ("P-1.2", None)], "id string, title string")
     assert dict(got(more.bulk_outcomes(u, n), "id", "outcome")) == {"P-1.1": "updated", "P-1.9": "not_found", "P-1.2": "nothing_given"}
-    e = more.emitted(spark.createDataFrame([("A B", "2", "P-1", "claim"), ("a-b", "1", "P-2", "claim"), ("Ünder", "1", "P-1", "claim")], "author string, at string, node_id string, op_type string"), 10)
-    assert got(e, "author", "node_id", "lamport") == [("a-b", "P-1", 12), ("a-b", "P-2", 11), ("cli", "P-1", 11)]
+    asked = spark.createDataFrame([("A B", "2026-01-02", "P-1", "claim"), ("a-b", "2026-01-01", "P-2", "claim"), ("Ünder", "2026-01-01", "P-1", "claim")], "author string, at string, node_id string, op_type string").withColumn("at", F.col("at").cast("timestamp"))
+    e = more.emitted(asked, 10)
+    assert got(e, "author", "node_id", "lamport", "author_clock") == [("a-b", "P-1", 13, 2), ("a-b", "P-2", 12, 1), ("cli", "P-1", 11, 1)]
+    with pytest.raises(ValueError):
+        more.emitted(asked, 10, pending=5, most=5)
 
 
 def test_engine(spark):

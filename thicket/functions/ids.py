@@ -88,10 +88,14 @@ def tokens(text: Column) -> Column:
 
 
 def semver(version: Column) -> Column:
-    """major, minor, patch, and a flag that puts pre-releases before their release; null if it's no version."""
-    m = [F.try_to_number(F.regexp_extract(version, r"^v?(\d{1,9})\.(\d{1,9})\.(\d{1,9})(-[0-9A-Za-z.-]+)?$", i), F.lit("999999999")).cast("int") for i in (1, 2, 3)]
-    pre = F.regexp_extract(version, r"^v?\d+\.\d+\.\d+(-[0-9A-Za-z.-]+)?$", 1)
-    return F.when(version.rlike(r"^v?\d{1,9}\.\d{1,9}\.\d{1,9}(-[0-9A-Za-z.-]+)?$"), F.array(*m, F.when(pre == "", 1).otherwise(0)))
+    """major, minor, patch, whether it's a release, and the pre-release tag, which sort as versions do; null if it's no version.
+
+    One leading ``v`` may stand before it; build data after a plus don't count.
+    """
+    form = r"^v?(\d{1,9})\.(\d{1,9})\.(\d{1,9})(?:-([^+]+))?(?:\+.*)?$"
+    numbers = [F.try_to_number(F.nullif(F.regexp_extract(version, form, i), F.lit("")), F.lit("999999999")).cast("int").alias(f"n{i}") for i in (1, 2, 3)]
+    tag = F.regexp_extract(version, form, 4)
+    return F.when(version.rlike(form), F.struct(*numbers, (tag == "").alias("release"), tag.alias("tag")))
 
 
 def redact_dsn(text: Column) -> Column:

@@ -6,29 +6,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.clocks import concurrent
+from thicket.functions.ids import project
+from thicket.operators.numbering import running
 
 #: The kinds of events, and the limits a hub sets.
 OPS = ["create_node", "update_field", "transition_status", "claim", "unclaim", "defer", "comment", "link_dep", "unlink_dep", "delete", "set_acceptance", "set_prompt"]
-PAYLOAD_BYTES, LAMPORT_BELOW, AHEAD_HOURS, OLD_DAYS = 64 * 1024, 2**53, 24, 30
+SENT_STATES = ["pending", "pushed", "applied", "conflicted"]
+PAYLOAD_BYTES, PAYLOAD_DEPTH, CLOCK_ENTRIES, NUMBERS_BELOW, AHEAD_HOURS, OLD_DAYS = 64 * 1024, 10, 100, 2**53, 24, 30
 
 
 def sanitised_author(name: Column) -> Column:
-    plain = F.regexp_replace(F.lower(F.trim(name)), "[ .]", "-")
-    return F.when(plain.rlike("^[a-z0-9][a-z0-9_-]*$"), plain).otherwise("cli")
+    """The name if it is of the plain form, else in lower case with dashes for blanks and dots, else ``cli``."""
+    form = "^[a-z0-9_-]{1,64}$"
+    plain = F.regexp_replace(F.lower(name), "[ .]", "-")
+    return F.when(name.rlike(form), name).when(plain.rlike(form), plain).otherwise("cli")
 
 
-def violations(events: DataFrame, now_ms: int) -> DataFrame:
-    """event_id and what is wrong with it, in order; events without fault don't show."""
+def json_depth(text: Column) -> Column:
+    """How deep brackets nest outside strings.
+
+    Strings go first; what is left of the text is its brackets, whose running
+    sum is folded in one pass.
+    """
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda a, c: F.struct((a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step, lambda a: a["most"])
+
+
+def _rules(columns: list[str], now_ms: int) -> list[tuple[str, Column]]:
+    """What makes an event wrong, in the order in which it is looked at; rules on columns that aren't there fall away."""
+    c = F.col
+    outside = lambda name: F.exists(F.map_values(name), lambda v: (v < 0) | (v >= NUMBERS_BELOW))
     rules = [
-        ("op_type", ~F.col("op_type").isin(OPS)),
-        ("node_id", ~F.col("node_id").rlike(r"^[A-Z][A-Z0-9-]{0,19}-[0-9]+(\.[0-9]+)*$")),
-        ("author", ~F.col("author").rlike("^[a-z0-9][a-z0-9_-]*$")),
-        ("lamport", (F.col("lamport") < 0) | (F.col("lamport") >= LAMPORT_BELOW)),
-        ("future", F.col("wall_ms") > now_ms + AHEAD_HOURS * 3_600_000),
-        ("stale", F.col("wall_ms") < now_ms - OLD_DAYS * 86_400_000),
+        ("event_id", "event_id", F.coalesce(c("event_id").cast("string"), F.lit("")) == ""),
+        ("op_type", "op_type", ~c("op_type").isin(OPS)),
+        ("sync_status", "sync_status", (c("sync_status") != "") & ~c("sync_status").isin(SENT_STATES)),
+        ("node_id", "node_id", F.coalesce("node_id", F.lit("")) == ""),
+        ("project_prefix", "node_id", ~project(c("node_id")).rlike("^[A-Z][A-Z0-9_-]{0,19}$")),
+        ("author", "author", ~c("author").rlike("^[a-z0-9_-]{1,64}$")),
+        ("machine", "machine", ~c("machine").rlike("^[a-f0-9]{16}$")),
+        ("wall_clock", "wall_ms", c("wall_ms") < 0),
+        ("lamport", "lamport", c("lamport") < 0),
+        ("payload", "payload", F.coalesce("payload", F.lit("")) == ""),
+        ("clock", "clock", c("clock").isNull()),
+        ("payload_bytes", "payload", F.octet_length("payload") > PAYLOAD_BYTES),
+        ("payload_depth", "payload", json_depth(c("payload")) > PAYLOAD_DEPTH),
+        ("lamport_limit", "lamport", c("lamport") >= NUMBERS_BELOW),
+        ("clock_entries", "clock", F.size("clock") > CLOCK_ENTRIES),
+        ("clock_value", "clock", outside("clock")),
+        ("future", "wall_ms", c("wall_ms") > now_ms + AHEAD_HOURS * 3_600_000),
     ]
-    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in rules]))
-    return events.select("event_id", F.array_join(found, ",").alias("faults")).filter("faults <> ''")
+    return [(name, test) for name, column, test in rules if column in columns]
+
+
+def violations(events: DataFrame, now_ms: int) -> DataFrame:
+    """event_id, all faults in order, and whether its time is old, which is but a warning; events with neither don't show."""
+    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(name != "sync_status")), F.lit(name)) for name, test in _rules(events.columns, now_ms)]))
+    old = F.coalesce(F.col("wall_ms") < now_ms - OLD_DAYS * 86_400_000, F.lit(False))
+    return events.select("event_id", F.array_join(found, ",").alias("faults"), old.alias("stale")).filter("faults <> '' or stale")
+
+
+def batch_verdicts(events: DataFrame, now_ms: int, batch: str = "batch") -> DataFrame:
+    """(batch, accepted, event_id, fault): a batch with a faulty event is refused whole; the first such event by arrival, and its first fault, say why."""
+    faults = [F.when(F.coalesce(test, F.lit(name != "sync_status")), F.lit(name)) for name, test in _rules(events.columns, now_ms)]
+    each = events.select(batch, "arrival", "event_id", F.coalesce(*faults).alias("fault"))
+    first = F.min(F.when(F.col("fault").isNotNull(), F.struct("arrival", "event_id", "fault")))
+    return each.groupBy(batch).agg(first.alias("f")).select(batch, F.col("f").isNull().alias("accepted"), "f.event_id", "f.fault")
+
+
+#: Positions of an author's events that are counted in one task.
+POSITIONS = 100_000
 
 
 def _last_writer(keys: list[str]) -> Window:
@@ -91,6 +139,30 @@ def concurrent_pairs(events: DataFrame, same_field: bool = False) -> DataFrame:
     return (met.filter("a_field = b_field") if same_field else met).filter(concurrent(F.col("a_clock"), F.col("b_clock"))).select("node_id", "a_id", "b_id")
 
 
+def concurrent_counts(events: DataFrame) -> DataFrame:
+    """(node_id, event_id, includes, included_by, concurrent): of the other field writes of its node, how many an event's clock includes, how many include it, and how many do neither.
+
+    ``events`` has node_id, event_id, author and clock, the author's own entry
+    being the event's position among theirs; a clock that includes an event
+    has an entry for its author at or past that position. So both counts are
+    running counts along each author's positions: of events up to an entry,
+    and of entries from a position on. No pair is made, and positions are
+    counted slice by slice, so a node that holds a third of all events spreads.
+    """
+    own = events.select("node_id", "event_id", "author", F.try_element_at("clock", F.col("author")).alias("at"), "clock")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    points = own.select("node_id", "event_id", "author", "at", one.alias("event"), none.alias("entry"))
+    entries = own.select("node_id", "event_id", F.explode("clock").alias("author", "at")).select("node_id", "event_id", "author", "at", none.alias("event"), one.alias("entry"))
+    # events stand before entries of the same position when events are counted, after them when entries are
+    both = points.unionByName(entries)
+    piece = F.floor(F.col("at") / POSITIONS)
+    up = running(both, ["node_id", "author"], ["at", "entry"], piece, "event", "seen").filter("entry = 1").groupBy("node_id", "event_id").agg((F.sum("seen") - 1).alias("includes"))
+    down = running(both.withColumn("back", -F.col("at")), ["node_id", "author"], ["back", "event"], -piece, "entry", "seen").filter("event = 1").select("node_id", "event_id", (F.col("seen") - 1).alias("included_by"))
+    total = own.groupBy("node_id").agg((F.count("*") - 1).alias("others"))
+    met = up.join(down, ["node_id", "event_id"]).join(total, "node_id")
+    return met.select("node_id", "event_id", "includes", "included_by", (F.col("others") - F.col("includes") - F.col("included_by")).alias("concurrent"))
+
+
 def registry(creates: DataFrame) -> DataFrame:
     """What becomes of each create: free (first on its path), noop (same uid as the first), else renumber."""
     first = creates.groupBy("node_id").agg(F.min(F.struct("arrival", "uid")).alias("f"))
@@ -105,12 +177,20 @@ def duplicate_losers(creates: DataFrame) -> DataFrame:
     return each.join(first, "node_id").filter("event_id <> winner").select("node_id", "uid", "event_id", "winner")
 
 
+def swept(creates: DataFrame, remaps: DataFrame) -> DataFrame:
+    """The duplicate losers that no earlier sweep has recorded in ``remaps`` (uid): what a sweep adds to it, and what a preview counts.
+
+    A second sweep finds nothing more.
+    """
+    return duplicate_losers(creates).join(remaps.select("uid"), "uid", "left_anti").select("node_id", "uid", "event_id", "winner")
+
+
 def version_gate(clients: DataFrame, least: tuple[int, int, int], now: str, days: int = 30) -> DataFrame:
     """project, ok: all clients seen lately have at least the version; false if none was seen. ``clients`` has (project, version, seen)."""
     from thicket.functions.ids import semver
 
     lately = F.col("seen") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
-    new = semver(F.col("version")) >= F.array(*map(F.lit, least), F.lit(1))
+    new = semver(F.col("version")) >= semver(F.lit(".".join(map(str, least))))
     return clients.groupBy("project").agg(((F.count_if(lately) > 0) & (F.count_if(lately & ~F.coalesce(new, F.lit(False))) == 0)).alias("ok"))
 
 

@@ -7,18 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.ids import TERMINAL
 from thicket.operators.listing import live
-from thicket.sources.store import shared_folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts a loop's lineage in the session's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from thicket.sources.store import checkpointed
 
 
 def blockers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.ids import TERMINAL, ancestors, depth, under
 from thicket.operators.listing import live
+from thicket.operators.numbering import running
 
 #: So many missing parents at most go to every task.
 FEW = 100_000
@@ -103,22 +104,34 @@ def siblings_of(nodes: DataFrame, id_: str) -> DataFrame:
 
 
 def rollup(nodes: DataFrame) -> DataFrame:
-    """(id, progress): leaves keep theirs, parents get their children's weighted mean, level by level from the deepest.
+    """(id, progress): leaves keep theirs, parents get their children's weighted mean.
 
     Cancelled and invalidated children don't count, deferred ones do; a parent
-    none of whose children count has 0. Levels are few, and each level's rows
-    are aggregated once.
+    none of whose children count has 0. No level waits for the one below: what
+    a parent has from its leaves counts for each node above it times the
+    product of the shares on the way, a node's share being its weight over its
+    countable siblings' sum. So the plan is the same at any depth: sums by
+    parent, the shares of inner nodes along each parent's path, sums by
+    ancestor. A path that a missing node cuts counts up to there.
     """
-    rows = live(nodes).select("id", "parent_id", "depth", "status", "weight", F.col("progress").cast("double").alias("progress"))
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    level = rows.filter(F.col("depth") == deepest)
-    done = level.select("id", "progress")
-    for d in range(deepest - 1, -1, -1):
-        counts = ~F.col("status").isin("cancelled", "invalidated")
-        means = level.groupBy(F.col("parent_id").alias("id")).agg(F.coalesce(F.sum(F.when(counts, F.col("progress") * F.col("weight"))) / F.nullif(F.sum(F.when(counts, F.col("weight"))), F.lit(0.0)), F.lit(0.0)).alias("mean"))
-        level = rows.filter(F.col("depth") == d).join(means, "id", "left").withColumn("progress", F.coalesce("mean", "progress")).drop("mean")
-        done = done.unionByName(level.select("id", "progress"))
-    return done
+    rows = live(nodes).select("id", "parent_id", "status", "weight", F.col("progress").cast("double").alias("progress"))
+    countable = F.when(~F.col("status").isin("cancelled", "invalidated"), F.col("weight"))
+    totals = rows.filter("parent_id is not null").groupBy("parent_id").agg(F.nullif(F.sum(countable), F.lit(0.0)).alias("total"))
+    marked = rows.join(totals.select(F.col("parent_id").alias("id"), F.lit(True).alias("inner")), "id", "left")
+    leaves = marked.filter("inner is null and parent_id is not null").groupBy("parent_id").agg(F.sum(countable * F.col("progress")).alias("done"))
+    own = totals.join(leaves, "parent_id", "left").select(F.col("parent_id").alias("id"), F.coalesce(F.col("done") / F.col("total"), F.lit(0.0)).alias("own"))
+    shares = marked.filter("inner").join(totals, "parent_id").select("id", F.coalesce(countable / F.col("total"), F.lit(0.0)).alias("share"))
+    roots = marked.filter("inner and parent_id is null").select("id", F.lit(0.0).alias("share"))
+    steps = own.filter("own <> 0").select("id", "own", F.posexplode(ancestors(F.col("id"))).alias("level", "above"))
+    known = steps.join(shares.unionByName(roots).withColumnRenamed("id", "above"), "above")
+    paths = known.groupBy("id", "own").agg(F.map_from_entries(F.collect_list(F.struct("level", "share"))).alias("shares"))
+    start = F.struct(F.col("own").alias("value"), F.array().cast("array<double>").alias("values"))
+    # from the parent itself upwards: the value, then times each share
+    up = F.reverse(F.sequence(F.lit(0), depth(F.col("id"))))
+    walked = F.aggregate(up, start, lambda a, k: F.struct((a["value"] * F.try_element_at("shares", k)).alias("value"), F.concat(a["values"], F.array(F.when(F.try_element_at("shares", k).isNotNull(), a["value"]))).alias("values")), lambda a: a["values"])
+    parts = paths.select("id", F.posexplode(walked).alias("up", "value")).filter("value is not null and value <> 0")
+    sums = parts.select(F.expr("array_join(slice(split(id, '[.]'), 1, size(split(id, '[.]')) - up), '.')").alias("id"), "value").groupBy("id").agg(F.sum("value").alias("sum"))
+    return marked.join(sums, "id", "left").select("id", F.when(F.col("inner"), F.coalesce("sum", F.lit(0.0))).otherwise(F.col("progress")).alias("progress"))
 
 
 def moved(id_: Column, old: str, new: str) -> Column:
@@ -140,11 +153,12 @@ def renamed_prefix(id_: Column, old: str, new: str) -> Column:
 def import_as(nodes: DataFrame, project: str, parent: str, first: int = 1) -> DataFrame:
     """(id, new_id): a project's roots become numbered children of ``parent``, in the order of their ids, with all below them.
 
-    Only the roots are numbered; there is a window over them, not over nodes.
+    Only the roots are numbered, by counts per beginning of their ids.
     """
     own = nodes.filter(F.col("project") == project)
-    numbered = own.filter("parent_id is null").select(F.col("id").alias("root"), (F.row_number().over(Window.orderBy("id")) + first - 1).alias("n"))
-    return own.select("id", F.substring_index("id", ".", 1).alias("root")).join(numbered, "root").select("id", F.concat(F.lit(f"{parent}."), F.col("n"), F.expr("substring(id, length(root) + 1)")).alias("new_id"))
+    roots = own.filter("parent_id is null").select(F.col("id").alias("root"))
+    numbered = running(roots.withColumn("one", F.lit(1)), [], ["root"], F.substring("root", 1, len(project) + 3), "one", "n")
+    return own.select("id", F.substring_index("id", ".", 1).alias("root")).join(numbered, "root").select("id", F.concat(F.lit(f"{parent}."), F.col("n") + first - 1, F.expr("substring(id, length(root) + 1)")).alias("new_id"))
 
 
 def delete_cascade(nodes: DataFrame, root: str, now: str) -> DataFrame:

@@ -1,18 +1,24 @@
-"""Smaller operators: outbox, provisional ids, nested trees, sync state, emission, agents, annotations."""
+"""Smaller operators: outbox, provisional ids, nested trees, sync state and advice, emission, agents, annotations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.ids import natural, provisional
 from thicket.operators.events import sanitised_author
 from thicket.operators.listing import live
+from thicket.operators.numbering import numbered
 
 #: The columns of a stored row that are JSON or times.
 DECODED = {"labels": "array<string>", "commit_refs": "array<string>", "annotations": "array<struct<id:string,author:string,text:string,created_at:timestamp,resolved:boolean,addressee:string>>", "activity": "array<struct<id:string,type:string,author:string,text:string,created_at:timestamp,metadata:string>>"}
 
 
+#: Failures in a row after which a hub counts as out of reach; what to do by state.
+ERRORS = 3
+ADVICE = {"solo": ["stay_solo", "init"], "sync-configured-no-hub": ["init", "clone"], "sync-active": ["carry_on"], "divergent-pending": ["list_conflicts", "resolve_conflicts"], "hub-unreachable": ["doctor", "check_tls"]}
+
+
 def decoded(rows: DataFrame) -> DataFrame:
     """Stored rows with JSON columns parsed, *_at columns as times, and empty text as null for references."""
     json = {c: F.from_json(c, t) for c, t in DECODED.items() if c in rows.columns}
@@ -52,30 +58,31 @@ def sync_counts(events: DataFrame, now_ms: int) -> DataFrame:
     return events.agg(*[F.count_if(state == s).alias(s) for s in ("pending", "pushed", "applied", "conflicted")], F.count_if((state == "pending") & (F.col("wall_ms") < now_ms - 3_600_000)).alias("stuck"))
 
 
-def sync_state(pending_: Column, conflicts: Column, diverged: Column, remote: Column) -> Column:
-    """The state that matters most, in order."""
-    return F.when(diverged, "diverged").when(conflicts > 0, "conflicted").when((pending_ > 0) & (remote > 0), "both_ahead").when(pending_ > 0, "ahead").when(remote > 0, "behind").otherwise("in_sync")
+def sync_state(has_hub: Column, machine: Column, errors: Column, local: Column, applied: Column, conflicts: Column) -> Column:
+    """The state that asks for most, in order: open conflicts, no hub, a hub that keeps failing, a sync that runs, one that hasn't begun."""
+    runs = ((local > 0) | (applied > 0)) & (F.coalesce(machine, F.lit("")) != "")
+    return F.when(conflicts > 0, "divergent-pending").when(~has_hub, "solo").when(errors >= ERRORS, "hub-unreachable").when(runs, "sync-active").otherwise("sync-configured-no-hub")
 
 
-def emitted(changes: DataFrame, last: int) -> DataFrame:
-    """Changes as events: authors in plain form, clocks that go on from ``last`` within each author's log.
-
-    The clock runs per author, so no task sees the whole log.
-    """
-    order = Window.partitionBy("author").orderBy("at", "node_id", "op_type")
-    return changes.withColumn("author", sanitised_author(F.col("author"))).withColumn("lamport", F.row_number().over(order) + last)
+def recommended(state: Column, nodes: Column, local: Column) -> Column:
+    """Names of what to do in a state, in order; a store with nodes but no event of its own should fill its log first."""
+    table = F.create_map(*[x for s, names in ADVICE.items() for x in (F.lit(s), F.array(*map(F.lit, names)))])
+    fill = (state == "sync-configured-no-hub") & (nodes > 0) & (local == 0)
+    return F.concat(F.try_element_at(table, state), F.when(fill, F.array(F.lit("backfill"))).otherwise(F.array().cast("array<string>")))
 
 
-def json_depth(text: Column) -> Column:
-    """How deep brackets nest outside strings.
+def emitted(changes: DataFrame, last: int, pending: int = 0, most: int = 0) -> DataFrame:
+    """Changes as events of one store: authors in plain form, one clock that goes on from ``last`` over all authors, and each author's own count.
 
-    Strings go first; what is left of the text is its brackets, whose running
-    sum is folded in one pass.
+    Changes come in order of ``at`` (a time), node and kind. Numbers are given
+    hour by hour, and the hours' counts added up, so no task sees the whole log.
+    A queue that already holds ``most`` waiting events (0: any number) refuses.
     """
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    step = lambda a, c: F.struct((a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
-    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step, lambda a: a["most"])
+    if most and pending >= most:
+        raise ValueError(f"{pending} events wait, {most} may")
+    rows = changes.withColumn("author", sanitised_author(F.col("author")))
+    hour, order = F.date_trunc("hour", "at"), ["at", "node_id", "op_type"]
+    return numbered(numbered(rows, [], order, hour, "lamport", last + 1), ["author"], order, hour, "author_clock")
 
 
 def registry_with_epochs(creates: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.functions.ids import tokens
+from thicket.functions.ids import node_type, tokens
 from thicket.operators.listing import live
 
 #: Places between the columns of a row.
@@ -97,25 +97,73 @@ def best(found: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
 
 
 def context(nodes: DataFrame, chains: DataFrame) -> DataFrame:
-    """id and its prompt: titles from the root down, one line each. ``chains`` has (id, ancestor_id, level)."""
+    """id and its titles from the root down, one line each. ``chains`` has (id, ancestor_id, level)."""
     line = F.struct("level", F.concat_ws(" ", F.col("ancestor_id"), F.col("title")).alias("line"))
     named = chains.join(live(nodes).select(F.col("id").alias("ancestor_id"), "title"), "ancestor_id")
     return named.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
 
 
+#: Fixed value: what stands between the sections of a prompt.
+RULE = "\n\n---\n\n"
+
+
+def sections(nodes: DataFrame) -> DataFrame:
+    """(id, title, full): a node's part of a prompt, with its heading alone and with its prompt, whose author is told from an agent, and its open annotations.
+
+    ``nodes`` may lack prompt, creator and annotations (author, text, resolved).
+    """
+    own = lambda c: F.coalesce(c, F.lit("")) if c in nodes.columns else F.lit("")
+    heading = F.concat(F.lit("## "), F.upper(node_type(F.col("depth"))), F.lit(" "), F.col("id"), F.lit(": "), F.coalesce("title", F.lit("")), F.lit("\n"))
+    by = F.when(own("creator").startswith("agent-"), "[LLM-GENERATED]").otherwise("[HUMAN-AUTHORED]")
+    prompt = F.when(own("prompt") != "", F.concat(F.lit("\n"), by, F.lit("\n"), own("prompt"), F.lit("\n"))).otherwise("")
+    notes = F.lit("")
+    if "annotations" in nodes.columns:
+        open_ = F.filter(F.coalesce("annotations", F.array().cast(nodes.schema["annotations"].dataType)), lambda a: ~F.coalesce(a["resolved"], F.lit(False)))
+        notes = F.array_join(F.transform(open_, lambda a: F.concat(F.lit("\n[ANNOTATION by "), a["author"], F.lit("]\n"), a["text"], F.lit("\n"))), "")
+    return live(nodes).select("id", heading.alias("title"), F.concat(heading, prompt, notes).alias("full"))
+
+
+def prompts(nodes: DataFrame, chains: DataFrame, blockers: DataFrame | None = None, budget: int = 0) -> DataFrame:
+    """id and its prompt: the sections from the root down to it, and what blocks it; with a budget of tokens, cut to it and without blockers.
+
+    ``chains`` has (id, ancestor_id, level), ``blockers`` (to_id, from_id).
+    A chain's sections are as many as its levels, so they fit one row.
+    """
+    parts = sections(nodes).withColumnRenamed("id", "ancestor_id")
+    found = chains.join(parts, "ancestor_id").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "title", "full"))), lambda x: F.struct(x["title"].alias("title"), x["full"].alias("full"))).alias("parts"))
+    if budget > 0:
+        return found.select("id", truncated(F.col("parts"), budget).alias("prompt"))
+    whole = F.array_join(F.transform("parts", lambda x: x["full"]), RULE)
+    if blockers is None:
+        return found.select("id", whole.alias("prompt"))
+    held = blockers.groupBy(F.col("to_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("from_id")), lambda b: F.concat(F.lit("- "), b, F.lit(" blocks this node\n"))), "").alias("held"))
+    return found.join(held, "id", "left").select("id", F.concat(whole, F.when(F.col("held").isNotNull(), F.concat(F.lit(RULE + "## Blocking Dependencies\n"), "held")).otherwise("")).alias("prompt"))
+
+
 def truncated(sections: Column, budget: int) -> Column:
-    """Sections (full, title) root first, cut to a budget of tokens: the last two stay, others in full, by title, or not at all."""
+    """A prompt of sections (full, title), root first, cut to a budget of tokens.
+
+    The last two stay whole. From the root on, each other one comes in full if
+    that still fits, else by its title, else not at all; a note at the end
+    says how many are left out.
+    """
     n = F.size(sections)
-    kept = F.aggregate(F.slice(sections, F.greatest(n - 1, F.lit(1)), 2), F.lit(0).cast("long"), lambda a, s: a + tokens(s["full"]))
-    start = F.struct(kept.alias("used"), F.array().cast("array<string>").alias("out"))
+    last = F.slice(sections, F.greatest(n - 1, F.lit(1)), 2)
+    kept = F.aggregate(last, F.lit(0).cast("long"), lambda a, s: a + tokens(s["full"]))
+    start = F.struct(kept.alias("used"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("omitted"))
 
     def step(a: Column, s: Column) -> Column:
         full, title = tokens(s["full"]), tokens(s["title"])
         whole, name = a["used"] + full <= budget, a["used"] + title <= budget
-        return F.struct(F.when(whole, a["used"] + full).when(name, a["used"] + title).otherwise(a["used"]).alias("used"), F.when(whole, F.concat(a["out"], F.array(s["full"]))).when(name, F.concat(a["out"], F.array(s["title"]))).otherwise(a["out"]).alias("out"))
+        text = F.when(whole, s["full"]).when(name, s["title"])
+        return F.struct((a["used"] + F.when(whole, full).when(name, title).otherwise(0)).alias("used"), F.when(text.isNotNull(), F.concat(a["out"], F.array(text))).otherwise(a["out"]).alias("out"), (a["omitted"] + F.when(text.isNull(), 1).otherwise(0)).alias("omitted"))
+
+    def finish(a: Column) -> Column:
+        body = F.array_join(F.concat(a["out"], F.transform(last, lambda s: s["full"])), RULE)
+        note = F.concat(F.lit("\n\n[TRUNCATED: "), a["omitted"].cast("string"), F.lit(" ancestor prompts omitted due to token budget]"))
+        return F.concat(body, F.when(a["omitted"] > 0, note).otherwise(""))
 
-    head = F.aggregate(F.slice(sections, 1, F.greatest(n - 2, F.lit(0))), start, step, lambda a: a["out"])
-    return F.concat(head, F.transform(F.slice(sections, F.greatest(n - 1, F.lit(1)), 2), lambda s: s["full"]))
+    return F.aggregate(F.slice(sections, 1, F.greatest(n - 2, F.lit(0))), start, step, finish)
 
 
 def briefing(nodes: DataFrame, fields: list[str]) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from thicket.functions import clocks, ids
 from thicket.operators import aggregates, events, graph, hierarchy, integrity, lifecycle, listing, text
-from thicket.plans import applied, deeper
+from thicket.plans import applied, deeper, history
 from thicket.sources.store import stored
 from thicket.sources.views import NOW, oracle, oracle_recursive, view
-from thicket.streaming import journal
+from thicket.streaming import hooks, journal
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -124,7 +124,7 @@ _add(
 _add(
     "event_violations",
     "ev",
-    f"SELECT event_id, concat_ws(',', CASE WHEN wall_ms > {LATE_MS} + 86400000 THEN 'future' END, CASE WHEN wall_ms < {LATE_MS} - 2592000000 THEN 'stale' END) AS faults FROM ev WHERE wall_ms > {LATE_MS} + 86400000 OR wall_ms < {LATE_MS} - 2592000000",
+    f"SELECT event_id, CASE WHEN wall_ms > {LATE_MS} + 86400000 THEN 'future' ELSE '' END AS faults, wall_ms < {LATE_MS} - 2592000000 AS stale FROM ev WHERE wall_ms > {LATE_MS} + 86400000 OR wall_ms < {LATE_MS} - 2592000000",
 )(lambda e: events.violations(e, LATE_MS))
 _LWW = "SELECT *, row_number() OVER (PARTITION BY node_id, field_name ORDER BY lamport DESC, wall_ms DESC, machine, arrival) AS rk FROM ev WHERE op_type = 'update_field'"
 _add("lww_winners", "ev", f"SELECT node_id, field_name, event_id, value FROM ({_LWW}) x WHERE rk = 1")(events.lww_winners)
@@ -181,10 +181,12 @@ _add("inbox", "ev", "SELECT DISTINCT author AS agent, event_id AS seq FROM ev WH
 
 
 def _hooks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("all", [], ""), ("claims", ["node.claimed"], ""), ("near", ["status.changed", "comment.added"], "E-3")], "name string, events array<string>, under string")
+    return hooks.table_of(spark, [{"name": "all", "match": {"events": []}}, {"name": "made", "match": {"events": ["node.created"]}}, {"name": "near", "match": {"events": ["status.changed"], "under": "E-3"}}])
 
 
-_add("hook_matches", "ev", "SELECT 'all' AS hook, event_id FROM ev UNION ALL SELECT 'claims', event_id FROM ev WHERE op_type = 'claim' UNION ALL SELECT 'near', event_id FROM ev WHERE op_type IN ('transition_status', 'comment') AND (node_id = 'E-3' OR starts_with(node_id, 'E-3.'))")(lambda e: journal.hook_matches(e, _hooks(e.sparkSession)))
+_add("hook_matches", "log", "SELECT 'all' AS hook, event_id FROM log WHERE op IN ('create_node', 'transition_status') OR op = 'comment' AND event_id % 3 = 0 UNION ALL SELECT 'made', event_id FROM log WHERE op = 'create_node' UNION ALL SELECT 'near', event_id FROM log WHERE op = 'transition_status' AND (node_id = 'E-3' OR starts_with(node_id, 'E-3.'))")(
+    lambda e: hooks.matched(hooks.normalised(applied.log_of(e).withColumn("via_hook", F.lit(None).cast("string"))), _hooks(e.sparkSession))
+)
 
 # text and scalars
 _add("id_parts", "nodes", "SELECT id, project, parent_id AS parent, depth, CASE depth WHEN 0 THEN 'epic' WHEN 1 THEN 'story' WHEN 2 THEN 'issue' ELSE 'micro' END AS node_type FROM nodes")(lambda n: n.select("id", ids.project(F.col("id")).alias("project"), ids.parent(F.col("id")).alias("parent"), ids.depth(F.col("id")).alias("depth"), ids.node_type(ids.depth(F.col("id"))).alias("node_type")))
@@ -215,8 +217,9 @@ _add("placeholder_ancestors", "nodes", "SELECT DISTINCT p.id, p.depth FROM nodes
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of the documents, from the store."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return stored(spark, sf_dir, "postings", lambda: text.postings(docs, ["text"]), "term"), stored(spark, sf_dir, "lengths", lambda: text.lengths(docs, ["text"]), "id")
+    path = f"{sf_dir}/documents.parquet"
+    docs = spark.read.parquet(path)
+    return stored(spark, "postings", lambda: text.postings(docs, ["text"]), "term", path), stored(spark, "lengths", lambda: text.lengths(docs, ["text"]), "id", path)
 
 
 def _search(name: str, asked: list[list[text.Term]], condition: str) -> None:
@@ -258,6 +261,7 @@ _SQL["mentions"] = r"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN role WHEN 1
 
 applied.register(_add)
 deeper.register(_add)
+history.register(_add)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from thicket.functions import ids
 from thicket.operators import aggregates, events, graph, hierarchy, integrity, lifecycle, listing, more
-from thicket.streaming import journal
 
 LIVE = "deleted_at IS NULL"
 TERMINAL = "('done', 'cancelled', 'invalidated')"
@@ -90,9 +89,6 @@ def register(add) -> None:
     add("verify_hashes", "nodes", "SELECT id FROM nodes WHERE seq % 9 = 0")(
         lambda n: integrity.wrong_hashes(n.select("id", "title", *[F.lit("").alias(c) for c in ("description", "prompt", "acceptance")], F.array_compact(F.array("label")).alias("labels")).withColumn("content_hash", F.when(F.substring_index(F.replace("id", F.lit("-"), F.lit(".")), ".", -1).cast("long") % 9 == 0, "stale").otherwise(ids.content_hash(F.col("title"), F.col("description"), F.col("prompt"), F.col("acceptance"), F.col("labels")))))
     )
-    add("hook_event_names", "log", "SELECT event_id, CASE op WHEN 'create_node' THEN 'node.created' WHEN 'transition_status' THEN CASE to_status WHEN 'done' THEN 'status.done' ELSE 'status.changed' END WHEN 'claim' THEN 'node.claimed' WHEN 'comment' THEN 'comment.added' WHEN 'update_field' THEN 'node.updated' ELSE concat('other.', op) END AS name FROM log")(
-        lambda e: e.select("event_id", F.when((F.col("op") == "transition_status") & (F.col("to_status") == "done"), "status.done").otherwise(journal.hook_event(F.col("op"))).alias("name"))
-    )
 
 
 def _by_parent():

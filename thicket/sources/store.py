@@ -1,45 +1,83 @@
 """The node store: views that many queries read are written once, sorted by id, and read back.
 
 Over the written table the filters on id, project and depth reach the Parquet
-scan, whose row groups hold narrow ranges of ids. The folder is one that driver
-and executors share; without one (a cluster with no checkpoint folder) a view
-stays a view.
+scan, whose row groups hold narrow ranges of ids. A table is known by the files
+it was made from: their paths, sizes and times, so changed data are written
+anew. The folder is one that driver and executors share: the session's
+``spark.checkpoint.dir``, else the context's checkpoint folder; only on a
+single machine a temporary one is made, and removed when Python ends. On a
+cluster with neither, a view stays a view.
 """
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: (application, data folder, name) to the folder of what was written.
-_written: dict[tuple[str, str, str], str] = {}
+#: (application, name, files) to the folder of what was written.
+_written: dict[tuple, str] = {}
 #: Temporary folders by application, on a single machine only.
 _local: dict[str, str] = {}
-#: Rows of one file, about.
-ROWS = 250_000
+#: Bytes of input for one file of output, about.
+BYTES = 32 << 20
+#: What writing took: (name, seconds, bytes of input), in order.
+spent: list[tuple[str, float, int]] = []
+
+
+def files(spark: SparkSession, *paths: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, bytes, time) of the data files at some paths, on whatever file system they are."""
+    found = []
+    for path in paths:
+        top = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in system.listStatus(top):
+            name = status.getPath().getName()
+            if not name.startswith(("_", ".")):
+                found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The session's checkpoint folder; on a single machine a temporary one where none is set."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder, or the context's; on a single machine a temporary one where none is set."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given is None and re.match(r"local(\[|$)", spark.sparkContext.master):
-        given = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="thicket-"))
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="thicket-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        given = _local[app]
     return given
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], order: str) -> DataFrame:
-    """What ``make`` gives, as a table that is written at its first use in this application and sorted by ``order``."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts a loop's lineage in the session's shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = shared_folder(df.sparkSession)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame], order: str, *inputs: str) -> DataFrame:
+    """What ``make`` gives from the files at ``inputs``, as a table that is written at its first use and sorted by ``order``."""
+    source = files(spark, *inputs)
+    key = (spark.sparkContext.applicationId, name, source)
     if key not in _written:
         folder, made = shared_folder(spark), make()
         if folder is None:
             return made
+        began, size = time.perf_counter(), sum(n for _, n, _ in source)
         path = f"{folder}/thicket-{name}-{uuid.uuid4().hex}"
-        rows = made.count()
-        made.repartitionByRange(max(1, -(-rows // ROWS)), order).sortWithinPartitions(order).write.parquet(path)
+        made.repartitionByRange(max(1, -(-size // BYTES)), order).sortWithinPartitions(order).write.parquet(path)
         _written[key] = path
+        spent.append((name, time.perf_counter() - began, size))
     return spark.read.parquet(_written[key])

@@ -52,13 +52,21 @@ log AS (SELECT event_id, arrival, lamport, wall_ms, machine, author,
 FIRINGS = """
 firings AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'claims' ELSE 'near' END AS hook, concat('E-', user_id % 7) AS node_id, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'delivered' END AS outcome, ts AS fired_at FROM ev)"""
 
+#: Chains of 51 levels, each level with a leaf beside it; ``{levels}`` gives a row for each level.
+CHAINS = """
+ck AS (SELECT c_custkey AS c, {levels} AS k FROM {customer}),
+chains AS (
+  SELECT concat('D', c % 7, '-', c + 1, repeat('.1', k)) AS id, CASE WHEN k > 0 THEN concat('D', c % 7, '-', c + 1, repeat('.1', k - 1)) END AS parent_id, k AS depth,
+    CASE WHEN (c * 31 + k) % 97 = 0 THEN 'cancelled' ELSE 'open' END AS status, CAST(1 + k % 3 AS DOUBLE) AS weight, CAST(c % 4 AS DOUBLE) / 4 AS progress, CAST(NULL AS TIMESTAMP) AS deleted_at FROM ck
+  UNION ALL SELECT concat('D', c % 7, '-', c + 1, repeat('.1', k - 1), '.2'), concat('D', c % 7, '-', c + 1, repeat('.1', k - 1)), k, CASE WHEN (c + k) % 5 = 0 THEN 'invalidated' ELSE 'done' END, CAST(1 + (c + k) % 2 AS DOUBLE), CAST(k % 2 AS DOUBLE), NULL FROM ck WHERE k > 0)"""
+
 AGENTS = """
 agents AS (SELECT concat('agent-', l_suppkey) AS agent_id, max(CAST(l_shipdate AS TIMESTAMP)) AS last_heartbeat, CASE WHEN l_suppkey % 3 = 0 THEN 'stuck' ELSE 'working' END AS state FROM {lineitem} WHERE l_shipdate < TIMESTAMP '2000-01-01 00:00:00' GROUP BY l_suppkey)"""
 
 SESSIONS = """
 sessions AS (SELECT concat('s', o_orderkey % 50) AS id, concat('agent-', o_orderkey % 10) AS agent_id, min(CAST(o_orderdate AS TIMESTAMP)) AS started_at, CASE WHEN min(o_orderkey) % 2 = 0 THEN 'active' ELSE 'ended' END AS status FROM {orders} GROUP BY 1, 2)"""
 
-_PARTS = {"nodes": (NODES,), "edges": (NODES, EDGES), "ev": (EVENTS,), "log": (EVENTS, LOG), "firings": (EVENTS, FIRINGS), "agents": (AGENTS,), "sessions": (SESSIONS,)}
+_PARTS = {"nodes": (NODES,), "edges": (NODES, EDGES), "ev": (EVENTS,), "log": (EVENTS, LOG), "firings": (EVENTS, FIRINGS), "chains": (CHAINS,), "agents": (AGENTS,), "sessions": (SESSIONS,)}
 #: What the store keeps, and the column it sorts by.
 _STORED = {"nodes": "id", "edges": "to_id"}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"]
@@ -71,7 +79,10 @@ def _with(names) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view by name; nodes and edges come from the store."""
-    return stored(spark, sf_dir, name, lambda: _made(spark, sf_dir, name), _STORED[name]) if name in _STORED else _made(spark, sf_dir, name)
+    if name not in _STORED:
+        return _made(spark, sf_dir, name)
+    text = _with([name])
+    return stored(spark, name, lambda: _made(spark, sf_dir, name), _STORED[name], *[f"{sf_dir}/{t}.parquet" for t in TABLES if f"{{{t}}}" in text])
 
 
 def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,12 +90,12 @@ def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.sql(f"WITH {EDGES} SELECT * FROM edges".replace("FROM nodes", "FROM {nodes}"), nodes=view(spark, sf_dir, "nodes"))
     text = _with([name])
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
-    return spark.sql(f"{text.replace('{ms}', 'unix_millis(CAST(ts AS TIMESTAMP))')} SELECT * FROM {name}", **used)
+    return spark.sql(f"{text.replace('{ms}', 'unix_millis(CAST(ts AS TIMESTAMP))').replace('{levels}', 'explode(sequence(0, 50))')} SELECT * FROM {name}", **used)
 
 
 def oracle(query: str, *names: str) -> str:
     """The query for the checking engine, with the views it names before it."""
-    text = _with(names).replace("{ms}", "CAST(epoch_us(ts) // 1000 AS BIGINT)")
+    text = _with(names).replace("{ms}", "CAST(epoch_us(ts) // 1000 AS BIGINT)").replace("{levels}", "CAST(unnest(range(51)) AS INT)")
     for t in TABLES:
         text = text.replace(f"{{{t}}}", t)
     for v in ("nodes", "edges", "ev", "log"):  # read once, however often the query names them

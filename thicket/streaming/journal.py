@@ -1,12 +1,9 @@
-"""Consumers of the event log: inboxes, hook matching and dispatch, as batch functions and as streams that use them."""
+"""Consumers of the event log: tails, inboxes and their acknowledgements, rates."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def tail(events: DataFrame, after: int, limit: int = 500, applied: DataFrame | None = None, origin: DataFrame | None = None) -> DataFrame:
@@ -24,47 +21,28 @@ def inbox(comments: DataFrame, deliveries: DataFrame, cursors: DataFrame, acked:
     return past.join(acked.select("agent", "seq"), ["agent", "seq"], "left_anti")
 
 
-def hook_event(op_type: Column) -> Column:
-    """The name under which hooks know a kind of event."""
-    return F.when(op_type == "create_node", "node.created").when(op_type == "transition_status", "status.changed").when(op_type == "claim", "node.claimed").when(op_type == "comment", "comment.added").when(op_type == "update_field", "node.updated").otherwise(F.concat(F.lit("other."), op_type))
-
+def acked_through(acked: DataFrame, cursors: DataFrame, through: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cursors, acked) after agents acknowledge all up to a number: ``through`` has (agent, seq).
 
-def hook_matches(events: DataFrame, hooks: DataFrame) -> DataFrame:
-    """(hook, event_id): all of a hook's filters must hold; an empty one lets all pass.
-
-    Hooks are configuration, a few rows, and go to every task.
+    Cursors never go back; acknowledgements at or below the new cursor are
+    covered by it and go.
     """
-    named = events.withColumn("event", hook_event(F.col("op_type")))
-    whole = (F.size("h.events") == 0) | F.array_contains("h.events", F.col("event"))
-    inside = (F.col("h.under") == "") | (F.col("node_id") == F.col("h.under")) | F.col("node_id").startswith(F.concat("h.under", F.lit(".")))
-    return named.join(F.broadcast(hooks.select(F.struct("name", "events", "under").alias("h"))), whole & inside).select(F.col("h.name").alias("hook"), "event_id")
-
+    asked = through.groupBy("agent").agg(F.max("seq").alias("asked"))
+    moved = cursors.join(asked, "agent", "full").select("agent", F.greatest("cursor", "asked").alias("cursor"))
+    left = acked.join(moved, "agent", "left").filter("cursor is null or seq > cursor").select("agent", "seq")
+    return moved, left
 
-def new_claims(matches: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Matches that no pass has claimed yet: one winner for each hook and event."""
-    return matches.distinct().join(ledger.select("hook", "event_id"), ["hook", "event_id"], "left_anti")
 
+def closed_gaps(delivered: DataFrame, acked: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(agent, cursor): each cursor moved over what is delivered past it and acknowledged without a gap.
 
-def dispatch(events: DataFrame, hooks: DataFrame, ledger_path: str, sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Fires hooks once for each event of a stream.
-
-    The stream's checkpoint is the scan floor. A batch that is run again finds
-    its claims in the ledger, which is written after the sink with the batch's
-    number in its path, so each batch's claims replace themselves.
+    The first delivered number that isn't acknowledged stops it: one minimum
+    for each agent, not a walk.
     """
-    spark = events.sparkSession
-
-    def run(batch: DataFrame, number: int) -> None:
-        matched = hook_matches(batch, hooks)
-        if number:
-            earlier = spark.read.schema("hook string, event_id long, batch int").parquet(ledger_path).filter(F.col("batch") < number)
-            matched = new_claims(matched, earlier)
-        claims = matched.distinct().persist()
-        sink(claims)
-        claims.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
-        claims.unpersist()
-
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    past = delivered.join(cursors, "agent", "left").filter("cursor is null or seq > cursor").select("agent", "seq").distinct()
+    open_ = past.join(acked.select("agent", "seq"), ["agent", "seq"], "left_anti").groupBy("agent").agg(F.min("seq").alias("first"))
+    done = past.join(open_, "agent", "left").filter("first is null or seq < first").groupBy("agent").agg(F.max("seq").alias("done"))
+    return cursors.join(done, "agent", "full").select("agent", F.greatest("cursor", "done").alias("cursor"))
 
 
 def hourly_rates(events: DataFrame, late: str = "10 minutes") -> DataFrame:
