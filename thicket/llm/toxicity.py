@@ -111,14 +111,30 @@ def _anywhere(word: str) -> set[str]:
 
 
 def _folds_with(texts: list[str], classes: list[int], keys) -> dict[str, np.ndarray]:
-    """In how many classes of texts each word beginning occurs, by fold; those in ``keys`` count inside words too, as a compressor finds them there."""
-    inside: defaultdict[str, set[int]] = defaultdict(set)
+    """In how many classes of texts each word beginning occurs, by fold; those in ``keys`` count inside words too, as a compressor finds them there.
+
+    Without ``keys`` all that enough classes have count; hashes tell them first, so the many that one class has are never held.
+    """
+    members: defaultdict[int, list[str]] = defaultdict(list)
     for t, c in zip(texts, classes, strict=True):
-        for w in set(_WORD.findall(t.lower())):
-            for key in _beginnings(w) if keys is None else _anywhere(w):
-                if keys is None or key in keys:
-                    inside[key].add(c)
-    return {k: np.bincount([fold(texts[c]) for c in v], minlength=FOLDS) for k, v in inside.items() if keys is not None or len(v) >= min(LEASTS)}
+        members[c].append(t)
+
+    def of_class(own: list[str]) -> set[str]:
+        words = {w for t in own for w in _WORD.findall(t.lower())}
+        return {k for w in words for k in (_beginnings(w) if keys is None else _anywhere(w)) if keys is None or k in keys}
+
+    often: set[int] = set()
+    if keys is None:
+        hashes = [np.fromiter(map(hash, of_class(own)), np.int64) for own in members.values()]
+        at, n = np.unique(np.concatenate(hashes), return_counts=True)
+        often = set(at[n >= min(LEASTS)].tolist())
+    found: defaultdict[str, np.ndarray] = defaultdict(lambda: np.zeros(FOLDS, np.int64))
+    for c, own in members.items():
+        f = fold(texts[c])
+        for k in of_class(own):
+            if keys is not None or hash(k) in often:
+                found[k][f] += 1
+    return dict(found)
 
 
 def fold(text: str) -> int:
@@ -284,6 +300,7 @@ def learn(toxic: list[str], ordinary: list[str]) -> Model | None:
         model.weights[0] = np.log(share / (1 - share))
         return model
     least, weights = best[1]
+    _SPELL.clear()
     model = _trained(toxic, ordinary, tells.telling(least))
     model.weights = weights
     return model
