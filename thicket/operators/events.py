@@ -57,19 +57,20 @@ def _rules(columns: list[str], now_ms: int) -> list[tuple[str, Column]]:
         ("clock_value", "clock", outside("clock")),
         ("future", "wall_ms", c("wall_ms") > now_ms + AHEAD_HOURS * 3_600_000),
     ]
-    return [(name, test) for name, column, test in rules if column in columns]
+    wrong = {"op_type", "project_prefix", "author", "machine", "wall_clock", "lamport"}  # if the value is missing
+    return [(name, F.coalesce(test, F.lit(name in wrong))) for name, column, test in rules if column in columns]
 
 
 def violations(events: DataFrame, now_ms: int) -> DataFrame:
     """event_id, all faults in order, and whether its time is old, which is but a warning; events with neither don't show."""
-    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(name != "sync_status")), F.lit(name)) for name, test in _rules(events.columns, now_ms)]))
+    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in _rules(events.columns, now_ms)]))
     old = F.coalesce(F.col("wall_ms") < now_ms - OLD_DAYS * 86_400_000, F.lit(False))
     return events.select("event_id", F.array_join(found, ",").alias("faults"), old.alias("stale")).filter("faults <> '' or stale")
 
 
 def batch_verdicts(events: DataFrame, now_ms: int, batch: str = "batch") -> DataFrame:
     """(batch, accepted, event_id, fault): a batch with a faulty event is refused whole; the first such event by arrival, and its first fault, say why."""
-    faults = [F.when(F.coalesce(test, F.lit(name != "sync_status")), F.lit(name)) for name, test in _rules(events.columns, now_ms)]
+    faults = [F.when(test, F.lit(name)) for name, test in _rules(events.columns, now_ms)]
     each = events.select(batch, "arrival", "event_id", F.coalesce(*faults).alias("fault"))
     first = F.min(F.when(F.col("fault").isNotNull(), F.struct("arrival", "event_id", "fault")))
     return each.groupBy(batch).agg(first.alias("f")).select(batch, F.col("f").isNull().alias("accepted"), "f.event_id", "f.fault")

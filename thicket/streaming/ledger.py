@@ -139,13 +139,14 @@ def dispatch(events: DataFrame, rules: DataFrame, outcomes: DataFrame, sink: Cal
 
     At least once: a batch that is run again hands its claims to the sink
     again, and a claim without an outcome comes again when its lease is over.
+    So the stream has no end by itself: it runs by intervals, or one batch.
     """
     named = hooks.matched(hooks.normalised(events), rules)
     asks = named.select("hook", F.col("event_id").alias("seq"), F.lit("").alias("outcome"))
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     won = claims(asks.unionByName(outcomes.select("hook", "seq", "outcome")), floor, lease)
-    return won.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return won.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def fanned_out(events: DataFrame, name: Column, subscribers: DataFrame) -> DataFrame:
