@@ -300,6 +300,22 @@ def test_prompts_hold_what_the_chain_says(spark):
     assert found["P-1"] == top
 
 
+def test_index_upkeep_is_a_new_index(spark):
+    """Updates, deletions, a row both changed and deleted, new rows, empty texts: kept and rebuilt postings are the same, and the check says so."""
+    schema = "doc_id long, title string, body string"
+    base = [(i, f"title {i}", f"word{i % 5} and more {i}") for i in range(30)] + [(30, None, "")]
+    old = spark.createDataFrame(base, schema)
+    changed = spark.createDataFrame([(3, "new", "words here"), (4, "", None), (5, "late", "gone"), (99, "fresh", "row")], schema)
+    gone = spark.createDataFrame([(5,), (6,), (12345,)], "doc_id long")
+    columns = ["title", "body"]
+    index, sizes = text.upkept(text.postings(old, columns), text.lengths(old, columns), changed, gone, columns)
+    now = spark.createDataFrame([r for r in base if r[0] not in (3, 4, 5, 6)] + [(3, "new", "words here"), (4, "", None), (99, "fresh", "row")], schema)
+    flat = lambda x: sorted(map(repr, x.select(*sorted(x.columns)).collect()))
+    assert flat(index) == flat(text.postings(now, columns)) and flat(sizes) == flat(text.lengths(now, columns))
+    assert text.index_faults(index, now, columns).count() == 0
+    assert got(text.index_faults(text.postings(old, columns), now, columns), "id", "fault") == [(3, "stale"), (4, "surplus"), (5, "surplus"), (6, "surplus"), (99, "missing")]
+
+
 def test_store_sees_changed_files(spark, tmp_path):
     """The same folder with other files gives the new answer."""
     import shutil

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thicket.functions.ids import under
 from thicket.operators import aggregates, graph, hierarchy, integrity, listing, replay, text
 from thicket.sources import views
+from thicket.sources.store import checkpointed
 
 
 class Engine:
@@ -15,6 +16,7 @@ class Engine:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, log: DataFrame):
         self.nodes, self.edges, self.log = nodes, edges, log
+        self._words: tuple[DataFrame, DataFrame] | None = None
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str) -> Engine:
@@ -70,9 +72,20 @@ class Engine:
 
     def search(self, *asked: list[text.Term], limit: int = 20, offset: int = 0) -> DataFrame:
         """A page of the live nodes that meet one of the alternatives in their texts."""
-        columns = [c for c in ("title", "description", "prompt") if c in self.nodes.columns]
-        rows = listing.live(self.nodes)
-        return text.best(text.search(text.postings(rows, columns, "id"), text.lengths(rows, columns, "id"), list(asked)), limit, offset)
+        return text.best(text.search(*self.index(), list(asked)), limit, offset)
+
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of the live nodes' texts, made at the first search and kept in the checkpoint folder."""
+        if self._words is None:
+            columns = [c for c in ("title", "description", "prompt") if c in self.nodes.columns]
+            rows = listing.live(self.nodes)
+            self._words = checkpointed(text.postings(rows, columns, "id")), checkpointed(text.lengths(rows, columns, "id"))
+        return self._words
+
+    def prompt(self, id_: str, budget: int = 0) -> DataFrame:
+        """The node's prompt with what stands above it, cut to a budget of tokens if one is given."""
+        named = self.ancestors(id_).select(F.lit(id_).alias("id"), F.col("id").alias("ancestor_id"), F.col("depth").cast("long").alias("level"))
+        return text.prompts(self.nodes, named, self.blockers(id_), budget)
 
     def context(self, id_: str) -> DataFrame:
         named = self.ancestors(id_).select(F.lit(id_).alias("id"), F.col("id").alias("ancestor_id"), F.col("depth").cast("long").alias("level"))

@@ -48,6 +48,30 @@ def lengths(rows: DataFrame, columns: list[str], id_col: str = "doc_id") -> Data
     return rows.select(F.col(id_col).alias("id"), sum((F.size(terms(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).alias("n"))
 
 
+def upkept(index: DataFrame, sizes: DataFrame, changed: DataFrame, gone: DataFrame, columns: list[str], id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The index and its lengths after some rows were written anew (or for the first time) and others deleted (``gone`` has their ids).
+
+    What the base holds of touched rows counts no more; only changed rows are
+    read for words. A search over the result reads base and delta; written
+    out, it is the compacted base.
+    """
+    touched = changed.select(F.col(id_col).alias("id")).union(gone.select(F.col(id_col).alias("id"))).distinct()
+    fresh = changed.join(gone.select(id_col), id_col, "left_anti")
+    return index.join(touched, "id", "left_anti").select(*index.columns).unionByName(postings(fresh, columns, id_col)), sizes.join(touched, "id", "left_anti").select(*sizes.columns).unionByName(lengths(fresh, columns, id_col))
+
+
+def index_faults(index: DataFrame, rows: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+    """(id, fault) where an index doesn't hold what the texts say: missing, surplus or stale.
+
+    A row's postings are told by a sum of their hashes, which needs no order
+    and combines before the shuffle.
+    """
+    told = lambda p: p.groupBy("id").agg(F.sum(F.xxhash64("term", "column", "places").cast("decimal(38,0)")).alias("sum"))
+    here, want = told(index).withColumnRenamed("sum", "here"), told(postings(rows, columns, id_col)).withColumnRenamed("sum", "want")
+    fault = F.when(F.col("here").isNull(), "missing").when(F.col("want").isNull(), "surplus").when(F.col("here") != F.col("want"), "stale")
+    return here.join(want, "id", "full").select("id", fault.alias("fault")).filter("fault is not null")
+
+
 def search(index: DataFrame, sizes: DataFrame, asked: list[list[Term]], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """id and BM25 score of the rows that meet all terms of one of the alternatives; equal scores go by id when paged.
 

@@ -120,6 +120,11 @@ _add(
     recursive=True,
 )(lambda n, e: graph.reachable(e, e.filter(F.col("from_id").startswith("R0-1.")).agg(F.min("from_id")).first()[0]))
 
+_LINKS = "SELECT DISTINCT concat('E-', CAST(substring(author, 2) AS INT) + 1) AS from_id, concat('E-', 1 + event_id * 7 % 101) AS to_id, 'blocks' AS dep_type FROM log WHERE op IN ('link_dep', 'unlink_dep', 'delete', 'set_prompt')"
+_add("reachability_cycles", "log", f"WITH g AS ({_LINKS}), r(id, steps) AS (SELECT 'E-1', 0 UNION SELECT g.to_id, r.steps + 1 FROM r JOIN g ON g.from_id = r.id WHERE r.steps < 40) SELECT id, min(steps) AS steps FROM r WHERE id <> 'E-1' GROUP BY 1", recursive=True)(
+    lambda e: graph.reachable(e.sparkSession.sql(_LINKS.replace("FROM log", "FROM {log}"), log=e), "E-1")
+)
+
 # events
 _add(
     "event_violations",
@@ -237,6 +242,31 @@ _search("search_prefix", [[text.Term("licen", prefix=True), text.Term("apache",
 _search("search_or", [[text.Term("apache")], [text.Term("trash")]], "contains(w, ' apache ') OR contains(w, ' trash ')")
 
 
+def _edited(docs: DataFrame) -> DataFrame:
+    """Every tenth document as it is written anew."""
+    return docs.filter("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("Apache license of "), F.col("doc_id"), F.lit(" "), F.substring("text", 1, 200)))
+
+
+def _search_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search after every tenth document was written anew and every seventh deleted, over the kept index and its delta."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index, sizes = text.upkept(*_index(spark, sf_dir), _edited(docs), docs.filter("doc_id % 7 = 0"), ["text"])
+    return text.search(index, sizes, [[text.Term("apache license")]]).select(F.col("id").alias("doc_id"))
+
+
+def _index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the kept index lacks if those changes weren't told to it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    now = docs.filter("doc_id % 10 <> 0").unionByName(_edited(docs)).filter("doc_id % 7 <> 0")
+    return text.index_faults(_index(spark, sf_dir)[0], now, ["text"]).select(F.col("id").alias("doc_id"), "fault")
+
+
+_QUERIES["search_updated"] = _search_updated
+_SQL["search_updated"] = "SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(CASE WHEN doc_id % 10 = 0 THEN 'Apache license of ' || doc_id || ' ' || substr(text, 1, 200) ELSE text END), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS w FROM documents WHERE doc_id % 7 <> 0) x WHERE contains(w, ' apache license ')"
+_QUERIES["index_check"] = _index_check
+_SQL["index_check"] = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'surplus' WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}]') THEN 'stale' ELSE 'missing' END AS fault FROM documents WHERE CASE WHEN doc_id % 7 = 0 THEN regexp_matches(lower(coalesce(text, '')), '[\\p{L}\\p{N}]') ELSE doc_id % 10 = 0 END"
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.search(*_index(spark, sf_dir), [[text.Term("apache"), text.Term("license")]]).withColumnRenamed("id", "doc_id")
 
