@@ -300,6 +300,46 @@ def test_prompts_hold_what_the_chain_says(spark):
     assert found["P-1"] == top
 
 
+def test_export_checksum_is_that_of_its_text(spark, tmp_path):
+    """The digest of the whole text, written out by hand; the file read back, text after the object and a wrong count refused."""
+    from thicket.sources import exchange
+
+    day = datetime(2026, 1, 2, 3, 4, 5)
+    rows = [("P-2", None, 0, 2, "P", "b <&>\u2028", ["x", "<"], "open", 0.5, 1.0, day, None, "u2"), ("P-1", None, 0, 1, "P", 'a "q"', [], "done", 1.0, 2.5, day, day, None), ("P-1.1", "P-1", 1, 1, "P", "é", None, "open", 0.0, 1.0, day, None, "")]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, depth int, seq int, project string, title string, labels array<string>, status string, progress double, weight double, created_at timestamp, deleted_at timestamp, uid string").withColumn("priority", F.lit(3)).withColumn("updated_at", F.col("created_at"))
+    edges = spark.createDataFrame([("P-2", "P-1", "blocks", day)], "from_id string, to_id string, dep_type string, created_at timestamp")
+
+    def text_of(x):
+        for plain, code in (("<", "003c"), (">", "003e"), ("&", "0026"), ("\u2028", "2028")):
+            x = x.replace(plain, "\\u" + code)
+        return x
+
+    def number(x):
+        return int(x) if x == int(x) else x
+
+    def node(r):
+        at = "2026-01-02T03:04:05Z"
+        labels = text_of(json.dumps(r[6] or [], ensure_ascii=False, separators=(",", ":")))
+        full = {"id": r[0], "parent_id": r[1] or "", "depth": r[2], "seq": r[3], "project": r[4], "title": r[5], "description": "", "prompt": "", "acceptance": "", "node_type": ["epic", "story"][r[2]], "issue_type": "", "priority": 3, "labels": labels, "status": r[7], "progress": number(r[8]), "assignee": "", "creator": "", "agent_state": "", "weight": number(r[9]), "content_hash": "", "created_at": at, "updated_at": at}
+        return full | ({"deleted_at": at} if r[11] else {}) | ({"uid": r[12]} if r[12] else {})
+
+    found = [node(r) for r in sorted(rows)]
+    deps = [{"from_id": "P-2", "to_id": "P-1", "dep_type": "blocks", "created_at": "2026-01-02T03:04:05Z"}]
+    dump = lambda x: text_of(json.dumps(x, ensure_ascii=False, separators=(",", ":")))
+    sha = lambda x: __import__("hashlib").sha256(x.encode()).hexdigest()
+    assert exchange.export_checksum(nodes, edges) == sha(dump({"nodes": found, "deps": deps}))
+    assert exchange.export_checksum(nodes.filter("false"), edges.filter("false")) == sha('{"nodes":null,"deps":null}')
+    whole = {"version": 1, "schema_version": "1", "project": "P", "nodes": found, "dependencies": deps, "node_count": 3, "checksum": exchange.export_checksum(nodes, edges)}
+    file = tmp_path / "export.json"
+    file.write_text(json.dumps(whole, indent=1))
+    back, links, head = exchange.read_export(spark, str(file), "id string, title string, progress double", "from_id string, to_id string")
+    assert got(back, "id", "title") == sorted((r[0], r[5]) for r in rows) and got(links, "from_id", "to_id") == [("P-2", "P-1")] and head["checksum"] == whole["checksum"]
+    for wrong in (json.dumps(whole) + " {}", json.dumps(whole | {"node_count": 4}), json.dumps(whole)[:-1]):
+        file.write_text(wrong)
+        with pytest.raises(ValueError):
+            exchange.read_export(spark, str(file), "id string", "from_id string")
+
+
 def test_index_upkeep_is_a_new_index(spark):
     """Updates, deletions, a row both changed and deleted, new rows, empty texts: kept and rebuilt postings are the same, and the check says so."""
     schema = "doc_id long, title string, body string"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thicket.functions import ids
 from thicket.operators import backfill, events, graph, hierarchy, integrity, more, numbering, replay, text, transitions
 from thicket.plans.applied import log_of
+from thicket.sources import exchange
 from thicket.streaming import hooks, journal, ledger
 
 LIVE = "deleted_at IS NULL"
@@ -157,9 +158,20 @@ def register(add) -> None:
     add("sweep_preview", "ev", swept)(_swept)
     add("inbox_cursors", "ev", "WITH d AS (SELECT author AS agent, CAST(event_id AS BIGINT) AS seq FROM ev WHERE op_type = 'comment'), c AS (SELECT author AS agent, max(user_id) % 3 AS cursor FROM ev GROUP BY 1), p AS (SELECT d.* FROM d JOIN c USING (agent) WHERE seq > cursor), f AS (SELECT agent, min(seq) AS first FROM p WHERE seq % 7 = 0 GROUP BY 1), t AS (SELECT agent, max(seq) AS done FROM p LEFT JOIN f USING (agent) WHERE first IS NULL OR seq < first GROUP BY 1) SELECT agent, greatest(cursor, done) AS cursor FROM c LEFT JOIN t USING (agent)")(lambda e: journal.closed_gaps(*_inbox(e)))
     add("inbox_acked_through", "ev", "WITH d AS (SELECT author AS agent, CAST(event_id AS BIGINT) AS seq FROM ev WHERE op_type = 'comment'), c AS (SELECT author AS agent, max(user_id) % 3 AS cursor FROM ev GROUP BY 1), a AS (SELECT agent, max(seq) AS s FROM d WHERE seq % 9 = 0 GROUP BY 1) SELECT d.agent, d.seq FROM d JOIN c USING (agent) LEFT JOIN a USING (agent) WHERE d.seq % 7 <> 0 AND d.seq > greatest(cursor, s)")(lambda e: journal.acked_through(*_inbox(e)[1:], _inbox(e)[0].filter("seq % 9 = 0"))[1])
+    stamp = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
+    number = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+    add(
+        "export_records",
+        "nodes",
+        f"""SELECT id, sha256('{{"id":"' || id || '","parent_id":"' || coalesce(parent_id, '') || '","depth":' || depth || ',"seq":' || seq || ',"project":"' || project || '","title":"' || title || '","description":"","prompt":"","acceptance":"","node_type":"' || CASE depth WHEN 0 THEN 'epic' WHEN 1 THEN 'story' WHEN 2 THEN 'issue' ELSE 'micro' END || '","issue_type":"","priority":' || priority || ',"labels":"[' || coalesce('\\"' || label || '\\"', '') || ']","status":"' || status || '","progress":' || {number.format('progress')} || ',"assignee":"' || coalesce(assignee, '') || '","creator":"","agent_state":"","weight":' || {number.format('weight')} || ',"content_hash":"","created_at":"' || {stamp.format('created_at')} || '","updated_at":"' || {stamp.format('updated_at')} || '"' || coalesce(',"defer_until":"' || {stamp.format('defer_until')} || '"', '') || coalesce(',"deleted_at":"' || {stamp.format('deleted_at')} || '"', '') || '}}') AS digest FROM nodes""",
+    )(lambda n: _records(n.withColumn("labels", F.array_compact(F.array("label")))))
     _more(add)
 
 
+def _records(n: DataFrame) -> DataFrame:
+    return n.select("id", F.sha2(exchange.records(n, exchange.NODE), 256).alias("digest"))
+
+
 def _swept(e: DataFrame) -> DataFrame:
     """What a sweep adds to a ledger that holds the losers with odd first events."""
     creates = e.filter("op_type = 'create_node'").select("event_id", "node_id", "arrival", F.concat("node_id", F.lit("uid"), F.col("event_id") % 3).alias("uid"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.functions.ids import canonical_json, node_type
+
 PLAN = "title string, description string, prompt string, acceptance string, priority int, labels array<string>, parent string, _corrupt string"
 
 
@@ -13,6 +19,96 @@ def export_json(nodes: DataFrame, path: str) -> None:
     nodes.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").json(path)
 
 
+#: The members of an exported node and edge, in order; those that are left out when empty.
+NODE = ["id", "parent_id", "depth", "seq", "project", "title", "description", "prompt", "acceptance", "node_type", "issue_type", "priority", "labels", "status", "progress", "assignee", "creator", "agent_state", "weight", "content_hash", "created_at", "updated_at", "closed_at", "defer_until", "deleted_at", "uid"]
+EDGE = ["from_id", "to_id", "dep_type", "created_at"]
+OPTIONAL = {"closed_at", "defer_until", "deleted_at", "uid"}
+NUMBERS = {"depth": "int", "seq": "bigint", "priority": "int", "progress": "double", "weight": "double"}
+
+
+def _member(rows: DataFrame, name: str) -> Column:
+    kind = dict(rows.dtypes).get(name)
+    if name == "node_type":
+        return node_type(F.col("depth"))
+    if name in NUMBERS:
+        return F.coalesce(F.col(name), F.lit(0)).cast(NUMBERS[name]) if kind else F.lit(0).cast(NUMBERS[name])
+    if kind is None:
+        text = F.lit(None).cast("string")
+    elif kind == "timestamp":
+        text = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    elif kind.startswith("array"):
+        text = canonical_json(F.to_json(name))
+    else:
+        text = F.col(name).cast("string")
+    return F.nullif(text, F.lit("")) if name in OPTIONAL else F.coalesce(text, F.lit("[]" if name == "labels" else ""))
+
+
+def records(rows: DataFrame, members: list[str]) -> Column:
+    """The JSON of a row as an export writes it: members in order, no blanks, whole numbers without a fraction."""
+    text = canonical_json(F.to_json(F.struct(*[_member(rows, m).alias(m) for m in members])))
+    return F.regexp_replace(text, r'"(progress|weight)":(-?[0-9]+)\.0([,}])', r'"$1":$2$3')
+
+
+def export_checksum(nodes: DataFrame, edges: DataFrame) -> str:
+    """The digest that an export carries: sha-256 of its nodes by id and edges by their ends, deleted ones too, as one JSON text.
+
+    Such a digest has no parts, so the records, made and sorted by Spark, are
+    read one partition after the other and hashed as they come.
+    """
+    total = hashlib.sha256()
+
+    def add(rows: DataFrame, members: list[str], order: list[str]) -> None:
+        first = True
+        for r in rows.select(*order, records(rows, members).alias("record")).orderBy(*order).select("record").toLocalIterator():
+            total.update(("" if first else ",").encode() + r.record.encode())
+            first = False
+
+    # an export without rows of a kind says null
+    total.update(b'{"nodes":')
+    for k, (rows, members, order) in enumerate(((nodes, NODE, ["id"]), (edges, EDGE, ["from_id", "to_id"]))):
+        some = bool(rows.take(1))
+        total.update((b',"deps":' if k else b"") + (b"[" if some else b"null"))
+        if some:
+            add(rows, members, order)
+            total.update(b"]")
+    total.update(b"}")
+    return total.hexdigest()
+
+
+def read_export(spark: SparkSession, path: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(nodes, edges, header) of an export file, one JSON object and nothing after it; ``nodes`` and ``edges`` are their schemas.
+
+    Refuses text after the object, and a node count other than the one declared.
+    """
+    head = "version int, schema_version string, project string, node_count long, checksum string"
+    told = spark.read.schema(f"{head}, nodes array<struct<{_typed(nodes)}>>, dependencies array<struct<{_typed(edges)}>>, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    # Spark's own readers stop where the object closes, so a task looks at the whole text
+    rest = not spark.read.text(path, wholetext=True).select(F.pandas_udf(_whole, "boolean")("value").alias("one")).first()["one"]
+    rows = told.select(*[c.split()[0] for c in head.split(", ")], F.size("nodes").alias("found"), "_corrupt").take(2)
+    if rest or len(rows) != 1 or rows[0]["_corrupt"] is not None:
+        raise ValueError("an export is one JSON object")
+    header = rows[0].asDict()
+    if header["node_count"] != max(0, header["found"] or 0):
+        raise ValueError(f"{header['node_count']} nodes declared, {header['found']} found")
+    return told.select(F.inline("nodes")), told.select(F.inline("dependencies")), header
+
+
+def _whole(texts: pd.Series) -> pd.Series:
+    """Whether a text is one JSON object and nothing else."""
+
+    def one(text: str) -> bool:
+        try:
+            return isinstance(json.loads(text), dict)
+        except ValueError:
+            return False
+
+    return texts.map(one)
+
+
+def _typed(schema: str) -> str:
+    return ", ".join(f"{name}: {kind}" for name, kind in (c.strip().split(" ", 1) for c in schema.split(",")))
+
+
 def import_json(spark: SparkSession, path: str, schema) -> DataFrame:
     """Rows of an export; anything malformed fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
