@@ -314,17 +314,32 @@ def score(text: str | None, model: Model, distances: Distances) -> float:
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """A model from labelled texts whose rows of ``docs`` meet ``learn_from``; of rows with one id one text counts.
 
-    Ids are chosen first; only the texts of those chosen are fetched, each once.
+    Ids are chosen first; only the texts of those chosen are fetched, each once,
+    by one task, whose sample LEARN and LONGEST bound; only the model comes to
+    the driver.
     """
+    small_batches(docs.sparkSession)
     usable = docs.filter(learn_from & F.length(text_col).between(1, LONGEST)).select(id_col, F.col(text_col).alias("text"))
     told = labels.select(id_col, F.col(label_col).alias("label")).filter("label in (0, 1)").groupBy(id_col).agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
     known = usable.select(id_col).join(told.drop("other"), id_col)
-    texts = []
-    for y in (1, 0):
+
+    def own(y: int) -> DataFrame:
         ids = known.filter(F.col("label") == y).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(LEARN)
-        own = usable.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("text").alias("text"))
-        texts.append([r["text"] for r in own.orderBy(F.xxhash64(id_col), id_col).collect()])
-    return learn(*texts)
+        return usable.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("text").alias("text")).select("text", F.lit(y).alias("label"))
+
+    found = own(1).union(own(0)).coalesce(1).mapInPandas(_learned, "ordinary binary, toxic binary, weights array<double>").collect()
+    return Model(bytes(found[0]["ordinary"]), bytes(found[0]["toxic"]), np.array(found[0]["weights"])) if found else None
+
+
+def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of the one task that has all labelled texts; no row if they are too few."""
+    texts: tuple[list[str], list[str]] = [], []
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["label"], strict=True):
+            texts[label].append(text)
+    model = learn(texts[1], texts[0])
+    if model:
+        yield pd.DataFrame({"ordinary": [model.ordinary], "toxic": [model.toxic], "weights": [model.weights.tolist()]})
 
 
 def _scores(docs: DataFrame, model: Model | None, text_col: str) -> Column:
