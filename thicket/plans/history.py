@@ -9,7 +9,7 @@ from thicket.functions import ids
 from thicket.operators import backfill, events, graph, hierarchy, integrity, more, numbering, replay, text, transitions
 from thicket.plans.applied import log_of
 from thicket.sources import exchange
-from thicket.streaming import hooks, journal, ledger
+from thicket.streaming import hooks, journal, ledger, pull
 
 LIVE = "deleted_at IS NULL"
 TERMINAL = "('done', 'cancelled', 'invalidated')"
@@ -158,6 +158,10 @@ def register(add) -> None:
     add("sweep_preview", "ev", swept)(_swept)
     add("inbox_cursors", "ev", "WITH d AS (SELECT author AS agent, CAST(event_id AS BIGINT) AS seq FROM ev WHERE op_type = 'comment'), c AS (SELECT author AS agent, max(user_id) % 3 AS cursor FROM ev GROUP BY 1), p AS (SELECT d.* FROM d JOIN c USING (agent) WHERE seq > cursor), f AS (SELECT agent, min(seq) AS first FROM p WHERE seq % 7 = 0 GROUP BY 1), t AS (SELECT agent, max(seq) AS done FROM p LEFT JOIN f USING (agent) WHERE first IS NULL OR seq < first GROUP BY 1) SELECT agent, greatest(cursor, done) AS cursor FROM c LEFT JOIN t USING (agent)")(lambda e: journal.closed_gaps(*_inbox(e)))
     add("inbox_acked_through", "ev", "WITH d AS (SELECT author AS agent, CAST(event_id AS BIGINT) AS seq FROM ev WHERE op_type = 'comment'), c AS (SELECT author AS agent, max(user_id) % 3 AS cursor FROM ev GROUP BY 1), a AS (SELECT agent, max(seq) AS s FROM d WHERE seq % 9 = 0 GROUP BY 1) SELECT d.agent, d.seq FROM d JOIN c USING (agent) LEFT JOIN a USING (agent) WHERE d.seq % 7 <> 0 AND d.seq > greatest(cursor, s)")(lambda e: journal.acked_through(*_inbox(e)[1:], _inbox(e)[0].filter("seq % 9 = 0"))[1])
+    add("pulled_once", "log", "SELECT event_id, node_id, lamport, op AS op_type FROM log WHERE event_id % 5 <> 0")(_pulled)
+    add("pulled_late", "log", "WITH p AS (SELECT event_id, lamport, CAST(floor(arrival / 50) AS BIGINT) AS page FROM log), m AS (SELECT page, max(max(lamport)) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS passed FROM p GROUP BY page) SELECT event_id, page, lamport, passed FROM p JOIN m USING (page) WHERE lamport <= passed")(
+        lambda e: pull.late(e.withColumn("page", F.floor(F.col("arrival") / 50)), "page")
+    )
     stamp = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
     number = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
     add(
@@ -172,6 +176,13 @@ def _records(n: DataFrame) -> DataFrame:
     return n.select("id", F.sha2(exchange.records(n, exchange.NODE), 256).alias("digest"))
 
 
+def _pulled(e: DataFrame) -> DataFrame:
+    """A log of which every third event is delivered twice and every fifth was applied before."""
+    log = log_of(e)
+    twice = log.unionByName(log.filter("event_id % 3 = 0"))
+    return events.once(twice, log.filter("event_id % 5 = 0")).select("event_id", "node_id", "lamport", "op_type")
+
+
 def _swept(e: DataFrame) -> DataFrame:
     """What a sweep adds to a ledger that holds the losers with odd first events."""
     creates = e.filter("op_type = 'create_node'").select("event_id", "node_id", "arrival", F.concat("node_id", F.lit("uid"), F.col("event_id") % 3).alias("uid"))
