@@ -113,17 +113,20 @@ def rollup(nodes: DataFrame) -> DataFrame:
     countable siblings' sum. So the plan is the same at any depth: sums by
     parent, the shares of inner nodes along each parent's path, sums by
     ancestor. A path that a missing node cuts counts up to there.
+
+    The joins are told to merge: deep ids compress so well that a shuffle of
+    millions of them looks small enough to broadcast.
     """
     rows = live(nodes).select("id", "parent_id", "status", "weight", F.col("progress").cast("double").alias("progress"))
     countable = F.when(~F.col("status").isin("cancelled", "invalidated"), F.col("weight"))
-    totals = rows.filter("parent_id is not null").groupBy("parent_id").agg(F.nullif(F.sum(countable), F.lit(0.0)).alias("total"))
-    marked = rows.join(totals.select(F.col("parent_id").alias("id"), F.lit(True).alias("inner")), "id", "left")
+    totals = rows.filter("parent_id is not null").groupBy("parent_id").agg(F.nullif(F.sum(countable), F.lit(0.0)).alias("total")).hint("merge")
+    marked = rows.join(totals.select(F.col("parent_id").alias("id"), F.lit(True).alias("inner")).hint("merge"), "id", "left")
     leaves = marked.filter("inner is null and parent_id is not null").groupBy("parent_id").agg(F.sum(countable * F.col("progress")).alias("done"))
-    own = totals.join(leaves, "parent_id", "left").select(F.col("parent_id").alias("id"), F.coalesce(F.col("done") / F.col("total"), F.lit(0.0)).alias("own"))
+    own = totals.join(leaves.hint("merge"), "parent_id", "left").select(F.col("parent_id").alias("id"), F.coalesce(F.col("done") / F.col("total"), F.lit(0.0)).alias("own"))
     shares = marked.filter("inner").join(totals, "parent_id").select("id", F.coalesce(countable / F.col("total"), F.lit(0.0)).alias("share"))
     roots = marked.filter("inner and parent_id is null").select("id", F.lit(0.0).alias("share"))
     steps = own.filter("own <> 0").select("id", "own", F.posexplode(ancestors(F.col("id"))).alias("level", "above"))
-    known = steps.join(shares.unionByName(roots).withColumnRenamed("id", "above"), "above")
+    known = steps.join(shares.unionByName(roots).withColumnRenamed("id", "above").hint("merge"), "above")
     paths = known.groupBy("id", "own").agg(F.map_from_entries(F.collect_list(F.struct("level", "share"))).alias("shares"))
     start = F.struct(F.col("own").alias("value"), F.array().cast("array<double>").alias("values"))
     # from the parent itself upwards: the value, then times each share
@@ -131,7 +134,7 @@ def rollup(nodes: DataFrame) -> DataFrame:
     walked = F.aggregate(up, start, lambda a, k: F.struct((a["value"] * F.try_element_at("shares", k)).alias("value"), F.concat(a["values"], F.array(F.when(F.try_element_at("shares", k).isNotNull(), a["value"]))).alias("values")), lambda a: a["values"])
     parts = paths.select("id", F.posexplode(walked).alias("up", "value")).filter("value is not null and value <> 0")
     sums = parts.select(F.expr("array_join(slice(split(id, '[.]'), 1, size(split(id, '[.]')) - up), '.')").alias("id"), "value").groupBy("id").agg(F.sum("value").alias("sum"))
-    return marked.join(sums, "id", "left").select("id", F.when(F.col("inner"), F.coalesce("sum", F.lit(0.0))).otherwise(F.col("progress")).alias("progress"))
+    return marked.join(sums.hint("merge"), "id", "left").select("id", F.when(F.col("inner"), F.coalesce("sum", F.lit(0.0))).otherwise(F.col("progress")).alias("progress"))
 
 
 def moved(id_: Column, old: str, new: str) -> Column:
