@@ -132,11 +132,13 @@ def near(asked: DataFrame, prints: DataFrame, radius: int = 3, blocks: int | Non
 
     Equal fingerprints count once. Of ``blocks`` blocks at most ``radius`` hold
     a difference, so some choice of the others is equal: a table for each. A
-    pair counts in the first table where it meets.
+    pair counts in the first table where it meets. The join is told to merge:
+    before its rows are repeated for each table, either side looks small enough
+    to broadcast.
     """
     blocks = blocks or max(1, 2 * radius)
     one, other = (_tables(rows, radius, blocks).withColumnRenamed("bits", name) for rows, name in ((asked, "a"), (prints, "b")))
-    met = one.join(other, ["t", "key"]).filter("a <> b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    met = one.join(other.hint("merge"), ["t", "key"]).filter("a <> b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
     return met.filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
 
@@ -153,5 +155,5 @@ def search(docs: DataFrame, asked, radius: int = 3, id_col: str = "doc_id", text
     queries = docs.filter(asked).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version")).join(prints, "version").select("id", "bits")
     counts = prints.groupBy("bits").agg(F.sum("n").alias("n_docs"))
     own = queries.select(F.col("bits").alias("a"), F.col("bits").alias("b"), F.lit(0).alias("distance")).distinct()
-    found = near(queries, prints, radius).unionByName(own).join(counts, F.col("b") == F.col("bits")).drop("bits")
-    return queries.join(found, F.col("bits") == F.col("a")).select(F.col("id").alias(id_col), written("a").alias("fingerprint"), written("b").alias("near"), F.col("distance").cast("int").alias("distance"), "n_docs")
+    found = near(queries, prints, radius).unionByName(own).join(counts.hint("merge"), F.col("b") == F.col("bits")).drop("bits")
+    return queries.join(found.hint("merge"), F.col("bits") == F.col("a")).select(F.col("id").alias(id_col), written("a").alias("fingerprint"), written("b").alias("near"), F.col("distance").cast("int").alias("distance"), "n_docs")
