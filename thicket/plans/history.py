@@ -150,7 +150,7 @@ def register(add) -> None:
     add("sync_states", "ev", "SELECT author, CASE WHEN conflicts > 0 THEN 'divergent-pending' WHEN NOT hub THEN 'solo' WHEN errors >= 3 THEN 'hub-unreachable' WHEN local + applied > 0 AND machine <> '' THEN 'sync-active' ELSE 'sync-configured-no-hub' END AS state FROM (SELECT author, count(*) FILTER (event_id % 101 = 0) AS conflicts, min(user_id) % 4 <> 0 AS hub, min(user_id) % 5 AS errors, count(*) FILTER (event_id % 50 = 1) AS local, count(*) FILTER (event_id % 50 = 2) AS applied, CASE WHEN min(user_id) % 3 = 0 THEN '' ELSE min(machine) END AS machine FROM ev GROUP BY 1) x")(
         lambda e: e.groupBy("author").agg(F.count_if(F.expr("event_id % 101 = 0")).alias("conflicts"), (F.min("user_id") % 4 != 0).alias("hub"), (F.min("user_id") % 5).alias("errors"), F.count_if(F.expr("event_id % 50 = 1")).alias("local"), F.count_if(F.expr("event_id % 50 = 2")).alias("applied"), F.when(F.min("user_id") % 3 == 0, "").otherwise(F.min("machine")).alias("machine")).select("author", more.sync_state(*map(F.col, ("hub", "machine", "errors", "local", "applied", "conflicts"))).alias("state"))
     )
-    add("hook_event_names", "log", "SELECT event_id, CASE op WHEN 'create_node' THEN 'node.created' WHEN 'transition_status' THEN 'status.changed' ELSE 'comment.addressed' END AS name FROM log WHERE op IN ('create_node', 'transition_status') OR op = 'comment' AND event_id % 3 = 0")(lambda e: hooks.normalised(log_of(e)).select("event_id", "name"))
+    add("hook_event_names", "log", "SELECT event_id, CASE op WHEN 'create_node' THEN 'node.created' WHEN 'transition_status' THEN 'status.changed' WHEN 'comment' THEN CASE WHEN event_id % 3 = 0 THEN 'comment.addressed' END END AS name FROM log")(lambda e: hooks.named(log_of(e)).select("event_id", "name"))
     add("fan_out", "log", "SELECT 'board' AS subscriber, event_id FROM log WHERE op IN ('create_node', 'transition_status') OR op = 'comment' AND event_id % 3 = 0 UNION ALL SELECT 'near', event_id FROM log WHERE op = 'transition_status' AND (node_id = 'E-3' OR starts_with(node_id, 'E-3.'))")(
         lambda e: ledger.fanned_out(hooks.normalised(log_of(e)), F.col("name"), e.sparkSession.createDataFrame([("board", [], ""), ("near", ["status.changed"], "E-3")], "subscriber string, events array<string>, under string"))
     )

@@ -49,13 +49,18 @@ def table_of(spark: SparkSession, hooks: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, HOOK)
 
 
-def normalised(events: DataFrame) -> DataFrame:
-    """Events that hooks can answer to, with name, to_agent and status_to; a comment must have an addressee."""
+def named(events: DataFrame) -> DataFrame:
+    """All events with name, to_agent and status_to; the name is null where hooks know none: other kinds, and comments without an addressee."""
     to = F.coalesce(F.get_json_object("payload", "$.to"), F.lit(""))
     op = F.col("op_type")
     name = F.when((op == "comment") & (to != ""), EVENTS[0]).when(op == "transition_status", EVENTS[1]).when(op == "create_node", EVENTS[2])
     own = {"name": name, "to_agent": F.when(op == "comment", to), "status_to": F.when(op == "transition_status", to)}
-    return events.withColumns(own).filter("name is not null")
+    return events.withColumns(own)
+
+
+def normalised(events: DataFrame) -> DataFrame:
+    """Events that hooks can answer to, named."""
+    return named(events).filter("name is not null")
 
 
 def matched(events: DataFrame, hooks: DataFrame) -> DataFrame:
