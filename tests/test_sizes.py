@@ -3,6 +3,10 @@
 from pyspark.sql import functions as F
 
 from thicket.operators import hierarchy
+from thicket.plans import catalogue, history
+from thicket.streaming import hooks
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -16,3 +20,28 @@ def test_rollup_broadcasts_nothing(spark):
     found = hierarchy.rollup(nodes)
     assert {r.id: r.progress for r in found.collect()} == {"A": 0.75, "A.1": 0.5, "A.2": 1.0, "A.1.1": 0.5}
     assert "Broadcast" not in plan(found)
+
+
+def test_hook_names_are_told_of_all_events(spark):
+    """Kinds that hooks don't know, and comments to nobody, keep their row, with no name."""
+    rows = [(1, "create_node", "{}"), (2, "claim", "{}"), (3, "comment", '{"to":"ann"}'), (4, "comment", "{}"), (5, "transition_status", '{"to":"done"}'), (6, "delete", None)]
+    log = spark.createDataFrame(rows, "event_id long, op_type string, payload string")
+    assert {r.event_id: r.name for r in hooks.named(log).collect()} == {1: "node.created", 2: None, 3: "comment.addressed", 4: None, 5: "status.changed", 6: None}
+    assert {r.event_id for r in hooks.normalised(log).collect()} == {1, 3, 5}
+    assert catalogue.queries()["hook_event_names"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_clocks_pair_no_epochs(spark):
+    """Each epoch's clocks come by running sums: rows by node, epoch and author, not by pairs of epochs."""
+    n = 4_000
+    log = spark.range(n).select(F.col("id").alias("event_id"), F.col("id").alias("arrival"), F.concat(F.lit("u"), F.col("id") % 2).alias("author"), F.lit("set_prompt").alias("op"))
+    found = history._clocked(log.withColumn("arrival", F.col("arrival") * 400))  # an epoch for each event
+    text = plan(found)
+    got = {r.event_id: r.clock for r in found.collect()}
+    assert "<" not in "".join(line for line in text.splitlines() if "Join" in line)
+    for e in (0, 7, 3_999):
+        node = [x for x in range(e + 1) if x % 2 == e % 2]
+        want = {}
+        for x in node:
+            want[f"w{x % 5}"] = want.get(f"w{x % 5}", 0) + 1
+        assert got[e] == want

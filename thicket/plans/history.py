@@ -41,8 +41,12 @@ _WRITES = "SELECT event_id, arrival, concat('N-', CAST(substring(author, 2) AS I
 def _clocked(e: DataFrame) -> DataFrame:
     rows = e.sparkSession.sql(_WRITES.replace("FROM log", "FROM {log}"), log=e)
     own = numbering.numbered(rows, ["node_id", "author"], ["arrival"], F.floor(F.col("arrival") / 10_000), "at")
-    per = rows.groupBy("node_id", "epoch", "author").agg(F.count("*").alias("n")).withColumnsRenamed({"epoch": "before", "author": "known"})
-    seen = rows.select("node_id", "epoch").distinct().join(per, "node_id").filter("before < epoch").groupBy("node_id", "epoch", "known").agg(F.sum("n").alias("n"))
+    per = rows.groupBy("node_id", "epoch", "author").agg(F.count("*").alias("n")).withColumnRenamed("author", "known")
+    # five authors at most by node and epoch, whatever the number of epochs; what each wrote before comes by a running sum
+    grid = rows.select("node_id", "epoch").distinct().join(rows.select("node_id", F.col("author").alias("known")).distinct(), "node_id")
+    each = grid.join(per, ["node_id", "epoch", "known"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    upto = numbering.running(each, ["node_id", "known"], ["epoch"], F.floor(F.col("epoch") / 1_000), "n", "upto")
+    seen = upto.select("node_id", "epoch", "known", (F.col("upto") - F.col("n")).alias("n")).filter("n > 0")
     past = seen.groupBy("node_id", "epoch").agg(F.map_from_entries(F.collect_list(F.struct("known", "n"))).alias("past"))
     clock = F.map_concat(F.map_filter(F.coalesce("past", F.create_map().cast("map<string,bigint>")), lambda k, _: k != F.col("author")), F.map_from_arrays(F.array("author"), F.array("at")))
     return own.join(past, ["node_id", "epoch"], "left").select("node_id", "event_id", "author", clock.alias("clock"))
