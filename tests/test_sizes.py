@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from thicket.operators import hierarchy
 from thicket.plans import catalogue, history
+from thicket.sources import store
 from thicket.streaming import hooks
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,13 @@ def test_clocks_pair_no_epochs(spark):
         for x in node:
             want[f"w{x % 5}"] = want.get(f"w{x % 5}", 0) + 1
         assert got[e] == want
+
+
+def test_a_stored_file_is_of_few_rows(spark, monkeypatch):
+    """A task sorts a file's rows: 13 MB of input may not go into one; the session's own setting comes back."""
+    monkeypatch.setattr(store, "files", lambda *_: (("f", 13 << 20, 0),))
+    advised = spark.conf.get(store._ADVISED)
+    found = store.stored(spark, "few_rows", lambda: spark.range(1000).withColumnRenamed("id", "k"), "k", "f")
+    assert found.rdd.getNumPartitions() >= 1 and len(found.inputFiles()) == 2
+    assert [r.k for r in found.orderBy("k").collect()] == list(range(1000))
+    assert spark.conf.get(store._ADVISED) == advised

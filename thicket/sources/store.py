@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[tuple, str] = {}
 #: Temporary folders by application, on a single machine only.
 _local: dict[str, str] = {}
-#: Bytes of input for one file of output, about.
-BYTES = 32 << 20
+#: Bytes of input for one file of output, about. A task sorts all rows of a file, which take some forty times as much in memory.
+BYTES = 8 << 20
+#: While a table is made, Spark joins small parts of shuffles up to this size only: compressed keys take far more in memory.
+PART = "16m"
+_ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 #: What writing took: (name, seconds, bytes of input), in order.
 spent: list[tuple[str, float, int]] = []
 
@@ -77,7 +80,12 @@ def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame], order:
             return made
         began, size = time.perf_counter(), sum(n for _, n, _ in source)
         path = f"{folder}/thicket-{name}-{uuid.uuid4().hex}"
-        made.repartitionByRange(max(1, -(-size // BYTES)), order).sortWithinPartitions(order).write.parquet(path)
+        before = spark.conf.get(_ADVISED)
+        spark.conf.set(_ADVISED, PART)
+        try:
+            made.repartitionByRange(max(1, -(-size // BYTES)), order).sortWithinPartitions(order).write.parquet(path)
+        finally:
+            spark.conf.set(_ADVISED, before)
         _written[key] = path
         spent.append((name, time.perf_counter() - began, size))
     return spark.read.parquet(_written[key])
