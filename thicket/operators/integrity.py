@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.operators.hierarchy import placeholders
+from thicket.functions.ids import ancestors
 from thicket.operators.listing import live
 
 
@@ -22,9 +22,10 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def set_diff(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    """(key, side): in one table only."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").select(key, F.lit("left").alias("side")).union(b.join(a, key, "left_anti").select(key, F.lit("right").alias("side")))
+    """(key, side): in one table only. Both are shuffled once, and no side is joined with the other; null keys equal nothing."""
+    sides = left.select(key, F.lit("left").alias("side")).unionByName(right.select(key, F.lit("right").alias("side")))
+    met = sides.groupBy(key, F.when(F.col(key).isNull(), F.col("side")).alias("_null")).agg(F.min("side").alias("side"), F.max("side").alias("_last"))
+    return met.filter(F.col("side") == F.col("_last")).select(key, "side")
 
 
 def merge_actions(base: DataFrame, incoming: DataFrame, key: str = "id", digest: str = "content_hash") -> DataFrame:
@@ -72,10 +73,12 @@ def doctor(log: DataFrame, pending: DataFrame, now_ms: int, hours: int = 1) -> D
 
 def recovered(primary: DataFrame, mirror: DataFrame) -> DataFrame:
     """(id, origin): what the primary has, what only the mirror has, and placeholders for ancestors that neither has."""
-    own = primary.select("id").distinct()
-    extra = mirror.select("id").distinct().join(own, "id", "left_anti")
-    both = own.select("id", F.lit("primary").alias("origin")).union(extra.select("id", F.lit("mirror")))
-    return both.union(placeholders(both).select("id", F.lit("placeholder")))
+    ranks = ["primary", "mirror", "placeholder"]
+    rows = primary.select("id", F.lit(0).alias("rank")).unionByName(mirror.select("id", F.lit(1).alias("rank")))
+    above = rows.select(F.explode(ancestors(F.col("id"))).alias("id")).select("id", F.lit(2).alias("rank"))
+    # one shuffle, before which repeated ancestors combine
+    best = rows.unionByName(above).groupBy("id").agg(F.min("rank").alias("rank"))
+    return best.select("id", F.element_at(F.array(*map(F.lit, ranks)), F.col("rank") + 1).alias("origin"))
 
 
 def clean_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
