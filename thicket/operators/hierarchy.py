@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.functions.ids import TERMINAL, ancestors, depth, under
+from thicket.functions.ids import TERMINAL, ancestors, depth, parent, under
 from thicket.operators.listing import live
 from thicket.operators.numbering import running
 
@@ -22,15 +22,29 @@ def tree(nodes: DataFrame, root: str, levels: int) -> DataFrame:
 def missing_parents(nodes: DataFrame) -> DataFrame:
     """Ids that live nodes have for a parent, but no live node has."""
     own = live(nodes)
-    return own.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().join(own.select("id"), "id", "left_anti")
+    named = own.filter("parent_id is not null").select(F.col("parent_id").alias("id"), F.lit(False).alias("there"))
+    return named.unionByName(own.select("id", F.lit(True).alias("there"))).groupBy("id").agg(F.bool_or("there").alias("there")).filter("not there").select("id")
+
+
+def _with_parent(nodes: DataFrame) -> DataFrame:
+    return live(nodes).select("id", parent(F.col("id")).alias("above"))
+
+
+def _broken(own: DataFrame, lost: DataFrame, few: bool) -> DataFrame:
+    """(above, missing): parents by path, each once, with what is lost of their chains, themselves included."""
+    each = own.filter("above is not null").select("above").distinct().select("above", F.explode(ancestors(F.col("above"))).alias("missing"))
+    gone = lost.select(F.col("id").alias("missing"))
+    return each.join(F.broadcast(gone) if few else gone, "missing", "left_semi").select("above", "missing")
 
 
 def broken_chains(nodes: DataFrame) -> DataFrame:
-    """(id, missing): live nodes with an ancestor that is deleted or was never there; asking for their chain is an error."""
-    lost = missing_parents(nodes)
+    """(id, missing): live nodes with an ancestor that is deleted or was never there; asking for their chain is an error.
+
+    Siblings share what is above them, so chains are looked at once for each parent.
+    """
+    lost, own = missing_parents(nodes), _with_parent(nodes)
     few = lost.limit(FEW + 1).count() <= FEW
-    chain = live(nodes).select("id", F.explode(ancestors(F.col("id"))).alias("missing"))
-    return chain.join(F.broadcast(lost.withColumnRenamed("id", "missing")) if few else lost.withColumnRenamed("id", "missing"), "missing", "left_semi").select("id", "missing")
+    return own.join(_broken(own, lost, few), "above").select("id", "missing")
 
 
 def with_ancestors(nodes: DataFrame) -> DataFrame:
@@ -39,10 +53,10 @@ def with_ancestors(nodes: DataFrame) -> DataFrame:
     A path holds its ancestors, so only the parents that are missing are looked
     up, and joined by broadcast while they are few.
     """
-    own = live(nodes).select("id")
-    lost = broken_chains(nodes).select("id").distinct()
-    if missing_parents(nodes).limit(1).count():
-        own = own.join(lost, "id", "left_anti")
+    own, lost = _with_parent(nodes), missing_parents(nodes)
+    found = lost.limit(FEW + 1).count()
+    if found:
+        own = own.join(_broken(own, lost, found <= FEW).select("above").distinct(), "above", "left_anti")
     return own.select("id", F.posexplode(ancestors(F.col("id"))).alias("level", "ancestor_id")).select("id", "ancestor_id", F.col("level").cast("long").alias("level"))
 
 
