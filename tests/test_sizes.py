@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from thicket.operators import hierarchy
+from thicket.operators import hierarchy, integrity, replay
 from thicket.plans import catalogue, history
 from thicket.sources import store
 from thicket.streaming import hooks
@@ -56,3 +56,50 @@ def test_a_stored_file_is_of_few_rows(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= 1 and len(found.inputFiles()) == 2
     assert [r.k for r in found.orderBy("k").collect()] == list(range(1000))
     assert spark.conf.get(store._ADVISED) == advised
+
+
+def joins(df):
+    return [line for line in plan(df).splitlines() if "Join" in line]
+
+
+def test_differences_join_nothing(spark):
+    left, right = (spark.createDataFrame([(x,) for x in xs], "id string") for xs in (["a", "a", "b", None], ["b", "c", None]))
+    found = integrity.set_diff(left, right)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", "left"), ("c", "right"), (None, "left"), (None, "right")]))
+    assert not joins(found)
+
+
+def test_recovery_joins_nothing(spark):
+    primary, mirror = (spark.createDataFrame([(x,) for x in xs], "id string") for xs in (["P-1", "P-1.2.3"], ["P-1", "P-1.2.3", "P-1.4", "P-2.1.1"]))
+    found = integrity.recovered(primary, mirror)
+    assert sorted(map(tuple, found.collect())) == [("P-1", "primary"), ("P-1.2", "placeholder"), ("P-1.2.3", "primary"), ("P-1.4", "mirror"), ("P-2", "placeholder"), ("P-2.1", "placeholder"), ("P-2.1.1", "mirror")]
+    assert not joins(found)
+
+
+def test_missing_parents_join_nothing(spark, monkeypatch):
+    """Also with more missing parents than go to every task."""
+    rows = [("P-1", None, None), ("P-1.1", "P-1", "x"), ("P-1.2", "P-1", None), ("P-1.1.1", "P-1.1", None), ("P-1.1.1.1", "P-1.1.1", None), ("P-1.1.1.2", "P-1.1.1", None), ("P-2.1", "P-2", None)]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, gone string").withColumn("deleted_at", F.when(F.col("gone").isNotNull(), F.lit("2000-01-01").cast("timestamp")))
+    lost = hierarchy.missing_parents(nodes)
+    assert sorted(r.id for r in lost.collect()) == ["P-1.1", "P-2"]
+    assert not joins(lost)
+    for few in (hierarchy.FEW, 1):
+        monkeypatch.setattr(hierarchy, "FEW", few)
+        assert sorted(map(tuple, hierarchy.broken_chains(nodes).collect())) == [("P-1.1.1", "P-1.1"), ("P-1.1.1.1", "P-1.1"), ("P-1.1.1.2", "P-1.1"), ("P-2.1", "P-2")]
+        assert sorted(map(tuple, hierarchy.with_ancestors(nodes).collect())) == [("P-1", "P-1", 0), ("P-1.2", "P-1", 0), ("P-1.2", "P-1.2", 1)]
+
+
+def test_a_log_is_made_once(spark):
+    """Replay reads the log for creates, by uid, by path and for deletions; what makes it runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(part):
+        for r in part:
+            made.add(1)
+            yield r
+
+    told = [(f"e{k}", "P-1", None if k else "u", "update_field" if k else "create_node", '{"title":"a","field_name":"title","new_value":"b"}', k, k, "0" * 16, "ann", k) for k in range(4)]
+    schema = "event_id string, node_id string, uid string, op_type string, payload string, lamport long, wall_ms long, machine string, author string, arrival long"
+    log = spark.createDataFrame(spark.sparkContext.parallelize(told, 1).mapPartitions(rows), schema)
+    assert [(r.id, r.title) for r in replay.replay(log).collect()] == [("P-1", "b")]
+    assert made.value == len(told)

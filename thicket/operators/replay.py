@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.ids import TERMINAL
 from thicket.operators.events import once
+from thicket.sources.store import kept
 
 #: The fields an update may set.
 FIELDS = ["title", "description", "prompt", "acceptance", "status", "priority", "labels", "assignee", "agent_state"]
@@ -64,8 +65,11 @@ def _written(when: Column, value: Column) -> Column:
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """The state of every node that the log creates, deleted ones with ``deleted_ms``."""
-    rows = parsed(once(log))
+    """The state of every node that the log creates, deleted ones with ``deleted_ms``.
+
+    Creates, references and deletions each read the log, so it is made and parsed once.
+    """
+    rows = kept(parsed(once(log)))
     nodes = created(rows)
     op = F.col("op_type")
     text = F.lit(None).cast("string")
@@ -114,7 +118,7 @@ def replay_edges(log: DataFrame) -> DataFrame:
     An edge goes out from the node that its event refers to while that lives,
     else from the path that the event names.
     """
-    rows = parsed(once(log))
+    rows = kept(parsed(once(log)))
     links = rows.filter(F.col("op_type").isin("link_dep", "unlink_dep"))
     known = found(rows, created(rows)).filter(F.col("op_type").isin("link_dep", "unlink_dep")).select("event_id", "id")
     kind = F.coalesce(F.nullif("p_dep_type", F.lit("")), F.lit("blocks"))

@@ -70,6 +70,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read back, so that what reads it several times makes it once and reads only its columns; a stream or a session without a folder stays as it is."""
+    folder = None if df.isStreaming else shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/thicket-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame], order: str, *inputs: str) -> DataFrame:
     """What ``make`` gives from the files at ``inputs``, as a table that is written at its first use and sorted by ``order``."""
     source = files(spark, *inputs)
