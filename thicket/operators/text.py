@@ -37,15 +37,27 @@ class Term:
 def postings(rows: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
     """(term, id, column, places): where each word stands in each text. Stored sorted by term, a search reads only its words.
 
-    Columns follow each other at a distance that no phrase crosses.
+    A text's words are grouped inside its row, so nothing is shuffled. Columns
+    follow each other at a distance that no phrase crosses.
     """
-    each = [rows.select(F.col(id_col).alias("id"), F.lit(c).alias("column"), F.posexplode(terms(F.coalesce(F.col(c), F.lit("")))).alias("place", "term")).withColumn("place", F.col("place") + k * GAP) for k, c in enumerate(columns)]
-    return reduce(DataFrame.unionByName, each).groupBy("term", "id", "column").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    each = [rows.select(F.col(id_col).alias("id"), F.lit(c).alias("column"), F.inline(_grouped(terms(F.coalesce(F.col(c), F.lit(""))), k * GAP))) for k, c in enumerate(columns)]
+    return reduce(DataFrame.unionByName, each).select("term", "id", "column", "places")
+
+
+def _grouped(words: Column, first: int) -> Column:
+    """(term, places) of a text's words: sorted with their places, then cut where the word changes."""
+    one = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  # names a value that is used several times
+    sorted_ = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), (i + first).alias("place"))))
+    changes = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["term"] != F.get(s, i - 2)["term"]))
+    places = lambda s, i, next_: F.transform(F.slice(s, i, next_ - i), lambda x: x["place"])
+    cut = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i - 1)["term"].alias("term"), places(s, i, F.coalesce(F.get(at, k + 1), F.size(s) + 1)).alias("places")))
+    none = F.array().cast("array<struct<term:string,places:array<int>>>")
+    return one(sorted_, lambda s: F.when(F.size(s) > 0, one(changes(s), lambda at: cut(s, at))).otherwise(none))
 
 
 def lengths(rows: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
     """(id, n): how many words each row's columns have."""
-    return rows.select(F.col(id_col).alias("id"), sum((F.size(terms(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).alias("n"))
+    return rows.select(F.col(id_col).alias("id"), sum((F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(_WORD)) for c in columns), F.lit(0)).alias("n"))
 
 
 def upkept(index: DataFrame, sizes: DataFrame, changed: DataFrame, gone: DataFrame, columns: list[str], id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:

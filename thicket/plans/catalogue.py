@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from thicket.functions import clocks, ids
 from thicket.operators import aggregates, events, graph, hierarchy, integrity, lifecycle, listing, text
 from thicket.plans import applied, deeper, history
-from thicket.sources.store import stored
+from thicket.sources.store import bounded, pieces, stored
 from thicket.sources.views import NOW, oracle, oracle_recursive, view
 from thicket.streaming import hooks, journal
 
@@ -224,7 +224,9 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of the documents, from the store."""
     path = f"{sf_dir}/documents.parquet"
     docs = spark.read.parquet(path)
-    return stored(spark, "postings", lambda: text.postings(docs, ["text"]), "term", path), stored(spark, "lengths", lambda: text.lengths(docs, ["text"]), "id", path)
+    bounded(spark)
+    dealt = lambda: docs.select("doc_id", "text").repartition(pieces(spark, path), "doc_id")  # noqa: E731  # texts are far smaller than their postings
+    return stored(spark, "postings", lambda: text.postings(dealt(), ["text"]), "term", path, ranged=False), stored(spark, "lengths", lambda: text.lengths(docs, ["text"]), "id", path, ranged=False)
 
 
 def _search(name: str, asked: list[list[text.Term]], condition: str) -> None:

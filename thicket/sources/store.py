@@ -1,7 +1,7 @@
 """The node store: views that many queries read are written once, sorted by id, and read back.
 
 Over the written table the filters on id, project and depth reach the Parquet
-scan, whose row groups hold narrow ranges of ids. A table is known by the files
+scan, whose row groups or pages hold narrow ranges of ids. A table is known by the files
 it was made from: their paths, sizes and times, so changed data are written
 anew. The folder is one that driver and executors share: the session's
 ``spark.checkpoint.dir``, else the context's checkpoint folder; only on a
@@ -30,6 +30,7 @@ BYTES = 8 << 20
 #: While a table is made, Spark joins small parts of shuffles up to this size only: compressed keys take far more in memory.
 PART = "16m"
 _ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 #: What writing took: (name, seconds, bytes of input), in order.
 spent: list[tuple[str, float, int]] = []
 
@@ -80,8 +81,24 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame], order: str, *inputs: str) -> DataFrame:
-    """What ``make`` gives from the files at ``inputs``, as a table that is written at its first use and sorted by ``order``."""
+def bounded(spark: SparkSession) -> None:
+    """Spark joins small parts of shuffles up to PART only, unless the session asks for less or for another size; left so, as queries over the store run later."""
+    if spark.conf.get(_ADVISED) in ("64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(_ADVISED, PART)
+
+
+def pieces(spark: SparkSession, *inputs: str) -> int:
+    """Into how many files the store writes what is made from the files at ``inputs``."""
+    return max(1, -(-sum(n for _, n, _ in files(spark, *inputs)) // BYTES))
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame], order: str, *inputs: str, ranged: bool = True) -> DataFrame:
+    """What ``make`` gives from the files at ``inputs``, as a table that is written at its first use and sorted by ``order``.
+
+    A table that isn't ``ranged`` stays dealt to tasks as it was made, which
+    spares a shuffle and the sampling before it; each file is sorted, so
+    filters on ``order`` reach its pages instead of some files only.
+    """
     source = files(spark, *inputs)
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _written:
@@ -90,12 +107,17 @@ def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame], order:
             return made
         began, size = time.perf_counter(), sum(n for _, n, _ in source)
         path = f"{folder}/thicket-{name}-{uuid.uuid4().hex}"
-        before = spark.conf.get(_ADVISED)
+        number = max(1, -(-size // BYTES))
+        before, first = spark.conf.get(_ADVISED), spark.conf.get(_FIRST, None)
         spark.conf.set(_ADVISED, PART)
+        # enough parts that none is too large for a task, however much there is
+        spark.conf.set(_FIRST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * number))
         try:
-            made.repartitionByRange(max(1, -(-size // BYTES)), order).sortWithinPartitions(order).write.parquet(path)
+            dealt = made.repartitionByRange(number, order) if ranged else made
+            dealt.sortWithinPartitions(order).write.parquet(path)
         finally:
             spark.conf.set(_ADVISED, before)
+            spark.conf.set(_FIRST, first) if first is not None else spark.conf.unset(_FIRST)
         _written[key] = path
         spent.append((name, time.perf_counter() - began, size))
     return spark.read.parquet(_written[key])
