@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from thicket.operators import text
+from thicket.operators import hierarchy, text
 from thicket.plans import catalogue
 from thicket.sources import store
 
@@ -56,3 +56,26 @@ def test_queries_bound_the_parts_that_are_joined(spark, name):
         assert spark.conf.get(store._ADVISED) == "8m"
     finally:
         spark.conf.set(store._ADVISED, before)
+
+
+def test_prompts_come_from_the_parent(spark):
+    """Chains are made for parents only; the same prompts as from whole chains, also where one above is missing or deleted."""
+    rows = [("P-1", None, 0, None, "a"), ("P-1.1", "P-1", 1, None, None), ("P-1.2", "P-1", 1, "x", "c"), ("P-1.1.1", "P-1.1", 2, None, "d"), ("P-1.2.1", "P-1.2", 2, None, "e"), ("P-1.2.1.1", "P-1.2.1", 3, None, ""), ("P-2.1", "P-2", 1, None, "g"), ("P-1.1.1.3", "P-1.1.1", 3, None, "long " * 9)]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, depth int, gone string, title string").withColumn("deleted_at", F.when(F.col("gone").isNotNull(), F.lit("2000-01-01").cast("timestamp"))).withColumn("prompt", F.upper("title"))
+    held = spark.createDataFrame([("P-1.1.1", "P-9"), ("P-1.1.1", "P-8"), ("P-1", "P-7"), ("P-1.2", "P-1")], "to_id string, from_id string")
+    chains = hierarchy.with_ancestors(nodes)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted(r.id for r in text.contexts(nodes).collect()) == ["P-1", "P-1.1", "P-1.1.1", "P-1.1.1.3"]
+    assert same(text.contexts(nodes), text.context(nodes, chains))
+    assert same(text.all_prompts(nodes), text.prompts(nodes, chains))
+    assert same(text.all_prompts(nodes, held), text.prompts(nodes, chains, held))
+    for budget in (5, 12, 20, 40):
+        assert same(text.all_prompts(nodes, held, budget), text.prompts(nodes, chains, held, budget))
+
+
+@pytest.mark.parametrize("name", ["context_prompt", "prompts_full", "prompts_budget"])
+def test_only_parents_have_their_chains_put_together(spark, name):
+    """Rows of chains are made from distinct parents, not from each node."""
+    lines = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [k for k, line in enumerate(lines) if "Generate posexplode" in line]
+    assert at and all("Aggregate" in "".join(lines[k + 1 : k + 3]) for k in at)

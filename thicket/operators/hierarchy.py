@@ -47,6 +47,10 @@ def broken_chains(nodes: DataFrame) -> DataFrame:
     return own.join(_broken(own, lost, few), "above").select("id", "missing")
 
 
+def _chains(ids: DataFrame) -> DataFrame:
+    return ids.select("id", F.posexplode(ancestors(F.col("id"))).alias("level", "ancestor_id")).select("id", "ancestor_id", F.col("level").cast("long").alias("level"))
+
+
 def with_ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor_id, level) for each node and each node above it, itself included; nodes with a broken chain have no rows.
 
@@ -57,7 +61,21 @@ def with_ancestors(nodes: DataFrame) -> DataFrame:
     found = lost.limit(FEW + 1).count()
     if found:
         own = own.join(_broken(own, lost, found <= FEW).select("above").distinct(), "above", "left_anti")
-    return own.select("id", F.posexplode(ancestors(F.col("id"))).alias("level", "ancestor_id")).select("id", "ancestor_id", F.col("level").cast("long").alias("level"))
+    return _chains(own)
+
+
+def inherited(parts: DataFrame, value: str) -> DataFrame:
+    """``parts``, one row for each id, with ``above``: the ``value`` of each node above it, from the root down; ids with one missing above are left out.
+
+    Chains are put together for each parent only, and each node meets its
+    parent's: so what many nodes have above them is not shuffled once for each.
+    """
+    own = parts.withColumn("_parent", parent(F.col("id")))
+    parents = own.filter("_parent is not null").select(F.col("_parent").alias("id")).distinct()
+    met = _chains(parents).join(parts.select(F.col("id").alias("ancestor_id"), F.col(value).alias("_value")), "ancestor_id")
+    heads = met.groupBy(F.col("id").alias("_parent")).agg(F.transform(F.sort_array(F.collect_list(F.struct("level", F.col("_value").alias("value")))), lambda x: x["value"]).alias("above"))
+    above = F.coalesce("above", F.array().cast(heads.schema["above"].dataType))
+    return own.join(heads, "_parent", "left").withColumn("above", above).filter(F.size("above") == F.size(ancestors(F.col("id"))) - 1).drop("_parent")
 
 
 def chain(nodes: DataFrame, id_: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.ids import node_type, tokens
+from thicket.operators.hierarchy import inherited
 from thicket.operators.listing import live
 
 #: Places between the columns of a row.
@@ -132,13 +133,23 @@ def best(found: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     return found.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
 
 
+def _title(id_col: str) -> Column:
+    return F.concat_ws(" ", F.col(id_col), F.col("title"))
+
+
 def context(nodes: DataFrame, chains: DataFrame) -> DataFrame:
     """id and its titles from the root down, one line each. ``chains`` has (id, ancestor_id, level)."""
-    line = F.struct("level", F.concat_ws(" ", F.col("ancestor_id"), F.col("title")).alias("line"))
+    line = F.struct("level", _title("ancestor_id").alias("line"))
     named = chains.join(live(nodes).select(F.col("id").alias("ancestor_id"), "title"), "ancestor_id")
     return named.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
 
 
+def contexts(nodes: DataFrame) -> DataFrame:
+    """``context`` of every node whose chain is whole; what is above a node comes from its parent."""
+    lines = inherited(live(nodes).select("id", _title("id").alias("line")), "line")
+    return lines.select("id", F.array_join(F.concat("above", F.array("line")), "\n").alias("prompt"))
+
+
 #: Fixed value: what stands between the sections of a prompt.
 RULE = "\n\n---\n\n"
 
@@ -172,8 +183,33 @@ def prompts(nodes: DataFrame, chains: DataFrame, blockers: DataFrame | None = No
     whole = F.array_join(F.transform("parts", lambda x: x["full"]), RULE)
     if blockers is None:
         return found.select("id", whole.alias("prompt"))
-    held = blockers.groupBy(F.col("to_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("from_id")), lambda b: F.concat(F.lit("- "), b, F.lit(" blocks this node\n"))), "").alias("held"))
-    return found.join(held, "id", "left").select("id", F.concat(whole, F.when(F.col("held").isNotNull(), F.concat(F.lit(RULE + "## Blocking Dependencies\n"), "held")).otherwise("")).alias("prompt"))
+    return found.join(_held(blockers), "id", "left").select("id", F.concat(whole, _blocked()).alias("prompt"))
+
+
+def all_prompts(nodes: DataFrame, blockers: DataFrame | None = None, budget: int = 0) -> DataFrame:
+    """``prompts`` of every node whose chain is whole; what is above a node comes from its parent.
+
+    What blocks a node is met by its own section, before the long texts are put together.
+    """
+    own = sections(nodes)
+    rest = F.expr("substring(full, length(title) + 1)").alias("rest")
+    own = own.select("id", F.struct("title", rest).alias("part") if budget > 0 else F.col("full").alias("part"))
+    if blockers is not None and budget <= 0:
+        own = own.join(_held(blockers), "id", "left")
+    found = inherited(own, "part").withColumn("parts", F.concat("above", F.array("part")))
+    if budget > 0:
+        parts = F.transform("parts", lambda x: F.struct(x["title"].alias("title"), F.concat(x["title"], x["rest"]).alias("full")))
+        return found.select("id", parts.alias("parts")).select("id", truncated(F.col("parts"), budget).alias("prompt"))
+    text = F.array_join("parts", RULE)
+    return found.select("id", (text if blockers is None else F.concat(text, _blocked())).alias("prompt"))
+
+
+def _held(blockers: DataFrame) -> DataFrame:
+    return blockers.groupBy(F.col("to_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("from_id")), lambda b: F.concat(F.lit("- "), b, F.lit(" blocks this node\n"))), "").alias("held"))
+
+
+def _blocked() -> Column:
+    return F.when(F.col("held").isNotNull(), F.concat(F.lit(RULE + "## Blocking Dependencies\n"), "held")).otherwise("")
 
 
 def truncated(sections: Column, budget: int) -> Column:

@@ -199,7 +199,7 @@ _add("content_hash", "nodes", """SELECT id, sha256('{"acceptance":"","descriptio
     lambda n: n.select("id", ids.content_hash(F.col("title"), F.lit(""), F.lit(""), F.lit(""), F.array_compact(F.array("label"))).alias("hash"))
 )
 _add("context_prompt", "nodes", f"WITH c AS (SELECT n.id, a.depth, a.id || ' ' || a.title AS line FROM (SELECT id, unnest([array_to_string(string_split(id, '.')[1:k], '.') FOR k IN range(1, len(string_split(id, '.')) + 1)]) AS p FROM nodes WHERE {LIVE}) n JOIN nodes a ON a.id = n.p AND a.{LIVE}) SELECT id, string_agg(line, chr(10) ORDER BY depth) AS prompt FROM c GROUP BY 1")(
-    lambda n: text.context(n, hierarchy.with_ancestors(n))
+    text.contexts
 )
 _add("briefing", "nodes", f"SELECT id, concat_ws(chr(10), repeat('=', 80), {', '.join(f"CASE WHEN {f} <> '' THEN '{f}: ' || {f} END" for f in ('title', 'status', 'assignee', 'label'))}) AS briefing FROM nodes WHERE {LIVE}")(lambda n: text.briefing(listing.live(n), ["title", "status", "assignee", "label"]))
 

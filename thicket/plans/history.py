@@ -148,8 +148,8 @@ def register(add) -> None:
     add("backfill_edges", "nodes edges", "SELECT from_id, to_id, dep_type FROM edges")(lambda n, e: replay.replay_edges(backfill.backfilled(_with_text(n), e)))
     kinds = f"SELECT id, created_at, 0 AS step, 'create_node' AS op_type FROM nodes WHERE {LIVE} UNION ALL SELECT id, created_at, 1, 'update_field' FROM nodes WHERE {LIVE} AND seq % 4 = 0 UNION ALL SELECT id, created_at, 4, 'update_field' FROM nodes WHERE {LIVE} AND assignee IS NOT NULL UNION ALL SELECT id, created_at, 9, 'transition_status' FROM nodes WHERE {LIVE} AND status <> 'open'"
     add("backfill_order", "nodes edges", f"WITH k AS ({kinds}), o AS (SELECT id AS node_id, op_type, row_number() OVER (ORDER BY created_at, id, step) AS lamport FROM k) SELECT * FROM o UNION ALL SELECT from_id, 'link_dep', (SELECT count(*) FROM k) + row_number() OVER (ORDER BY from_id, to_id, dep_type) FROM edges")(lambda n, e: backfill.backfilled(_with_text(n), e).select("node_id", "op_type", "lamport"))
-    add("prompts_full", "nodes edges", _PROMPT)(lambda n, e: text.prompts(_told(n), hierarchy.with_ancestors(n), graph.blockers(n, e)))
-    add("prompts_budget", "nodes", _BUDGET)(lambda n: text.prompts(_told(n), hierarchy.with_ancestors(n), budget=BUDGET))
+    add("prompts_full", "nodes edges", _PROMPT)(lambda n, e: text.all_prompts(_told(n), graph.blockers(n, e)))
+    add("prompts_budget", "nodes", _BUDGET)(lambda n: text.all_prompts(_told(n), budget=BUDGET))
     add("version_order", "ev", _VERSION)(lambda e: _versions(e).select("event_id", (ids.semver(F.col("v")) >= ids.semver(F.lit("1.10.0-beta"))).alias("enough")))
     add("sync_states", "ev", "SELECT author, CASE WHEN conflicts > 0 THEN 'divergent-pending' WHEN NOT hub THEN 'solo' WHEN errors >= 3 THEN 'hub-unreachable' WHEN local + applied > 0 AND machine <> '' THEN 'sync-active' ELSE 'sync-configured-no-hub' END AS state FROM (SELECT author, count(*) FILTER (event_id % 101 = 0) AS conflicts, min(user_id) % 4 <> 0 AS hub, min(user_id) % 5 AS errors, count(*) FILTER (event_id % 50 = 1) AS local, count(*) FILTER (event_id % 50 = 2) AS applied, CASE WHEN min(user_id) % 3 = 0 THEN '' ELSE min(machine) END AS machine FROM ev GROUP BY 1) x")(
         lambda e: e.groupBy("author").agg(F.count_if(F.expr("event_id % 101 = 0")).alias("conflicts"), (F.min("user_id") % 4 != 0).alias("hub"), (F.min("user_id") % 5).alias("errors"), F.count_if(F.expr("event_id % 50 = 1")).alias("local"), F.count_if(F.expr("event_id % 50 = 2")).alias("applied"), F.when(F.min("user_id") % 3 == 0, "").otherwise(F.min("machine")).alias("machine")).select("author", more.sync_state(*map(F.col, ("hub", "machine", "errors", "local", "applied", "conflicts"))).alias("state"))
