@@ -79,3 +79,14 @@ def test_only_parents_have_their_chains_put_together(spark, name):
     lines = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = [k for k, line in enumerate(lines) if "Generate posexplode" in line]
     assert at and all("Aggregate" in "".join(lines[k + 1 : k + 3]) for k in at)
+
+
+def test_nodes_stay_dealt_by_orders(spark):
+    """An order's lines are in one file, sorted; nothing is shuffled by range."""
+    from thicket.sources.views import view
+
+    nodes = view(spark, SF, "nodes")
+    lines = nodes.filter("depth = 3").select("parent_id", F.input_file_name().alias("file")).distinct()
+    assert lines.groupBy("parent_id").count().filter("count > 1").count() == 0
+    ids = [r.id for r in spark.read.parquet(max(nodes.inputFiles())).collect()]
+    assert ids == sorted(ids)

@@ -29,6 +29,8 @@ _local: dict[str, str] = {}
 BYTES = 8 << 20
 #: While a table is made, Spark joins small parts of shuffles up to this size only: compressed keys take far more in memory.
 PART = "16m"
+#: The same where tables stay dealt as they were made: a task then joins, numbers and sorts its rows.
+DEALT = "8m"
 _ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 _FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 #: What writing took: (name, seconds, bytes of input), in order.
@@ -109,7 +111,7 @@ def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame], order:
         path = f"{folder}/thicket-{name}-{uuid.uuid4().hex}"
         number = max(1, -(-size // BYTES))
         before, first = spark.conf.get(_ADVISED), spark.conf.get(_FIRST, None)
-        spark.conf.set(_ADVISED, PART)
+        spark.conf.set(_ADVISED, PART if ranged else DEALT)
         # enough parts that none is too large for a task, however much there is
         spark.conf.set(_FIRST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * number))
         try:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.sources.store import stored
+from thicket.sources.store import bounded, stored
 
 NOW = "2000-01-01 00:00:00"
 
@@ -67,7 +67,7 @@ SESSIONS = """
 sessions AS (SELECT concat('s', o_orderkey % 50) AS id, concat('agent-', o_orderkey % 10) AS agent_id, min(CAST(o_orderdate AS TIMESTAMP)) AS started_at, CASE WHEN min(o_orderkey) % 2 = 0 THEN 'active' ELSE 'ended' END AS status FROM {orders} GROUP BY 1, 2)"""
 
 _PARTS = {"nodes": (NODES,), "edges": (NODES, EDGES), "ev": (EVENTS,), "log": (EVENTS, LOG), "firings": (EVENTS, FIRINGS), "chains": (CHAINS,), "agents": (AGENTS,), "sessions": (SESSIONS,)}
-#: What the store keeps, and the column it sorts by.
+#: What the store keeps, and the column it sorts by; as the joins and windows that make it deal it, with an order's lines in one file.
 _STORED = {"nodes": "id", "edges": "to_id"}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"]
 
@@ -79,10 +79,11 @@ def _with(names) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view by name; nodes and edges come from the store."""
+    bounded(spark)
     if name not in _STORED:
         return _made(spark, sf_dir, name)
     text = _with([name])
-    return stored(spark, name, lambda: _made(spark, sf_dir, name), _STORED[name], *[f"{sf_dir}/{t}.parquet" for t in TABLES if f"{{{t}}}" in text])
+    return stored(spark, name, lambda: _made(spark, sf_dir, name), _STORED[name], *[f"{sf_dir}/{t}.parquet" for t in TABLES if f"{{{t}}}" in text], ranged=False)
 
 
 def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
