@@ -16,9 +16,9 @@ sum over groups of the smaller count, which rules most pairs out.
 4. Blocks in which several components are left get an R-tree each of those
    documents that another component has a similar size to: documents of
    different components whose points don't rule it out are compared too. Each
-   tries its most promising partners first; a block with others left comes
-   again, with the components that these made, until none has any. So no
-   link between components is missed, and nobody lists all pairs of a block.
+   tries its most promising partners first; those of a block that have others
+   left come again, with the components that these made, until none has any.
+   So no link between components is missed, and nobody lists all pairs of a block.
    A block too large for one task is dealt to many as pairs of its parts.
 
 Documents that share an id are one document. Null ids link with nothing. Empty
@@ -164,12 +164,12 @@ def _near(sizes: np.ndarray, v: np.ndarray, asks: np.ndarray, few: int = 24) ->
         yield i, fits, bound[fits]
 
 
-def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes], sides: np.ndarray, firsts: np.ndarray, few: int | None = None) -> tuple[set[tuple[int, int]], bool]:
+def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes], sides: np.ndarray, firsts: np.ndarray, few: int | None = None) -> tuple[set[tuple[int, int]], set[int]]:
     """Pairs of a block, with other labels, whose points allow the overlap; between both sides, or in one where there's only one.
 
     With ``few`` a document gives its partners of the highest bounds, so many;
-    the second value says whether some are left. Every pair has an end outside
-    the block's largest label, so only such documents search.
+    the second value has both ends of all pairs that are left. Every pair has an
+    end outside the block's largest label, so only such documents search.
 
     Sizes that may match differ by less than two to one, so their numbers of
     groups do by two to one at most: a turn for each number takes the points of
@@ -177,7 +177,7 @@ def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray
     keys: a pair with one of them in common, under this one, meets there.
     """
     found: set[tuple[int, int]] = set()
-    left = False
+    left: set[int] = set()
     if firsts[0, 0] < key and (firsts[:, 0] == firsts[0, 0]).all():
         return found, left
     one = (sides == sides[0]).all()
@@ -202,8 +202,9 @@ def block_pairs(key: int, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray
             fit = ~(firsts[js][:, :, None] == own).any((1, 2))
             js, bounds = js[fit], bounds[fit]
             if few and len(js) > few:
-                js = js[np.argsort(-bounds, kind="stable")[:few]]
-                left = True
+                js = js[np.argsort(-bounds, kind="stable")]
+                left.update((int(ids[i]), *ids[js[few:]].tolist()))
+                js = js[:few]
             found.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist())
     return found, left
 
@@ -303,7 +304,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _trees(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks, of rows sorted by key and part; a part of a block has a bounded number of rows.
 
-    A key without a second value stands for a block with pairs left.
+    A row with a key stands for a document, a, of that block that has pairs left.
     """
     held: list[pa.RecordBatch] = []
     told: set[tuple[int, int]] = set()
@@ -321,13 +322,12 @@ def _trees(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordBat
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             pairs, left = block_pairs(int(key[a]), ids[a:b], sizes[a:b], labels[a:b], points[a:b], side[a:b], firsts[a:b], few)
             fresh |= pairs
-            if left:
-                unfinished.append((int(key[a]), None))
+            unfinished += [(i, None, int(key[a])) for i in left]
         fresh -= told
         if len(told) < PAIRS:
             told.update(fresh)
-        rows = [*((int(i), int(j)) for i, j in fresh), *unfinished]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+        rows = [*((int(i), int(j), None) for i, j in fresh), *unfinished]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in rows], pa.int64()) for i in (0, 1, 2)], ["a", "b", "key"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -435,15 +435,16 @@ def _sizes_fit(n, m):
     return (NUM * n <= DEN * m) & (NUM * m <= DEN * n)
 
 
-def _open(rows: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, done: int) -> DataFrame:
     """key, doc, label and m (the block's rows) of those with a document of another label in their or a neighbouring class of sizes.
 
-    Counted by partial aggregates of each block's classes, whose number has a
+    Blocks of so many rows are ``done``. If two documents may match, both are
+    there, so a later round can do with rows of an earlier one. Counted by partial aggregates of each block's classes, whose number has a
     bound, so a block of any size is dealt to many tasks.
     """
     own = rows.withColumn("level", _level(F.col("n")))
     classes = own.groupBy("key", "level").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("many"))
-    block = classes.groupBy("key").agg(F.sum("many").cast("int").alias("m"), F.min("least").alias("first"), F.max("most").alias("last"), F.collect_list(F.struct("level", "least", "most", "low", "high")).alias("classes")).filter("m > 2 and first < last").select("key", "m", "classes")
+    block = classes.groupBy("key").agg(F.sum("many").cast("int").alias("m"), F.min("least").alias("first"), F.max("most").alias("last"), F.collect_list(F.struct("level", "least", "most", "low", "high")).alias("classes")).filter(F.col("m") > done).filter("first < last").select("key", "m", "classes")
     met = own.join(block, "key").select("key", "doc", "n", "label", "level", "m", "classes")
     other = F.exists("classes", lambda c: (F.abs(c["level"] - F.col("level")) <= 1) & ((c["least"] != F.col("label")) | (c["most"] != F.col("label"))) & (NUM * c["low"] <= DEN * F.col("n")) & (NUM * F.col("n") <= DEN * c["high"]))
     return met.filter(other).select("key", "doc", "label", "m")
@@ -461,28 +462,28 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     known = cut(rows.groupBy("doc").agg(F.count("*").alias("shared")).join(points.select("doc", "n"), "doc").select("doc", F.col("n").cast("int").alias("n"), (F.col("shared") / prefix).cast("float").alias("known")))
     few = known.count() <= SENT // 2
     star = cut(_led(rows.join(F.broadcast(known) if few else known, "doc")))
-    tested, tries, linked = star, FEW, _verify(star, docs, points)
+    # a block of two has met its leader
+    tested, tries, done, linked = star, FEW, 2, _verify(star, docs, points)
     while True:
         labels = cut(components(linked).withColumnRenamed("node", "doc"))
         linked = labels.select(F.col("component").alias("a"), F.col("doc").alias("b"))
         labelled = known.join(labels, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("label"))
-        in_open = cut(_open(rows.join(F.broadcast(labelled) if few else labelled, "doc")))
+        in_open = cut(_open(rows.join(F.broadcast(labelled) if few else labelled, "doc"), done))
         met = cut(_met(in_open, points, tries))
-        pairs = cut(met.filter("b is not null").distinct().join(tested, ["a", "b"], "left_anti"))
+        pairs = cut(met.filter("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         between = _verify(pairs, docs, points)
         # a component and what links to it are one edge, however many of its documents do
         for side in ("a", "b"):
             between = between.join(labels.select(F.col("doc").alias(side), F.col("component").alias(f"label_{side}")), side, "left").withColumn(side, F.coalesce(f"label_{side}", side)).select("a", "b")
         linked = cut(linked.union(between.distinct()))
-        left = cut(met.filter("b is null").select(F.col("a").alias("key")).distinct())
-        if not left.take(1):
+        rows = cut(met.filter("key is not null").select("key", F.col("a").alias("doc")).distinct())
+        if not rows.take(1):
             return linked
-        tested, tries = cut(tested.union(pairs)), tries * MORE
-        rows = rows.join(F.broadcast(left) if left.count() <= SENT else left, "key", "left_semi")
+        tested, tries, done = cut(tested.union(pairs)), tries * MORE, 1
 
 
 def _met(in_open: DataFrame, points: DataFrame, few: int) -> DataFrame:
-    """Pairs (a, b) of the open blocks' trees, and (key, null) for blocks with pairs left."""
+    """Pairs (a, b) of the open blocks' trees, and (a, null, key) for their documents with pairs left."""
     firsts = in_open.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
     open_rows = in_open.join(points.join(firsts, "doc"), "doc")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int")
@@ -491,7 +492,7 @@ def _met(in_open: DataFrame, points: DataFrame, few: int) -> DataFrame:
     dealt = open_rows.withColumns({"parts": parts, "side": own}).select("*", other.alias("other"))
     dealt = dealt.withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))
     placed = dealt.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "doc", "n", "label", "vec", "firsts")
-    return placed.mapInArrow(lambda batches: _trees(batches, few), "a long, b long")
+    return placed.mapInArrow(lambda batches: _trees(batches, few), "a long, b long, key long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
