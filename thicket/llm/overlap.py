@@ -62,6 +62,8 @@ POINTS = 1 << 26
 KEPT, DIGESTS, PAIRS = 1 << 22, 1 << 19, 1 << 17
 #: Ids of so many documents are sent to all tasks at most, else joined (8 bytes each).
 SENT = 1_000_000
+#: What is written of pairs, labels and blocks' rows is read in parts of about so many rows: a small table is one part and isn't shuffled.
+ROWS = 50_000
 
 
 def needed(a, b):
@@ -375,19 +377,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc", "set"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are links."""
+def _few(written: DataFrame) -> tuple[DataFrame, int]:
+    """The same rows in parts of about ROWS, and how many there are."""
+    n = written.coalesce(written.sparkSession.sparkContext.defaultParallelism).count()
+    return written.coalesce(max(1, -(-n // ROWS))), n
 
-    def side(name: str) -> DataFrame:
-        return points.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), F.col("vec").alias(f"vec_{name}"))
 
-    left = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long"))
-    asked = cut(left.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    asked_for = F.broadcast(asked) if asked.count() <= SENT else asked
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """For a join: ``rows``, of which there are ``n`` at most, are sent to all tasks if they are one part."""
+    return F.broadcast(rows) if n <= ROWS else rows
+
+
+def _verify(pairs: DataFrame, n: int, docs: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of the ``n`` pairs (a, b) that are links; of documents that share an id perhaps many times."""
+
+    def with_both(pairs: DataFrame, n: int, of: DataFrame) -> DataFrame:
+        a, b = (of.select(*(F.col(c).alias(name if c == "doc" else f"{c}_{name}") for c in of.columns)) for name in ("a", "b"))
+        return a.join(_small(pairs, n), "a").join(b, "b")
+
+    left, n = _few(cut(with_both(pairs, n, points).mapInArrow(_bounded, "a long, b long")))
+    asked = left.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    if n > ROWS:
+        asked = cut(asked)
+    asked_for = F.broadcast(asked) if n <= min(ROWS, SENT // 2) or asked.count() <= SENT else asked
     sets = cut(docs.join(asked_for, "doc", "left_semi").mapInArrow(_sets, "doc long, set binary"))
-    for name in ("a", "b"):
-        left = left.join(sets.select(F.col("doc").alias(name), F.col("set").alias(f"set_{name}")), name)
-    return left.mapInArrow(_verified, "a long, b long").distinct()
+    return with_both(left, n, sets).mapInArrow(_verified, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -396,19 +410,19 @@ def components(edges: DataFrame) -> DataFrame:
     Each turn hangs every node's neighbours on the smallest, so chains shorten
     by a constant factor; it ends when a turn changes nothing.
     """
-    mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-    edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    was, now = None, edges.agg(*mark).first()
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    edges, n = _few(cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    was, now = None, (n, edges.agg(mark).first()[0])
     while was != now:
-        both = edges.union(edges.select("b", "a"))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = both.filter("b > a").join(_small(low, 2 * n), "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select("m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        edges = cut(small.select(F.least("m", "b").alias("a"), F.greatest("m", "b").alias("b")).filter("a <> b").distinct())
-        was, now = now, edges.agg(*mark).first()
-    own = edges.select("a").distinct()
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(own.select("a", "a"))
+        small = large.join(_small(low, 2 * n), "b").select("m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        edges, n = _few(cut(small.select(F.least("m", "b").alias("a"), F.greatest("m", "b").alias("b")).filter("a <> b").distinct()))
+        was, now = now, (n, edges.agg(mark).first()[0])
+    # now every edge is of a component's smallest node
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a").distinct().select("a", "a"))
 
 
 def _level(n) -> Column:
@@ -457,35 +471,39 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     told = totals.orderBy(F.desc("n"), "key").limit(TOLD).select("key").toPandas()["key"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(told)
     points = described.filter("kind = 0 and n > 0 and doc is not null").select("doc", "n", "vec")
-    rows = cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "probe", "lo", "doc").mapInArrow(_shared, "key long, doc long"))
+    rows, _ = _few(cut(_deal(docs, frequent).repartition("key").sortWithinPartitions("key", "probe", "lo", "doc").mapInArrow(_shared, "key long, doc long")))
     prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
-    known = cut(rows.groupBy("doc").agg(F.count("*").alias("shared")).join(points.select("doc", "n"), "doc").select("doc", F.col("n").cast("int").alias("n"), (F.col("shared") / prefix).cast("float").alias("known")))
-    few = known.count() <= SENT // 2
-    star = cut(_led(rows.join(F.broadcast(known) if few else known, "doc")))
+    known, many = _few(cut(rows.groupBy("doc").agg(F.count("*").alias("shared")).join(points.select("doc", "n"), "doc").select("doc", F.col("n").cast("int").alias("n"), (F.col("shared") / prefix).cast("float").alias("known"))))
+    few = many <= SENT // 2
+    tested, n_tested = _few(cut(_led(rows.join(F.broadcast(known) if few else known, "doc"))))
     # a block of two has met its leader
-    tested, tries, done, linked = star, FEW, 2, _verify(star, docs, points)
+    linked, labels, tries, done = _verify(tested, n_tested, docs, points), None, FEW, 2
     while True:
-        labels = cut(components(linked).withColumnRenamed("node", "doc"))
-        linked = labels.select(F.col("component").alias("a"), F.col("doc").alias("b"))
-        labelled = known.join(labels, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("label"))
-        in_open = cut(_open(rows.join(F.broadcast(labelled) if few else labelled, "doc"), done))
-        met = cut(_met(in_open, points, tries))
-        pairs = cut(met.filter("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        between = _verify(pairs, docs, points)
+        if labels is None:
+            labels, n_labels = _few(cut(components(linked).withColumnRenamed("node", "doc")))
+            linked = labels.select(F.col("component").alias("a"), F.col("doc").alias("b"))
+        labelled = known.join(_small(labels, n_labels), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("label"))
+        in_open, n = _few(cut(_open(rows.join(F.broadcast(labelled) if few else labelled, "doc"), done)))
+        met, _ = _few(cut(_met(in_open, n, points, tries)))
+        pairs, n = _few(cut(met.filter("key is null").select("a", "b").distinct().join(_small(tested, n_tested), ["a", "b"], "left_anti")))
+        tested, n_tested = tested.union(pairs), n_tested + n
+        between = _verify(pairs, n, docs, points)
         # a component and what links to it are one edge, however many of its documents do
         for side in ("a", "b"):
-            between = between.join(labels.select(F.col("doc").alias(side), F.col("component").alias(f"label_{side}")), side, "left").withColumn(side, F.coalesce(f"label_{side}", side)).select("a", "b")
-        linked = cut(linked.union(between.distinct()))
-        rows = cut(met.filter("key is not null").select("key", F.col("a").alias("doc")).distinct())
-        if not rows.take(1):
+            between = between.join(_small(labels.select(F.col("doc").alias(side), F.col("component").alias(f"label_{side}")), n_labels), side, "left").withColumn(side, F.coalesce(f"label_{side}", side)).select("a", "b")
+        between, n = _few(cut(between.distinct()))
+        if n:
+            linked, labels = linked.union(between), None
+        rows, n = _few(cut(met.filter("key is not null").select("key", F.col("a").alias("doc")).distinct()))
+        if not n:
             return linked
-        tested, tries, done = cut(tested.union(pairs)), tries * MORE, 1
+        tries, done = tries * MORE, 1
 
 
-def _met(in_open: DataFrame, points: DataFrame, few: int) -> DataFrame:
+def _met(in_open: DataFrame, n: int, points: DataFrame, few: int) -> DataFrame:
     """Pairs (a, b) of the open blocks' trees, and (a, null, key) for their documents with pairs left."""
     firsts = in_open.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
-    open_rows = in_open.join(points.join(firsts, "doc"), "doc")
+    open_rows = points.join(F.broadcast(in_open.join(F.broadcast(firsts), "doc")), "doc") if n <= ROWS else in_open.join(points.join(firsts, "doc"), "doc")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int")
     own = F.pmod(F.xxhash64("doc"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
