@@ -1,5 +1,8 @@
 """Steps whose cost must not outgrow their input."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from thicket.operators import hierarchy, integrity, replay
@@ -23,6 +26,50 @@ def test_rollup_broadcasts_nothing(spark):
     assert "Broadcast" not in plan(found)
 
 
+def forest(seed):
+    """Trees with gone nodes, ids whose numbers sort otherwise as text, and dashes where dots would stand."""
+    rnd, paths = random.Random(seed), ["P-1", "P-10", "P-1-2", "Q-7"]
+    while len(paths) < 300:
+        up = rnd.choice(paths[-40:] if rnd.random() < 0.7 else paths)
+        paths += [p for p in [f"{up}.{rnd.choice([1, 2, 10, 11, 100])}"] if p not in paths]
+    return [(p, p.rpartition(".")[0] or None, rnd.choice(["open", "done", "deferred", "cancelled", "invalidated"]), rnd.choice([0.0, 1.0, 2.0, 3.5, None]), rnd.choice([0.0, 0.25, 1.0]), "x" if rnd.random() < 0.05 else None) for p in paths]
+
+
+def means(rows):
+    kids = {}
+    for r in rows:
+        kids.setdefault(r[1], []).append(r)
+
+    def value(r):
+        below = [(value(k), k[3]) for k in kids.get(r[0], []) if k[2] not in ("cancelled", "invalidated") and k[3] is not None]
+        total = sum(w for _, w in below)
+        return r[4] if r[0] not in kids else sum(v * w for v, w in below) / total if total else 0.0
+
+    return {r[0]: value(r) for r in rows}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+@pytest.mark.parametrize("written", [True, False])
+def test_rollup_folds_ranges(spark, monkeypatch, parts, written):
+    """Each row is shuffled once, whatever its depth, and trees that many ranges share come out as in one."""
+    if not written:
+        monkeypatch.setattr(hierarchy, "kept", lambda df: df)
+    rows = forest(parts)
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, status string, weight double, progress double, gone string").withColumn("deleted_at", F.when(F.col("gone").isNotNull(), F.lit("2000-01-01").cast("timestamp")))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = hierarchy.rollup(nodes)
+        assert {r.id: r.progress for r in found.collect()} == pytest.approx(means([r for r in rows if r[5] is None]))
+        text = plan(found)
+        assert "Generate" not in text and "Join" not in text and "ancestor" not in text
+        assert written or parts == 1 or "rangepartitioning(path" in text
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_hook_names_are_told_of_all_events(spark):
     """Kinds that hooks don't know, and comments to nobody, keep their row, with no name."""
     rows = [(1, "create_node", "{}"), (2, "claim", "{}"), (3, "comment", '{"to":"ann"}'), (4, "comment", "{}"), (5, "transition_status", '{"to":"done"}'), (6, "delete", None)]

@@ -1,13 +1,20 @@
-"""Trees by dot-paths: no recursion is needed but for rollups, which go level by level."""
+"""Trees by dot-paths: no recursion is needed."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.ids import TERMINAL, ancestors, depth, parent, under
 from thicket.operators.listing import live
 from thicket.operators.numbering import running
+from thicket.sources.store import kept
 
 #: So many missing parents at most go to every task.
 FEW = 100_000
@@ -135,38 +142,107 @@ def siblings_of(nodes: DataFrame, id_: str) -> DataFrame:
     return live(nodes).filter((F.col("parent_id") == parent) & (F.col("id") != id_)).orderBy("seq")
 
 
+#: Sorts before all that an id holds, so a path in whose place it stands sorts right before what is below it.
+_SEP = "\x01"
+#: ``row``: whether the node itself was seen, not only what is below it. Sums are null where a node is done.
+_OPEN = "id string, progress double, row boolean, counted boolean, weight double, inner boolean, total double, done double"
+
+
+def _folded(last: bool):
+    """Rows sorted by path to nodes with their progress, for ``mapInArrow``; a stack holds the nodes above a row.
+
+    What may have more below it in other parts is left open, with the sums so
+    far: the nodes above the first row and above the last. The ``last`` pass,
+    over all that is open, leaves nothing so.
+    """
+    #: What a row has of its own, and what it has if it isn't told.
+    names = {"row": True, "counted": None, "weight": None, "inner": False, "total": 0.0, "done": 0.0, "progress": None}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.string()), ("progress", pa.float64()), ("row", pa.bool_()), ("counted", pa.bool_()), ("weight", pa.float64()), ("inner", pa.bool_()), ("total", pa.float64()), ("done", pa.float64())])
+        # of each node on the stack: its path as those below begin with it, then ``names``
+        stack: list[list] = []
+        ready: list[tuple] = []
+        values: list = []
+        opened: list[tuple] = []
+
+        def leave() -> None:
+            head, row, counted, weight, inner, total, done, progress = stack.pop()
+            if row:
+                if inner:
+                    progress = done / total if total else 0.0
+                ready.append(head[:-1])
+                values.append(progress)
+                # the node above, unless that one is missing
+                if counted and stack and head.find(_SEP, len(stack[-1][0])) == len(head) - 1:
+                    above = stack[-1]
+                    above[4] = True
+                    if weight is not None:
+                        above[5] += weight
+                        above[6] += weight * progress if progress is not None else 0.0
+            elif not last:
+                opened.append((head[:-1], None, False, False, None, inner, total, done))
+
+        def given() -> pa.RecordBatch:
+            n, m = len(ready), len(opened)
+            left = list(zip(*opened)) if m else [()] * 8
+            columns = [pa.array([*ready, *left[0]], pa.string()), pa.array([*values, *left[1]], pa.float64())]
+            columns += [pa.array([None] * n + list(left[k]), schema.field(k).type) for k in range(2, 8)]
+            columns[0] = pc.replace_substring(columns[0], _SEP, ".")
+            ready.clear(), values.clear(), opened.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            rows = [batch.column(n).to_pylist() if n in batch.schema.names else repeat(other) for n, other in names.items()]
+            for path, row, counted, weight, inner, total, done, progress in zip(batch.column("path").to_pylist(), *rows):
+                if path is None:
+                    ready.append(None)
+                    values.append(progress)
+                    continue
+                if not stack and not last:
+                    stack += [[path[: k + 1], False, False, None, False, 0.0, 0.0, None] for k, c in enumerate(path) if c == _SEP]
+                while stack and not path.startswith(stack[-1][0]):
+                    leave()
+                stack.append([path + _SEP, row, counted, weight, inner, total, done, progress])
+            if ready or opened:
+                yield given()
+        if last:
+            while stack:
+                leave()
+        opened += [(head[:-1], progress, *rest) for head, *rest, progress in stack]
+        if ready or opened:
+            yield given()
+
+    return fold
+
+
 def rollup(nodes: DataFrame) -> DataFrame:
     """(id, progress): leaves keep theirs, parents get their children's weighted mean.
 
     Cancelled and invalidated children don't count, deferred ones do; a parent
-    none of whose children count has 0. No level waits for the one below: what
-    a parent has from its leaves counts for each node above it times the
-    product of the shares on the way, a node's share being its weight over its
-    countable siblings' sum. So the plan is the same at any depth: sums by
-    parent, the shares of inner nodes along each parent's path, sums by
-    ancestor. A path that a missing node cuts counts up to there.
-
-    The joins are told to merge: deep ids compress so well that a shuffle of
-    millions of them looks small enough to broadcast.
+    none of whose children count has 0. Above a missing node nothing of what is
+    below it counts.
+
+    No level waits for the one below, and each row is shuffled once however deep
+    it is: dealt by ranges of paths, a parent comes right before all that is
+    below it, so a task folds its range with a stack as high as the tree. Only
+    the nodes above a range's first and last row stay open; the rows on them,
+    a depth's number for each range, are summed up by node and folded once more.
     """
-    rows = live(nodes).select("id", "parent_id", "status", "weight", F.col("progress").cast("double").alias("progress"))
-    countable = F.when(~F.col("status").isin("cancelled", "invalidated"), F.col("weight"))
-    totals = rows.filter("parent_id is not null").groupBy("parent_id").agg(F.nullif(F.sum(countable), F.lit(0.0)).alias("total")).hint("merge")
-    marked = rows.join(totals.select(F.col("parent_id").alias("id"), F.lit(True).alias("inner")).hint("merge"), "id", "left")
-    leaves = marked.filter("inner is null and parent_id is not null").groupBy("parent_id").agg(F.sum(countable * F.col("progress")).alias("done"))
-    own = totals.join(leaves.hint("merge"), "parent_id", "left").select(F.col("parent_id").alias("id"), F.coalesce(F.col("done") / F.col("total"), F.lit(0.0)).alias("own"))
-    shares = marked.filter("inner").join(totals, "parent_id").select("id", F.coalesce(countable / F.col("total"), F.lit(0.0)).alias("share"))
-    roots = marked.filter("inner and parent_id is null").select("id", F.lit(0.0).alias("share"))
-    steps = own.filter("own <> 0").select("id", "own", F.posexplode(ancestors(F.col("id"))).alias("level", "above"))
-    known = steps.join(shares.unionByName(roots).withColumnRenamed("id", "above").hint("merge"), "above")
-    paths = known.groupBy("id", "own").agg(F.map_from_entries(F.collect_list(F.struct("level", "share"))).alias("shares"))
-    start = F.struct(F.col("own").alias("value"), F.array().cast("array<double>").alias("values"))
-    # from the parent itself upwards: the value, then times each share
-    up = F.reverse(F.sequence(F.lit(0), depth(F.col("id"))))
-    walked = F.aggregate(up, start, lambda a, k: F.struct((a["value"] * F.try_element_at("shares", k)).alias("value"), F.concat(a["values"], F.array(F.when(F.try_element_at("shares", k).isNotNull(), a["value"]))).alias("values")), lambda a: a["values"])
-    parts = paths.select("id", F.posexplode(walked).alias("up", "value")).filter("value is not null and value <> 0")
-    sums = parts.select(F.expr("array_join(slice(split(id, '[.]'), 1, size(split(id, '[.]')) - up), '.')").alias("id"), "value").groupBy("id").agg(F.sum("value").alias("sum"))
-    return marked.join(sums.hint("merge"), "id", "left").select("id", F.when(F.col("inner"), F.coalesce("sum", F.lit(0.0))).otherwise(F.col("progress")).alias("progress"))
+    rows = live(nodes)
+    fits = ~F.col("status").isin("cancelled", "invalidated")
+    path = F.replace("id", F.lit("."), F.lit(_SEP)).alias("path")
+    told = rows.select(path, F.col("parent_id").isNotNull().alias("counted"), F.when(fits, F.col("weight")).cast("double").alias("weight"), F.col("progress").cast("double").alias("progress"))
+    folded = told.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_folded(False), _OPEN)
+    # read twice from one dealing: another one would leave other nodes open
+    found = kept(folded)
+    if found is folded:
+        found = folded.persist(StorageLevel.DISK_ONLY)
+    ready = found.filter("row is null").select("id", "progress")
+    sums = [F.bool_or("row").alias("row"), F.bool_or("counted").alias("counted"), F.max("weight").alias("weight"), F.bool_or("inner").alias("inner"), F.sum("total").alias("total"), F.sum("done").alias("done"), F.max("progress").alias("progress")]
+    left = found.filter("row is not null").groupBy(path).agg(*sums)
+    rest = left.repartition(1).sortWithinPartitions("path").mapInArrow(_folded(True), _OPEN)
+    return ready.unionByName(rest.select("id", "progress"))
 
 
 def moved(id_: Column, old: str, new: str) -> Column:
