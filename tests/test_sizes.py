@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from thicket.operators import hierarchy, integrity, replay
+from thicket.operators import backfill, hierarchy, integrity, replay
 from thicket.plans import catalogue, history
 from thicket.sources import store
+from thicket.sources.views import view
 from thicket.streaming import hooks
 
 SF = "/root/testdata/sf0.001"
@@ -150,3 +151,45 @@ def test_a_log_is_made_once(spark):
     log = spark.createDataFrame(spark.sparkContext.parallelize(told, 1).mapPartitions(rows), schema)
     assert [(r.id, r.title) for r in replay.replay(log).collect()] == [("P-1", "b")]
     assert made.value == len(told)
+
+
+LOG = "event_id string, node_id string, uid string, op_type string, payload string, lamport long, wall_ms long, machine string, author string, arrival long, slice int"
+TIDY = [
+    ("b1", "P-1", "b1", "create_node", '{"title":"a"}', 1, 1, "0" * 16, "ann", 1, 1),
+    ("b2", "P-1", None, "update_field", '{"field_name":"title","new_value":"b"}', 2, 2, "0" * 16, "ann", 2, 1),
+    ("b3", "P-2", "u2", "create_node", '{"title":"c"}', 3, 3, "0" * 16, "ann", 3, 2),
+    ("b4", "P-2", "u2", "transition_status", '{"to":"done"}', 4, 4, "0" * 16, "ann", 4, 2),
+    ("b5", "P-3", "b5", "create_node", '{"title":"d"}', 5, 5, "0" * 16, "ann", 5, 2),
+    ("b6", "P-9", None, "claim", '{"agent_id":"x"}', 6, 6, "0" * 16, "ann", 6, 2),
+    ("b7", "P-2", "u2", "link_dep", '{"depends_on_node_id":"P-1","dep_type":"blocks"}', 7, 7, "0" * 16, "ann", 7, None),
+]
+UNTIDY = {
+    "early": ("c1", "P-3", None, "claim", '{"agent_id":"x"}', 1, 1, "0" * 16, "ann", 4, 2),
+    "other": ("c2", "P-3", "u2", "claim", '{"agent_id":"x"}', 8, 8, "0" * 16, "ann", 8, 2),
+    "moved": ("c3", "OLD", "u2", "claim", '{"agent_id":"x"}', 8, 8, "0" * 16, "ann", 8, 2),
+    "gone": ("c4", "P-2", "u2", "delete", "{}", 8, 8, "0" * 16, "ann", 8, 2),
+    "shared": ("c5", "P-4", "u2", "create_node", '{"title":"e"}', 1, 1, "0" * 16, "ann", 0, 3),
+    "apart": ("c6", "P-1", None, "update_field", '{"field_name":"title","new_value":"e"}', 8, 8, "0" * 16, "ann", 8, 3),
+}
+
+
+@pytest.mark.parametrize("more", [None, *UNTIDY])
+@pytest.mark.parametrize("sliced", [True, False])
+def test_a_backfilled_log_may_be_of_any_kind(spark, monkeypatch, more, sliced):
+    """By paths where that gives the same; else as any log."""
+    log = spark.createDataFrame(TIDY + ([UNTIDY[more]] if more else []), LOG)
+    log = log if sliced else log.drop("slice")
+    want = sorted(map(tuple, replay.replay(log.drop("slice")).collect()))
+    asked = []
+    monkeypatch.setattr(replay, "created", lambda rows, made=replay.created: asked.append(1) or made(rows))
+    assert sorted(map(tuple, replay.replay(log, backfilled=True).collect())) == want
+    assert bool(asked) == (more is not None and (sliced or more != "apart"))
+
+
+def test_a_backfilled_log_is_dealt_once(spark):
+    """Nodes are numbered, not their events, and what numbers them deals the log for its replay."""
+    nodes, edges = (view(spark, SF, v) for v in ("nodes", "edges"))
+    log = backfill.backfilled(history._with_text(nodes), edges)
+    text = plan(replay._by_path(replay.parsed(log)))
+    assert text.count("Exchange hashpartitioning(slice") == text.count("Exchange hashpartitioning") == 2
+    assert "step" not in "".join(line for line in text.splitlines() if "Window" in line)

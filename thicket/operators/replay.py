@@ -36,9 +36,18 @@ def parsed(log: DataFrame) -> DataFrame:
 
 def created(rows: DataFrame) -> DataFrame:
     """A node for the first create on each path: id, uid (the event's own id where it carries none), and what the create says."""
-    first = rows.filter("op_type = 'create_node'").groupBy("node_id").agg(F.min(F.struct("arrival", "event_id", "uid", "wall_ms", *[f"p_{n}" for n in ("title", "description", "prompt", "acceptance", "assignee")])).alias("f"))
-    told = [F.col(f"f.p_{n}").alias(f"c_{n}") for n in ("title", "description", "prompt", "acceptance", "assignee")]
-    return first.select(F.col("node_id").alias("id"), F.coalesce("f.uid", F.col("f.event_id").cast("string")).alias("node_uid"), F.col("f.arrival").alias("created"), F.col("f.wall_ms").alias("created_ms"), *told)
+    is_ = F.col("op_type") == "create_node"
+    return rows.filter(is_).groupBy(F.col("node_id").alias("id")).agg(_first(is_).alias("f")).select("id", *_told())
+
+
+def _first(when: Column) -> Column:
+    """The first of these creates."""
+    return F.min(F.when(when, F.struct("arrival", "event_id", "uid", "wall_ms", *[f"p_{n}" for n in ("title", "description", "prompt", "acceptance", "assignee")])))
+
+
+def _told() -> list[Column]:
+    said = [F.col(f"f.p_{n}").alias(f"c_{n}") for n in ("title", "description", "prompt", "acceptance", "assignee")]
+    return [F.coalesce("f.uid", F.col("f.event_id").cast("string")).alias("node_uid"), F.col("f.arrival").alias("created"), F.col("f.wall_ms").alias("created_ms"), *said]
 
 
 def found(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -64,36 +73,29 @@ def _written(when: Column, value: Column) -> Column:
     return F.when(best.isNotNull(), F.struct((-best["back"]).alias("arrival"), best["value"].alias("value")))
 
 
-def replay(log: DataFrame) -> DataFrame:
-    """The state of every node that the log creates, deleted ones with ``deleted_ms``.
-
-    Creates, references and deletions each read the log, so it is made and parsed once.
-    """
-    rows = kept(parsed(once(log)))
-    nodes = created(rows)
+def _folds() -> dict[str, Column]:
+    """What the events of a node come to, by name: maxima over structs and a count."""
     op = F.col("op_type")
     text = F.lit(None).cast("string")
     fits = (F.col("p_field_name") != "priority") | F.col("p_new_value").try_cast("int").isNotNull()
-    field = {f: _written((op == "update_field") & (F.col("p_field_name") == f) & fits, F.col("p_new_value")).alias(f"w_{f}") for f in FIELDS}
     moves = op.isin("claim", "unclaim", "defer", "transition_status")
     state = F.when(op == "claim", "in_progress").when(op == "unclaim", "open").when(op == "defer", "deferred").otherwise(F.col("p_to"))
     closed = F.when(F.col("p_to").isin(*TERMINAL), F.col("wall_ms"))
-    folded = (
-        found(rows, nodes)
-        .groupBy("id")
-        .agg(
-            *field.values(),
-            _written(op == "set_prompt", F.col("p_prompt_text")).alias("s_prompt"),
-            _written(op == "set_acceptance", F.col("p_acceptance_text")).alias("s_acceptance"),
-            _set(moves, state).alias("s_status"),
-            _set(op.isin("claim", "unclaim"), F.when(op == "claim", F.col("p_agent_id"))).alias("s_assignee"),
-            _set(op.isin("claim", "unclaim"), F.when(op == "claim", "working").otherwise(text)).alias("s_agent_state"),
-            _set(op == "defer", F.col("p_until")).alias("defer_until"),
-            _set(op == "transition_status", closed).alias("closed"),
-            F.count_if(op == "comment").alias("comments"),
-            F.max("gone.wall_ms").alias("deleted_ms"),
-        )
-    )
+    return {f"w_{f}": _written((op == "update_field") & (F.col("p_field_name") == f) & fits, F.col("p_new_value")) for f in FIELDS} | {
+        "s_prompt": _written(op == "set_prompt", F.col("p_prompt_text")),
+        "s_acceptance": _written(op == "set_acceptance", F.col("p_acceptance_text")),
+        "s_status": _set(moves, state),
+        "s_assignee": _set(op.isin("claim", "unclaim"), F.when(op == "claim", F.col("p_agent_id"))),
+        "s_agent_state": _set(op.isin("claim", "unclaim"), F.when(op == "claim", "working").otherwise(text)),
+        "defer_until": _set(op == "defer", F.col("p_until")),
+        "closed": _set(op == "transition_status", closed),
+        "comments": F.count_if(op == "comment"),
+    }
+
+
+def _state(whole: DataFrame, *more: str) -> DataFrame:
+    """Nodes from what their creates say and what their events come to."""
+    text = F.lit(None).cast("string")
 
     def value(name: str, first: Column, other: bool) -> Column:
         mine = F.greatest(F.col(f"w_{name}"), F.col(f"s_{name}")) if other else F.col(f"w_{name}")
@@ -102,8 +104,52 @@ def replay(log: DataFrame) -> DataFrame:
     told = {n: F.col(f"c_{n}") for n in ("title", "description", "prompt", "acceptance", "assignee")}
     first = told | {"status": F.lit("open"), "priority": F.lit("3"), "labels": text, "agent_state": text}
     columns = [value(f, first[f], f in ("status", "prompt", "acceptance", "assignee", "agent_state")) for f in FIELDS]
-    whole = nodes.join(folded, "id", "left")
-    return whole.select("id", F.col("node_uid").alias("uid"), *columns, F.col("defer_until.value").alias("defer_until"), F.col("closed.value").alias("closed_ms"), "created_ms", "deleted_ms", F.coalesce("comments", F.lit(0)).alias("comments")).withColumn("priority", F.col("priority").cast("int"))
+    return whole.select("id", F.col("node_uid").alias("uid"), *columns, F.col("defer_until.value").alias("defer_until"), F.col("closed.value").alias("closed_ms"), "created_ms", "deleted_ms", F.coalesce("comments", F.lit(0)).alias("comments"), *more).withColumn("priority", F.col("priority").cast("int"))
+
+
+def _by_path(rows: DataFrame) -> DataFrame:
+    """The state by paths alone, with ``tidy``, ``called`` and ``there``; of a log with slices by slice and path.
+
+    It is the replay's result if every path is ``tidy`` (its events came after
+    its create, delete nothing and carry its node's uid or none), no node that
+    is ``called`` by its uid shares it, and no path is in several slices. Links
+    don't count: no node's state hangs on them.
+    """
+    later = F.col("op_type") != "create_node"
+    by = ["slice"] if "slice" in rows.columns else []
+    folds = _folds() | {"f": _first(F.col("op_type") == "create_node"), "came": F.min(F.when(later, F.col("arrival"))), "low": F.min(F.when(later, F.col("uid"))), "high": F.max(F.when(later, F.col("uid"))), "ended": F.count_if(F.col("op_type") == "delete")}
+    found = rows.filter(~F.col("op_type").isin("link_dep", "unlink_dep")).groupBy(*by, F.col("node_id").alias("id")).agg(*[c.alias(n) for n, c in folds.items()]).select("*", *_told())
+    own = (F.col("low") == F.col("node_uid")) & (F.col("high") == F.col("node_uid")) & F.col("node_uid").isNotNull()
+    lives = F.col("id").isNotNull() & (F.col("ended") == 0) & (F.col("came").isNull() | (F.col("came") > F.col("created"))) & (F.col("high").isNull() | own)
+    tidy = F.when(F.col("f").isNull(), F.col("high").isNull()).otherwise(F.coalesce(lives, F.lit(False)))
+    return _state(found.withColumns({"deleted_ms": F.lit(None).cast("long"), "tidy": tidy, "called": F.col("high").isNotNull(), "there": F.col("f").isNotNull()}), "tidy", "called", "there")
+
+
+def _all_tidy(state: DataFrame) -> bool:
+    if state.filter("not tidy").take(1):
+        return False
+    # by hashes: two that are the same by chance only make the replay take the longer way
+    each = state.select(F.explode(F.array(F.struct(F.xxhash64("id").alias("h"), F.lit(True).alias("path"), F.lit(True).alias("called")), F.when(F.col("there"), F.struct(F.xxhash64("uid").alias("h"), F.lit(False).alias("path"), F.col("called").alias("called"))))).alias("e")).filter("e is not null").select("e.*")
+    shared = each.groupBy("path", "h").agg(F.count("*").alias("n"), F.bool_or("called").alias("called"))
+    return not shared.filter("n > 1 and called").take(1)
+
+
+def replay(log: DataFrame, backfilled: bool = False) -> DataFrame:
+    """The state of every node that the log creates, deleted ones with ``deleted_ms``.
+
+    Creates, references and deletions each read the log, so it is made and
+    parsed once. Of a ``backfilled`` log, which holds each event once, what each
+    path's events come to is looked at first: where they all are their own
+    node's, as they should be, that is the result, and no event is joined.
+    """
+    if backfilled:
+        state = kept(_by_path(parsed(log)))
+        if _all_tidy(state):
+            return state.filter("there").drop("tidy", "called", "there")
+    rows = kept(parsed(log if backfilled else once(log)))
+    nodes = created(rows)
+    folded = found(rows, nodes).groupBy("id").agg(*[c.alias(n) for n, c in _folds().items()], F.max("gone.wall_ms").alias("deleted_ms"))
+    return _state(nodes.join(folded, "id", "left"))
 
 
 def annotations(log: DataFrame) -> DataFrame:

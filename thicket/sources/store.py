@@ -79,7 +79,14 @@ def kept(df: DataFrame) -> DataFrame:
     if folder is None:
         return df
     path = f"{folder}/thicket-kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    first = conf.get(_FIRST, None)
+    # enough parts that none is too large for a task: as many as two to an input file
+    conf.set(_FIRST, max(int(conf.get("spark.sql.shuffle.partitions")), 2 * len(df.inputFiles())))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_FIRST, first) if first is not None else conf.unset(_FIRST)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
