@@ -193,3 +193,39 @@ def test_a_backfilled_log_is_dealt_once(spark):
     text = plan(replay._by_path(replay.parsed(log)))
     assert text.count("Exchange hashpartitioning(slice") == text.count("Exchange hashpartitioning") == 2
     assert "step" not in "".join(line for line in text.splitlines() if "Window" in line)
+
+
+STRAY = {
+    "other": ("c1", "P-3", "u2", "link_dep", '{"depends_on_node_id":"P-1","dep_type":""}', 8, 8, "0" * 16, "ann", 8, None),
+    "shared": ("c2", "P-4", "u2", "create_node", '{"title":"e"}', 1, 1, "0" * 16, "ann", 0, 3),
+    "default": ("c3", "P-3", "b1", "unlink_dep", '{"depends_on_node_id":"P-2"}', 8, 8, "0" * 16, "ann", 8, None),
+}
+FINE = {
+    "unlinked": ("c4", "P-2", "u2", "unlink_dep", '{"depends_on_node_id":"P-1"}', 8, 8, "0" * 16, "ann", 8, None),
+    "gone": ("c5", "P-2", "u2", "delete", "{}", 6, 6, "0" * 16, "ann", 6, 2),
+    "early": ("c6", "P-2", "u2", "link_dep", '{"depends_on_node_id":"P-7"}', 1, 1, "0" * 16, "ann", 0, None),
+    "nobody": ("c7", "P-8", "u9", "link_dep", '{"depends_on_node_id":"P-7"}', 1, 1, "0" * 16, "ann", 0, None),
+    "empty": ("c8", "P-3", "", "link_dep", '{"depends_on_node_id":"P-7"}', 9, 9, "0" * 16, "ann", 9, None),
+}
+
+
+@pytest.mark.parametrize("more", [None, *STRAY, *FINE])
+def test_links_of_a_backfilled_log(spark, monkeypatch, more):
+    """Links go out from the paths that they name, unless one has the uid of a node elsewhere."""
+    log = spark.createDataFrame(TIDY + ([(STRAY | FINE)[more]] if more else []), LOG)
+    want = sorted(map(tuple, replay.replay_edges(log).collect()))
+    asked = []
+    monkeypatch.setattr(replay, "created", lambda rows, made=replay.created: asked.append(1) or made(rows))
+    assert sorted(map(tuple, replay.replay_edges(log, backfilled=True).collect())) == want
+    assert bool(asked) == (more in STRAY)
+
+
+def test_links_are_made_without_the_nodes_events(spark):
+    """What asks for links alone, or for no text, doesn't deal the nodes' texts."""
+    nodes, edges = (view(spark, SF, v) for v in ("nodes", "edges"))
+    log = backfill.backfilled(history._with_text(nodes), edges)
+    best = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    links = best(log.filter((F.col("op_type") == "link_dep") | (F.col("op_type") == "unlink_dep")))
+    creates = best(log.filter("op_type = 'create_node'").select("node_id", "uid"))
+    assert "Generate" not in links and "Union" not in links
+    assert "Generate" in creates and "title" not in "".join(line for line in creates.splitlines() if "Window" in line or "Generate" in line)

@@ -158,17 +158,39 @@ def annotations(log: DataFrame) -> DataFrame:
     return found(rows, created(rows)).filter("op_type = 'comment'").select("id", "event_id", F.col("p_author_id").alias("author"), F.col("p_body").alias("text"), F.col("wall_ms").alias("at_ms"))
 
 
-def replay_edges(log: DataFrame) -> DataFrame:
+def _links_stay(rows: DataFrame) -> bool:
+    """Whether no link's uid is that of a create on another path: then each link goes out from the path that it names, whatever lives there."""
+    links = F.col("op_type") != "create_node"
+    uid = F.when(links, F.col("uid")).otherwise(F.coalesce("uid", F.col("event_id").cast("string")))
+    # uids by hashes: two that are the same by chance only make the replay take the longer way
+    each = rows.select(F.xxhash64(uid).alias("h"), uid.alias("uid"), F.col("node_id").alias("path"), links.alias("link")).filter("uid is not null")
+    paths = each.groupBy("h").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count_if(F.col("path").isNull()).alias("none"), F.bool_or("link").alias("link"))
+    return not paths.filter("link and (low <> high or none > 0)").take(1)
+
+
+def replay_edges(log: DataFrame, backfilled: bool = False) -> DataFrame:
     """(from_id, to_id, dep_type): edges whose last event by arrival links; unlinking without a type means ``blocks``.
 
     An edge goes out from the node that its event refers to while that lives,
-    else from the path that the event names.
+    else from the path that the event names. In a ``backfilled`` log, which
+    holds each event once, both should be the same, which is looked at first.
     """
-    rows = kept(parsed(once(log)))
-    links = rows.filter(F.col("op_type").isin("link_dep", "unlink_dep"))
-    known = found(rows, created(rows)).filter(F.col("op_type").isin("link_dep", "unlink_dep")).select("event_id", "id")
+    # not by isin, which Spark doesn't settle in advance where a kind hangs on a step
+    links = (F.col("op_type") == "link_dep") | (F.col("op_type") == "unlink_dep")
     kind = F.coalesce(F.nullif("p_dep_type", F.lit("")), F.lit("blocks"))
-    named = links.join(known, "event_id", "left").select(F.coalesce("id", "node_id").alias("from_id"), F.col("p_depends_on_node_id").alias("to_id"), kind.alias("dep_type"), "arrival", "op_type")
+    told = [F.col("p_depends_on_node_id").alias("to_id"), kind.alias("dep_type"), "arrival", "op_type"]
+    if backfilled:
+        # of creates nothing is parsed
+        names = ["event_id", "node_id", "uid", "op_type", "arrival"]
+        own = kept(parsed(log.filter(links)).select(*names, "p_depends_on_node_id", "p_dep_type").unionByName(log.filter("op_type = 'create_node'").select(*names).withColumn("uid", F.nullif("uid", F.lit(""))), allowMissingColumns=True))
+        if _links_stay(own):
+            return _linked(own.filter(links).select(F.col("node_id").alias("from_id"), *told))
+    rows = kept(parsed(log if backfilled else once(log)))
+    known = found(rows, created(rows)).filter(links).select("event_id", "id")
+    return _linked(rows.filter(links).join(known, "event_id", "left").select(F.coalesce("id", "node_id").alias("from_id"), *told))
+
+
+def _linked(named: DataFrame) -> DataFrame:
     last = named.groupBy("from_id", "to_id", "dep_type").agg(F.max(F.struct("arrival", "op_type")).alias("last"))
     return last.filter("last.op_type = 'link_dep'").select("from_id", "to_id", "dep_type")
 

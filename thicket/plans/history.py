@@ -145,7 +145,7 @@ def register(add) -> None:
     add("concurrent_counts", "log", f"WITH w AS ({_WRITES}) SELECT node_id, event_id, count(*) OVER (PARTITION BY node_id, epoch) - count(*) OVER (PARTITION BY node_id, epoch, author) AS concurrent FROM w")(lambda e: events.concurrent_counts(_clocked(e)).select("node_id", "event_id", "concurrent"))
     add("transition_log", "log", f"WITH {_FOLD} SELECT id, status, previous_status, closed_at, progress, moves, refused FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1", recursive=True)(lambda e: transitions.applied(_born(e), _transitions(e)))
     add("backfill_nodes", "nodes edges", f"SELECT id, title, status, assignee, CASE WHEN seq % 4 = 0 THEN 'about ' || title END AS description FROM nodes WHERE {LIVE}")(lambda n, e: replay.replay(backfill.backfilled(_with_text(n), e), backfilled=True).select("id", "title", "status", "assignee", "description"))
-    add("backfill_edges", "nodes edges", "SELECT from_id, to_id, dep_type FROM edges")(lambda n, e: replay.replay_edges(backfill.backfilled(_with_text(n), e)))
+    add("backfill_edges", "nodes edges", "SELECT from_id, to_id, dep_type FROM edges")(lambda n, e: replay.replay_edges(backfill.backfilled(_with_text(n), e), backfilled=True))
     kinds = f"SELECT id, created_at, 0 AS step, 'create_node' AS op_type FROM nodes WHERE {LIVE} UNION ALL SELECT id, created_at, 1, 'update_field' FROM nodes WHERE {LIVE} AND seq % 4 = 0 UNION ALL SELECT id, created_at, 4, 'update_field' FROM nodes WHERE {LIVE} AND assignee IS NOT NULL UNION ALL SELECT id, created_at, 9, 'transition_status' FROM nodes WHERE {LIVE} AND status <> 'open'"
     add("backfill_order", "nodes edges", f"WITH k AS ({kinds}), o AS (SELECT id AS node_id, op_type, row_number() OVER (ORDER BY created_at, id, step) AS lamport FROM k) SELECT * FROM o UNION ALL SELECT from_id, 'link_dep', (SELECT count(*) FROM k) + row_number() OVER (ORDER BY from_id, to_id, dep_type) FROM edges")(lambda n, e: backfill.backfilled(_with_text(n), e).select("node_id", "op_type", "lamport"))
     add("prompts_full", "nodes edges", _PROMPT)(lambda n, e: text.all_prompts(_told(n), graph.blockers(n, e)))
