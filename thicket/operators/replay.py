@@ -130,7 +130,8 @@ def _all_tidy(state: DataFrame) -> bool:
         return False
     # by hashes: two that are the same by chance only make the replay take the longer way
     each = state.select(F.explode(F.array(F.struct(F.xxhash64("id").alias("h"), F.lit(True).alias("path"), F.lit(True).alias("called")), F.when(F.col("there"), F.struct(F.xxhash64("uid").alias("h"), F.lit(False).alias("path"), F.col("called").alias("called"))))).alias("e")).filter("e is not null").select("e.*")
-    shared = each.groupBy("path", "h").agg(F.count("*").alias("n"), F.bool_or("called").alias("called"))
+    # dealt first: there is next to nothing to combine, and a table of all that a task reads would fill it
+    shared = each.repartition("path", "h").groupBy("path", "h").agg(F.count("*").alias("n"), F.bool_or("called").alias("called"))
     return not shared.filter("n > 1 and called").take(1)
 
 
@@ -163,8 +164,8 @@ def _links_stay(rows: DataFrame) -> bool:
     links = F.col("op_type") != "create_node"
     uid = F.when(links, F.col("uid")).otherwise(F.coalesce("uid", F.col("event_id").cast("string")))
     # uids by hashes: two that are the same by chance only make the replay take the longer way
-    each = rows.select(F.xxhash64(uid).alias("h"), uid.alias("uid"), F.col("node_id").alias("path"), links.alias("link")).filter("uid is not null")
-    paths = each.groupBy("h").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count_if(F.col("path").isNull()).alias("none"), F.bool_or("link").alias("link"))
+    each = rows.select(F.xxhash64(uid).alias("h"), uid.alias("uid"), F.col("node_id").alias("path"), links.alias("link")).filter("uid is not null").drop("uid")
+    paths = each.repartition("h").groupBy("h").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count_if(F.col("path").isNull()).alias("none"), F.bool_or("link").alias("link"))
     return not paths.filter("link and (low <> high or none > 0)").take(1)
 
 
